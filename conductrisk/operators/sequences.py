@@ -61,16 +61,18 @@ def scaler(weighted: DataFrame, features: list[str], by: list[str]) -> DataFrame
 
     Output: by..., mean array<double>, scale array<double>; a constant feature gets scale 1.
     """
-    w = F.col("weight")
-    value = lambda f: F.col(f).cast("double")
-    sums = weighted.filter(w > 0).groupBy(*by).agg(
-        F.sum(w).alias("w"),
-        *[F.sum(w * value(f)).alias(f"a_{f}") for f in features],
-        *[F.sum(w * value(f) * value(f)).alias(f"b_{f}") for f in features],
+    sums = weighted.filter("weight > 0").groupBy(*by).agg(
+        F.sum("weight").alias("w"),
+        *[F.expr(f"sum(weight * double({f})) AS a_{f}") for f in features],
+        *[F.expr(f"sum(weight * double({f}) * double({f})) AS b_{f}") for f in features],
     )
-    mean = [F.col(f"a_{f}") / F.col("w") for f in features]
-    var = [F.col(f"b_{f}") / F.col("w") - m * m for f, m in zip(features, mean)]
-    scale = [F.when(v > 1e-12 * (1 + m * m), F.sqrt(v)).otherwise(1.0) for v, m in zip(var, mean)]
+    variance = "(b_{0} / w - (a_{0} / w) * (a_{0} / w))"
+    floor = "1e-12 * (1 + (a_{0} / w) * (a_{0} / w))"
+    mean = [F.expr(f"a_{f} / w") for f in features]
+    scale = [
+        F.expr(f"CASE WHEN {variance} > {floor} THEN sqrt({variance}) ELSE 1.0D END".format(f))
+        for f in features
+    ]
     return sums.select(*by, F.array(*mean).alias("mean"), F.array(*scale).alias("scale"))
 
 

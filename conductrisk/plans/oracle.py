@@ -333,8 +333,8 @@ def _needed(sql: str, known: dict[str, str]) -> set[str]:
     return {w for w in _NAME.findall(sql) if w in known}
 
 
-def _bigint_counts(text: str) -> str:
-    """count_if and integer sums are HUGEINT there; give them the type Spark has."""
+def _filtered_counts(text: str) -> str:
+    """Spell count_if(x) as a filtered count: never null, and a 64-bit integer as in Spark."""
     out, pos = [], 0
     while (start := text.find("count_if(", pos)) >= 0:
         depth, end = 0, start + len("count_if")
@@ -343,17 +343,16 @@ def _bigint_counts(text: str) -> str:
             end += 1
             if depth == 0:
                 break
-        call = text[start:end]
-        windowed = text[end:].lstrip().upper().startswith(("OVER", "FILTER"))
-        out += [text[pos:start], call if windowed else f"CAST({call} AS BIGINT)"]
+        inner = text[start + len("count_if("):end - 1]
+        out += [text[pos:start], f"count(*) FILTER (WHERE {inner})"]
         pos = end
     return "".join(out) + text[pos:]
 
 
 def sql(text: str, **extra: str) -> str:
     """Prefix a query with the common table expressions it uses, in dependency order."""
-    text = _bigint_counts(text)
-    known = {n: _bigint_counts(t) for n, t in {**CTES, **extra}.items()}
+    text = _filtered_counts(text)
+    known = {n: _filtered_counts(t) for n, t in {**CTES, **extra}.items()}
     order: list[str] = []
 
     def visit(name: str, path: tuple = ()):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from conductrisk import adapters as A
 from conductrisk.operators import daily as daily_ops
 from conductrisk.operators import rollup, sequences
+from conductrisk.operators import telemetry as live
 from conductrisk.operators.scoring import score_daily
 from conductrisk.session import stage
 
@@ -43,3 +44,38 @@ def scored_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     keep = ["user", "role", "day", "date", "id", "risk_score", "anomaly_score", "mitre_tactic",
             "mitre_technique", "file_copy_count", "usb_count", "explanation"]
     return stage(scored(spark, sf_dir).select(keep), "scored")
+
+
+def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored telemetry rows, written once for the reads on top of them."""
+    rows = A.telemetry(spark, sf_dir)
+    scored_rows = live.score_telemetry(rows, A.roster(spark, sf_dir), rollup.latest(rows, "timestamp"))
+    return scored_rows
+
+
+def stored_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage(telemetry(spark, sf_dir), "telemetry")
+
+
+def as_accounts(roster: DataFrame, scored_rows: DataFrame) -> DataFrame:
+    """User accounts with the newest risk, productivity and time of their telemetry."""
+    state = live.latest_state(scored_rows).withColumnRenamed("user_id", "user")
+    return roster.join(state, "user", "left").select(
+        F.col("user").alias("user_id"), "name",
+        F.concat(F.lower("user"), F.lit("@example.com")).alias("email"), "role", "department",
+        (F.col("user_key") % 20 != 0).alias("is_active"),
+        F.concat(F.lit("U"), F.floor(F.col("user_key") / 10)).alias("manager_id"),
+        "last_seen", "risk_score", "productivity_score",
+    )
+
+
+def live_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(scored telemetry, accounts); each is written once."""
+    rows = stored_telemetry(spark, sf_dir)
+    return rows, stage(as_accounts(A.roster(spark, sf_dir), rows), "accounts")
+
+
+def named_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The user report with name, role and department."""
+    users = A.roster(spark, sf_dir).select("user", "name", "role", "department")
+    return report(spark, sf_dir).join(users, "user", "left")

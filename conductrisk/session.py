@@ -15,6 +15,11 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
+START_SETTINGS = {
+    **RUNTIME_SETTINGS,
+    # recording a Python call site for every column makes large plans slow to build
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
 
 
 def build_session(app: str = "conductrisk", master: str | None = None, **conf) -> SparkSession:
@@ -22,7 +27,7 @@ def build_session(app: str = "conductrisk", master: str | None = None, **conf) -
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master).config("spark.ui.enabled", "false")
-    for key, value in {**RUNTIME_SETTINGS, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
+    for key, value in {**START_SETTINGS, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
