@@ -155,19 +155,21 @@ def percentiles(df: DataFrame, value: str, probs: list[float], by: list[str] | N
     # the single group of the ungrouped case is as small as the brackets keep it
     w = Window.partitionBy(*by, F.lit(0)).orderBy("__rep").rowsBetween(Window.unboundedPreceding, 0)
     ranked = runs.withColumn("__hi", F.sum("__c").over(w)).withColumn("__lo", F.col("__hi") - F.col("__c"))
-    picks = []
-    for i, p in enumerate(probs):
-        position = F.lit(float(p)) * (F.col("__n") - 1)
-        for side, index in (("a", F.floor(position)), ("b", F.ceil(position))):
-            hit = (F.col("__lo") <= index) & (index < F.col("__hi"))
-            picks.append(F.max(F.when(hit, F.col("__key"))).alias(f"__{side}{i}"))
-    out = ranked.groupBy(*by).agg(F.max("__n").alias("n"), *picks)
-    result = []
-    for i, p in enumerate(probs):
-        position = F.lit(float(p)) * (F.col("n") - 1)
-        a, b = F.col(f"__a{i}"), F.col(f"__b{i}")
-        result.append(a + (b - a) * (position - F.floor(position)))
-    return out.select(*by, "n", F.array(*result).alias("p"))
+    wanted = F.filter(
+        F.transform(F.array(*[F.lit(float(p)) for p in probs]), lambda p, i: F.struct(
+            i.alias("i"), (p * (F.col("__n") - 1)).alias("at"))),
+        lambda w: (F.col("__lo") <= F.ceil(w["at"])) & (F.floor(w["at"]) < F.col("__hi")),
+    )
+    hit = lambda index: F.max(F.when(
+        (F.col("__lo") <= index) & (index < F.col("__hi")), F.col("__key")))
+    at = F.col("__w.at")
+    picked = ranked.withColumn("__w", F.explode(wanted)).groupBy(*by, "__w.i").agg(
+        F.max("__n").alias("n"), F.max(at - F.floor(at)).alias("__f"),
+        hit(F.floor(at)).alias("__a"), hit(F.ceil(at)).alias("__b"),
+    )
+    value_at = F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__f")
+    listed = F.sort_array(F.collect_list(F.struct("i", value_at.alias("v"))))
+    return picked.groupBy(*by).agg(F.max("n").alias("n"), F.transform(listed, lambda e: e["v"]).alias("p"))
 
 
 def cumulative(df: DataFrame, value: str, measures: dict[str, Column], ranges: int = 64) -> DataFrame:
@@ -246,3 +248,28 @@ def smallest(df: DataFrame, hashed: str, wanted: Column) -> DataFrame:
         .filter(F.col("__rn") + cut["lo"] <= wanted).drop("__rn")
     )
     return below.unionByName(at).drop("__px")
+
+
+def split(df: DataFrame, key: str, share: float, by: list[str] | None = None) -> DataFrame:
+    """Add `in_first`: true for exactly floor(share * n) rows per group, chosen by key hash.
+
+    The cut per group is found from counts per hash prefix, so no group is ever sorted whole.
+    """
+    by = by or []
+    names = [f"__by_{i}" for i in range(len(by))]
+    rows = df.withColumn("__h", F.md5(F.col(key).cast("string"))).withColumn("__px", F.substring("__h", 1, 4))
+    counts = rows.groupBy(*[F.col(c).alias(n) for c, n in zip(by, names)], "__px").agg(F.count("*").alias("__c"))
+    everything = Window.partitionBy(*names, F.lit(0))
+    running = everything.orderBy("__px").rowsBetween(Window.unboundedPreceding, 0)
+    cells = counts.withColumns({
+        "__hi": F.sum("__c").over(running),
+        "__want": F.floor(F.sum("__c").over(everything) * share),
+    }).withColumn("__lo", F.col("__hi") - F.col("__c"))
+    condition = F.col("__px") == F.col("__cell_px")
+    for c, n in zip(by, names):
+        condition = condition & F.col(c).eqNullSafe(F.col(n))
+    joined = rows.join(cells.withColumnRenamed("__px", "__cell_px"), condition)
+    inner = Window.partitionBy(*by, "__px").orderBy("__h", key)
+    return joined.withColumn("in_first", F.row_number().over(inner) + F.col("__lo") <= F.col("__want")).drop(
+        "__h", "__px", "__cell_px", "__c", "__hi", "__lo", "__want", *names
+    )

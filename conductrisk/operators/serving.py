@@ -184,15 +184,15 @@ def derived_heatmap(report: DataFrame, alerts: DataFrame, events: DataFrame) ->
     )
 
 
-def hourly_profile(scored: DataFrame, as_of: Column) -> DataFrame:
+def hourly_profile(scored: DataFrame, as_of: Column, digits: int = 2) -> DataFrame:
     """Hour by weekday (Sunday 0) of each user, last 7 days: four means and the count."""
     return within(scored, as_of, "7 DAYS").groupBy(
         "user_id", (F.dayofweek("timestamp") - 1).alias("day_of_week"), F.hour("timestamp").alias("hour")
     ).agg(
-        F.round(F.avg("risk_score"), 2).alias("avg_risk"),
-        F.round(F.avg("mouse_velocity_avg"), 2).alias("avg_mouse_velocity"),
-        F.round(F.avg("keystroke_flight_avg_ms"), 2).alias("avg_keystroke_flight_ms"),
-        F.round(F.avg("productivity_score"), 3).alias("avg_productivity"),
+        F.round(F.avg("risk_score"), digits).alias("avg_risk"),
+        F.round(F.avg("mouse_velocity_avg"), digits).alias("avg_mouse_velocity"),
+        F.round(F.avg("keystroke_flight_avg_ms"), digits).alias("avg_keystroke_flight_ms"),
+        F.round(F.avg("productivity_score"), digits + 1).alias("avg_productivity"),
         F.count("*").alias("event_count"),
     )
 
@@ -238,14 +238,15 @@ def drift_status(report: DataFrame, top: int = 10) -> DataFrame:
                      F.round("deviation_sigma", 2).alias("deviation_sigma"), F.col("drift_explanation").alias("explanation"))
     strongest = report.filter("is_drift").orderBy(F.desc("deviation_sigma"), "user").limit(top)
     listed = strongest.agg(F.sort_array(F.collect_list(
-        F.struct((-F.col("deviation_sigma")).alias("s"), F.col("user").alias("u"), entry.alias("e")))).alias("l")).scalar()
+        F.struct((-F.col("deviation_sigma")).alias("s"), F.col("user").alias("u"), entry.alias("e")))).alias("l"))
+    users = listed.select(F.transform("l", lambda x: x["e"])).scalar()
     totals = report.agg(
         F.count("*").alias("users_total"), F.count_if("is_drift").alias("users_in_drift"),
         F.round(F.max("deviation_sigma"), 2).alias("max_deviation_sigma"))
     n, d = F.col("users_total"), F.col("users_in_drift")
     return totals.withColumns({
         "drift_detected": d > 0, "drift_ratio": F.round(ratio(d, n), 4),
-        "top_drifting_users": F.transform(listed, lambda x: x["e"]),
+        "top_drifting_users": users,
         "recommendation": F.when(d > 0, F.concat(
             d, F.lit(" of "), n, F.lit(" users are drifting from baseline. Review the top drifting users and consider retraining.")
         )).otherwise("No users are currently drifting from baseline."),

@@ -49,10 +49,10 @@ def _prepared(spark, sf):
     return L.with_productivity(L.with_user_role(A.telemetry(spark, sf), A.roster(spark, sf)))
 
 
-@query("seven_day_baselines", f"SELECT user_id, {', '.join(R(n) for n in _BASES)} FROM user_base")
+@query("seven_day_baselines", f"SELECT user_id, {', '.join(R(n, digits=9) for n in _BASES)} FROM user_base")
 def seven_day_baselines(spark, sf):
     rows = _prepared(spark, sf)
-    return rounded(L.user_baselines(rows, rollup.latest(rows, "timestamp")), *_BASES)
+    return rounded(L.user_baselines(rows, rollup.latest(rows, "timestamp")), *_BASES, digits=9)
 
 
 @query("telemetry_with_baseline", f"SELECT id, has_baseline, {R('coalesce(mv_avg, -1)', 'mv_avg')}, {R('coalesce(kf_avg, -1)', 'kf_avg')} FROM tele_z")
@@ -63,11 +63,11 @@ def telemetry_with_baseline(spark, sf):
 
 
 @query("refreshed_baselines", f"""
-SELECT t.id, t.user_id, count(*) AS n, {R("avg(b.mouse_velocity_avg)", "mv_avg")}, {R("avg(b.mouse_velocity_std)", "mv_std")}, {R("avg(b.keystroke_flight_avg_ms)", "kf_avg")}, {R("avg(b.keystroke_flight_std_ms)", "kf_std")}, {R("avg(b.productivity_score)", "prod_avg")}
+SELECT t.id, t.user_id, count(*) AS n, {R("avg(b.mouse_velocity_avg)", "mv_avg", 9)}, {R("avg(b.mouse_velocity_std)", "mv_std", 9)}, {R("avg(b.keystroke_flight_avg_ms)", "kf_avg", 9)}, {R("avg(b.keystroke_flight_std_ms)", "kf_std", 9)}, {R("avg(b.productivity_score)", "prod_avg", 9)}
 FROM tele_prod t JOIN tele_prod b ON b.user_id = t.user_id AND floor(epoch(b.timestamp)) <= floor(epoch(t.timestamp)) AND floor(epoch(b.timestamp)) >= floor(epoch(t.timestamp)) - 604800
 WHERE t.id % 10 = 0 GROUP BY t.id, t.user_id""")
 def refreshed_baselines(spark, sf):
-    return rounded(L.refreshed_baselines(_prepared(spark, sf)), *_BASES)
+    return rounded(L.refreshed_baselines(_prepared(spark, sf)), *_BASES, digits=9)
 
 
 @query("signature_deviation", f"SELECT id, {R('deviation_score')}, {R('sigma_level')}, deviation_text FROM tele_parts")
@@ -372,12 +372,13 @@ def heatmap_summary(spark, sf):
 
 
 @query("hourly_user_profile", """
-SELECT user_id, dayofweek(timestamp) AS day_of_week, hour(timestamp) AS hour, round(avg(risk_score), 2) AS avg_risk, round(avg(mouse_velocity_avg), 2) AS avg_mouse_velocity,
-  round(avg(keystroke_flight_avg_ms), 2) AS avg_keystroke_flight_ms, round(avg(productivity_score), 3) AS avg_productivity, count(*) AS event_count
+SELECT user_id, dayofweek(timestamp) AS day_of_week, hour(timestamp) AS hour, round(avg(risk_score), 8) AS avg_risk, round(avg(mouse_velocity_avg), 8) AS avg_mouse_velocity,
+  round(avg(keystroke_flight_avg_ms), 8) AS avg_keystroke_flight_ms, round(avg(productivity_score), 9) AS avg_productivity, count(*) AS event_count
 FROM tele WHERE timestamp >= (SELECT max(timestamp) FROM tele) - INTERVAL 7 DAY GROUP BY 1, 2, 3""")
 def hourly_user_profile(spark, sf):
     rows = T0.telemetry(spark, sf)
-    return S.hourly_profile(rows, rollup.latest(A.telemetry(spark, sf), "timestamp"))
+    # two-digit means of two values are rounding ties, so more digits are compared
+    return S.hourly_profile(rows, rollup.latest(A.telemetry(spark, sf), "timestamp"), digits=8)
 
 
 @query("user_profiles", f"""
