@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from conductrisk.functions import posterior as P
 from conductrisk.functions.common import with_defaults
@@ -54,7 +55,7 @@ def compare_scenarios(rows: DataFrame, other_hour: str) -> DataFrame:
     })
 
 
-@F.pandas_udf("p90 double, p95 double, p99 double")
+@F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("p90", "p95", "p99")]))
 def sampled_percentiles(alpha: pd.Series, beta: pd.Series, seed: pd.Series) -> pd.DataFrame:
     """Percentiles of 10,000 draws per row; the seed comes from the row's key."""
     out = np.empty((len(alpha), 3))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from conductrisk.operators.ordered import split, total_rank
+from conductrisk.session import stage
 
 RANGES = 1024
 QUERY_SALTS = 16
@@ -65,8 +66,8 @@ def nearest_in_class(points: DataFrame, k: int = 5, block_rows: int = 1000) -> D
     placed = measured.join(splits, "label").withColumn(
         "block", F.floor(fine * blocks_wanted / RANGES).cast("int")).drop("s", "n")
 
-    inside = placed.groupBy("label", "block").cogroup(placed.groupBy("label", "block")).applyInPandas(
-        lambda q, m: _closest(q[["id", "vec"]], m[["id", "vec"]], k), _OUT)
+    placed = stage(placed, "placed")
+    inside = placed.groupBy("label", "block").applyInPandas(lambda m: _closest(m[["id", "vec"]], m[["id", "vec"]], k), _OUT)
     bound = inside.groupBy("id").agg(F.count("*").alias("found"), F.max("distance").alias("r"))
     ranges = placed.groupBy("label", "block").agg(F.min("d0").alias("lo"), F.max("d0").alias("hi")).groupBy("label").agg(
         F.collect_list(F.struct("block", "lo", "hi")).alias("ranges"))
@@ -78,10 +79,11 @@ def nearest_in_class(points: DataFrame, k: int = 5, block_rows: int = 1000) -> D
         ranges, "label").select("label", "id", "vec", salt.alias("salt"), F.explode(others).alias("b")).select(
         "label", F.col("b.block").alias("block"), "salt", "id", "vec")
     needed = asked.select("label", "block", "salt").distinct()
-    members = placed.select("label", "block", "id", "vec").join(needed, ["label", "block"])
     keys = ["label", "block", "salt"]
-    outside = asked.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInPandas(
-        lambda q, m: _closest(q[["id", "vec"]], m[["id", "vec"]], k), _OUT)
+    members = placed.select("label", "block", "id", "vec").join(needed, ["label", "block"]).select(
+        *[F.col(c).alias(f"m_{c}") for c in [*keys, "id", "vec"]])
+    outside = asked.groupBy(*keys).cogroup(members.groupBy(*[f"m_{c}" for c in keys])).applyInPandas(
+        lambda q, m: _closest(q[["id", "vec"]], m[["m_id", "m_vec"]].set_axis(["id", "vec"], axis=1), k), _OUT)
 
     found = inside.unionByName(outside)
     best = F.slice(F.sort_array(F.collect_list(F.struct("distance", "neighbour"))), 1, k)

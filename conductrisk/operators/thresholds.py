@@ -6,10 +6,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from conductrisk import config as C
 from conductrisk.functions.common import ratio
 from conductrisk.operators.ordered import cumulative, percentiles, smallest
+from conductrisk.session import stage
 
 DEFAULT_THRESHOLD = C.ANOMALY_MEAN + C.STD_MULTIPLIER * C.ANOMALY_STD
 COLUMNS = ["threshold", "method", "confidence"]
@@ -57,7 +59,7 @@ def confusion_by_threshold(rows: DataFrame, grid: Column, score: str = "score",
     Every row is put into the gap between two thresholds, gaps are counted, and the counts are
     summed up over the few gaps: no row meets more than one threshold.
     """
-    placed = rows.withColumn("__grid", F.array_sort(grid)).withColumn(
+    placed = rows.withColumn("__g", grid).withColumn("__grid", F.sort_array("__g")).withColumn(
         "__gap", F.size(F.filter("__grid", lambda t: t < F.col(score))))
     gaps = placed.groupBy("__gap").agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"), F.first("__grid").alias("__grid"))
@@ -102,8 +104,9 @@ def by_tail(scores: DataFrame, score: str = "score") -> DataFrame:
     summed in one pass over the tail; the best is taken. Fewer than 20 tail rows: percentile.
     """
     cutoff = percentiles(scores, score, [C.TAIL_PERCENTILE]).select(F.col("p")[0]).scalar()
-    tail = scores.withColumn("__cut", cutoff).filter(F.col(score) > F.col("__cut")).select(
-        (F.col(score) - F.col("__cut")).alias("x"), "__cut")
+    # the tail is read by several steps, so it is written once
+    tail = stage(scores.withColumn("__cut", cutoff).filter(F.col(score) > F.col("__cut")).select(
+        (F.col(score) - F.col("__cut")).alias("x"), "__cut"), "tail")
     shape = tail.agg(F.struct(F.max("x").alias("max"), F.avg("x").alias("mean"), F.count("*").alias("n"),
                               F.max("__cut").alias("cut")).alias("s")).scalar()
     grid = tail_grid()
@@ -182,7 +185,7 @@ def kolmogorov_p(statistic: Column, root: Column) -> Column:
     return F.when(lam < 0.3, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _cramer_p(statistic: pd.Series) -> pd.Series:
     """Limiting upper tail of the Cramer-von Mises statistic (series of Bessel functions)."""
     import math
@@ -215,16 +218,18 @@ def distribution_drift(reference: DataFrame, current: DataFrame, score: str, key
     other = cur.agg(F.count("*").alias("n")).scalar()
     wanted = F.least(size, other)
     ref, cur = smallest(ref, "h", wanted), smallest(cur, "h", wanted)
-    both = ref.select("v", F.lit(1).alias("r")).unionByName(cur.select("v", F.lit(0).alias("r")))
+    # the two samples are read by several steps, so they are written once
+    both = stage(ref.select("v", F.lit(1).alias("r")).unionByName(cur.select("v", F.lit(0).alias("r"))), "samples")
     steps = cumulative(both, "v", {"a": F.count_if(F.col("r") == 1), "b": F.count_if(F.col("r") == 0)})
     gap = (F.col("below_a") + F.col("a") - F.col("below_b") - F.col("b")) / F.col("n")
-    stats = steps.withColumn("n", wanted).agg(
+    drawn = both.agg(F.count_if(F.col("r") == 1).alias("n")).scalar()
+    stats = steps.withColumn("n", drawn).agg(
         F.max("n").alias("sample_size"), F.max(F.abs(gap)).alias("ks"),
         (F.sum((F.col("a") + F.col("b")) * gap * gap) / 4).alias("cvm"),
     )
-    moments = lambda df: df.agg(
+    moments = lambda part: both.filter(F.col("r") == part).agg(
         F.struct(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).alias("x")).scalar()
-    out = stats.withColumns({"__r": moments(ref), "__c": moments(cur)})
+    out = stats.withColumns({"__r": moments(1), "__c": moments(0)})
     half = F.sqrt(F.col("sample_size") / 2)
     p = kolmogorov_p(F.col("ks"), half) if test == "ks" else _cramer_p("cvm")
     out = out.select(

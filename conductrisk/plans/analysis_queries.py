@@ -216,8 +216,8 @@ def adaptive_thresholds(spark, sf):
 
 @query("rolling_thresholds", f"""
 SELECT {D("d", "update_day")}, n AS sample_size, {R("CASE WHEN n < 100 THEN 0.52 ELSE t END", "threshold")} FROM (
- SELECT d, CASE WHEN rn < 50 THEN an ELSE rn END AS n, CASE WHEN rn < 50 THEN at ELSE rt END AS t FROM (
-  SELECT u.d, count_if(s.d > u.d - 7) AS rn, count(*) AS an, quantile_cont(s.score, 0.995) FILTER (WHERE s.d > u.d - 7) AS rt, quantile_cont(s.score, 0.995) AS at
+ SELECT d, CASE WHEN rn < 50 THEN an ELSE rn END AS n, CASE WHEN rn < 50 THEN aq ELSE rt END AS t FROM (
+  SELECT u.d, count_if(s.d > u.d - 7) AS rn, count(*) AS an, quantile_cont(s.score, 0.995) FILTER (WHERE s.d > u.d - 7) AS rt, quantile_cont(s.score, 0.995) AS aq
   FROM (SELECT DISTINCT CAST(ts AS DATE) AS d FROM sc) u JOIN (SELECT CAST(ts AS DATE) AS d, score FROM sc) s ON s.d <= u.d WHERE u.d > (SELECT max(CAST(ts AS DATE)) FROM sc) - 14 GROUP BY 1))""", sc=_SC)
 def rolling_thresholds(spark, sf):
     return text_time(rounded(H.rolling_thresholds(_scores(spark, sf), "ts", "score"), "threshold"), "update_day")
@@ -291,10 +291,10 @@ def posterior_evidence(spark, sf):
     return rounded(posterior.risk_distribution(_posterior_rows(spark, sf)).select("id", *names), *names)
 
 
-@query("posterior_risk", f"SELECT id, {R('alpha')}, {R('beta')}, {R('alpha / (alpha + beta) * 100', 'risk_mean')}, {R('sqrt(alpha * beta / ((alpha + beta) * (alpha + beta) * (alpha + beta + 1))) * 100', 'risk_std')} FROM betas", **_PT)
+@query("posterior_risk", f"SELECT id, {R('alpha', digits=9)}, {R('beta', digits=9)}, {R('alpha / (alpha + beta) * 100', 'risk_mean', 9)}, {R('sqrt(alpha * beta / ((alpha + beta) * (alpha + beta) * (alpha + beta + 1))) * 100', 'risk_std', 9)} FROM betas", **_PT)
 def posterior_risk(spark, sf):
     names = ["alpha", "beta", "risk_mean", "risk_std"]
-    return rounded(posterior.risk_distribution(_posterior_rows(spark, sf)).select("id", *names), *names)
+    return rounded(posterior.risk_distribution(_posterior_rows(spark, sf)).select("id", *names), *names, digits=9)
 
 
 @query("posterior_confidence", f"""
@@ -337,7 +337,8 @@ def role_views(spark, sf):
 
 
 _PAD = (_KEY.ljust(64, b"\0"))
-_HMAC = f"""translate(base64(unhex(sha256(concat(unhex('{bytes(b ^ 0x5C for b in _PAD).hex()}'), unhex(sha256(concat(unhex('{bytes(b ^ 0x36 for b in _PAD).hex()}'), encode(concat("user", ':day'))))))))), '+/', '-_')"""
+_INNER = f"""unhex(sha256(unhex('{bytes(b ^ 0x36 for b in _PAD).hex()}') || encode(concat("user", ':day'))))"""
+_HMAC = f"""translate(base64(unhex(sha256(unhex('{bytes(b ^ 0x5C for b in _PAD).hex()}') || {_INNER}))), '+/', '-_')"""
 
 
 @query("pseudonymised_activity", f'SELECT id, {_HMAC} AS "user" FROM act')
