@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from conductrisk.plans import analysis_queries, batch_queries, feature_queries, live_queries  # noqa: F401
+from conductrisk.plans import (  # noqa: F401
+    analysis_queries, batch_queries, feature_queries, live_queries, model_queries,
+)
 from conductrisk.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 
