@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from conductrisk.plans import (  # noqa: F401
-    analysis_queries, batch_queries, feature_queries, live_queries, model_queries,
+    analysis_queries, batch_queries, feature_queries, live_queries, model_queries, stream_queries,
 )
 from conductrisk.plans.registry import ORACLES, QUERIES  # noqa: F401
 

@@ -22,10 +22,6 @@ def write_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def read_report(spark, path: str, schema) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).csv(path)
-
-
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
