@@ -35,7 +35,7 @@ def statistics(df: DataFrame, features: list[str]) -> DataFrame:
         F.min("value").alias("min"), F.max("value").alias("max"),
     )
     spread = rows.groupBy("feature").agg(F.stddev_samp("value").alias("std"))
-    quartiles = percentiles(rows, "value", [0.25, 0.5, 0.75], ["feature"]).select(
+    quartiles = percentiles(rows, "value", [0.25, 0.5, 0.75], ["feature"], max_groups=len(features)).select(
         "feature", F.col("p")[0].alias("q25"), F.col("p")[1].alias("q50"), F.col("p")[2].alias("q75"))
     return basic.drop("present").join(spread, "feature").join(quartiles, "feature", "left")
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 HOT_ROWS = 5_000_000
 PERCENTILE_ACCURACY = 100_000
+BROADCAST_GROUPS = 10_000
 
 
 def framed(df: DataFrame, keys: list[str], ts: str, tie: str, depth: int,
@@ -111,13 +112,17 @@ def rolling_counts(df: DataFrame, key: str, ts: str, measures: dict[str, tuple[C
 
 
 def percentiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None,
-                accuracy: int = PERCENTILE_ACCURACY) -> DataFrame:
+                max_groups: int | None = None, accuracy: int = PERCENTILE_ACCURACY) -> DataFrame:
     """Exact, linearly interpolated percentiles: by..., n, p array<double> in the order of `probs`.
 
     A mergeable sketch first brackets every wanted percentile. Its rank error is proven, so the
     exact value lies inside; rows outside the brackets are only counted, rows inside are reduced
     to value counts. What remains to be ordered per group is about 8 * len(probs) / accuracy of
     the rows, or at most `accuracy` rows for a small group.
+
+    `max_groups` is the caller's proven bound on the number of groups. Under BROADCAST_GROUPS the
+    brackets are broadcast and the rows stay where they are; otherwise rows and brackets are
+    joined by group.
     """
     by = by or []
     base = df.select(*by, F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
@@ -135,12 +140,13 @@ def percentiles(df: DataFrame, value: str, probs: list[float], by: list[str] | N
     )
     marks = sketch.select(*by, "__n", bracket.alias("__br"))
     if by:
-        # null-safe, so that a null group keeps its percentiles; Spark picks the join by size
+        # null-safe, so that a null group keeps its percentiles
         m = marks.select(*[F.col(c).alias(f"__by_{c}") for c in by], "__n", "__br")
         condition = F.lit(True)
         for c in by:
             condition = condition & F.col(c).eqNullSafe(F.col(f"__by_{c}"))
-        rows = base.join(m, condition).drop(*[f"__by_{c}" for c in by])
+        small_side = max_groups is not None and max_groups <= BROADCAST_GROUPS
+        rows = base.join(F.broadcast(m) if small_side else m, condition).drop(*[f"__by_{c}" for c in by])
     else:
         one = marks.select(F.struct("__n", "__br").alias("s")).scalar()
         rows = base.withColumns({"__n": one["__n"], "__br": one["__br"]})
@@ -194,7 +200,7 @@ def cumulative(df: DataFrame, value: str, measures: dict[str, Column], ranges: i
     )
     inner = Window.partitionBy("__range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        placed.join(offsets, "__range")
+        placed.join(F.broadcast(offsets), "__range")  # at most `ranges` rows
         .withColumns({f"below_{n}": F.coalesce(F.sum(n).over(inner), F.lit(0)) + F.col(f"__o_{n}") for n in names})
         .select(value, *names, *[f"below_{n}" for n in names])
     )

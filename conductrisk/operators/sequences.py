@@ -121,7 +121,8 @@ def model_metadata(errors: DataFrame) -> DataFrame:
         F.avg("error").alias("error_mean"),
         F.stddev_pop("error").alias("error_std"),
     )
-    cuts = percentiles(both, "error", [C.TARGET_PERCENTILE, 0.5, 0.95, 0.99], ["model"])
+    cuts = percentiles(both, "error", [C.TARGET_PERCENTILE, 0.5, 0.95, 0.99], ["model"],
+                       max_groups=len(C.MODEL_ROLES) + 1)
     return moments.join(cuts, "model").select(
         "model", "n_sequences", F.col("p")[0].alias("threshold"), "error_mean", "error_std",
         F.col("p")[1].alias("error_p50"), F.col("p")[2].alias("error_p95"), F.col("p")[3].alias("error_p99"),

@@ -171,7 +171,7 @@ def rolling_thresholds(rows: DataFrame, ts: str, score: str, days: int = C.ROLLI
     chosen = F.filter("__u", lambda u: (u["day"] >= F.col("__d")) & (
         u["use_all"] | (F.date_diff(u["day"], F.col("__d")) < days)))
     spread = tagged.select("score", F.explode(chosen).alias("u")).select("score", F.col("u.day").alias("update_day"))
-    cuts = percentiles(spread, "score", [C.TARGET_PERCENTILE], ["update_day"])
+    cuts = percentiles(spread, "score", [C.TARGET_PERCENTILE], ["update_day"], max_groups=2 * days)
     value = F.when(F.col("n") < C.MIN_SAMPLES, DEFAULT_THRESHOLD).otherwise(F.col("p")[0])
     return cuts.select("update_day", F.col("n").alias("sample_size"), value.alias("threshold"))
 

@@ -30,10 +30,10 @@ def unified_timeline(spark, sf):
     return text_time(timeline.unify(A.raw_logs(A.activity(spark, sf))), "date")
 
 
-@query("ordered_timeline_page", f'SELECT id, "user", {T("date")}, source FROM (SELECT * FROM act ORDER BY act.date, id LIMIT 500)')
-def ordered_timeline_page(spark, sf):
-    rows = timeline.unify(A.raw_logs(A.activity(spark, sf))).orderBy("date", "id").limit(500)
-    return text_time(rows.select("id", "user", "date", "source"), "date")
+@query("ordered_timeline", f'SELECT id, "user", {T("date")}, source FROM act ORDER BY act.date, id')
+def ordered_timeline(spark, sf):
+    rows = timeline.unify(A.raw_logs(A.activity(spark, sf))).select("id", "user", "date", "source")
+    return text_time(rows.orderBy("date", "id"), "date")
 
 
 @query("behaviour_log_union", """
@@ -228,9 +228,9 @@ def behaviour_joined_to_days(spark, sf):
 
 @query("user_role_lookup", """
 SELECT a.id, coalesce(r.role, 'Unknown') AS feature_role, coalesce(r.role, 'Employee') AS scoring_role
-FROM act a LEFT JOIN (SELECT * FROM roster WHERE user_key % 5 <> 0) r ON r."user" = a."user" """)
+FROM act a LEFT JOIN (SELECT * FROM roster WHERE role <> 'Manager') r ON r."user" = a."user" """)
 def user_role_lookup(spark, sf):
-    known = A.roster(spark, sf).filter(F.col("user_key") % 5 != 0)
+    known = A.roster(spark, sf).filter("role <> 'Manager'")
     rows = daily.with_role(A.activity(spark, sf).select("id", "user"), known)
     return rows.select("id", F.col("role").alias("feature_role"),
                        F.when(F.col("role") == "Unknown", "Employee").otherwise(F.col("role")).alias("scoring_role"))
@@ -560,3 +560,16 @@ SELECT "user", {D("day")}, {R("greatest(0.0::DOUBLE, least(100.0::DOUBLE, CASE W
 def factor_bars(spark, sf):
     rows = timeline.factor_bars(T0.daily(spark, sf)).select("user", "day", "far_bar", "oaf_bar", "file_count_bar")
     return text_time(rounded(rows, "far_bar", "oaf_bar", "file_count_bar"), "day")
+
+
+@query("top_risk_users", f"""
+SELECT r."user", {R("r.total_risk_score", "total_risk_score")}, CASE WHEN r.total_risk_score >= 80 THEN 'Critical' WHEN r.total_risk_score >= 60 THEN 'High' WHEN r.total_risk_score >= 40 THEN 'Medium' ELSE 'Low' END AS risk_level,
+  r.is_drift, w.mitre_tactic AS worst_tactic, w.role FROM report r JOIN (SELECT "user", role, arg_max(mitre_tactic, struct_pack(a := risk_score, b := day)) AS mitre_tactic FROM scored GROUP BY 1, 2) w USING ("user")""")
+def top_risk_users(spark, sf):
+    """Users by total risk, with level, drift and the tactic of their riskiest day."""
+    from conductrisk.functions.common import band
+    days = T0.scored_days(spark, sf)
+    worst = days.groupBy("user", "role").agg(F.max_by("mitre_tactic", F.struct("risk_score", "day")).alias("worst_tactic"))
+    rows = rollup.user_report(days).join(worst, "user").select(
+        "user", "total_risk_score", band("total_risk_score").alias("risk_level"), "is_drift", "worst_tactic", "role")
+    return rounded(rows, "total_risk_score").orderBy(F.desc("total_risk_score"), "user")

@@ -9,4 +9,4 @@ from conductrisk.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 
 def flagship(spark, sf_dir):
-    return QUERIES["user_risk_report"](spark, sf_dir)
+    return QUERIES["top_risk_users"](spark, sf_dir)

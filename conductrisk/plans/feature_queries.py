@@ -131,12 +131,12 @@ def behavioural_signature(spark, sf):
 @query("velocity_anomaly_scores", f"""
 SELECT "user", {R("current_mean")}, {R("coalesce(baseline_mean, -1)", "baseline_mean")},
   {R("CASE WHEN baseline_mean > 0 AND current_mean > 5 * baseline_mean THEN least(1.0::DOUBLE, (current_mean - baseline_mean) / (baseline_std + 1e-6::DOUBLE) / 10) ELSE 0.0::DOUBLE END", "velocity_score")}
-FROM (SELECT "user", avg(value) AS current_mean FROM ev WHERE event_type = 'purchase' AND ts >= TIMESTAMP '2024-01-28' GROUP BY 1)
-LEFT JOIN (SELECT "user", avg(value) AS baseline_mean, coalesce(stddev_samp(value), 0) AS baseline_std FROM ev WHERE event_type = 'click' AND ts < TIMESTAMP '2024-01-08' GROUP BY 1) USING ("user")""")
+FROM (SELECT "user", avg(value) AS current_mean FROM ev WHERE ts >= TIMESTAMP '2024-01-30' GROUP BY 1)
+LEFT JOIN (SELECT "user", avg(value) AS baseline_mean, coalesce(stddev_samp(value), 0) AS baseline_std FROM ev WHERE ts < TIMESTAMP '2024-01-30' GROUP BY 1) USING ("user")""")
 def velocity_anomaly_scores(spark, sf):
     ev = A.events(spark, sf)
-    now = ev.filter("event_type = 'purchase' and ts >= timestamp '2024-01-28'")
-    then = ev.filter("event_type = 'click' and ts < timestamp '2024-01-08'")
+    now = ev.filter("ts >= timestamp '2024-01-30'")
+    then = ev.filter("ts < timestamp '2024-01-30'")
     rows = B.velocity_anomaly(now, then, "value", ["user"]).fillna(-1.0, ["baseline_mean"]).drop("baseline_std")
     return rounded(rows, "current_mean", "baseline_mean", "velocity_score")
 
@@ -272,13 +272,13 @@ def feature_quality(spark, sf):
     return rows.select("feature", "valid", F.array_join("issues", "; ").alias("issues"), "unique_count")
 
 
-_CAT = "SELECT event_id, CASE WHEN event_id % 150 = 0 THEN concat(event_type, '_', k % 5) ELSE event_type END AS category FROM ev"
+_CAT = "SELECT event_id, CASE WHEN k < 3 THEN concat(event_type, '_', k) ELSE event_type END AS category FROM ev"
 _ENC = "SELECT category, count(*)::DOUBLE / (SELECT count(*) FROM cats) AS share, count(*) < (SELECT count(*) FROM cats) * 0.01 AS is_rare FROM cats GROUP BY 1"
 
 
 def _categories(spark, sf):
     ev = A.events(spark, sf)
-    name = F.when(F.col("event_id") % 150 == 0, F.concat("event_type", F.lit("_"), F.col("k") % 5)).otherwise(F.col("event_type"))
+    name = F.when(F.col("k") < 3, F.concat("event_type", F.lit("_"), F.col("k"))).otherwise(F.col("event_type"))
     return ev.select("event_id", name.alias("name"))
 
 

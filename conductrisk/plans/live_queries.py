@@ -138,23 +138,24 @@ def baseline_upsert(spark, sf):
 
 
 @query("insert_missing_users", """
-SELECT "user" AS user_id, CASE WHEN user_key % 3 = 0 THEN 'known' ELSE 'added' END AS origin FROM roster""")
+SELECT "user" AS user_id, CASE WHEN role = 'Admin' THEN 'known' ELSE 'added' END AS origin FROM roster""")
 def insert_missing_users(spark, sf):
     users = A.roster(spark, sf)
-    old = users.filter("user_key % 3 = 0").select(F.col("user").alias("user_id"), F.lit("known").alias("origin"))
+    old = users.filter("role = 'Admin'").select(F.col("user").alias("user_id"), F.lit("known").alias("origin"))
     return L.insert_missing(old, users.select(F.col("user").alias("user_id"), F.lit("added").alias("origin")), "user_id")
 
 
 @query("account_changes", """
-SELECT user_id, CASE WHEN b % 4 = 0 THEN 'Renamed' ELSE name END AS name, CASE WHEN b % 4 = 1 THEN 'Moved' ELSE department END AS department, CASE WHEN b % 7 = 0 THEN FALSE ELSE is_active END AS is_active
-FROM (SELECT "user" AS user_id, name, department, user_key % 20 <> 0 AS is_active, user_key AS b FROM roster)""")
+SELECT user_id, CASE WHEN role = 'Admin' THEN 'Renamed' ELSE name END AS name, CASE WHEN role = 'Developer' THEN 'Moved' ELSE department END AS department, CASE WHEN role = 'Contractor' THEN FALSE ELSE is_active END AS is_active
+FROM (SELECT "user" AS user_id, name, department, user_key % 20 <> 0 AS is_active, role FROM roster)""")
 def account_changes(spark, sf):
     users = A.roster(spark, sf)
     key = F.col("user_key")
     old = users.select(F.col("user").alias("user_id"), "name", "department", (key % 20 != 0).alias("is_active"))
     changes = users.select(
-        F.col("user").alias("user_id"), F.when(key % 4 == 0, "Renamed").alias("name"),
-        F.when(key % 4 == 1, "Moved").alias("department"), F.when(key % 7 == 0, F.lit(False)).alias("is_active"),
+        F.col("user").alias("user_id"), F.when(F.col("role") == "Admin", "Renamed").alias("name"),
+        F.when(F.col("role") == "Developer", "Moved").alias("department"),
+        F.when(F.col("role") == "Contractor", F.lit(False)).alias("is_active"),
     ).filter("name is not null or department is not null or is_active is not null")
     return L.apply_changes(old, changes, "user_id")
 
@@ -244,14 +245,15 @@ def report_with_user_details(spark, sf):
     return rounded(rows, "total_risk_score")
 
 
-_PART_REPORT = """SELECT r."user", u.name, u.role, u.department, r.total_risk_score FROM report r JOIN roster u USING ("user") WHERE u.user_key % 2 = 0"""
-_PART_LIVE = """SELECT user_id, CASE WHEN TRUE THEN name END AS name, role, department, risk_score, email, 1 AS event_count FROM accounts WHERE (CAST(substring(user_id, 2) AS BIGINT)) % 3 = 0"""
+_PART_REPORT = """SELECT r."user", u.name, u.role, u.department, r.total_risk_score FROM report r JOIN roster u USING ("user") WHERE r.total_risk_score >= 20"""
+_PART_LIVE = """SELECT user_id, CASE WHEN TRUE THEN name END AS name, role, department, risk_score, email, 1 AS event_count FROM accounts WHERE last_seen >= (SELECT max(ts) FROM ev) - INTERVAL 12 HOUR"""
 
 
 def _two_rosters(spark, sf):
     _, accounts = T0.live_tables(spark, sf)
-    report = T0.named_report(spark, sf).filter("cast(substring(user, 2) as bigint) % 2 = 0")
-    live = accounts.filter("cast(substring(user_id, 2) as bigint) % 3 = 0").withColumn("event_count", F.lit(1))
+    report = T0.named_report(spark, sf).filter("total_risk_score >= 20")
+    recent = rollup.latest(accounts, "last_seen") - F.expr("INTERVAL 12 HOURS")
+    live = accounts.filter(F.col("last_seen") >= recent).withColumn("event_count", F.lit(1))
     return T0.stage(report, "report"), live
 
 
@@ -298,9 +300,9 @@ def distinct_users_and_roles(spark, sf):
 SELECT c."user", c.hour, {R("c.peak", "peak")}, c.n, coalesce(r.name, c.e_name, c."user") AS name, {R("coalesce(r.total_risk_score, c.peak)", "risk_score")}, r.role
 FROM (SELECT "user", hour(timestamp) AS hour, max(risk_score) AS peak, count(*) AS n, max(e_name) AS e_name FROM (
   SELECT user_id AS "user", name AS e_name, timestamp, risk_score FROM live_alerts UNION ALL SELECT "user", NULL, ts, least(100.0::DOUBLE, value / 4) FROM ev) GROUP BY 1, 2) c
-LEFT JOIN (SELECT r."user", u.name, u.role, r.total_risk_score FROM report r JOIN roster u USING ("user") WHERE u.user_key % 2 = 0) r USING ("user")""")
+LEFT JOIN (SELECT r."user", u.name, u.role, r.total_risk_score FROM report r JOIN roster u USING ("user") WHERE r.total_risk_score >= 20) r USING ("user")""")
 def derived_heatmap(spark, sf):
-    report = T0.named_report(spark, sf).filter("cast(substring(user, 2) as bigint) % 2 = 0")
+    report = T0.named_report(spark, sf).filter("total_risk_score >= 20")
     events = A.events(spark, sf).select("user", F.col("ts").alias("date"), F.least(F.lit(100.0), F.col("value") / 4).alias("risk_score"))
     rows = S.derived_heatmap(report, _alerts(spark, sf), events).drop("department")
     return rounded(rows, "peak", "risk_score")

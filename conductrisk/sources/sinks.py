@@ -44,7 +44,8 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
 
 def write_timeline(timeline: DataFrame, path: str) -> None:
     """Timeline partitioned by day; rows of a day are ordered inside their files."""
+    # rebalance groups rows by day and lets AQE split large days into files of the advisory size
     (
-        timeline.withColumn("day", F.to_date("date")).repartition("day", F.pmod(F.xxhash64("id"), F.lit(16)))
+        timeline.withColumn("day", F.to_date("date")).hint("rebalance", F.col("day"))
         .sortWithinPartitions("day", "date", "id").write.mode("overwrite").partitionBy("day").parquet(path)
     )
