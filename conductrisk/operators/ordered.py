@@ -190,9 +190,10 @@ def cumulative(df: DataFrame, value: str, measures: dict[str, Column], ranges: i
     )
     steps = [i / ranges for i in range(1, ranges)]
     splits = distinct.agg(F.percentile_approx(value, steps, 10_000).alias("s")).scalar()
-    placed = distinct.withColumn("__splits", splits).withColumn(
-        "__range", F.size(F.filter("__splits", lambda s: s < F.col(value)))
-    ).drop("__splits")
+    # never null, so that no null check of the join key is pushed below the aggregation,
+    # where it would search the ranges once per row
+    place = F.coalesce(F.size(F.filter("__splits", lambda s: s < F.col(value))), F.lit(0))
+    placed = distinct.withColumn("__splits", splits).withColumn("__range", place).drop("__splits")
     totals = placed.groupBy("__range").agg(*[F.sum(n).alias(n) for n in names])
     lower = Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(

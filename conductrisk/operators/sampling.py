@@ -64,7 +64,7 @@ def nearest_in_class(points: DataFrame, k: int = 5, block_rows: int = 1000) -> D
     fine = F.size(F.filter("s", lambda x: x < F.col("d0")))
     blocks_wanted = F.least(F.lit(RANGES), F.ceil(F.col("n") / block_rows))
     placed = measured.join(splits, "label").withColumn(
-        "block", F.floor(fine * blocks_wanted / RANGES).cast("int")).drop("s", "n")
+        "block", F.coalesce(F.floor(fine * blocks_wanted / RANGES).cast("int"), F.lit(0))).drop("s", "n")
 
     placed = stage(placed, "placed")
     inside = placed.groupBy("label", "block").applyInPandas(lambda m: _closest(m[["id", "vec"]], m[["id", "vec"]], k), _OUT)
