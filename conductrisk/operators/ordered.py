@@ -232,6 +232,20 @@ def total_rank(df: DataFrame, score: str, key: str, ranges: int = 64) -> DataFra
     )
 
 
+def hash_position(df: DataFrame, key: str) -> DataFrame:
+    """Add `position`: the unique place (from 1) of each row in the order of its key's MD5.
+
+    Offsets come from counts per four-digit prefix, at most 65,536 rows.
+    """
+    rows = df.withColumn("__h", F.md5(F.col(key).cast("string"))).withColumn("__px", F.substring("__h", 1, 4))
+    before = Window.partitionBy(F.lit(0)).orderBy("__px").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy("__px").agg(F.count("*").alias("__c")).select(
+        "__px", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__before"))
+    within = Window.partitionBy("__px").orderBy("__h", key)
+    return rows.join(F.broadcast(offsets), "__px").withColumn(
+        "position", F.col("__before") + F.row_number().over(within)).drop("__h", "__px", "__before")
+
+
 def smallest(df: DataFrame, hashed: str, wanted: Column) -> DataFrame:
     """Exactly `wanted` rows with the smallest 32-digit hex hash, without sorting the table.
 

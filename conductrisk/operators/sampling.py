@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from conductrisk.operators.ordered import split, total_rank
+from conductrisk.operators.ordered import hash_position, split
 from conductrisk.session import stage
 
 RANGES = 1024
@@ -120,7 +120,7 @@ def synthetic_minority(minority: DataFrame, wanted: Column, k: int = 5) -> DataF
     base = minority.select(F.lit(1).alias("label"), "id", "vec")
     near = nearest_in_class(base, k).groupBy("id").agg(
         F.sort_array(F.collect_list(F.struct("nth", "neighbour"))).alias("near"))
-    placed = total_rank(base.select("id", "vec", F.lit(0.0).alias("zero")), "zero", "id")
+    placed = hash_position(base.select("id", "vec"), "id")
     n = minority.agg(F.count("*").alias("n")).scalar()
     rounds = placed.join(near, "id").withColumns({"__n": n, "__wanted": wanted}).filter(
         F.col("position") <= F.col("__wanted"))

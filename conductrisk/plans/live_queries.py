@@ -482,16 +482,17 @@ UNION ALL SELECT 'top_users', "user", {R("total_risk_score", "v")} FROM (SELECT
 UNION ALL SELECT 'alerts', alert_id, {R("risk_score", "v")} FROM (SELECT * FROM live_alerts ORDER BY round(live_alerts.risk_score, 6) DESC, id LIMIT 5)
 UNION ALL SELECT 'models', model, {R("n_sequences", "v")} FROM metadata""")
 def dashboard_bundle(spark, sf):
-    report = T0.stage(T0.report(spark, sf), "report")
-    alerts = _alerts(spark, sf)
     from conductrisk.operators import sequences
+    errors = T0.errors(spark, sf)
+    report = T0.stage(rollup.user_report(T0.stage(T0.scored_of(errors).select(T0.KEEP), "scored")), "report")
+    alerts = _alerts(spark, sf)
     part = lambda df, section, item, value: df.select(F.lit(section).alias("section"), F.col(item).alias("item"), F.col(value).cast("double").alias("value"))
     stats = S.user_kpis(report).select(F.explode(F.array(
         F.struct(F.lit("users").alias("item"), F.col("total").cast("double").alias("value")),
         F.struct(F.lit("average").alias("item"), F.col("avg_risk").alias("value")))).alias("s")).select("s.*")
     top = report.orderBy(F.desc(F.round("total_risk_score", 6)), "user").limit(5)
     worst = alerts.orderBy(F.desc(F.round("risk_score", 6)), "id").limit(5)
-    models = sequences.model_metadata(T0.errors(spark, sf))
+    models = sequences.model_metadata(errors)
     out = part(stats, "stats", "item", "value").unionByName(part(top, "top_users", "user", "total_risk_score"))
     out = out.unionByName(part(worst, "alerts", "alert_id", "risk_score")).unionByName(part(models, "models", "model", "n_sequences"))
     return rounded(out, "value")

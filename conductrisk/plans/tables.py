@@ -13,6 +13,10 @@ from conductrisk.operators.scoring import score_daily
 from conductrisk.session import stage
 
 
+KEEP = ["user", "role", "day", "date", "id", "risk_score", "anomaly_score", "mitre_tactic",
+        "mitre_technique", "file_copy_count", "usb_count", "explanation"]
+
+
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily_ops.daily_features(A.activity(spark, sf_dir), A.roster(spark, sf_dir))
 
@@ -24,13 +28,20 @@ def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily rows with the anomaly score and the metadata of the model in charge."""
-    rows = errors(spark, sf_dir)
+    return anomalies_of(errors(spark, sf_dir))
+
+
+def anomalies_of(rows: DataFrame) -> DataFrame:
     return sequences.with_model(sequences.anomaly_scores(rows), sequences.model_metadata(rows))
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored user-days with a timestamp and a row id."""
-    return score_daily(anomalies(spark, sf_dir)).withColumns({
+    return scored_of(errors(spark, sf_dir))
+
+
+def scored_of(rows: DataFrame) -> DataFrame:
+    return score_daily(anomalies_of(rows)).withColumns({
         "date": F.col("day").cast("timestamp"), "id": F.date_format("day", "yyyyMMdd"),
     })
 
@@ -41,9 +52,7 @@ def report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scored_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scored days, written once: roll-ups read them several times."""
-    keep = ["user", "role", "day", "date", "id", "risk_score", "anomaly_score", "mitre_tactic",
-            "mitre_technique", "file_copy_count", "usb_count", "explanation"]
-    return stage(scored(spark, sf_dir).select(keep), "scored")
+    return stage(scored(spark, sf_dir).select(KEEP), "scored")
 
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
