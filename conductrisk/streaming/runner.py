@@ -17,11 +17,13 @@ def replay(spark: SparkSession, path: str, schema: str, files_per_trigger: int =
     return reader.parquet(path)
 
 
-def stage_replay(df: DataFrame, path: str, slices: int, ts: str = "date", limit: int | None = None) -> None:
+def stage_replay(df: DataFrame, path: str, slices: int, ts: str = "date", limit: int | None = None,
+                 files_per_slice: int = 1) -> None:
     """Write a table as time-ordered files for a replay, optionally only its first rows.
 
     A file stream reads files in the order of their modification times, so the time slices are
-    written one after the other, each as one file; `slices` bounds the size of a file.
+    written one after the other. A large slice is written by several tasks; then let a
+    micro-batch take whole slices (files per trigger a multiple of `files_per_slice`).
     """
     rows = df.orderBy(ts).limit(limit) if limit else df
     at = F.unix_micros(F.col(ts).cast("timestamp"))
@@ -31,7 +33,7 @@ def stage_replay(df: DataFrame, path: str, slices: int, ts: str = "date", limit:
     for low, high in zip(edges, edges[1:]):
         part = rows if low is None else rows.filter(at > low)
         part = part if high is None else part.filter(at <= high)
-        part.repartition(1).sortWithinPartitions(ts).write.mode("append").parquet(path)
+        part.repartitionByRange(files_per_slice, ts).sortWithinPartitions(ts).write.mode("append").parquet(path)
 
 
 def run_batches(stream: DataFrame, write, mode: str = "append") -> None:
