@@ -153,10 +153,11 @@ _PLACE_BITS = np.uint64(28)
 
 @dataclass
 class Runs:
-    """Runs of consecutive windows that share an anchor: first window, number of windows, the hash."""
+    """Runs of consecutive windows that share an anchor: first window, number of windows, place and hash of the anchor."""
 
     first: np.ndarray
     count: np.ndarray
+    anchor: np.ndarray
     value: np.ndarray
 
 
@@ -171,13 +172,14 @@ def anchored_runs(tokens: np.ndarray, of_text: np.ndarray, window: int, phrase:
     windows = np.flatnonzero(ends - np.arange(len(tokens)) >= window)
     if not len(windows):
         none = np.zeros(0, np.int64)
-        return Runs(none, none, np.zeros(0, np.uint64))
+        return Runs(none, none, none, np.zeros(0, np.uint64))
     phrases = run_hashes(tokens, phrase)
     ranked = (phrases >> _PLACE_BITS << _PLACE_BITS) | np.arange(len(phrases), dtype=np.uint64)
     anchor = sliding_min(ranked, window - phrase + 1)[windows] & np.uint64((1 << 28) - 1)
     begins = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
     count = np.diff(np.append(begins, len(windows)))
-    return Runs(windows[begins], count, phrases[anchor[begins].astype(np.int64)])
+    place = anchor[begins].astype(np.int64)
+    return Runs(windows[begins], count, place, phrases[place])
 
 
 def covered(first: np.ndarray, count: np.ndarray, window: int, n: int) -> np.ndarray:
