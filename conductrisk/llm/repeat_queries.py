@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from conductrisk.llm import phrases, suffixes
+from conductrisk.llm import minhash, phrases, suffixes
 from conductrisk.llm.rows import load
 
 
@@ -16,7 +16,13 @@ def op8_suffix_dedup(spark, sf_dir):
     return suffixes.dedup(docs, with_bytes=False).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-QUERIES = {"op2_substring_dedup": op2_substring_dedup, "op8_suffix_dedup": op8_suffix_dedup}
+def op3_minhash_dedup(spark, sf_dir):
+    docs = load(spark, sf_dir).select("doc_id", "text")
+    return minhash.near_duplicates(docs).select("row.doc_id", "n_shingles", "component_id", "kept")
+
+
+QUERIES = {"op2_substring_dedup": op2_substring_dedup, "op3_minhash_dedup": op3_minhash_dedup,
+           "op8_suffix_dedup": op8_suffix_dedup}
 
 _OP2 = r"""
 WITH words AS (
@@ -61,4 +67,26 @@ SELECT t.doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGIN
        sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
 FROM texts t LEFT JOIN kept USING (doc_id)
 """
-ORACLES = {"op2_substring_dedup": _OP2, "op8_suffix_dedup": _OP8}
+# lower() would also lower letters outside A-Z
+_OP3 = r"""
+WITH RECURSIVE words AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingles AS MATERIALIZED (
+  SELECT DISTINCT doc_id, md5(array_to_string(w[s + 1:s + 5], ' ')) AS x
+  FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 4, 1))) AS s FROM words WHERE len(w) > 0)),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS MATERIALIZED (
+  SELECT c.a, c.b FROM (
+    SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS n FROM shingles p JOIN shingles q ON p.x = q.x AND p.doc_id <> q.doc_id
+    GROUP BY ALL) c JOIN sizes sa ON sa.doc_id = c.a JOIN sizes sb ON sb.doc_id = c.b
+  WHERE 100 * c.n >= 75 * (sa.n + sb.n - c.n)),
+reach AS (
+  SELECT doc_id, doc_id AS other FROM words
+  UNION
+  SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c AS component_id, doc_id = c AS kept
+FROM (SELECT doc_id, min(other) AS c FROM reach GROUP BY doc_id) LEFT JOIN sizes USING (doc_id)
+"""
+ORACLES = {"op2_substring_dedup": _OP2, "op3_minhash_dedup": _OP3, "op8_suffix_dedup": _OP8}
