@@ -71,10 +71,10 @@ def settle(stretches: list[Stretch]) -> list[np.ndarray]:
     document = np.array([x.place[0] for x in stretches], np.int64)[owner[index]]
     start = np.array([x.place[1] for x in stretches], np.int64)[owner[index]] + number[index]
     order = np.lexsort((start, document, group))
-    earliest = np.ones(len(index), bool)
-    earliest[1:] = group[order][1:] != group[order][:-1]
+    index, group, document, start = index[order], group[order], document[order], start[order]
+    first = np.searchsorted(group, group)  # rows of one id may share a place: neither is earlier then
     later = np.zeros(bounds[-1], bool)
-    later[index[order][~earliest]] = True
+    later[index[(document != document[first]) | (start != start[first])]] = True
     return [later[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
