@@ -26,7 +26,9 @@ from pyspark.sql import types as T
 from conductrisk.llm.rows import map_texts, sha256, text_of
 
 #: Most token rows in one recursive query, and most encoded pieces kept for later slices of a task.
-BATCH_ROWS, CACHE_PIECES = 400_000, 400_000
+BATCH_ROWS, CACHE_PIECES = 400_000, 1_000_000
+#: Pieces with more characters are contracted at all places of a rank at once.
+LONG_PIECE = 48
 
 # A round has the tokens of every unfinished piece. `best` holds the smallest rank among the pairs of a
 # piece and the leftmost place where it occurs, as rank * 2^32 + place; the two tokens there become
@@ -52,6 +54,32 @@ WITH RECURSIVE rounds(piece, pos, token, best) AS (
 )
 SELECT piece, list(token ORDER BY pos) AS ids FROM rounds WHERE best IS NULL GROUP BY piece
 """
+# The same for long pieces: a round contracts all occurrences of the smallest rank, not only the leftmost, where no
+# merge with the new token has a smaller rank still (`calm`), so that the order of these contractions can't matter. In
+# a run of overlapping occurrences every second one counts from the left.
+_LONG_RANKED = _RANKED.replace("m.rank", "m.rank, m.calm")
+_LONG_ROUND = ("SELECT r.piece, r.pos, r.token, b.best, r.rank = b.best // 4294967296 AND (r.calm OR r.pos = b.best % 4294967296)"
+               " AS hit FROM ranked r LEFT JOIN best b ON r.piece = b.piece")
+_LONG_CONTRACTED = """
+    SELECT piece, pos, CASE WHEN taken THEN (best // 4294967296)::INTEGER ELSE token END AS token
+    FROM (SELECT *, lag(taken, 1, false) OVER (PARTITION BY piece ORDER BY pos) AS gone
+          FROM (SELECT *, coalesce(hit AND ((pos - max(CASE WHEN hit AND NOT before THEN pos END)
+                          OVER (PARTITION BY piece ORDER BY pos)) // step) % 2 = 0, false) AS taken
+                FROM (SELECT piece, pos, token, best, coalesce(hit, false) AS hit,
+                             lag(coalesce(hit, false), 1, false) OVER (PARTITION BY piece ORDER BY pos) AS before,
+                             lead(pos) OVER (PARTITION BY piece ORDER BY pos) - pos AS step
+                      FROM rounds WHERE best IS NOT NULL)))
+    WHERE NOT gone
+"""
+_ENCODE_LONG = f"""
+WITH RECURSIVE rounds(piece, pos, token, best, hit) AS (
+    (WITH ranked AS MATERIALIZED ({_LONG_RANKED.format(rows="symbols")}), best AS ({_BEST}) {_LONG_ROUND})
+  UNION ALL
+    (WITH kept AS MATERIALIZED ({_LONG_CONTRACTED}),
+          ranked AS MATERIALIZED ({_LONG_RANKED.format(rows="kept")}), best AS ({_BEST}) {_LONG_ROUND})
+)
+SELECT piece, list(token ORDER BY pos) AS ids FROM rounds WHERE best IS NULL GROUP BY piece
+"""
 _DECODE = """
 SELECT piece, string_agg(hex, '' ORDER BY pos) AS bytes
 FROM (SELECT piece, unnest(ids) AS id, unnest(range(len(ids))) AS pos FROM encoded)
@@ -76,11 +104,19 @@ class Codec:
                  for i in range(1, len(token)) if token[:i] in ranks and token[i:] in ranks]
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
         self.con.execute("SET preserve_insertion_order = false")
-        self._fill("merges", pair=pa.array([p for p, _ in pairs], pa.int64()),
+        self._fill("pairs", pair=pa.array([p for p, _ in pairs], pa.int64()),
                    rank=pa.array([r for _, r in pairs], pa.int64()))
+        # calm: no merge that takes the new token as a part has a smaller rank than the token
+        self.con.execute("""
+            CREATE TABLE merges AS SELECT p.*, coalesce(least > p.rank, true) AS calm FROM pairs p LEFT JOIN (
+                SELECT part, min(rank) AS least FROM (
+                    SELECT pair >> 32 AS part, rank FROM pairs UNION ALL SELECT pair & 4294967295, rank FROM pairs)
+                GROUP BY part) l ON l.part = p.rank""")
         self._fill("vocabulary", id=pa.array(list(ranks.values()), pa.int32()),
                    hex=pa.array([token.hex() for token in ranks]))
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        # ids of each piece; and its decoded bytes, where they are not the piece itself
+        self.known: dict[str, bytes] = {}
+        self.changed: dict[str, bytes] = {}
 
     def _fill(self, name: str, **columns: pa.Array) -> None:
         rows = pa.table(columns)  # noqa: F841  DuckDB finds it by its name
@@ -89,7 +125,7 @@ class Codec:
     def pieces(self, text: str) -> list[str]:
         return self.pattern.findall(text)
 
-    def _run(self, batch: list[bytes]) -> list[tuple[bytes, bytes]]:
+    def _run(self, batch: list[bytes], query: str) -> list[tuple[bytes, bytes]]:
         """(ids as little-endian unsigned 32-bit integers, decoded bytes) of each piece."""
         sizes = np.array([len(x) for x in batch], np.int64)
         start = np.cumsum(sizes) - sizes
@@ -97,7 +133,7 @@ class Codec:
         self._fill("symbols", piece=pa.array(np.repeat(np.arange(len(batch), dtype=np.int32), sizes)),
                    pos=pa.array((np.arange(sizes.sum()) - np.repeat(start, sizes)).astype(np.int32)),
                    token=pa.array(symbols))
-        self.con.execute(f"CREATE OR REPLACE TABLE encoded AS {_ENCODE}")
+        self.con.execute(f"CREATE OR REPLACE TABLE encoded AS {query}")
         ids = self.con.sql("SELECT ids FROM encoded ORDER BY piece").to_arrow_table().column("ids").combine_chunks()
         text = self.con.sql(_DECODE).to_arrow_table().column("bytes").to_pylist()
         flat, bounds = ids.flatten().to_numpy().astype("<u4"), ids.offsets.to_numpy()
@@ -107,18 +143,26 @@ class Codec:
         """Encode the pieces that are not known yet, in queries of bounded size."""
         new = [x for x in wanted if x not in self.known]
         if len(self.known) + len(new) > CACHE_PIECES:
-            self.known, new = {}, list(wanted)
-        batch: list[str] = []
-        rows = 0
-        for piece in [*new, None]:
-            if piece is None or rows + len(piece) > BATCH_ROWS:
-                if batch:
-                    coded = self._run([x.encode() for x in batch])
-                    self.known.update(zip(batch, coded, strict=True))
-                batch, rows = [], 0
-            if piece is not None:
-                batch.append(piece)
-                rows += len(piece)
+            self.known, self.changed, new = {}, {}, list(wanted)
+        new.sort(key=len)
+        while new:
+            # longer pieces need more rounds, so they stay among themselves
+            query = _ENCODE if len(new[0]) <= LONG_PIECE else _ENCODE_LONG
+            rows = n = 0
+            while n < len(new) and (n == 0 or rows + len(new[n]) <= BATCH_ROWS and (len(new[n]) <= LONG_PIECE) == (query is _ENCODE)):
+                rows += len(new[n])
+                n += 1
+            batch, new = new[:n], new[n:]
+            for x, (ids, text) in zip(batch, self._run([x.encode() for x in batch], query), strict=True):
+                self.known[x] = ids
+                if text != x.encode():
+                    self.changed[x] = text
+
+    def decoded(self, parts: list[str]) -> bytes:
+        """The bytes that the ids of these pieces stand for."""
+        if not self.changed:
+            return "".join(parts).encode()
+        return b"".join([self.changed.get(x) or x.encode() for x in parts])
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}
@@ -140,11 +184,9 @@ def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = True) -> D
         coder = codec(path, pattern)
         split = [coder.pieces(x or "") for x in text_of(batch).to_pylist()]
         coder.learn(set().union(*split))
-        ids, texts = [], []
-        for parts in split:
-            both = [coder.known[x] for x in parts]
-            ids.append(b"".join([x for x, _ in both]))
-            texts.append(b"".join([x for _, x in both]))
+        known = coder.known
+        ids = [b"".join([known[x] for x in parts]) for parts in split]
+        texts = [coder.decoded(parts) for parts in split]
         out = [[len(x) // 4 for x in ids], [sha256(x) for x in ids], [sha256(x) for x in texts]]
         if with_ids:
             out += [pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in ids], pa.list_(pa.int32())),
