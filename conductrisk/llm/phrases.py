@@ -19,9 +19,9 @@ from pyspark.sql import types as T
 
 from conductrisk.llm import kernels as K
 from conductrisk.llm.rows import sha256, text_of
-from conductrisk.llm.stretches import Plan, Stretch, map_runs, removed, with_runs
+from conductrisk.llm.stretches import Plan, Stretch, deduplicated
 
-WINDOW, PHRASE = 20, 8
+WINDOW, PHRASE = 20, 5
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray):
@@ -86,10 +86,10 @@ def dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """`row`, n_words, n_removed, kept_sha256 and kept (the words that stay, joined by blanks; if asked for)."""
     fields = [("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType())]
 
-    def work(batch):
+    def work(batch, removed):
         data, offsets = K.buffer_of(text_of(batch))
         words = K.words_of(data, offsets)
-        gone = removed(batch, words.of_text, WINDOW)
+        gone = removed(words.of_text)
         raw, kept = data.tobytes(), []
         for i, (a, b) in enumerate(zip(words.of_text[:-1], words.of_text[1:], strict=True)):
             mine = raw[offsets[i]:offsets[i + 1]].split()
@@ -102,4 +102,4 @@ def dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
 
     if with_text:
         fields.append(("kept", T.StringType()))
-    return map_runs(with_runs(docs, PLAN), work, fields)
+    return deduplicated(docs, PLAN, work, fields)

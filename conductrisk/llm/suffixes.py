@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from conductrisk.llm import kernels as K
 from conductrisk.llm.rows import sha256, text_of
-from conductrisk.llm.stretches import Plan, Stretch, map_runs, removed, with_runs
+from conductrisk.llm.stretches import Plan, Stretch, deduplicated
 
 WINDOW, PHRASE = 100, 28
 #: Bytes in a digit of the sort.
@@ -90,9 +90,9 @@ def dedup(docs: DataFrame, with_bytes: bool = True) -> DataFrame:
     fields = [("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()),
               ("kept_sha256", T.StringType())]
 
-    def work(batch):
+    def work(batch, removed):
         data, offsets = K.buffer_of(text_of(batch))
-        gone = removed(batch, offsets, WINDOW)
+        gone = removed(offsets)
         opens = gone.copy()
         opens[1:] &= ~gone[:-1]
         firsts = offsets[:-1][(offsets[:-1] < len(data)) & (np.diff(offsets) > 0)]
@@ -104,4 +104,4 @@ def dedup(docs: DataFrame, with_bytes: bool = True) -> DataFrame:
 
     if with_bytes:
         fields.append(("kept", T.BinaryType()))
-    return map_runs(with_runs(docs, PLAN), work, fields)
+    return deduplicated(docs, PLAN, work, fields)
