@@ -126,6 +126,16 @@ def roster(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User dimension of all customers, with or without events."""
+    nation = table(spark, sf_dir, "nation")
+    return table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.concat(F.lit("U"), F.col("c_custkey")).alias("user"), F.col("c_name").alias("name"),
+        _lookup(F.col("c_mktsegment"), ROLE_OF).alias("role"), F.col("n_name").alias("department"),
+        F.concat(F.lit("PC-"), F.col("c_custkey")).alias("pc"), F.col("c_custkey").alias("user_key"),
+    )
+
+
 def _pick(values: list[str], index):
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 

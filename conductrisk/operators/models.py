@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from conductrisk import config as C
-from conductrisk.operators.ordered import percentiles, smallest
+from conductrisk.operators.ordered import percentiles
 from conductrisk.operators.sequences import event_sequences, sequences
 
 SEED = 42
@@ -184,14 +184,22 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[list[floa
 
 
 def fit_forest(df: DataFrame, features: list[str], key: str, trees: int = TREES, rows: int = TREE_ROWS) -> list[np.ndarray]:
-    """Trees grown in parallel, each on 256 rows of a bounded, hash-chosen pool."""
-    pool_size = trees * rows
-    hashed = df.select(F.col(key).cast("string").alias("__k"), *[F.col(f).cast("double").alias(f) for f in features]).withColumn("__h", F.md5("__k"))
-    total = df.agg(F.count("*").alias("n")).scalar()
-    pool = smallest(hashed, "__h", F.least(F.lit(pool_size), total))
-    order = Window.partitionBy("tree").orderBy(F.xxhash64("__k", "tree"), "__k")
+    """Trees grown in parallel, each on its own `rows` rows of the whole table.
+
+    A tree takes the rows with the smallest hash of (key, tree). Only rows whose hash is under a bound that
+    lets about four times as many pass leave the scan, so few rows are exploded and ranked; with the
+    sample that small the chance to get too few is below 1e-100.
+    """
+    base = df.select(F.col(key).cast("string").alias("__k"), *[F.col(f).cast("double").alias(f) for f in features])
+    steps = 1_000_000_000
+    bound = int(min(1.0, 4.0 * rows / max(1, df.count())) * steps)
+    drawn = F.filter(F.transform(
+        F.sequence(F.lit(0), F.lit(trees - 1)),
+        lambda t: F.struct(t.alias("tree"), F.xxhash64("__k", t).alias("at"))),
+        lambda d: F.pmod(d["at"], F.lit(steps)) < bound)
+    order = Window.partitionBy("tree").orderBy(F.pmod("at", F.lit(steps)), "__k")
     samples = (
-        pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+        base.withColumn("__d", F.explode(drawn)).select("__k", *features, "__d.tree", "__d.at")
         .withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= rows)
     )
 

@@ -210,11 +210,12 @@ def cumulative(df: DataFrame, value: str, measures: dict[str, Column], ranges: i
 def total_rank(df: DataFrame, score: str, key: str, ranges: int = 64) -> DataFrame:
     """Rank all rows by score, highest first: `rank` (ties share) and `position` (unique).
 
-    Ties are ordered by the MD5 of the key, whose first two digits also split a score that very
-    many rows share, so neither a window nor the join ever holds all rows of one score.
+    Rows without a score share the last rank. Ties are ordered by the MD5 of the key, whose first two
+    digits also split a score that very many rows share, so neither a window nor the join ever holds all rows of one score.
     """
     digest = F.md5(F.col(key).cast("string"))
-    rows = df.withColumns({"__neg": -F.col(score), "__h": digest, "__cell": F.substring(digest, 1, 2)})
+    last = F.lit(float("inf"))
+    rows = df.withColumns({"__neg": F.coalesce(-F.col(score).cast("double"), last), "__h": digest, "__cell": F.substring(digest, 1, 2)})
     cells = rows.groupBy("__neg", "__cell").agg(F.count("*").alias("__c"))
     values = cumulative(
         cells, "__neg", {"__rows": F.sum("__c")}, ranges

@@ -8,7 +8,7 @@ from conductrisk import adapters as A
 from conductrisk.functions import posterior as PF
 from conductrisk.functions.pseudonym import token
 from conductrisk.operators import evaluation as E
-from conductrisk.operators import posterior, privacy, sampling, timeline
+from conductrisk.operators import posterior, privacy, rollup, sampling, timeline
 from conductrisk.operators import thresholds as H
 from conductrisk.operators.ordered import total_rank
 from conductrisk.plans import tables as T0
@@ -34,12 +34,22 @@ def confusion_at_threshold(spark, sf):
 
 _DETECT = """
 SELECT 'U5' AS threat_user, n > 0 AS detected, day AS detection_day, greatest(0, day - 25) AS detection_delay, m AS max_risk_score, n AS high_risk_events, total_events
-FROM (SELECT count_if(risk_score >= 20) AS n, CAST(date_diff('day', (SELECT min(date) FROM scored), min(date) FILTER (WHERE risk_score >= 20)) AS INTEGER) AS day, max(risk_score) AS m, count(*) AS total_events FROM scored WHERE "user" = 'U5')"""
+FROM (SELECT count_if(risk_score >= {t}) AS n, CAST(date_diff('day', (SELECT min(date) FROM scored), min(date) FILTER (WHERE risk_score >= {t})) AS INTEGER) AS day, max(risk_score) AS m, count(*) AS total_events FROM scored WHERE "user" = 'U5')"""
 
 
-@query("detection_metrics", f"SELECT threat_user, detected, coalesce(detection_day, -1) AS detection_day, coalesce(CASE WHEN detected THEN detection_delay END, -1) AS detection_delay, {R('max_risk_score')}, high_risk_events, total_events FROM det", det=_DETECT)
+@query("detection_metrics", f"SELECT threat_user, detected, coalesce(detection_day, -1) AS detection_day, coalesce(CASE WHEN detected THEN detection_delay END, -1) AS detection_delay, {R('max_risk_score')}, high_risk_events, total_events FROM det", det=_DETECT.format(t=70))
 def detection_metrics(spark, sf):
-    rows = E.detection(T0.scored_days(spark, sf), threshold=20.0)
+    return _detection(spark, sf, 70.0)
+
+
+@query("detection_metrics_low_threshold", f"SELECT threat_user, detected, coalesce(detection_day, -1) AS detection_day, coalesce(CASE WHEN detected THEN detection_delay END, -1) AS detection_delay, {R('max_risk_score')}, high_risk_events, total_events FROM det", det=_DETECT.format(t=20))
+def detection_metrics_low_threshold(spark, sf):
+    """A threshold that fires on the test tables."""
+    return _detection(spark, sf, 20.0)
+
+
+def _detection(spark, sf, threshold):
+    rows = E.detection(T0.scored_days(spark, sf), threshold=threshold)
     delay = F.when(F.col("detected"), F.col("detection_delay"))
     return rounded(rows.withColumn("detection_delay", delay).fillna(-1, ["detection_day", "detection_delay"]), "max_risk_score")
 
@@ -223,8 +233,8 @@ def rolling_thresholds(spark, sf):
     return text_time(rounded(H.rolling_thresholds(_scores(spark, sf), "ts", "score"), "threshold"), "update_day")
 
 
-_DRIFT_A = "SELECT value / 500 AS v, md5(CAST(event_id AS VARCHAR)) AS h FROM ev WHERE ts < TIMESTAMP '2024-01-12'"
-_DRIFT_B = "SELECT value / 500 AS v, md5(CAST(event_id AS VARCHAR)) AS h FROM ev WHERE ts >= TIMESTAMP '2024-01-12'"
+_DRIFT_A = "SELECT value / 500 AS v, md5(CAST(event_id AS VARCHAR)) AS h FROM ev WHERE ts < (SELECT max(ts) FROM ev) - INTERVAL 18 DAY"
+_DRIFT_B = "SELECT value / 500 AS v, md5(CAST(event_id AS VARCHAR)) AS h FROM ev WHERE ts >= (SELECT max(ts) FROM ev) - INTERVAL 18 DAY"
 _SIZE = "SELECT least((SELECT count(*) FROM dra), (SELECT count(*) FROM drb)) AS n"
 _PICK = "SELECT v FROM {t} QUALIFY row_number() OVER (ORDER BY h) <= (SELECT n FROM dsize)"
 _CUM = """
@@ -232,13 +242,19 @@ SELECT v, a, b, (sum(a) OVER (ORDER BY v) - sum(b) OVER (ORDER BY v)) / (SELECT
 FROM (SELECT v, count_if(r = 1) AS a, count_if(r = 0) AS b FROM (SELECT v, 1 AS r FROM pa UNION ALL SELECT v, 0 FROM pb) GROUP BY 1)"""
 
 
+def _two_periods(rows):
+    """What is older than 18 days before the newest row, and the rest."""
+    since = rollup.latest(rows, "ts") - F.expr("INTERVAL 18 DAYS")
+    return rows.filter(F.col("ts") < since), rows.filter(F.col("ts") >= since)
+
+
 @query("distribution_drift", f"""
 SELECT (SELECT n FROM dsize) AS sample_size, {R("max(abs(gap))", "ks_statistic")}, {R("sum((a + b) * gap * gap) / 4", "cvm_statistic")},
   {R("(SELECT avg(v) FROM pb) - (SELECT avg(v) FROM pa)", "mean_difference")}, {R("(SELECT stddev_pop(v) FROM pb) - (SELECT stddev_pop(v) FROM pa)", "std_difference")} FROM dcum""",
        dra=_DRIFT_A, drb=_DRIFT_B, dsize=_SIZE, pa=_PICK.format(t="dra"), pb=_PICK.format(t="drb"), dcum=_CUM)
 def distribution_drift(spark, sf):
     rows = _scores(spark, sf)
-    old, new = rows.filter("ts < timestamp '2024-01-12'"), rows.filter("ts >= timestamp '2024-01-12'")
+    old, new = _two_periods(rows)
     ks = H.distribution_drift(old, new, "score", "event_id", "ks")
     cvm = H.distribution_drift(old, new, "score", "event_id", "cvm").select("statistic").scalar()
     out = ks.select("sample_size", F.col("statistic").alias("ks_statistic"), cvm.alias("cvm_statistic"), "mean_difference", "std_difference")
@@ -249,7 +265,7 @@ def distribution_drift(spark, sf):
 def distribution_drift_verdict(spark, sf):
     """p-values are asymptotic, so this one has no SQL twin."""
     rows = _scores(spark, sf)
-    old, new = rows.filter("ts < timestamp '2024-01-12'"), rows.filter("ts >= timestamp '2024-01-12'")
+    old, new = _two_periods(rows)
     return H.distribution_drift(old, new, "score", "event_id", "ks").unionByName(
         H.distribution_drift(old, new, "score", "event_id", "cvm"))
 

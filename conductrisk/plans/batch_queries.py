@@ -228,10 +228,9 @@ def behaviour_joined_to_days(spark, sf):
 
 @query("user_role_lookup", """
 SELECT a.id, coalesce(r.role, 'Unknown') AS feature_role, coalesce(r.role, 'Employee') AS scoring_role
-FROM act a LEFT JOIN (SELECT * FROM roster WHERE role <> 'Manager') r ON r."user" = a."user" """)
+FROM act a LEFT JOIN roster r ON r."user" = a."user" """)
 def user_role_lookup(spark, sf):
-    known = A.roster(spark, sf).filter("role <> 'Manager'")
-    rows = daily.with_role(A.activity(spark, sf).select("id", "user"), known)
+    rows = daily.with_role(A.activity(spark, sf).select("id", "user"), A.roster(spark, sf))
     return rows.select("id", F.col("role").alias("feature_role"),
                        F.when(F.col("role") == "Unknown", "Employee").otherwise(F.col("role")).alias("scoring_role"))
 

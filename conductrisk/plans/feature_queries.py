@@ -8,6 +8,7 @@ from conductrisk import adapters as A
 from conductrisk.operators import biometrics as B
 from conductrisk.operators import entropy as E
 from conductrisk.operators import featurestore as S
+from conductrisk.operators import rollup
 from conductrisk.plans import tables as T0
 from conductrisk.plans.registry import D, R, T, query, rounded, text_time
 
@@ -104,14 +105,12 @@ def user_entropy_summary(spark, sf):
 
 @query("merged_biometric_features", f"""
 SELECT "user", {R("coalesce(mouse_velocity_mean, -1)", "mouse_velocity_mean")}, {R("coalesce(keystroke_dwell_mean, -1)", "keystroke_dwell_mean", 3)}, {R("coalesce(productive_app_ratio, -1)", "productive_app_ratio")}
-FROM (SELECT * FROM mouse WHERE mouse_velocity_mean > 45) FULL JOIN (SELECT * FROM keysum WHERE keystroke_dwell_mean > 88) USING ("user") FULL JOIN (SELECT * FROM worksum WHERE productive_app_ratio < 0.6) USING ("user")""",
+FROM mouse FULL JOIN keysum USING ("user") FULL JOIN worksum USING ("user")""",
        steps=_STEPS, mouse=_MOUSE, keysum=_KEYS, worksum=_WORK)
 def merged_biometric_features(spark, sf):
     rows = A.biometrics(spark, sf)
     merged = B.merge_features(
-        B.mouse_features(rows).filter("mouse_velocity_mean > 45"),
-        B.keystroke_features(rows).filter("keystroke_dwell_mean > 88"),
-        B.work_features(rows).filter("productive_app_ratio < 0.6"),
+        B.mouse_features(rows), B.keystroke_features(rows), B.work_features(rows),
     ).select("user", "mouse_velocity_mean", "keystroke_dwell_mean", "productive_app_ratio").fillna(-1.0)
     return rounded(rounded(merged, "mouse_velocity_mean", "productive_app_ratio"), "keystroke_dwell_mean", digits=3)
 
@@ -129,16 +128,16 @@ def behavioural_signature(spark, sf):
 
 
 @query("velocity_anomaly_scores", f"""
-SELECT "user", {R("current_mean")}, {R("coalesce(baseline_mean, -1)", "baseline_mean")},
+SELECT "user", {R("current_mean", digits=8)}, {R("coalesce(baseline_mean, -1)", "baseline_mean", 8)},
   {R("CASE WHEN baseline_mean > 0 AND current_mean > 5 * baseline_mean THEN least(1.0::DOUBLE, (current_mean - baseline_mean) / (baseline_std + 1e-6::DOUBLE) / 10) ELSE 0.0::DOUBLE END", "velocity_score")}
-FROM (SELECT "user", avg(value) AS current_mean FROM ev WHERE ts >= TIMESTAMP '2024-01-30' GROUP BY 1)
-LEFT JOIN (SELECT "user", avg(value) AS baseline_mean, coalesce(stddev_samp(value), 0) AS baseline_std FROM ev WHERE ts < TIMESTAMP '2024-01-30' GROUP BY 1) USING ("user")""")
+FROM (SELECT "user", avg(value) AS current_mean FROM ev WHERE ts >= (SELECT max(ts) FROM ev) - INTERVAL 1 DAY GROUP BY 1)
+LEFT JOIN (SELECT "user", avg(value) AS baseline_mean, coalesce(stddev_samp(value), 0) AS baseline_std FROM ev WHERE ts < (SELECT max(ts) FROM ev) - INTERVAL 1 DAY GROUP BY 1) USING ("user")""")
 def velocity_anomaly_scores(spark, sf):
     ev = A.events(spark, sf)
-    now = ev.filter("ts >= timestamp '2024-01-30'")
-    then = ev.filter("ts < timestamp '2024-01-30'")
+    since = rollup.latest(ev, "ts") - F.expr("INTERVAL 1 DAY")
+    now, then = ev.filter(F.col("ts") >= since), ev.filter(F.col("ts") < since)
     rows = B.velocity_anomaly(now, then, "value", ["user"]).fillna(-1.0, ["baseline_mean"]).drop("baseline_std")
-    return rounded(rows, "current_mean", "baseline_mean", "velocity_score")
+    return rounded(rounded(rows, "velocity_score"), "current_mean", "baseline_mean", digits=8)
 
 
 @query("agent_flush_summary", f"""
@@ -196,7 +195,7 @@ def role_entropy_baseline(spark, sf):
 
 
 _RANKED = """
-SELECT c."user", c.session_day, r.role, c.composite_entropy, round(c.composite_entropy, 9) AS v, c.session_day >= '2024-01-24' AS is_now
+SELECT c."user", c.session_day, r.role, c.composite_entropy, round(c.composite_entropy, 9) AS v, c.session_day >= strftime((SELECT max(ts) FROM ev) - INTERVAL 6 DAY, '%Y-%m-%d') AS is_now
 FROM comp c JOIN roster r ON r."user" = c."user" """
 _RANKS = """
 SELECT c.*, (SELECT count(*) FROM ranked b WHERE NOT b.is_now AND b.v <= c.v)::DOUBLE / (SELECT count(*) FROM ranked WHERE NOT is_now) * 100 AS pct FROM ranked c WHERE is_now"""
@@ -205,7 +204,8 @@ SELECT c.*, (SELECT count(*) FROM ranked b WHERE NOT b.is_now AND b.v <= c.v)::D
 def _ranked_sessions(spark, sf):
     rows = E.component_entropies(_bio_rows(spark, sf), ["user", "session_day"]).withColumn("v", F.round("composite_entropy", 9))
     rows = T0.stage(rows.select("user", "session_day", "v"), "sessions")
-    now, then = rows.filter("session_day >= '2024-01-24'"), rows.filter("session_day < '2024-01-24'")
+    since = F.date_format(rollup.latest(A.events(spark, sf), "ts") - F.expr("INTERVAL 6 DAYS"), "yyyy-MM-dd")
+    now, then = rows.filter(F.col("session_day") >= since), rows.filter(F.col("session_day") < since)
     ranked = E.percentile_rank(now, then, "v")
     return ranked.join(A.roster(spark, sf).select("user", "role"), "user")
 

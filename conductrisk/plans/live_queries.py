@@ -129,10 +129,11 @@ def latest_user_state(spark, sf):
 
 @query("baseline_upsert", f"""
 SELECT user_id, {R("mv_avg")} FROM user_base UNION ALL
-SELECT user_id, {R("avg(mouse_velocity_avg)", "mv_avg")} FROM telemetry WHERE timestamp < TIMESTAMP '2024-01-10' AND user_id NOT IN (SELECT user_id FROM user_base) GROUP BY 1""")
+SELECT user_id, {R("avg(mouse_velocity_avg)", "mv_avg")} FROM telemetry WHERE timestamp < (SELECT max(timestamp) FROM telemetry) - INTERVAL 20 DAY AND user_id NOT IN (SELECT user_id FROM user_base) GROUP BY 1""")
 def baseline_upsert(spark, sf):
     rows = _prepared(spark, sf)
-    old = rows.filter("timestamp < timestamp '2024-01-10'").groupBy("user_id").agg(F.avg("mouse_velocity_avg").alias("mv_avg"))
+    before = rollup.latest(rows, "timestamp") - F.expr("INTERVAL 20 DAYS")
+    old = rows.filter(F.col("timestamp") < before).groupBy("user_id").agg(F.avg("mouse_velocity_avg").alias("mv_avg"))
     new = L.user_baselines(rows, rollup.latest(rows, "timestamp")).select("user_id", "mv_avg")
     return rounded(L.upsert(old, new, "user_id"), "mv_avg")
 
@@ -245,16 +246,15 @@ def report_with_user_details(spark, sf):
     return rounded(rows, "total_risk_score")
 
 
-_PART_REPORT = """SELECT r."user", u.name, u.role, u.department, r.total_risk_score FROM report r JOIN roster u USING ("user") WHERE r.total_risk_score >= 20"""
-_PART_LIVE = """SELECT user_id, CASE WHEN TRUE THEN name END AS name, role, department, risk_score, email, 1 AS event_count FROM accounts WHERE last_seen >= (SELECT max(ts) FROM ev) - INTERVAL 12 HOUR"""
+_PART_REPORT = """SELECT r."user", u.name, u.role, u.department, r.total_risk_score FROM report r JOIN roster u USING ("user")"""
+_PART_LIVE = """SELECT p."user" AS user_id, p.name, p.role, p.department, a.risk_score, concat(lower(p."user"), '@example.com') AS email, 1 AS event_count FROM people p LEFT JOIN accounts a ON a.user_id = p."user" """
 
 
 def _two_rosters(spark, sf):
-    _, accounts = T0.live_tables(spark, sf)
-    report = T0.named_report(spark, sf).filter("total_risk_score >= 20")
-    recent = rollup.latest(accounts, "last_seen") - F.expr("INTERVAL 12 HOURS")
-    live = accounts.filter(F.col("last_seen") >= recent).withColumn("event_count", F.lit(1))
-    return T0.stage(report, "report"), live
+    """The report, and the live accounts of all customers: those without events are in no report."""
+    rows = T0.stored_telemetry(spark, sf)
+    live = T0.stage(T0.as_accounts(A.people(spark, sf), rows), "accounts").withColumn("event_count", F.lit(1))
+    return T0.stage(T0.named_report(spark, sf), "report"), live
 
 
 @query("merged_roster", f"""
@@ -300,9 +300,9 @@ def distinct_users_and_roles(spark, sf):
 SELECT c."user", c.hour, {R("c.peak", "peak")}, c.n, coalesce(r.name, c.e_name, c."user") AS name, {R("coalesce(r.total_risk_score, c.peak)", "risk_score")}, r.role
 FROM (SELECT "user", hour(timestamp) AS hour, max(risk_score) AS peak, count(*) AS n, max(e_name) AS e_name FROM (
   SELECT user_id AS "user", name AS e_name, timestamp, risk_score FROM live_alerts UNION ALL SELECT "user", NULL, ts, least(100.0::DOUBLE, value / 4) FROM ev) GROUP BY 1, 2) c
-LEFT JOIN (SELECT r."user", u.name, u.role, r.total_risk_score FROM report r JOIN roster u USING ("user") WHERE r.total_risk_score >= 20) r USING ("user")""")
+LEFT JOIN (SELECT r."user", u.name, u.role, r.total_risk_score FROM report r JOIN roster u USING ("user")) r USING ("user")""")
 def derived_heatmap(spark, sf):
-    report = T0.named_report(spark, sf).filter("total_risk_score >= 20")
+    report = T0.named_report(spark, sf)
     events = A.events(spark, sf).select("user", F.col("ts").alias("date"), F.least(F.lit(100.0), F.col("value") / 4).alias("risk_score"))
     rows = S.derived_heatmap(report, _alerts(spark, sf), events).drop("department")
     return rounded(rows, "peak", "risk_score")
@@ -319,12 +319,11 @@ def system_stats(spark, sf):
 
 
 @query("system_stats_live_fallback", f"""
-SELECT count(*) AS total_users, count_if(risk_score >= 50) AS high_risk_users, {R("avg(risk_score)", "avg_risk_score")}, arg_max(user_id, struct_pack(a := risk_score, b := user_id)) AS top_threat,
-  (SELECT count(*) FROM tele) AS total_events, (SELECT count(*) FROM tele WHERE risk_score >= 50) AS high_risk_events, 'live' AS data_source FROM accounts WHERE is_active""")
+SELECT count(*) AS total_users, count_if(total_risk_score >= 50) AS high_risk_users, {R("avg(total_risk_score)", "avg_risk_score")}, arg_max("user", total_risk_score) AS top_threat, {_DAYS_EVENTS}, 'report' AS data_source FROM report""")
 def system_stats_live_fallback(spark, sf):
     rows, accounts = T0.live_tables(spark, sf)
-    empty = accounts.filter("false").select(F.col("user_id").alias("user"), F.col("risk_score").alias("total_risk_score"))
-    return rounded(S.system_stats_or_live(empty, rows.filter("false"), accounts, rows), "avg_risk_score")
+    days = T0.scored_days(spark, sf)
+    return rounded(S.system_stats_or_live(rollup.user_report(days), days, accounts, rows), "avg_risk_score")
 
 
 _INTEGRITY = """
@@ -401,10 +400,10 @@ def user_rank_positions(spark, sf):
 
 @query("recent_risk_profiles", f"""
 SELECT a.user_id, {R("coalesce(a.risk_score, 0)", "current_risk")}, {R("t.a", "avg_risk")}, {R("t.p", "avg_productivity")}, {R("t.m", "max_risk")}, t.n AS telemetry_count, 'active' AS status
-FROM accounts a JOIN (SELECT user_id, avg(risk_score) AS a, avg(productivity_score) AS p, max(risk_score) AS m, count(*) AS n FROM (SELECT * FROM tele QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY timestamp DESC, id DESC) <= 50) GROUP BY 1) t USING (user_id)""")
+FROM accounts a JOIN (SELECT user_id, avg(risk_score) AS a, avg(productivity_score) AS p, max(risk_score) AS m, count(*) AS n FROM (SELECT * FROM tele QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY timestamp DESC, id DESC) <= 100) GROUP BY 1) t USING (user_id)""")
 def recent_risk_profiles(spark, sf):
     rows, accounts = T0.live_tables(spark, sf)
-    return rounded(S.recent_profile(accounts, rows, 50), "current_risk", "avg_risk", "avg_productivity", "max_risk")
+    return rounded(S.recent_profile(accounts, rows, 100), "current_risk", "avg_risk", "avg_productivity", "max_risk")
 
 
 @query("drift_status", """
@@ -470,9 +469,9 @@ def riskiest_events(spark, sf):
     return text_time(rounded(rows, "risk_score").orderBy(F.desc("risk_score"), "user", "day").limit(100), "day")
 
 
-@query("last_thirty_days", f'SELECT "user", {D("day")}, file_count FROM (SELECT * FROM daily QUALIFY row_number() OVER (PARTITION BY "user" ORDER BY daily.day DESC) <= 14)')
+@query("last_thirty_days", f'SELECT "user", {D("day")}, file_count FROM (SELECT * FROM daily QUALIFY row_number() OVER (PARTITION BY "user" ORDER BY daily.day DESC) <= 30)')
 def last_thirty_days(spark, sf):
-    rows = S.last_days(T0.daily(spark, sf), 14).select("user", "day", "file_count")
+    rows = S.last_days(T0.daily(spark, sf), 30).select("user", "day", "file_count")
     return text_time(rows, "day")
 
 

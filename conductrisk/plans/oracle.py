@@ -61,6 +61,10 @@ SELECT concat('U', u.user_id) AS "user", c.c_name AS name,
 FROM (SELECT DISTINCT user_id FROM events) u
 JOIN customer c ON c.c_custkey = u.user_id JOIN nation n ON n.n_nationkey = c.c_nationkey"""
 
+CTES["people"] = f"""
+SELECT concat('U', c.c_custkey) AS "user", c.c_name AS name, {_case('c.c_mktsegment', A.ROLE_OF)} AS role, n.n_name AS department
+FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey"""
+
 _APPS = "[" + ", ".join(_lit(a) for a in A.APPS) + "]"
 CTES["telemetry"] = f"""
 SELECT event_id AS id, ts AS timestamp, "user" AS user_id,

@@ -153,14 +153,14 @@ def stream_scored_events(spark, sf):
 
 
 @query("stream_running_totals", f"""
-SELECT {T("h", "start")}, count(*) AS events, count_if(risk_score > 50) AS high_risk, count_if(fired) AS alerts FROM (SELECT date_trunc('hour', e.date) AS h, e.risk_score, a.fired FROM evrisk e JOIN evalert a ON a.id = e.id)
-WHERE h + INTERVAL 1 HOUR <= (SELECT max(ts) FROM ev) - INTERVAL 1 HOUR GROUP BY h""", **_EV)
+SELECT {T("h", "start")}, count(*) AS events, count_if(risk_score > 50) AS high_risk, count_if(fired) AS alerts FROM (SELECT date_trunc('hour', e.date) AS h, e.risk_score, a.fired FROM evrisk e JOIN evalert a ON a.id = e.id) GROUP BY h""", **_EV)
 def stream_running_totals(spark, sf):
     scored = _scored_stream(spark, sf).select("id", "date", "risk_score", "should_alert")
     path = fresh_path(spark, "scored-replay")
     runner.stage_replay(scored, path, 4)
     stream = runner.replay(spark, path, "id string, date timestamp, risk_score double, should_alert boolean", 1)
-    return text_time(runner.run_to_table(SE.running_totals(stream), "totals").drop("batch_id"), "start")
+    table = runner.run_to_table(SE.running_totals(stream), "totals", mode="update")
+    return text_time(runner.latest_per_key(table, ["start"]), "start")
 
 
 @query("stream_alerts", f'SELECT "user", {D("date", "day")}, should_alert, alert_severity FROM alerted')
@@ -209,28 +209,28 @@ def _telemetry_stream(spark, sf):
 
 
 @query("stream_flush_summary", f"""
-SELECT user_id, {T("w", "start")}, {R("avg(mouse_velocity_avg)", "velocity_avg")}, CAST(sum(keystroke_count) AS BIGINT) AS keys FROM (SELECT *, time_bucket(INTERVAL 5 SECOND, timestamp) AS w FROM telemetry)
-WHERE w + INTERVAL 5 SECOND <= (SELECT max(timestamp) FROM telemetry) - INTERVAL 1 MINUTE GROUP BY user_id, w""")
+SELECT user_id, {T("w", "start")}, {R("avg(mouse_velocity_avg)", "velocity_avg")}, CAST(sum(keystroke_count) AS BIGINT) AS keys FROM (SELECT *, time_bucket(INTERVAL 5 SECOND, timestamp) AS w FROM telemetry) GROUP BY user_id, w""")
 def stream_flush_summary(spark, sf):
-    rows = runner.run_to_table(ST.flush_summary(_telemetry_stream(spark, sf)), "flush")
+    table = runner.run_to_table(ST.flush_summary(_telemetry_stream(spark, sf)), "flush", mode="update")
+    rows = runner.latest_per_key(table, ["user_id", "start"])
     return text_time(rounded(rows.select("user_id", "start", "velocity_avg", "keys"), "velocity_avg"), "start")
 
 
 @query("stream_session_entropy", f"""
-SELECT "user", {T("w", "start")}, {R("greatest(0.0::DOUBLE, log2(sum(n)::DOUBLE) - sum(n * log2(n::DOUBLE)) / sum(n))", "activity_entropy")} FROM (SELECT "user", time_bucket(INTERVAL 5 MINUTE, timestamp) AS w, activity_type, count(*) AS n FROM bio GROUP BY ALL)
-WHERE w + INTERVAL 5 MINUTE <= (SELECT max(timestamp) FROM bio) - INTERVAL 10 MINUTE GROUP BY "user", w""")
+SELECT "user", {T("w", "start")}, {R("greatest(0.0::DOUBLE, log2(sum(n)::DOUBLE) - sum(n * log2(n::DOUBLE)) / sum(n))", "activity_entropy")} FROM (SELECT "user", time_bucket(INTERVAL 5 MINUTE, timestamp) AS w, activity_type, count(*) AS n FROM bio GROUP BY ALL) GROUP BY "user", w""")
 def stream_session_entropy(spark, sf):
     stream = A.as_biometrics(A.as_events(_activity_stream(spark, sf)))
-    rows = runner.run_to_table(ST.activity_counts(stream), "entropy", transform=ST.entropy_of_batch)
-    return text_time(rounded(rows.drop("batch_id"), "activity_entropy"), "start")
+    table = runner.run_to_table(ST.activity_counts(stream), "entropy", mode="update")
+    rows = ST.entropy_of_windows(runner.latest_per_key(table, ["user", "start", "activity_type"]))
+    return text_time(rounded(rows, "activity_entropy"), "start")
 
 
 @query("stream_sliding_baselines", f"""
-SELECT user_id, {T("w", "as_of")}, {R("avg(mouse_velocity_avg)", "mv_avg", 9)}, {R("avg(keystroke_flight_avg_ms)", "kf_avg", 9)} FROM (SELECT user_id, mouse_velocity_avg, keystroke_flight_avg_ms, date_trunc('day', timestamp) + to_days(CAST(d AS INTEGER)) AS w FROM telemetry, range(1, 8) r(d))
-WHERE w <= (SELECT max(timestamp) FROM telemetry) - INTERVAL 1 DAY GROUP BY user_id, w""")
+SELECT user_id, {T("w", "as_of")}, {R("avg(mouse_velocity_avg)", "mv_avg", 9)}, {R("avg(keystroke_flight_avg_ms)", "kf_avg", 9)} FROM (SELECT user_id, mouse_velocity_avg, keystroke_flight_avg_ms, date_trunc('day', timestamp) + to_days(CAST(d AS INTEGER)) AS w FROM telemetry, range(1, 8) r(d)) GROUP BY user_id, w""")
 def stream_sliding_baselines(spark, sf):
     stream = _telemetry_stream(spark, sf).withColumn("productivity_score", F.lit(1.0))
-    rows = runner.run_to_table(ST.sliding_baselines(stream), "sliding").select("user_id", "as_of", "mv_avg", "kf_avg")
+    table = runner.run_to_table(ST.sliding_baselines(stream), "sliding", mode="update")
+    rows = runner.latest_per_key(table, ["user_id", "as_of"]).select("user_id", "as_of", "mv_avg", "kf_avg")
     return text_time(rounded(rows, "mv_avg", "kf_avg", digits=9), "as_of")
 
 

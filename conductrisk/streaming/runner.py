@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from conductrisk.session import fresh_path
+from conductrisk.sources.readers import exists
 
 
 def replay(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 100, name: str | None = None) -> DataFrame:
@@ -36,35 +37,37 @@ def stage_replay(df: DataFrame, path: str, slices: int, ts: str = "date", limit:
         part.repartitionByRange(files_per_slice, ts).sortWithinPartitions(ts).write.mode("append").parquet(path)
 
 
-def run_batches(stream: DataFrame, write, mode: str = "append") -> None:
-    """Run `write(batch, batch_id)` over all available input."""
+def run_batches(stream: DataFrame, write, mode: str = "append", state: str | None = None, trigger: dict | None = None) -> None:
+    """Run `write(batch, batch_id)`, by default over all available input.
+
+    `state` is the checkpoint folder: with the same one a later run goes on where this one stopped.
+    """
     spark = stream.sparkSession
     query = (
         stream.writeStream.outputMode(mode).foreachBatch(write)
-        .option("checkpointLocation", fresh_path(spark, "stream-state"))
-        .trigger(availableNow=True).start()
+        .option("checkpointLocation", state or fresh_path(spark, "stream-state"))
+        .trigger(**(trigger or {"availableNow": True})).start()
     )
     query.awaitTermination()
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append", transform=None) -> DataFrame:
+def run_to_table(stream: DataFrame, name: str, mode: str = "append", path: str | None = None,
+                 state: str | None = None) -> DataFrame:
     """Run the stream and read its rows with their `batch_id`.
 
     Each micro-batch owns one folder and overwrites it, so a repeated batch leaves no duplicates.
+    With the same `path` and `state` a second run adds what has come since.
     """
     spark = stream.sparkSession
-    path = fresh_path(spark, name)
-    schema: list = []
+    path = path or fresh_path(spark, name)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        out = transform(batch) if transform else batch
-        schema[:] = [out.schema]
-        out.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    run_batches(stream, write, mode)
-    if not schema:
+    run_batches(stream, write, mode, state)
+    if not exists(spark, path):
         return spark.createDataFrame([], stream.schema).withColumn("batch_id", F.lit(0).cast("int"))
-    full = T.StructType([*schema[0].fields, T.StructField("batch_id", T.IntegerType())])
+    full = T.StructType([*stream.schema.fields, T.StructField("batch_id", T.IntegerType())])
     return spark.read.schema(full).parquet(path)
 
 

@@ -16,20 +16,24 @@ def live_scores(payloads: DataFrame, roster: DataFrame, baselines: DataFrame) ->
 
 
 def flush_summary(rows: DataFrame, delay: str = "1 minute") -> DataFrame:
-    """Five-second summaries per user, emitted once a window is closed."""
+    """Five-second summaries per user.
+
+    This and the other window streams emit closed windows in append mode; in update mode they emit every
+    change, and the newest version of a window per key is complete when the input is.
+    """
     return biometrics.flush_summary(rows.withWatermark("timestamp", delay))
 
 
 def activity_counts(rows: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Counts per user, five-minute window and activity type, emitted once a window is closed."""
+    """Counts per user, five-minute window and activity type."""
     return rows.withWatermark("timestamp", delay).groupBy(
         "user", F.window("timestamp", "5 minutes").alias("w"), "activity_type"
     ).agg(F.count("*").alias("n")).select("user", F.col("w.start").alias("start"), "activity_type", "n")
 
 
-def entropy_of_batch(batch: DataFrame) -> DataFrame:
-    """Entropy per closed window. All rows of a window arrive in one micro-batch."""
-    return batch.groupBy("user", "start").agg(F.greatest(
+def entropy_of_windows(counts: DataFrame) -> DataFrame:
+    """Entropy per user and window from the counts of its activity types."""
+    return counts.groupBy("user", "start").agg(F.greatest(
         F.lit(0.0), F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")).alias("activity_entropy"))
 
 
