@@ -9,9 +9,11 @@ WORK_END = 20
 
 # --- daily feature contract (order matters for vectors) ----------------------
 DAILY_FEATURES = [
-    "far", "eds", "iav", "oaf", "login_entropy", "file_count", "email_count",
-    "file_copy_count", "usb_count", "removable_media_count", "delete_count",
-    "after_hours_count", "after_hours_ratio", "event_count", "day_of_week",
+    "day_of_week",
+    "far", "eds", "iav", "oaf",
+    "login_entropy", "file_count", "email_count",
+    "file_copy_count", "usb_count", "removable_media_count",
+    "delete_count", "after_hours_count", "after_hours_ratio", "event_count",
 ]
 CORE_FEATURES = ["far", "eds", "iav", "oaf", "login_entropy", "file_count", "email_count"]
 
@@ -19,7 +21,7 @@ CORE_FEATURES = ["far", "eds", "iav", "oaf", "login_entropy", "file_count", "ema
 SEQUENCE_LENGTH = 10
 LABELLED_SEQUENCE_LENGTH = 5
 LATENT_SIZE = 32
-MODEL_ROLES = ["Admin", "Contractor", "Employee"]
+MODEL_ROLES = ["Employee", "Admin", "Contractor"]
 GLOBAL_MODEL = "global"
 
 # --- thresholding ------------------------------------------------------------

@@ -130,10 +130,13 @@ def model_metadata(errors: DataFrame) -> DataFrame:
 
 
 def with_model(df: DataFrame, metadata: DataFrame, role: str = "role") -> DataFrame:
-    """Attach the metadata of the role's own model, else of the global one, else none."""
+    """Attach the metadata of the role's own model, else of the global one, else of the first there is, else none."""
     names = ["error_mean", "error_std", "threshold"]
     packed = metadata.select("model", F.struct(*names).alias("m"))
-    shared = packed.filter(F.col("model") == C.GLOBAL_MODEL).agg(F.first("m").alias("m")).scalar()
+    names_in_order = [C.GLOBAL_MODEL, *C.MODEL_ROLES]
+    place = F.array_position(F.array(*[F.lit(n) for n in names_in_order]), F.col("model"))
+    turn = F.struct(F.when(place == 0, len(names_in_order) + 1).otherwise(place), F.col("model"))
+    shared = packed.agg(F.min_by("m", turn).alias("m")).scalar()
     # one row per model: a fixed bound
     own = packed.select(F.col("model").alias(role), F.col("m").alias("__own"))
     joined = df.join(F.broadcast(own), role, "left").withColumn("__m", F.coalesce("__own", shared))

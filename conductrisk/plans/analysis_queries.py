@@ -13,6 +13,7 @@ from conductrisk.operators import thresholds as H
 from conductrisk.operators.ordered import total_rank
 from conductrisk.plans import tables as T0
 from conductrisk.plans.registry import D, R, T, query, rounded, text_time
+from conductrisk.sources import sinks
 
 # --- evaluation ------------------------------------------------------------------------
 _LABELLED = """
@@ -391,7 +392,6 @@ def token_reverse_lookup(spark, sf):
 
 @query("privacy_audit_trail", """SELECT 'depseudonymize' AS operation, concat('operator', user_key % 4) AS operator, CASE WHEN user_key % 4 <> 0 THEN 'approver' END AS approved_by, error IS NULL AS success, count(*) AS entries FROM rev GROUP BY ALL""", rev=_REVERSE)
 def privacy_audit_trail(spark, sf):
-    from conductrisk.sources import sinks
     tokens = privacy.token_map(A.roster(spark, sf), _KEY, "day")
     answers = privacy.reverse_lookup(_requests(spark, sf), tokens)
     audit = privacy.audit_rows(answers, "depseudonymize", F.to_timestamp(F.lit("2024-02-01 00:00:00")))
@@ -428,6 +428,27 @@ def access_decisions(spark, sf):
     return privacy.access_decisions(requests, privacy.policy_table(spark)).select("user_key", "role", "action", "allowed", "reason")
 
 
+@query("erasure_audit", """SELECT 'erase' AS operation, "user" AS subject, "user" IN (SELECT "user" FROM act) AS success FROM people WHERE role = 'Contractor'""")
+def erasure_audit(spark, sf):
+    """Every request leaves an audit row, also for people without a key."""
+    keys = privacy.user_keys(A.activity(spark, sf).select("user"), _KEY)
+    _, audit = privacy.erase(keys, A.people(spark, sf).filter("role = 'Contractor'").select("user"))
+    rows = audit.select(F.lit("erase").alias("operation"), F.col("user").alias("subject"), "success")
+    return sinks.append_and_read(rows, "audit")
+
+
+@query("access_audit", """
+SELECT action AS operation, reason IS NULL AS success, reason AS error, count(*) AS entries FROM (SELECT *, CASE WHEN role = 'Guest' THEN 'Unknown role: Guest' WHEN action = 'deanonymize' AND role NOT IN ('Admin', 'Compliance') THEN concat('Role ', role, ' cannot de-anonymize')
+  WHEN action = 'erase' AND role <> 'Compliance' THEN concat('Role ', role, ' cannot erase') WHEN action <> 'read' AND user_key % 2 = 0 THEN 'Justification required' END AS reason
+ FROM (SELECT user_key, (['Admin', 'Analyst', 'Viewer', 'Compliance', 'Guest'])[user_key % 5 + 1] AS role, (['read', 'deanonymize', 'erase'])[user_key % 3 + 1] AS action FROM roster)) GROUP BY ALL""")
+def access_audit(spark, sf):
+    """Every access decision leaves an audit row."""
+    decisions = access_decisions(spark, sf)
+    rows = decisions.select(F.col("action").alias("operation"), F.col("role").alias("operator"),
+                            F.col("allowed").alias("success"), F.col("reason").alias("error"))
+    return sinks.append_and_read(rows, "audit").groupBy("operation", "success", "error").agg(F.count("*").alias("entries"))
+
+
 # --- sampling --------------------------------------------------------------------------------
 _VECS = "SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings"
 _PAIRS = """

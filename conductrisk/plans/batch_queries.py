@@ -88,24 +88,41 @@ def truth_label_by_offset(spark, sf):
     return timeline.with_truth_by_offset(A.activity(spark, sf)).select("id", "day_offset", "label")
 
 
-@query("log_schema_check", """
+_SCHEMA_CHECK = """
 SELECT id, 'file' AS kind, activity IN ('File Open', 'File Copy', 'File Write') OR (activity = 'File Delete' AND k % 3 <> 0) AS is_valid FROM act WHERE source = 'File'
 UNION ALL SELECT id, 'device', k % 4 <> 0 FROM act WHERE source = 'Device'
 UNION ALL SELECT id, 'http', k % 5 <> 0 FROM act WHERE source = 'Http'
-UNION ALL SELECT id, 'logon', TRUE FROM act WHERE source = 'Logon'""")
-def log_schema_check(spark, sf):
+UNION ALL SELECT id, 'logon', TRUE FROM act WHERE source = 'Logon'"""
+
+
+def _broken_logs(spark, sf):
+    """The raw logs with some rows spoilt."""
     logs = A.raw_logs(A.activity(spark, sf).withColumn("bad3", F.col("k") % 3 == 0))
     k = {kind: df for kind, df in logs.items()}
     act = A.activity(spark, sf).select("id", "k")
-    broken = {
+    return {
         "file": k["file"].join(act, "id").withColumn("activity", F.when(
             (F.col("activity") == "File Delete") & (F.col("k") % 3 == 0), "Shred").otherwise(F.col("activity"))),
         "device": k["device"].join(act, "id").withColumn("pc", F.when(F.col("k") % 4 != 0, F.col("pc"))),
         "http": k["http"].join(act, "id").withColumn("url", F.when(F.col("k") % 5 != 0, F.col("url"))),
         "logon": k["logon"],
     }
+
+
+@query("quarantined_rows", "SELECT id, kind, CASE WHEN is_valid THEN 'valid' ELSE 'quarantine' END AS part FROM checked", checked=_SCHEMA_CHECK)
+def quarantined_rows(spark, sf):
+    out = None
+    for kind, df in _broken_logs(spark, sf).items():
+        for name, part in zip(("valid", "quarantine"), timeline.split_valid(df, kind)):
+            rows = part.select("id", F.lit(kind).alias("kind"), F.lit(name).alias("part"))
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("log_schema_check", _SCHEMA_CHECK)
+def log_schema_check(spark, sf):
     out = None
-    for kind, df in broken.items():
+    for kind, df in _broken_logs(spark, sf).items():
         part = timeline.validity(df, kind).select("id", F.lit(kind).alias("kind"), "is_valid")
         out = part if out is None else out.unionByName(part)
     return out
@@ -290,6 +307,16 @@ def model_choice_per_user_day(spark, sf):
     return text_time(rounded(rows, "anomaly_score", "threshold"), "day")
 
 
+@query("model_choice_first_available", f"""
+SELECT e."user", {D("e.day", "day")}, e.role, {R("coalesce(r.threshold, f.threshold)", "threshold")}
+FROM errors e LEFT JOIN metadata r ON r.model = e.role AND r.model <> 'global' CROSS JOIN (SELECT threshold FROM metadata WHERE model = 'Employee') f""")
+def model_choice_first_available(spark, sf):
+    """Without a global model, roles that have none of their own take the first model there is."""
+    errors = T0.errors(spark, sf)
+    rows = sequences.with_model(errors, sequences.model_metadata(errors).filter("model <> 'global'"))
+    return text_time(rounded(rows.select("user", "day", "role", "threshold"), "threshold"), "day")
+
+
 # --- scores ---------------------------------------------------------------------------
 @query("base_risk", f'SELECT "user", {D("day")}, {R("base_risk")} FROM scored')
 def base_risk(spark, sf):

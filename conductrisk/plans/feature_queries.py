@@ -159,13 +159,13 @@ FROM (SELECT {group}, {key}, count(*) AS n FROM {table} WHERE {key} IS NOT NULL
 _BIOX = 'SELECT b.*, hour(timestamp) AS hr, strftime(timestamp, \'%Y-%m-%d\') AS session_day, r.role FROM bio b JOIN roster r ON r."user" = b."user"'
 
 
-def _entropy_tables(group: str) -> dict[str, str]:
+def _entropy_tables(group: str, prefix: str = "") -> dict[str, str]:
     keys = {"e_act": "activity_type", "e_app": "app_category", "e_dom": "domain", "e_tmp": "hr"}
-    out = {n: _norm(group, k, "biox") for n, k in keys.items()}
-    out["comp"] = f"""
+    out = {f"{prefix}{n}": _norm(group, k, "biox") for n, k in keys.items()}
+    out[f"{prefix}comp"] = f"""
 SELECT {group}, a.e AS activity_entropy, p.e AS app_entropy, coalesce(d.e, 0.0::DOUBLE) AS domain_entropy, t.e AS temporal_entropy,
   greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.35::DOUBLE * a.e + 0.25::DOUBLE * p.e + 0.25::DOUBLE * coalesce(d.e, 0.0::DOUBLE) + 0.15::DOUBLE * t.e)) AS composite_entropy
-FROM e_act a JOIN e_app p USING ({group}) JOIN e_tmp t USING ({group}) LEFT JOIN e_dom d USING ({group})"""
+FROM {prefix}e_act a JOIN {prefix}e_app p USING ({group}) JOIN {prefix}e_tmp t USING ({group}) LEFT JOIN {prefix}e_dom d USING ({group})"""
     out["biox"] = _BIOX
     return out
 
@@ -227,12 +227,15 @@ def entropy_risk_levels(spark, sf):
 @query("entropy_anomalies", """
 SELECT "user", session_day, is_hit AS is_entropy_anomaly,
   CASE WHEN is_hit THEN printf('Entropy anomaly detected: Current composite entropy (%.2f) is 2.0x higher than role baseline (%.2f). This suggests erratic, multi-domain activity inconsistent with normal role behavior.', composite_entropy, base) ELSE '' END AS entropy_text
-FROM (SELECT *, composite_entropy > base * 2 AS is_hit FROM (SELECT *, CASE WHEN contains(session_day, '-1') THEN 0.234567::DOUBLE ELSE 0.5::DOUBLE END AS base FROM comp))""",
-       **_entropy_tables(_SESSION))
+FROM (SELECT *, composite_entropy > base * 2 AS is_hit FROM (
+  SELECT c."user", c.session_day, c.composite_entropy, coalesce(b.composite_entropy, 0.5::DOUBLE) AS base FROM comp c JOIN roster r ON r."user" = c."user" LEFT JOIN role_comp b ON b.role = r.role))""",
+       **(_entropy_tables(_SESSION) | _entropy_tables("role", "role_")))
 def entropy_anomalies(spark, sf):
-    rows = E.component_entropies(_bio_rows(spark, sf), ["user", "session_day"])
-    rows = rows.withColumn("baseline_composite", F.when(F.col("session_day").contains("-1"), F.lit(0.234567)))
-    return E.entropy_anomaly(rows).select("user", "session_day", "is_entropy_anomaly", "entropy_text")
+    """Sessions against the baseline of the user's role."""
+    bio = _bio_rows(spark, sf)
+    base = E.component_entropies(bio, ["role"]).select("role", F.col("composite_entropy").alias("baseline_composite"))
+    rows = E.component_entropies(bio, ["user", "session_day"]).join(A.roster(spark, sf).select("user", "role"), "user")
+    return E.entropy_anomaly(rows.join(base, "role", "left")).select("user", "session_day", "is_entropy_anomaly", "entropy_text")
 
 
 # --- feature statistics and encodings ---------------------------------------------------
@@ -245,8 +248,11 @@ SELECT feature, count(*) AS count, count(*) - count(value) AS missing, count(DIS
 _FEATURES = ["far", "oaf", "login_entropy", "file_count", "after_hours_ratio"]
 
 
-def _statistics(spark, sf):
-    rows = T0.stage(T0.daily(spark, sf), "daily").withColumn(
+def _statistics(spark, sf, older_than=None):
+    rows = T0.stage(T0.daily(spark, sf), "daily")
+    if older_than:
+        rows = rows.filter(F.col("day") < F.date_sub(rollup.latest(rows, "day"), older_than))
+    rows = rows.withColumn(
         "after_hours_ratio", F.when(F.col("event_count") > 1, F.col("after_hours_ratio")))
     rows = rows.withColumns({f: F.round(F.col(f).cast("double"), 9) for f in _FEATURES})
     return S.statistics(rows, _FEATURES)
@@ -263,10 +269,13 @@ def feature_statistics(spark, sf):
 SELECT feature, len(iss) = 0 AS valid, array_to_string(iss, '; ') AS issues, unique_count FROM (
  SELECT feature, "unique" AS unique_count, list_filter([CASE WHEN missing::DOUBLE / count > 0.1 THEN printf('High missing ratio: %.2f%%', missing::DOUBLE / count * 100) END,
   CASE WHEN feature = 'login_entropy' AND "unique"::DOUBLE / count > 0.5 THEN concat('High cardinality: ', "unique", ' unique values') END,
-  CASE WHEN abs(mean - 0.123::DOUBLE) / 0.21::DOUBLE > 3 THEN printf('Mean shifted by %.1f std devs', abs(mean - 0.123::DOUBLE) / 0.21::DOUBLE) END], lambda x: x IS NOT NULL) AS iss FROM stats)""",
-       longf=_LONG.replace("SELECT feature, value", "SELECT feature, round(value, 9) AS value"), stats=_STATS)
+  CASE WHEN ref_std > 0 AND abs(mean - ref_mean) / ref_std > 3 THEN printf('Mean shifted by %.1f std devs', abs(mean - ref_mean) / ref_std) END], lambda x: x IS NOT NULL) AS iss
+ FROM stats JOIN (SELECT feature, avg(round(value, 9)) AS ref_mean, stddev_samp(round(value, 9)) AS ref_std FROM oldf GROUP BY 1) USING (feature))""",
+       longf=_LONG.replace("SELECT feature, value", "SELECT feature, round(value, 9) AS value"), stats=_STATS,
+       oldf=_LONG.replace("FROM daily)", "FROM daily WHERE day < (SELECT max(day) FROM daily) - INTERVAL 15 DAY)"))
 def feature_quality(spark, sf):
-    reference = spark.createDataFrame([(f, 0.123, 0.21) for f in _FEATURES], "feature string, mean double, std double")
+    """The last fifteen days and all before, judged by the statistics of what came before."""
+    reference = _statistics(spark, sf, older_than=15).select("feature", "mean", "std")
     kinds = spark.createDataFrame([(f, "category" if f == "login_entropy" else "float64") for f in _FEATURES], "feature string, dtype string")
     rows = S.quality(_statistics(spark, sf), reference, kinds)
     return rows.select("feature", "valid", F.array_join("issues", "; ").alias("issues"), "unique_count")

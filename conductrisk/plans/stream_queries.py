@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from conductrisk import adapters as A
 from conductrisk import schemas
+from conductrisk.functions.common import after_hours
 from conductrisk.operators import buffers, rollup
 from conductrisk.operators import evaluation as E
 from conductrisk.operators import telemetry as L
@@ -28,11 +29,11 @@ def csv_log_scan(spark, sf):
     return text_time(rows, "date")
 
 
-@query("parquet_timeline_scan", f'SELECT id, "user", {T("date")}, source FROM act WHERE source = \'Logon\'')
+@query("parquet_timeline_scan", f'SELECT id, "user", {T("date")}, source FROM act')
 def parquet_timeline_scan(spark, sf):
     path = fresh_path(prepare(spark), "timeline")
     sinks.write_timeline(timeline.unify(A.raw_logs(A.activity(spark, sf))), path)
-    rows = readers.read_timeline(spark, path).filter("source = 'Logon'").select("id", "user", "date", "source")
+    rows = readers.read_timeline(spark, path).select("id", "user", "date", "source")
     return text_time(rows, "date")
 
 
@@ -52,6 +53,42 @@ def featured_or_raw_timeline(spark, sf):
     return rows.select("id", "hour", "day_of_week", "is_after_hours", "usb_count")
 
 
+@query("featured_timeline", "SELECT id, hour, isodow(date) - 1 AS day_of_week, CAST(hour < 7 OR hour >= 20 AS INTEGER) AS is_after_hours, CAST(source = 'Device' AND activity = 'Connect' AS INTEGER) AS usb_count FROM act")
+def featured_timeline(spark, sf):
+    """Where a featured table exists it is read, and the raw timeline is left alone."""
+    path = fresh_path(prepare(spark), "timeline")
+    rows = timeline.unify(A.raw_logs(A.activity(spark, sf)))
+    featured = rows.withColumns({
+        "hour": F.hour("date"), "day_of_week": F.weekday("date"), "is_after_hours": after_hours(F.hour("date")).cast("int"),
+        "usb_count": ((F.col("source") == "Device") & (F.col("activity") == "Connect")).cast("int")})
+    sinks.write_table(featured, f"{path}-featured")
+    back = readers.read_featured_or_raw(spark, f"{path}-featured", f"{path}-missing")
+    return back.select("id", "hour", "day_of_week", "is_after_hours", "usb_count")
+
+
+@query("feature_table_sinks", "SELECT format, count(*) AS rows, sum(file_count)::BIGINT AS files FROM daily, (SELECT unnest(['csv', 'parquet']) AS format) GROUP BY 1")
+def feature_table_sinks(spark, sf):
+    """The feature table as CSV and as Parquet."""
+    daily = T0.stage(T0.daily(spark, sf), "daily").select("user", "day", "file_count")
+    path = fresh_path(spark, "features")
+    sinks.write_report(daily, f"{path}-csv")
+    back = {"csv": readers.spark_csv(spark, f"{path}-csv", daily.schema), "parquet": sinks.write_table(daily, f"{path}-parquet")}
+    parts = [df.agg(F.count("*").alias("rows"), F.sum("file_count").alias("files")).select(F.lit(n).alias("format"), "rows", "files")
+             for n, df in back.items()]
+    return parts[0].unionByName(parts[1])
+
+
+@query("source_sinks", "SELECT source, count(*) AS rows FROM act GROUP BY 1")
+def source_sinks(spark, sf):
+    """Every cleaned source as a Parquet table of its own."""
+    path, out = fresh_path(prepare(spark), "source"), None
+    for kind, df in A.raw_logs(A.activity(spark, sf)).items():
+        part = sinks.write_table(df, f"{path}-{kind}").agg(F.count("*").alias("rows"))
+        part = part.select(F.lit(kind.capitalize()).alias("source"), "rows").filter("rows > 0")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("report_sinks", """
 SELECT 'events' AS report, count(*) AS rows, round(sum(round(risk_score, 6)), 3) + 0.0 AS total FROM scored UNION ALL SELECT 'users', count(*), round(sum(round(total_risk_score, 6)), 3) + 0.0 FROM report
 UNION ALL SELECT 'alerts', count(*), coalesce(round(sum(round(risk_score, 6)), 3), 0) + 0.0 FROM alerted WHERE should_alert""")
@@ -92,6 +129,24 @@ def metrics_sink(spark, sf):
     return spark.read.schema("tp bigint, fp bigint, fn bigint, tn bigint").json(path)
 
 
+@query("evaluation_sink", f"""
+SELECT total_users, threat_user_rank, detected, high_risk_events, users_with_false_positives FROM
+ (SELECT count(*) AS total_users, count_if(s > (SELECT s FROM rr WHERE "user" = 'U5')) + 1 AS threat_user_rank FROM rr),
+ (SELECT count_if(risk_score >= 70) > 0 AS detected, count_if(risk_score >= 70) AS high_risk_events FROM scored WHERE "user" = 'U5'),
+ (SELECT count_if(n > 0) AS users_with_false_positives FROM (SELECT "user", count_if(risk_score >= 70) AS n FROM scored WHERE "user" <> 'U5' GROUP BY 1))""",
+       rr='SELECT "user", round(total_risk_score, 6) AS s FROM report')
+def evaluation_sink(spark, sf):
+    """The whole evaluation result as one JSON document."""
+    days = T0.scored_days(spark, sf)
+    report = T0.stage(rounded(rollup.user_report(days), "total_risk_score"), "report")
+    result = E.summary(timeline.with_truth_by_offset(days), report)
+    path = fresh_path(spark, "evaluation")
+    sinks.write_metrics(result, path)
+    return spark.read.schema(result.schema).json(path).select(
+        "total_users", "threat_user_rank", "detection.detected", "detection.high_risk_events",
+        "false_positives.users_with_false_positives")
+
+
 @query("artifact_status")
 def artifact_status(spark, sf):
     """Which of the expected tables exist in the data folder."""
