@@ -9,12 +9,15 @@ is one shingle. One hash function orders all shingles; the sketch keeps the `SKE
    separates the other three quarters into pieces, one of which has `RUN` values (unions of 4 and 8
    values need runs of two, which sets of up to 8 values also list). Larger sets miss all runs with
    a chance below 1e-6.
-3. Links are sought in three steps, and each step leaves out classes that are already connected:
-   every class with the first of the list heads it shares most lists with; then the heads of the
-   components that meet in a list; then all pairs of a list that are still in different
-   components. Pairs of the last step must pass the estimate from the union of two sketches, with
-   a margin of five standard deviations.
-4. Every link is confirmed on the full sets, and components are contracted.
+3. A class is paired with the smallest of the list heads that it shares many lists with. The estimate from the union of the
+   two sketches sorts the pairs: those that may be links are confirmed on the full sets, and those
+   that are fairly alike form families. Families that meet in a list are paired by their heads in the same way.
+4. Within a family, classes that are not yet connected are compared on their full sets, all in one task or, for
+   more than `FAMILY_ROWS` classes, block by block. Only links that connect something are returned.
+5. Pairs of a list in different families and components must pass the estimate and are then confirmed.
+6. Components of all links are found by contraction.
+
+Estimates that decide anything leave a margin of five standard deviations.
 
 A null or empty text has an empty set and links with nothing. Rows with equal id and text are one
 document; a null id counts as the smallest id, and the component id is null then.
@@ -36,9 +39,11 @@ from conductrisk.session import stage
 SHINGLE, SKETCH, RUN = 5, 80, 3
 #: Similarity in hundredths.
 SIMILAR = 75
-#: Values of a sketch that travel with the lists, and the estimate that a pair must reach.
+#: Values of a sketch that travel with the lists. Estimates that a pair must reach, from whole and from brief sketches.
 BRIEF = 32
-ESTIMATE = SIMILAR / 100 - 5 * (0.75 * 0.25 / BRIEF) ** 0.5
+LIKELY, ESTIMATE = (SIMILAR / 100 - 5 * (0.75 * 0.25 / n) ** 0.5 for n in (SKETCH, BRIEF))
+#: Estimate of members of a family with its head; classes of a family in one task.
+ALIKE, FAMILY_ROWS = 0.4, 4096
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -119,9 +124,18 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(check, "a long, b long")
 
 
+def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) with `est`: the share of common values among the smallest values of both sketches."""
+    side = lambda s: nodes.select(F.col("k").alias(s), F.col("sketch").alias(f"sketch_{s}"))
+    union = F.slice(F.sort_array(F.array_union("sketch_a", "sketch_b")), 1, SKETCH)
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("union", union)
+    common = F.array_intersect(F.array_intersect("sketch_a", "sketch_b"), "union")
+    return both.select("a", "b", (F.size(common) / F.size("union")).alias("est"))
+
+
 def _list_pairs(table: pa.Table) -> pa.Table:
-    """Pairs of a shard's lists that are in different components and may be similar by their brief sketches."""
-    v, k, label, size = (table.column(c).to_numpy() for c in ("v", "k", "label", "n"))
+    """Pairs of a shard's lists in different families and components that may be similar by their brief sketches."""
+    v, k, family, label, size = (table.column(c).to_numpy() for c in ("v", "k", "family", "label", "n"))
     lists = table.column("brief").combine_chunks()
     bounds, values = lists.offsets.to_numpy(), lists.values.to_numpy()
     brief = [values[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
@@ -135,12 +149,13 @@ def _list_pairs(table: pa.Table) -> pa.Table:
         length = (table_of >= 0).sum(axis=1)
         for at, i in enumerate(members[:-1]):
             rest = members[at + 1:]
+            apart = ((label[rest] != label[i]) & (family[rest] != family[i])
+                     & (100 * np.minimum(size[rest], size[i]) >= SIMILAR * np.maximum(size[rest], size[i])))
+            if not apart.any():
+                continue
             # values in common are an upper bound of what the estimate counts
-            likely = ((label[rest] != label[i])
-                      & (100 * np.minimum(size[rest], size[i]) >= SIMILAR * np.maximum(size[rest], size[i]))
-                      & (np.isin(table_of[at + 1:], brief[i]).sum(axis=1)
-                         >= ESTIMATE * np.maximum(length[at + 1:], length[at])))
-            for j in rest[likely]:
+            common = np.isin(table_of[at + 1:], brief[i]).sum(axis=1)
+            for j in rest[apart & (common >= ESTIMATE * np.maximum(length[at + 1:], length[at]))]:
                 union = np.union1d(brief[i], brief[j])[:BRIEF]
                 common = np.isin(union, brief[i], assume_unique=True) & np.isin(union, brief[j], assume_unique=True)
                 if common.sum() >= ESTIMATE * len(union):
@@ -148,18 +163,55 @@ def _list_pairs(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
 
-def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """nodes (k, ...) with the label of their component; a class without a link is its own."""
-    labels = components(links).withColumnRenamed("node", "k")
-    return nodes.join(labels, "k", "left").withColumn("label", F.coalesce("label", "k"))
+def _family_links(table: pa.Table) -> pa.Table:
+    """Links between the components of a family (or of two of its blocks), as few as connect them."""
+    k, label, block = (table.column(c).to_numpy() for c in ("k", "label", "block"))
+    value, owner = shingles(table.column("text").combine_chunks())
+    size = np.bincount(owner, minlength=len(k))
+    group = {x: x for x in np.unique(label).tolist()}
+
+    def root(x: int) -> int:
+        while group[x] != x:
+            group[x] = x = group[group[x]]
+        return x
+
+    order = np.argsort(value, kind="stable")
+    holder = owner[order]  # the classes of each shingle, shingle by shingle
+    _, first, number = np.unique(value[order], return_index=True, return_counts=True)
+    place = np.empty(len(value), np.int64)
+    place[order] = np.repeat(np.arange(len(first)), number)
+    bounds = np.searchsorted(owner, np.arange(len(k) + 1))
+    names, many = np.unique(label, return_counts=True)
+    largest = names[many.argmax()]
+    one_block = len(np.unique(block)) == 1
+    found = []
+    for i in np.flatnonzero(label != largest).tolist():
+        mine = place[bounds[i]:bounds[i + 1]]
+        length = number[mine]
+        at = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + np.repeat(first[mine], length)
+        common = np.bincount(holder[at], minlength=len(k))
+        alike = (100 * common >= SIMILAR * (size + size[i] - common)) & (label != label[i])
+        if not one_block:
+            alike &= block != block[i]
+        for j in np.flatnonzero(alike).tolist():
+            a, b = root(int(label[i])), root(int(label[j]))
+            if a != b:
+                group[a] = b
+                found.append((int(k[i]), int(k[j])))
+    return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+
+def _grouped(rows: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """rows with the component of k under `name`; a class without a link is its own."""
+    found = components(links).select(F.col("node").alias("k"), F.col("label").alias(name))
+    return rows.join(found, "k", "left").withColumn(name, F.coalesce(name, "k"))
 
 
 def links_of(classes: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) that connect the classes (k, d, n, sketch) as all similar pairs would. texts: k, text."""
     shards = 8 * int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lists = stage(inverted_lists(classes).join(classes.select("k", "d", "n"), "k"), "lists")
-    listed = lists.select("k").distinct()
-    nodes = stage(classes.join(listed, "k", "left_semi").select("k", "d", "n", "sketch"), "nodes")
+    nodes = stage(classes.join(lists.select("k").distinct(), "k", "left_semi").select("k", "d", "n", "sketch"), "nodes")
     texts = stage(texts.join(nodes.select("k"), "k", "left_semi"), "texts")
     fits = "100 * least(n, o) >= 75 * greatest(n, o)"
 
@@ -171,25 +223,39 @@ def links_of(classes: DataFrame, texts: DataFrame) -> DataFrame:
     most = shared.groupBy("a").agg(F.max("c").alias("most"))
     best = (shared.join(most, "a").filter("2 * c >= most").groupBy("a")
             .agg(F.min(F.struct("hd", "b")).alias("best")).select("a", F.col("best.b").alias("b")))
-    links = stage(confirmed(best, texts), "links")
+    near = stage(estimated(best, nodes), "near")
 
-    # heads of the components that meet in a list
-    labelled = stage(_labelled(lists, links), "labelled")
-    meeting = labelled.groupBy("v", "label").agg(F.min(F.struct("d", "k", "n")).alias("head"), F.count(F.lit(1)).alias("c"))
-    main = meeting.groupBy("v").agg(F.max(F.struct("c", "label", "head")).alias("main"),
+    # the heads of families that meet in a list
+    meeting = _grouped(lists, near.filter(F.col("est") >= ALIKE), "family").groupBy("v", "family").agg(
+        F.min(F.struct("d", "k", "n")).alias("head"), F.count(F.lit(1)).alias("c"))
+    main = meeting.groupBy("v").agg(F.max(F.struct("c", "family", "head")).alias("main"),
                                     F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    across = (meeting.join(main, "v").filter("label <> main.label")
+    across = (meeting.join(main, "v").filter("family <> main.family")
               .select(F.col("head.k").alias("a"), F.col("main.head.k").alias("b"), F.col("head.n").alias("n"),
                       F.col("main.head.n").alias("o")).filter(fits).select("a", "b").distinct())
-    links = stage(links.unionByName(confirmed(across, texts)), "links")
-
-    # what is left: all pairs of lists in which several components still meet
-    labelled = _labelled(labelled.drop("label"), links)
-    open_lists = labelled.groupBy("v").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-    rows = labelled.join(open_lists.select("v"), "v", "left_semi").join(nodes.select(
-        "k", F.slice("sketch", 1, BRIEF).alias("brief")), "k")
+    near = stage(near.unionByName(estimated(across, nodes)), "near")
+    links = stage(confirmed(near.filter(F.col("est") >= LIKELY).select("a", "b").distinct(), texts), "links")
+
+    # within families, on the full sets
+    members = stage(_grouped(_grouped(nodes.select("k"), near.filter(F.col("est") >= ALIKE), "family"), links, "label"), "members")
+    mixed = members.groupBy("family").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("c"))
+    mixed = mixed.filter("low <> high").select("family", F.ceil(F.col("c") / FAMILY_ROWS).cast("int").alias("blocks"))
+    rows = members.join(mixed, "family").withColumn("block", F.pmod("k", "blocks").cast("int"))
+    # a task for each two blocks; each row goes to the tasks of its block
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(texts, "k")
+    inside = rows.groupBy("family", F.least("block", "other"), F.greatest("block", "other")).applyInArrow(
+        _family_links, "a long, b long")
+    links = stage(links.unionByName(inside), "links")
+
+    # across families, in lists where several components still meet
+    members = _grouped(members.drop("label"), links, "label")
+    labelled = lists.select("v", "k", "n").join(members, "k")
+    open_lists = labelled.groupBy("v").agg(F.min("label").alias("low"), F.max("label").alias("high"),
+                                           F.min("family").alias("f1"), F.max("family").alias("f2"))
+    open_lists = open_lists.filter("low <> high and f1 <> f2").select("v")
+    rows = labelled.join(open_lists, "v", "left_semi").join(nodes.select("k", F.slice("sketch", 1, BRIEF).alias("brief")), "k")
     shard = F.pmod("v", F.lit(shards)).alias("shard")
-    pairs = rows.select("v", "k", "label", "n", "brief").groupBy(shard).applyInArrow(
+    pairs = rows.select("v", "k", "family", "label", "n", "brief").groupBy(shard).applyInArrow(
         _list_pairs, "a long, b long").distinct()
     return stage(links.unionByName(confirmed(pairs, texts)), "links")
 
@@ -204,7 +270,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.min(F.struct("d", "k")).alias("head"), F.min(F.struct("n", "sketch")).alias("set")).select(
         "g1", "g2", "head.d", "head.k", "set.n", "set.sketch"), "classes")
     texts = keyed.select("k", F.col("row.text").alias("text")).dropDuplicates(["k"])
-    labelled = _labelled(classes.select("g1", "g2", "k", "d"), links_of(classes, texts))
+    labelled = _grouped(classes.select("g1", "g2", "k", "d"), links_of(classes, texts), "label")
     found = labelled.join(labelled.groupBy("label").agg(F.min("d").alias("c")), "label").select("g1", "g2", "c")
     members = sets.select("k", "n", "g1", "g2").distinct().join(found, ["g1", "g2"], "left").select("k", "n", "c")
     own = F.coalesce("c", "d")

@@ -102,15 +102,34 @@ def test_components(spark, seed):
         (a, b): root(a) == root(b) for a in linked for b in linked}
 
 
+def test_families_in_blocks(make, monkeypatch):
+    """Copies that are alike but under the threshold, in blocks of a few classes, with some links among them."""
+    monkeypatch.setattr(minhash, "FAMILY_ROWS", 7)
+    rng = random.Random(11)
+    base = [f"b{rng.randrange(10**6)}" for _ in range(150)]
+    texts = [" ".join(base)]
+    for i in range(40):
+        copy = list(base)
+        for _ in range(rng.choice([2, 6, 8, 9])):
+            copy[rng.randrange(150)] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+        if i % 5 == 0:
+            copy[rng.randrange(150)] = "again"
+            texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    rows = found(make(texts))
+    assert rows == expected(list(enumerate(texts))) and len({r[2] for r in rows}) > 5
+
+
 def test_estimate_of_a_union_sketch_is_near(spark):
     import numpy as np
     rng = np.random.default_rng(0)
     import pyarrow as pa
     common = rng.integers(0, 2**62, 300)
     a, b = (np.sort(np.concatenate([common, rng.integers(0, 2**62, 60)]))[:32] for _ in range(2))
-    table = pa.table({"v": [1, 1], "k": [10, 11], "label": [10, 11], "n": [360, 360], "brief": pa.array([a, b], pa.list_(pa.int64()))})
+    table = pa.table({"v": [1, 1], "k": [10, 11], "label": [10, 11], "family": [1, 2], "n": [360, 360], "brief": pa.array([a, b], pa.list_(pa.int64()))})
     assert minhash._list_pairs(table).to_pylist() == [{"a": 10, "b": 11}]
     unlike = rng.integers(0, 2**62, 32)
-    table = pa.table({"v": [1, 1], "k": [10, 11], "label": [10, 11], "n": [360, 360],
+    table = pa.table({"v": [1, 1], "k": [10, 11], "label": [10, 11], "family": [1, 2], "n": [360, 360],
                       "brief": pa.array([a, np.sort(unlike)], pa.list_(pa.int64()))})
     assert minhash._list_pairs(table).num_rows == 0
