@@ -31,7 +31,7 @@ from conductrisk.llm.rows import broadcast, pack, row_key, text_of
 from conductrisk.session import stage
 
 #: Longest context; least share of all symbols of a context and of a context with its next symbol.
-DEPTH, MIN_SHARE, MIN_ENTRY = 6, 4e-7, 1e-7
+DEPTH, MIN_SHARE, MIN_ENTRY = 5, 4e-7, 1e-7
 #: A context stays if its log likelihood ratio against its suffix is above TEST + TEST_EACH x (next symbols seen).
 TEST, TEST_EACH = 10.0, 2.0
 #: Bytes of text in a block of documents.
@@ -39,7 +39,7 @@ BLOCK_BYTES = 8_000_000
 END = 10
 #: Stands for the end of a text among the hashes of words.
 END_WORD = np.uint64(0x9D5F0A1C3B2E4876)
-_FLUSH = 1_500_000
+_FLUSH = 1_000_000
 
 
 def symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
