@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from conductrisk.session import stage
+
 HOT_ROWS = 5_000_000
 PERCENTILE_ACCURACY = 100_000
 BROADCAST_GROUPS = 10_000
@@ -178,22 +180,19 @@ def percentiles(df: DataFrame, value: str, probs: list[float], by: list[str] | N
     return picked.groupBy(*by).agg(F.max("n").alias("n"), F.transform(listed, lambda e: e["v"]).alias("p"))
 
 
-def cumulative(df: DataFrame, value: str, measures: dict[str, Column], ranges: int = 64) -> DataFrame:
+def cumulative(df: DataFrame, value: str, measures: dict[str, Column], ranges: int | None = None) -> DataFrame:
     """One row per distinct value: value, measures, and `below_<m>` = total of smaller values.
 
-    Rows are reduced to distinct values first; these are spread over value ranges found by a
-    sketch, summed within each range, and the totals of the lower ranges are added.
+    Rows are reduced to distinct values first. These are dealt in value ranges and written once with the number of
+    their range; then they are summed within each range, and the totals of the lower ranges are added. There are as
+    many ranges as shuffle partitions, so the work of a task does not grow with the table if these do.
     """
     names = list(measures)
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     distinct = df.filter(F.col(value).isNotNull()).groupBy(value).agg(
         *[c.alias(n) for n, c in measures.items()]
     )
-    steps = [i / ranges for i in range(1, ranges)]
-    splits = distinct.agg(F.percentile_approx(value, steps, 10_000).alias("s")).scalar()
-    # never null, so that no null check of the join key is pushed below the aggregation,
-    # where it would search the ranges once per row
-    place = F.coalesce(F.size(F.filter("__splits", lambda s: s < F.col(value))), F.lit(0))
-    placed = distinct.withColumn("__splits", splits).withColumn("__range", place).drop("__splits")
+    placed = stage(distinct.repartitionByRange(ranges, value).withColumn("__range", F.spark_partition_id()), "ranges")
     totals = placed.groupBy("__range").agg(*[F.sum(n).alias(n) for n in names])
     lower = Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
@@ -207,7 +206,7 @@ def cumulative(df: DataFrame, value: str, measures: dict[str, Column], ranges: i
     )
 
 
-def total_rank(df: DataFrame, score: str, key: str, ranges: int = 64) -> DataFrame:
+def total_rank(df: DataFrame, score: str, key: str, ranges: int | None = None) -> DataFrame:
     """Rank all rows by score, highest first: `rank` (ties share) and `position` (unique).
 
     Rows without a score share the last rank. Ties are ordered by the MD5 of the key, whose first two
