@@ -95,10 +95,30 @@ def score(rows: DataFrame) -> DataFrame:
     }).drop("__d", "__t")
 
 
-def score_telemetry(rows: DataFrame, roster: DataFrame, as_of: Column) -> DataFrame:
-    """Role, productivity, own 7-day baseline and live risk of every telemetry row."""
-    prepared = with_productivity(with_user_role(rows, roster))
-    return score(with_baseline(prepared, user_baselines(prepared, as_of)))
+def with_baseline_as_of(rows: DataFrame) -> DataFrame:
+    """The user's newest baseline from before each row; baselines are refreshed at each tenth row of the table.
+
+    No row sees its own refresh or a later one. Work is cut at day borders: within a day of a user the last
+    refresh before the row counts, else the last one of an earlier day.
+    """
+    fresh = refreshed_baselines(rows).select("id", F.struct(*MEASURES).alias("__b"))
+    marked = rows.join(fresh, "id", "left").withColumn("__day", F.floor(F.unix_seconds("timestamp") / 86400))
+    newest = F.max(F.when(F.col("__b").isNotNull(), F.struct("timestamp", "id", "__b")))
+    earlier = Window.partitionBy("user_id").orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+    opening = marked.groupBy("user_id", "__day").agg(newest.alias("__l")).select(
+        "user_id", "__day", F.last("__l", ignorenulls=True).over(earlier).alias("__l"))
+    within = Window.partitionBy("user_id", "__day").orderBy("timestamp", "id").rowsBetween(Window.unboundedPreceding, -1)
+    base = F.coalesce("__w", "__l.__b")
+    return (
+        marked.withColumn("__w", F.last("__b", ignorenulls=True).over(within)).join(opening, ["user_id", "__day"])
+        .withColumns({"has_baseline": base.isNotNull(), **{n: base[n] for n in MEASURES}})
+        .drop("__b", "__w", "__l", "__day")
+    )
+
+
+def score_telemetry(rows: DataFrame, roster: DataFrame) -> DataFrame:
+    """Role, productivity, own baseline as of the row, and live risk of every telemetry row."""
+    return score(with_baseline_as_of(with_productivity(with_user_role(rows, roster))))
 
 
 def latest_state(scored: DataFrame) -> DataFrame:

@@ -57,15 +57,12 @@ def seven_day_baselines(spark, sf):
 
 @query("telemetry_with_baseline", f"SELECT id, has_baseline, {R('coalesce(mv_avg, -1)', 'mv_avg')}, {R('coalesce(kf_avg, -1)', 'kf_avg')} FROM tele_z")
 def telemetry_with_baseline(spark, sf):
-    rows = _prepared(spark, sf)
-    joined = L.with_baseline(rows, L.user_baselines(rows, rollup.latest(rows, "timestamp")))
+    joined = L.with_baseline_as_of(_prepared(spark, sf))
     return rounded(joined.select("id", "has_baseline", "mv_avg", "kf_avg").fillna(-1.0), "mv_avg", "kf_avg")
 
 
 @query("refreshed_baselines", f"""
-SELECT t.id, t.user_id, count(*) AS n, {R("avg(b.mouse_velocity_avg)", "mv_avg", 9)}, {R("avg(b.mouse_velocity_std)", "mv_std", 9)}, {R("avg(b.keystroke_flight_avg_ms)", "kf_avg", 9)}, {R("avg(b.keystroke_flight_std_ms)", "kf_std", 9)}, {R("avg(b.productivity_score)", "prod_avg", 9)}
-FROM tele_prod t JOIN tele_prod b ON b.user_id = t.user_id AND floor(epoch(b.timestamp)) <= floor(epoch(t.timestamp)) AND floor(epoch(b.timestamp)) >= floor(epoch(t.timestamp)) - 604800
-WHERE t.id % 10 = 0 GROUP BY t.id, t.user_id""")
+SELECT id, user_id, n, {", ".join(R(x, digits=9) for x in ["mv_avg", "mv_std", "kf_avg", "kf_std", "prod_avg"])} FROM fresh_base""")
 def refreshed_baselines(spark, sf):
     return rounded(L.refreshed_baselines(_prepared(spark, sf)), *_BASES, digits=9)
 

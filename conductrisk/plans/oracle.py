@@ -284,11 +284,21 @@ CTES["user_base"] = """
 SELECT user_id, avg(mouse_velocity_avg) AS mv_avg, avg(mouse_velocity_std) AS mv_std, avg(keystroke_flight_avg_ms) AS kf_avg,
   avg(keystroke_flight_std_ms) AS kf_std, avg(productivity_score) AS prod_avg
 FROM tele_prod WHERE timestamp >= (SELECT max(timestamp) FROM telemetry) - INTERVAL 7 DAY GROUP BY 1"""
-CTES["tele_z"] = """
+CTES["fresh_base"] = """
+SELECT t.id, t.user_id, count(*) AS n, avg(b.mouse_velocity_avg) AS mv_avg, avg(b.mouse_velocity_std) AS mv_std, avg(b.keystroke_flight_avg_ms) AS kf_avg,
+  avg(b.keystroke_flight_std_ms) AS kf_std, avg(b.productivity_score) AS prod_avg
+FROM tele_prod t JOIN tele_prod b ON b.user_id = t.user_id AND floor(epoch(b.timestamp)) <= floor(epoch(t.timestamp)) AND floor(epoch(b.timestamp)) >= floor(epoch(t.timestamp)) - 604800
+WHERE t.id % 10 = 0 GROUP BY t.id, t.user_id"""
+CTES["base_of"] = """
+SELECT id, last_value(CASE WHEN id % 10 = 0 THEN id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY timestamp, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS base_id FROM tele_prod"""
+_Z = """
 SELECT t.*, b.mv_avg, b.mv_std, b.kf_avg, b.kf_std, b.user_id IS NOT NULL AS has_baseline,
   (abs(mouse_velocity_avg - b.mv_avg) / (b.mv_std + 1e-6::DOUBLE) + abs(keystroke_flight_avg_ms - b.kf_avg) / (b.kf_std + 1e-6::DOUBLE)) / 2 AS z,
   (abs(mouse_velocity_avg - b.mv_avg) / (b.mv_std + 1) + abs(keystroke_flight_avg_ms - b.kf_avg) / (b.kf_std + 1)) / 2 AS z1
-FROM tele_prod t LEFT JOIN user_base b ON b.user_id = t.user_id"""
+FROM tele_prod t"""
+CTES["tele_z"] = _Z + " JOIN base_of o ON o.id = t.id LEFT JOIN fresh_base b ON b.id = o.base_id"
+#: The same with one fixed baseline per user.
+STATIC_Z = _Z + " LEFT JOIN user_base b ON b.user_id = t.user_id"
 _W = lambda part: _case("role", {r: p[part] for r, p in C.ROLE_PROFILES.items()}, C.ROLE_PROFILES["Employee"][part])
 CTES["tele_parts"] = f"""
 SELECT *, CASE WHEN NOT has_baseline THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, z / 3) END AS deviation_score,

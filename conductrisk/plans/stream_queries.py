@@ -12,6 +12,7 @@ from conductrisk.operators import evaluation as E
 from conductrisk.operators import telemetry as L
 from conductrisk.operators import timeline
 from conductrisk.plans import tables as T0
+from conductrisk.plans.oracle import STATIC_Z
 from conductrisk.plans.registry import D, R, T, query, rounded, text_time
 from conductrisk.session import fresh_path, prepare
 from conductrisk.sources import readers, sinks
@@ -246,17 +247,22 @@ SELECT t.* EXCLUDE (keystroke_flight_avg_ms, keystroke_flight_std_ms, keystroke_
 FROM telemetry t LEFT JOIN roster r ON r."user" = t.user_id"""
 
 
-@query("stream_live_scores", f"SELECT id, user_id, {R('risk_score')}, mitre_tactic FROM tele", tele_role=_PAYLOAD_ROWS)
-def stream_live_scores(spark, sf):
-    path = fresh_path(prepare(spark), "payloads")
-    ev = A.events(spark, sf)
-    A.as_payload(ev).repartition(6).write.parquet(path)
-    rows = L.flatten_payload(A.as_payload(ev))
+_LIVE = {"tele_role": _PAYLOAD_ROWS, "tele_z": STATIC_Z}
+
+
+def _live_stream(spark, sf):
+    """Payloads in order of time, scored against the baselines that are stored when the stream starts."""
+    rows = L.flatten_payload(A.as_payload(A.events(spark, sf)))
     prepared = L.with_productivity(L.with_user_role(rows, A.roster(spark, sf)))
     base = T0.stage(L.user_baselines(prepared, rollup.latest(rows, "timestamp")), "baselines")
-    stream = runner.replay(spark, path, "id bigint, payload string", 2)
-    out = runner.run_to_table(ST.live_scores(stream, A.roster(spark, sf), base), "live")
-    return rounded(out.select("id", "user_id", "risk_score", "mitre_tactic"), "risk_score")
+    payloads = A.as_payload(A.as_events(_activity_stream(spark, sf)))
+    return ST.live_scores(payloads, A.roster(spark, sf), base)
+
+
+@query("stream_live_scores", f"SELECT id, user_id, {R('risk_score')}, mitre_tactic FROM tele", **_LIVE)
+def stream_live_scores(spark, sf):
+    out = runner.run_to_table(_live_stream(spark, sf).select("id", "user_id", "risk_score", "mitre_tactic"), "live")
+    return rounded(out.drop("batch_id"), "risk_score")
 
 
 def _telemetry_stream(spark, sf):
@@ -281,38 +287,25 @@ def stream_session_entropy(spark, sf):
 
 
 @query("stream_sliding_baselines", f"""
-SELECT user_id, {T("w", "as_of")}, {R("avg(mouse_velocity_avg)", "mv_avg", 9)}, {R("avg(keystroke_flight_avg_ms)", "kf_avg", 9)} FROM (SELECT user_id, mouse_velocity_avg, keystroke_flight_avg_ms, date_trunc('day', timestamp) + to_days(CAST(d AS INTEGER)) AS w FROM telemetry, range(1, 8) r(d)) GROUP BY user_id, w""")
+SELECT user_id, {T("w", "as_of")}, {R("avg(mouse_velocity_avg)", "mv_avg", 9)}, {R("avg(keystroke_flight_avg_ms)", "kf_avg", 9)}, {R("avg(productivity_score)", "prod_avg", 9)}
+FROM (SELECT user_id, mouse_velocity_avg, keystroke_flight_avg_ms, productivity_score, date_trunc('day', timestamp) + to_days(CAST(d AS INTEGER)) AS w FROM tele, range(1, 8) r(d)) GROUP BY user_id, w""", **_LIVE)
 def stream_sliding_baselines(spark, sf):
-    stream = _telemetry_stream(spark, sf).withColumn("productivity_score", F.lit(1.0))
-    table = runner.run_to_table(ST.sliding_baselines(stream), "sliding", mode="update")
-    rows = runner.latest_per_key(table, ["user_id", "as_of"]).select("user_id", "as_of", "mv_avg", "kf_avg")
-    return text_time(rounded(rows, "mv_avg", "kf_avg", digits=9), "as_of")
+    table = runner.run_to_table(ST.sliding_baselines(_live_stream(spark, sf)), "sliding", mode="update")
+    rows = runner.latest_per_key(table, ["user_id", "as_of"]).select("user_id", "as_of", "mv_avg", "kf_avg", "prod_avg")
+    return text_time(rounded(rows, "mv_avg", "kf_avg", "prod_avg", digits=9), "as_of")
 
 
 @query("stream_hourly_heat", f"""
-SELECT user_id, {T("date_trunc('hour', timestamp)", "start")}, {R("avg(mouse_velocity_avg)", "avg_risk")}, count(*) AS event_count FROM telemetry GROUP BY user_id, date_trunc('hour', timestamp)""")
+SELECT user_id, {T("date_trunc('hour', timestamp)", "start")}, {R("avg(risk_score)", "avg_risk")}, count(*) AS event_count FROM tele GROUP BY user_id, date_trunc('hour', timestamp)""", **_LIVE)
 def stream_hourly_heat(spark, sf):
-    stream = _telemetry_stream(spark, sf).withColumn("risk_score", F.col("mouse_velocity_avg"))
-    table = runner.run_to_table(ST.hourly_heat(stream), "heat", mode="update")
+    table = runner.run_to_table(ST.hourly_heat(_live_stream(spark, sf)), "heat", mode="update")
     return text_time(rounded(runner.latest_per_key(table, ["user_id", "start"]), "avg_risk"), "start")
 
 
-@query("stream_account_updates", f"SELECT user_id, {R('arg_max(mouse_velocity_avg, timestamp)', 'risk_score')}, {T('max(timestamp)', 'last_seen')} FROM telemetry GROUP BY user_id")
+@query("stream_account_updates", f"SELECT user_id, {R('risk_score')}, productivity_score, {T('last_seen')} FROM latest_tele", **_LIVE)
 def stream_account_updates(spark, sf):
-    """Append each micro-batch, and keep the newest state per user in a versioned table."""
-    stream = _telemetry_stream(spark, sf).withColumns({"risk_score": F.col("mouse_velocity_avg"), "productivity_score": F.lit(1.0)})
+    """Append each scored micro-batch, and keep the newest state per user in a versioned table."""
     base = fresh_path(spark, "accounts")
-
-    def write(batch, batch_id):
-        new = L.latest_state(batch)
-        old = f"{base}/v{batch_id - 1}"
-        if batch_id and readers.exists(spark, old):
-            new = L.upsert(spark.read.parquet(old), new, "user_id")
-        new.write.mode("overwrite").parquet(f"{base}/v{batch_id}")
-        batch.write.mode("overwrite").parquet(f"{base}/rows/batch_id={batch_id}")
-
-    runner.run_batches(stream, write)
-    version = 0
-    while readers.exists(spark, f"{base}/v{version + 1}"):
-        version += 1
-    return text_time(rounded(spark.read.parquet(f"{base}/v{version}").drop("productivity_score"), "risk_score"), "last_seen")
+    runner.run_batches(_live_stream(spark, sf), ST.account_writer(spark, base))
+    state = spark.read.parquet(f"{base}/v{runner.latest_version(spark, base)}")
+    return text_time(rounded(state, "risk_score"), "last_seen")

@@ -58,8 +58,7 @@ def scored_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored telemetry rows, written once for the reads on top of them."""
     rows = A.telemetry(spark, sf_dir)
-    scored_rows = live.score_telemetry(rows, A.roster(spark, sf_dir), rollup.latest(rows, "timestamp"))
-    return scored_rows
+    return live.score_telemetry(rows, A.roster(spark, sf_dir))
 
 
 def stored_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:

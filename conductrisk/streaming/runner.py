@@ -71,6 +71,13 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append", path: str |
     return spark.read.schema(full).parquet(path)
 
 
+def latest_version(spark: SparkSession, base: str) -> int:
+    """The highest n of the folders v0, v1, .. in `base`."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/v*")
+    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target)
+    return max(int(f.getPath().getName()[1:]) for f in found)
+
+
 def latest_per_key(table: DataFrame, keys: list[str]) -> DataFrame:
     """Newest version of each key of an update-mode table."""
     values = [c for c in table.columns if c not in keys and c != "batch_id"]

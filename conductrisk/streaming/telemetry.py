@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from conductrisk.operators import biometrics
 from conductrisk.operators import telemetry as ops
+from conductrisk.sources.readers import exists
 
 
 def live_scores(payloads: DataFrame, roster: DataFrame, baselines: DataFrame) -> DataFrame:
@@ -15,6 +16,27 @@ def live_scores(payloads: DataFrame, roster: DataFrame, baselines: DataFrame) ->
     return ops.score(ops.with_baseline(rows, baselines))
 
 
+def account_writer(spark: SparkSession, base: str):
+    """A batch function that appends scored rows and keeps the newest state per user.
+
+    Version n of the state is made from version n - 1 and the rows of batch n, so a batch that is repeated
+    writes the same again. A missing version is an error: accounts would be lost without it.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        new = ops.latest_state(batch)
+        if batch_id:
+            old = f"{base}/v{batch_id - 1}"
+            if not exists(spark, old):
+                raise RuntimeError(f"version {batch_id - 1} of the accounts is missing in {base}")
+            new = ops.latest_state(spark.read.parquet(old).withColumnRenamed("last_seen", "timestamp").unionByName(
+                new.withColumnRenamed("last_seen", "timestamp")).withColumn("id", F.lit(0)))
+        new.write.mode("overwrite").parquet(f"{base}/v{batch_id}")
+        batch.write.mode("overwrite").parquet(f"{base}/rows/batch_id={batch_id}")
+
+    return write
+
+
 def flush_summary(rows: DataFrame, delay: str = "1 minute") -> DataFrame:
     """Five-second summaries per user.
 
