@@ -202,3 +202,41 @@ TRUTH_USER = "U5"
 TRUTH_START_OFFSET = 25
 TRUTH_START_DATE = "2024-01-20"
 DETECTION_THRESHOLD = 70.0
+
+# --- output texts: fixed values of result columns, compared by whoever reads them ----------
+DRIFT_TEXTS = {
+    "no_baseline": "Insufficient baseline data",
+    "low_variance_jump": "Recent daily risk %s >> baseline avg=%s (low-variance user)",
+    "low_variance": "Within expected range (low variance user)",
+    "high": "Recent daily risk %s exceeds baseline (avg=%s, +%s sigma)",
+}
+PRODUCTIVITY_TEXTS = {
+    "permitted": "Using role-permitted app: ",
+    "neutral": "Using neutral app: ",
+    "distracted": "Distracted by non-work app: ",
+    "unknown": "Unknown application: ",
+}
+DEVIATION_TEXTS = {
+    "critical": "CRITICAL: >3σ deviation - Potential account takeover",
+    "high": "HIGH: >2σ deviation - Impaired user or different person",
+    "moderate": "MODERATE: >1.5σ deviation - Unusual pattern",
+    "normal": "NORMAL: Within expected range",
+    "no_baseline": "No baseline available",
+}
+LIVE_FACTOR_TEXTS = {
+    "productivity": "Low productivity alignment", "behaviour": "Behavioral anomaly detected",
+    "entropy": "Erratic session pattern", "context": "Suspicious time context",
+}
+LOOKUP_ERRORS = {
+    "approval": "Dual-control approval required",
+    "unknown_token": "De-pseudonymization not supported: token not found in reverse map",
+    "wrong_claim": "Verification failed: recovered ID does not match claimed original ID",
+}
+ENTROPY_TEXT = [
+    "Entropy anomaly detected: Current composite entropy (", ") is {multiplier}x higher than role baseline (",
+    "). This suggests erratic, multi-domain activity inconsistent with normal role behavior.",
+]
+QUALITY_TEXTS = {
+    "missing": "High missing ratio: %.2f%%", "cardinality": "High cardinality: ", "unique": " unique values",
+    "shift": "Mean shifted by %.1f std devs",
+}

@@ -20,13 +20,13 @@ def productivity(app: Column, role: Column) -> Column:
     """Struct(score, category, text) of how well an application fits the role."""
     low = F.lower(app)
     classes = [
-        (_permitted(low, role, C.ROLE_APPS) | contains_any(low, C.PRODUCTIVE_APPS), 1.0, "productive", "Using role-permitted app: "),
-        (contains_any(low, C.NEUTRAL_APPS), 0.7, "neutral", "Using neutral app: "),
-        (contains_any(low, C.DISTRACTED_APPS), 0.2, "distracted", "Distracted by non-work app: "),
+        (_permitted(low, role, C.ROLE_APPS) | contains_any(low, C.PRODUCTIVE_APPS), 1.0, "productive", C.PRODUCTIVITY_TEXTS["permitted"]),
+        (contains_any(low, C.NEUTRAL_APPS), 0.7, "neutral", C.PRODUCTIVITY_TEXTS["neutral"]),
+        (contains_any(low, C.DISTRACTED_APPS), 0.2, "distracted", C.PRODUCTIVITY_TEXTS["distracted"]),
     ]
     make = lambda s, c, t: F.struct(
         F.lit(s).alias("score"), F.lit(c).alias("category"), F.concat(F.lit(t), app).alias("text"))
-    out = make(0.5, "neutral", "Unknown application: ")
+    out = make(0.5, "neutral", C.PRODUCTIVITY_TEXTS["unknown"])
     for condition, score, category, text in classes[::-1]:
         out = F.when(condition, make(score, category, text)).otherwise(out)
     return out
@@ -39,16 +39,16 @@ def deviation(velocity: Column, flight: Column, base: dict[str, Column], has_bas
     z = (z_mouse + z_keys) / 2
     sigma = F.when(z > 3, 3.0).when(z > 2, 2.0).when(z > 1.5, 1.5).otherwise(z)
     text = (
-        F.when(z > 3, "CRITICAL: >3σ deviation - Potential account takeover")
-        .when(z > 2, "HIGH: >2σ deviation - Impaired user or different person")
-        .when(z > 1.5, "MODERATE: >1.5σ deviation - Unusual pattern")
-        .otherwise("NORMAL: Within expected range")
+        F.when(z > 3, C.DEVIATION_TEXTS["critical"])
+        .when(z > 2, C.DEVIATION_TEXTS["high"])
+        .when(z > 1.5, C.DEVIATION_TEXTS["moderate"])
+        .otherwise(C.DEVIATION_TEXTS["normal"])
     )
     return F.when(
         has_baseline,
         F.struct(F.least(F.lit(1.0), z / 3).alias("score"), sigma.alias("sigma"), text.alias("text")),
     ).otherwise(F.struct(
-        F.lit(0.0).alias("score"), F.lit(0.0).alias("sigma"), F.lit("No baseline available").alias("text")))
+        F.lit(0.0).alias("score"), F.lit(0.0).alias("sigma"), F.lit(C.DEVIATION_TEXTS["no_baseline"]).alias("text")))
 
 
 def integrity_multiplier(productivity_score: Column, sigma: Column, ts: Column) -> Column:
@@ -106,12 +106,8 @@ def live_risk(components: dict[str, Column], role: Column, ts: Column) -> Column
 
 
 def live_factors(components: dict[str, Column]) -> Column:
-    texts = {
-        "productivity": "Low productivity alignment", "behaviour": "Behavioral anomaly detected",
-        "entropy": "Erratic session pattern", "context": "Suspicious time context",
-    }
     return F.filter(
-        F.array(*[F.when(components[n] > 50, F.lit(t)) for n, t in texts.items()]),
+        F.array(*[F.when(components[n] > 50, F.lit(t)) for n, t in C.LIVE_FACTOR_TEXTS.items()]),
         lambda x: x.isNotNull(),
     )
 

@@ -70,10 +70,10 @@ def entropy_anomaly(df: DataFrame, multiplier: float = 2.0) -> DataFrame:
     base = F.coalesce("baseline_composite", F.lit(0.5))
     hit = F.col("composite_entropy") > base * multiplier
     text = F.concat(
-        F.lit("Entropy anomaly detected: Current composite entropy ("),
-        F.format_string("%.2f", F.col("composite_entropy")), F.lit(f") is {multiplier}x higher than role baseline ("),
+        F.lit(C.ENTROPY_TEXT[0]),
+        F.format_string("%.2f", F.col("composite_entropy")), F.lit(C.ENTROPY_TEXT[1].format(multiplier=multiplier)),
         F.format_string("%.2f", base),
-        F.lit("). This suggests erratic, multi-domain activity inconsistent with normal role behavior."),
+        F.lit(C.ENTROPY_TEXT[2]),
     )
     return df.withColumns({
         "is_entropy_anomaly": hit, "entropy_text": F.when(hit, text).otherwise(""),

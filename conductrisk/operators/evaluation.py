@@ -129,7 +129,7 @@ def compare_scores(rows: DataFrame, production: str, shadow: str, label: str = "
     return out.withColumns({
         "mean_diff": F.col("shadow_mean") - F.col("production_mean"),
         "accuracy_diff": diff,
-        "recommendation": F.when(diff > 0.02, "RECOMMEND: Shadow model shows improvement, consider promotion")
-        .when(diff < -0.02, "NOT RECOMMENDED: Shadow model underperforms production")
-        .otherwise("NEUTRAL: Similar performance, monitor additional metrics"),
+        "recommendation": F.when(diff > 0.02, "shadow model is better")
+        .when(diff < -0.02, "shadow model is worse")
+        .otherwise("no clear difference"),
     })

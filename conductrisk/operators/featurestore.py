@@ -47,10 +47,10 @@ def quality(stats: DataFrame, reference: DataFrame, kinds: DataFrame) -> DataFra
     missing = ratio(F.col("missing"), F.col("count"))
     z = F.try_divide(F.abs(F.col("mean") - F.col("ref_mean")), F.col("ref_std"))
     issues = F.filter(F.array(
-        F.when(missing > 0.1, F.format_string("High missing ratio: %.2f%%", missing * 100)),
+        F.when(missing > 0.1, F.format_string(C.QUALITY_TEXTS["missing"], missing * 100)),
         F.when((F.col("dtype") == "category") & (ratio(F.col("unique"), F.col("count")) > 0.5),
-               F.concat(F.lit("High cardinality: "), F.col("unique"), F.lit(" unique values"))),
-        F.when((F.col("ref_std") > 0) & (z > 3), F.format_string("Mean shifted by %.1f std devs", z)),
+               F.concat(F.lit(C.QUALITY_TEXTS["cardinality"]), F.col("unique"), F.lit(C.QUALITY_TEXTS["unique"]))),
+        F.when((F.col("ref_std") > 0) & (z > 3), F.format_string(C.QUALITY_TEXTS["shift"], z)),
     ), lambda x: x.isNotNull())
     return joined.select(
         "feature", (F.size(issues) == 0).alias("valid"), issues.alias("issues"),

@@ -42,9 +42,9 @@ def reverse_lookup(requests: DataFrame, tokens: DataFrame) -> DataFrame:
     joined = requests.join(known, "token", "left")
     wrong = (F.coalesce(F.col("claimed_id"), F.lit("")) != "") & (F.col("claimed_id") != F.col("__user"))
     error = (
-        F.when(F.col("approver").isNull(), "Dual-control approval required")
-        .when(F.col("__user").isNull(), "De-pseudonymization not supported: token not found in reverse map")
-        .when(wrong, "Verification failed: recovered ID does not match claimed original ID")
+        F.when(F.col("approver").isNull(), C.LOOKUP_ERRORS["approval"])
+        .when(F.col("__user").isNull(), C.LOOKUP_ERRORS["unknown_token"])
+        .when(wrong, C.LOOKUP_ERRORS["wrong_claim"])
     )
     return joined.withColumns({
         "success": error.isNull(), "recovered_id": F.when(error.isNull(), F.col("__user")), "error": error,

@@ -70,12 +70,12 @@ def drift(base: DataFrame) -> DataFrame:
     is_drift = F.when(~valid, False).when(flat, jump).otherwise(high)
     sigma = F.when(~valid, 0.0).when(flat, F.when(jump, z).otherwise(0.0)).otherwise(z)
     text = (
-        F.when(~valid, "Insufficient baseline data")
+        F.when(~valid, C.DRIFT_TEXTS["no_baseline"])
         .when(flat & jump, F.format_string(
-            "Recent daily risk %s >> baseline avg=%s (low-variance user)", half_even(recent, 1), half_even(avg, 1)))
-        .when(flat, "Within expected range (low variance user)")
+            C.DRIFT_TEXTS["low_variance_jump"], half_even(recent, 1), half_even(avg, 1)))
+        .when(flat, C.DRIFT_TEXTS["low_variance"])
         .when(high, F.format_string(
-            "Recent daily risk %s exceeds baseline (avg=%s, +%s sigma)",
+            C.DRIFT_TEXTS["high"],
             half_even(recent, 1), half_even(avg, 1), half_even(z, 1)))
         .otherwise(f"Within {C.DRIFT_SIGMA} sigma of baseline")
     )

@@ -248,8 +248,8 @@ def drift_status(report: DataFrame, top: int = 10) -> DataFrame:
         "drift_detected": d > 0, "drift_ratio": F.round(ratio(d, n), 4),
         "top_drifting_users": users,
         "recommendation": F.when(d > 0, F.concat(
-            d, F.lit(" of "), n, F.lit(" users are drifting from baseline. Review the top drifting users and consider retraining.")
-        )).otherwise("No users are currently drifting from baseline."),
+            d, F.lit(" of "), n, F.lit(" users drift from their baseline. Look at the strongest ones first.")
+        )).otherwise("No user drifts from the baseline."),
     })
 
 

@@ -241,12 +241,12 @@ def distribution_drift(reference: DataFrame, current: DataFrame, score: str, key
     hit = F.col("p_value") < C.DRIFT_P_VALUE
     advice = F.concat_ws(
         " ",
-        F.when(F.col("mean_difference") > 0.1, "Mean anomaly score increased significantly. Consider retraining with recent data."),
-        F.when(F.col("std_difference") > 0.05, "Score variance increased. Behavior patterns may have changed."),
+        F.when(F.col("mean_difference") > 0.1, "The mean score rose by more than 0.1: fit the model again on newer rows."),
+        F.when(F.col("std_difference") > 0.05, "Scores spread wider than in the reference period: look at what users do differently."),
     )
-    minor = "Minor drift detected. Monitor closely and consider threshold adjustment before full retraining."
+    minor = "The distributions differ, but neither mean nor spread moved much: adjust the threshold first."
     return out.withColumns({
         "drift_detected": hit, "confidence": 1.0 - F.col("p_value"),
-        "recommendation": F.when(~hit, "No significant drift detected. Model is still valid.").otherwise(
+        "recommendation": F.when(~hit, "The two periods do not differ by more than chance.").otherwise(
             F.when(advice == "", minor).otherwise(advice)),
     })

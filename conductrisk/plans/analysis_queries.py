@@ -139,7 +139,7 @@ def deviation_cuts(spark, sf):
 SELECT {R("avg(a)", "production_mean")}, {R("stddev_pop(a)", "production_std")}, {R("min(a)", "production_min")}, {R("max(a)", "production_max")}, {R("avg(CAST(CAST(a >= 0.5 AS INTEGER) = label AS INTEGER))", "production_accuracy")},
   {R("avg(b)", "shadow_mean")}, {R("stddev_pop(b)", "shadow_std")}, {R("min(b)", "shadow_min")}, {R("max(b)", "shadow_max")}, {R("avg(CAST(CAST(b >= 0.5 AS INTEGER) = label AS INTEGER))", "shadow_accuracy")},
   {R("avg(b) - avg(a)", "mean_diff")}, {R("avg(CAST(CAST(b >= 0.5 AS INTEGER) = label AS INTEGER)) - avg(CAST(CAST(a >= 0.5 AS INTEGER) = label AS INTEGER))", "accuracy_diff")},
-  'NOT RECOMMENDED: Shadow model underperforms production' AS recommendation FROM se""", se=_EVAL)
+  'shadow model is worse' AS recommendation FROM se""", se=_EVAL)
 def model_score_comparison(spark, sf):
     rows = E.compare_scores(_scored_events(spark, sf), "a", "b")
     return rounded(rows, *[c for c in rows.columns if c != "recommendation"])

@@ -406,7 +406,7 @@ def recent_risk_profiles(spark, sf):
 @query("drift_status", """
 SELECT count(*) AS users_total, count_if(is_drift) AS users_in_drift, round(max(deviation_sigma), 2) AS max_deviation_sigma, count_if(is_drift) > 0 AS drift_detected, round(count_if(is_drift)::DOUBLE / count(*), 4) AS drift_ratio,
   (SELECT array_to_string(list("user" ORDER BY deviation_sigma DESC, "user"), ',') FROM (SELECT * FROM report WHERE is_drift ORDER BY deviation_sigma DESC, "user" LIMIT 10)) AS top_users,
-  concat(count_if(is_drift), ' of ', count(*), ' users are drifting from baseline. Review the top drifting users and consider retraining.') AS recommendation FROM report""")
+  concat(count_if(is_drift), ' of ', count(*), ' users drift from their baseline. Look at the strongest ones first.') AS recommendation FROM report""")
 def drift_status(spark, sf):
     rows = S.drift_status(T0.stage(T0.report(spark, sf), "report"))
     users = F.array_join(F.transform("top_drifting_users", lambda x: x["user"]), ",")
