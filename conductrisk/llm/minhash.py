@@ -39,9 +39,8 @@ from conductrisk.session import stage
 SHINGLE, SKETCH, RUN = 5, 80, 3
 #: Similarity in hundredths.
 SIMILAR = 75
-#: Values of a sketch that travel with the lists. Estimates that a pair must reach, from whole and from brief sketches.
-BRIEF = 32
-LIKELY, ESTIMATE = (SIMILAR / 100 - 5 * (0.75 * 0.25 / n) ** 0.5 for n in (SKETCH, BRIEF))
+#: Estimate that a pair must reach to be confirmed.
+LIKELY = SIMILAR / 100 - 5 * (0.75 * 0.25 / SKETCH) ** 0.5
 #: Estimate of members of a family with its head; classes of a family in one task.
 ALIKE, FAMILY_ROWS = 0.4, 4096
 
@@ -134,18 +133,18 @@ def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _list_pairs(table: pa.Table) -> pa.Table:
-    """Pairs of a shard's lists in different families and components that may be similar by their brief sketches."""
+    """Pairs of a shard's lists in different families and components that may be similar by their sketches."""
     v, k, family, label, size = (table.column(c).to_numpy() for c in ("v", "k", "family", "label", "n"))
-    lists = table.column("brief").combine_chunks()
+    lists = table.column("sketch").combine_chunks()
     bounds, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-    brief = [values[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    sketch = [values[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     order = np.argsort(v, kind="stable")
     edges = np.flatnonzero(np.diff(v[order], prepend=v[order][:1] - 1 if len(v) else 0))
     found: set[tuple[int, int]] = set()
     for members in np.split(order, edges[1:]):
-        table_of = np.full((len(members), BRIEF), -1, np.int64)
+        table_of = np.full((len(members), SKETCH), -1, np.int64)
         for row, i in zip(table_of, members, strict=True):
-            row[:len(brief[i])] = brief[i]
+            row[:len(sketch[i])] = sketch[i]
         length = (table_of >= 0).sum(axis=1)
         for at, i in enumerate(members[:-1]):
             rest = members[at + 1:]
@@ -154,11 +153,11 @@ def _list_pairs(table: pa.Table) -> pa.Table:
             if not apart.any():
                 continue
             # values in common are an upper bound of what the estimate counts
-            common = np.isin(table_of[at + 1:], brief[i]).sum(axis=1)
-            for j in rest[apart & (common >= ESTIMATE * np.maximum(length[at + 1:], length[at]))]:
-                union = np.union1d(brief[i], brief[j])[:BRIEF]
-                common = np.isin(union, brief[i], assume_unique=True) & np.isin(union, brief[j], assume_unique=True)
-                if common.sum() >= ESTIMATE * len(union):
+            common = np.isin(table_of[at + 1:], sketch[i]).sum(axis=1)
+            for j in rest[apart & (common >= LIKELY * np.maximum(length[at + 1:], length[at]))]:
+                union = np.union1d(sketch[i], sketch[j])[:SKETCH]
+                common = np.isin(union, sketch[i], assume_unique=True) & np.isin(union, sketch[j], assume_unique=True)
+                if common.sum() >= LIKELY * len(union):
                     found.add((int(min(k[i], k[j])), int(max(k[i], k[j]))))
     return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
@@ -253,9 +252,9 @@ def links_of(classes: DataFrame, texts: DataFrame) -> DataFrame:
     open_lists = labelled.groupBy("v").agg(F.min("label").alias("low"), F.max("label").alias("high"),
                                            F.min("family").alias("f1"), F.max("family").alias("f2"))
     open_lists = open_lists.filter("low <> high and f1 <> f2").select("v")
-    rows = labelled.join(open_lists, "v", "left_semi").join(nodes.select("k", F.slice("sketch", 1, BRIEF).alias("brief")), "k")
+    rows = labelled.join(open_lists, "v", "left_semi").join(nodes.select("k", "sketch"), "k")
     shard = F.pmod("v", F.lit(shards)).alias("shard")
-    pairs = rows.select("v", "k", "family", "label", "n", "brief").groupBy(shard).applyInArrow(
+    pairs = rows.select("v", "k", "family", "label", "n", "sketch").groupBy(shard).applyInArrow(
         _list_pairs, "a long, b long").distinct()
     return stage(links.unionByName(confirmed(pairs, texts)), "links")
 

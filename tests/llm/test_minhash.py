@@ -126,10 +126,10 @@ def test_estimate_of_a_union_sketch_is_near(spark):
     rng = np.random.default_rng(0)
     import pyarrow as pa
     common = rng.integers(0, 2**62, 300)
-    a, b = (np.sort(np.concatenate([common, rng.integers(0, 2**62, 60)]))[:32] for _ in range(2))
-    table = pa.table({"v": [1, 1], "k": [10, 11], "label": [10, 11], "family": [1, 2], "n": [360, 360], "brief": pa.array([a, b], pa.list_(pa.int64()))})
+    a, b = (np.sort(np.concatenate([common, rng.integers(0, 2**62, 60)]))[:80] for _ in range(2))
+    table = pa.table({"v": [1, 1], "k": [10, 11], "label": [10, 11], "family": [1, 2], "n": [360, 360], "sketch": pa.array([a, b], pa.list_(pa.int64()))})
     assert minhash._list_pairs(table).to_pylist() == [{"a": 10, "b": 11}]
-    unlike = rng.integers(0, 2**62, 32)
+    unlike = rng.integers(0, 2**62, 80)
     table = pa.table({"v": [1, 1], "k": [10, 11], "label": [10, 11], "family": [1, 2], "n": [360, 360],
-                      "brief": pa.array([a, np.sort(unlike)], pa.list_(pa.int64()))})
+                      "sketch": pa.array([a, np.sort(unlike)], pa.list_(pa.int64()))})
     assert minhash._list_pairs(table).num_rows == 0
