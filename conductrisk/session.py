@@ -60,9 +60,26 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_MADE: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new path below the shared folder; `release` removes what was written there."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _MADE.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all intermediate tables of this process. Call it when the results are written.
+
+    A result that has not been computed yet still reads its intermediate tables, so nothing is deleted before.
+    """
+    jvm, conf, gone = spark._jvm, spark._jsc.hadoopConfiguration(), 0
+    while _MADE:
+        target = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        gone += bool(target.getFileSystem(conf).delete(target, True))
+    return gone
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

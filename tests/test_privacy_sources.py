@@ -107,3 +107,12 @@ def test_timeline_sink_keeps_all_rows(spark):
     path = fresh_path(spark, "t")
     sinks.write_timeline(rows, path)
     assert readers.read_timeline(spark, path).count() == 100
+
+
+def test_release_deletes_intermediate_tables(spark):
+    from conductrisk.session import release, stage
+    from conductrisk.sources.readers import exists
+    table = stage(spark.range(3), "range")
+    path = table.inputFiles()[0].rsplit("/", 1)[0]
+    assert table.count() == 3 and exists(spark, path)
+    assert release(spark) >= 1 and not exists(spark, path)

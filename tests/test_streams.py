@@ -74,3 +74,38 @@ def test_replay_limit_keeps_the_first_rows(spark, at):
     path = fresh_path(spark, "limited")
     runner.stage_replay(activity(spark, at), path, 3, limit=7)
     assert sorted(r.id for r in spark.read.parquet(path).collect()) == [f"{i:04d}" for i in range(7)]
+
+
+def test_a_second_run_goes_on_where_the_first_stopped(spark, at):
+    """With the same checkpoint and table a restart reads only what has come since."""
+    schema = "user_id string, timestamp timestamp, risk_score double, productivity_score double, id long"
+    path, state, base = (fresh_path(spark, n) for n in ("input", "state", "accounts"))
+    first = spark.createDataFrame([("A", at(0), 10.0, 1.0, 1), ("B", at(1), 20.0, 1.0, 2)], schema)
+    second = spark.createDataFrame([("A", at(2), 30.0, 0.5, 3), ("C", at(1), 5.0, 1.0, 4)], schema)
+    for rows in (first, second):
+        rows.repartition(1).write.mode("append").parquet(path)
+        runner.run_batches(runner.replay(spark, path, schema, 1), ST.account_writer(spark, base), state=state)
+    assert runner.latest_version(spark, base) == 1
+    accounts = {r.user_id: r.risk_score for r in spark.read.parquet(f"{base}/v1").collect()}
+    assert accounts == {"A": 30.0, "B": 20.0, "C": 5.0}
+    assert spark.read.parquet(f"{base}/rows").count() == 4
+
+
+def test_a_missing_version_is_an_error(spark, at):
+    import pytest
+    rows = spark.createDataFrame([("A", at(0), 10.0, 1.0, 1)],
+                                 "user_id string, timestamp timestamp, risk_score double, productivity_score double, id long")
+    with pytest.raises(RuntimeError, match="version 2"):
+        ST.account_writer(spark, fresh_path(spark, "lost"))(rows, 3)
+
+
+def test_duplicates_in_later_batches_are_dropped(spark, at):
+    """The copy of a row comes two micro-batches later."""
+    schema = "id string, user string, date timestamp, activity string"
+    path = fresh_path(spark, "copies")
+    rows = [(f"{i:03d}", "U", at(i * 0.1), "Logon") for i in range(12)]
+    for part in (rows[:4], rows[4:8], rows[:4], rows[8:]):
+        spark.createDataFrame(part, schema).repartition(1).write.mode("append").parquet(path)
+    stream = runner.replay(spark, path, schema, 1)
+    got = [r.id for r in runner.run_to_table(SE.without_duplicates(stream, "2 hours"), "once").collect()]
+    assert sorted(got) == [r[0] for r in rows]
