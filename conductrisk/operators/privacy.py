@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from conductrisk import config as C
-from conductrisk.functions.pseudonym import mask, token
+from conductrisk.functions.pseudonym import mask, secret, token
 
 VIEWS = {"Admin": "raw", "Analyst": "masked"}
 
@@ -25,12 +25,12 @@ def role_view(df: DataFrame, role: str, salt: str) -> DataFrame:
 
 def token_map(df: DataFrame, key: bytes, salt: str, column: str = "user") -> DataFrame:
     """One token per distinct value: the table behind the controlled reverse lookup."""
-    return df.select(column).distinct().withColumn("token", token(F.col(column), key, salt))
+    return df.select(column).distinct().withColumn("token", token(F.col(column), secret(df.sparkSession, key), salt))
 
 
 def pseudonymised(df: DataFrame, key: bytes, salt: str, column: str = "user") -> DataFrame:
     """The token is a pure function of the value, so no join with the map is needed."""
-    return df.withColumn(column, token(F.col(column), key, salt))
+    return df.withColumn(column, token(F.col(column), secret(df.sparkSession, key), salt))
 
 
 def reverse_lookup(requests: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -60,7 +60,7 @@ def audit_rows(answers: DataFrame, operation: str, at: Column) -> DataFrame:
 
 def user_keys(users: DataFrame, master: bytes, column: str = "user") -> DataFrame:
     """A 256-bit key per user. Here derived from a master key; a vault table has the same shape."""
-    digest = F.unhex(F.sha2(F.concat(F.lit(master), F.encode(F.col(column), "UTF-8")), 256))
+    digest = F.unhex(F.sha2(F.concat(secret(users.sparkSession, master)["key"], F.encode(F.col(column), "UTF-8")), 256))
     return users.select(column).distinct().withColumn("user_key", digest)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from conductrisk import adapters as A
 from conductrisk.functions import posterior as PF
-from conductrisk.functions.pseudonym import token
+from conductrisk.functions.pseudonym import secret, token
 from conductrisk.operators import evaluation as E
 from conductrisk.operators import posterior, privacy, rollup, sampling, timeline
 from conductrisk.operators import thresholds as H
@@ -332,9 +332,10 @@ def what_if_comparison(spark, sf):
 
 @query("posterior_sampled_percentiles")
 def posterior_sampled_percentiles(spark, sf):
-    rows = posterior.risk_distribution(_posterior_rows(spark, sf)).select("alpha", "beta").distinct()
-    drawn = posterior.sampled_percentiles("alpha", "beta", F.xxhash64("alpha", "beta"))
-    return rows.select("alpha", "beta", drawn.alias("q")).select("alpha", "beta", "q.p90", "q.p95", "q.p99")
+    rows = posterior.risk_distribution(_posterior_rows(spark, sf)).select("id", "alpha", "beta")
+    q = posterior.posterior_percentiles("alpha", "beta").alias("q")
+    pairs = rows.select("alpha", "beta").distinct().select("alpha", "beta", q)
+    return rows.join(pairs, ["alpha", "beta"]).select("id", "q.p90", "q.p95", "q.p99")
 
 
 # --- privacy -------------------------------------------------------------------------------
@@ -371,7 +372,7 @@ def token_map(spark, sf):
 def _requests(spark, sf):
     users = A.roster(spark, sf)
     key = F.col("user_key")
-    real = token(F.col("user"), _KEY, "day")
+    real = token(F.col("user"), secret(spark, _KEY), "day")
     return users.select(
         "user_key", F.when(key % 5 == 0, "unknown-token").otherwise(real).alias("token"),
         F.when(key % 3 == 0, F.col("user")).when(key % 7 == 0, "U-other").alias("claimed_id"),

@@ -5,7 +5,7 @@ import hmac
 import pytest
 from pyspark.sql import functions as F
 
-from conductrisk.functions.pseudonym import mask, token
+from conductrisk.functions.pseudonym import mask, secret, token
 from conductrisk.operators import privacy, timeline
 from conductrisk.operators import telemetry as L
 from conductrisk.session import fresh_path
@@ -24,8 +24,8 @@ def test_mask(users):
 
 
 @pytest.mark.parametrize("key", [b"short", b"k" * 64, b"long" * 40])
-def test_token_is_hmac(users, key):
-    got = users.filter("user = 'User123'").select(token(F.col("user"), key, "day")).first()[0]
+def test_token_is_hmac(spark, users, key):
+    got = users.filter("user = 'User123'").select(token(F.col("user"), secret(spark, key), "day")).first()[0]
     want = base64.urlsafe_b64encode(hmac.new(key, b"User123:day", hashlib.sha256).digest()).decode()
     assert got == want
 
@@ -116,3 +116,14 @@ def test_release_deletes_intermediate_tables(spark):
     path = table.inputFiles()[0].rsplit("/", 1)[0]
     assert table.count() == 3 and exists(spark, path)
     assert release(spark) >= 1 and not exists(spark, path)
+
+
+def test_plans_do_not_show_the_key(spark):
+    key = b"a-very-secret-key-0123456789"
+    users = spark.createDataFrame([("a", "x"), ("b", "y")], "user string, activity string")
+    keys = privacy.user_keys(users, key)
+    for df in (privacy.pseudonymised(users, key, "day"), privacy.encrypted(users, keys, ["activity"])):
+        df.collect()
+        plan = df._jdf.queryExecution().toString()
+        pads = [bytes(b ^ x for b in key.ljust(64, b"\0")).hex().upper() for x in (0x36, 0x5C)]
+        assert not any(x in plan for x in (key.decode(), key.hex().upper(), *pads))

@@ -133,5 +133,15 @@ def test_posterior_ranges(spark):
     out = posterior.risk_distribution(df)
     high, low = out.orderBy(F.desc("risk_mean")).collect()
     assert high.role == "Admin" and 0 < low.risk_mean < high.risk_mean <= 100 and low.risk_std > 0
-    q = out.select("risk_mean", posterior.sampled_percentiles("alpha", "beta", F.xxhash64("role")).alias("q")).collect()
+    q = out.select("risk_mean", posterior.posterior_percentiles("alpha", "beta").alias("q")).collect()
     assert all(r.q.p90 < r.q.p95 < r.q.p99 and r.q.p90 > r.risk_mean * 0.9 for r in q)
+
+
+def test_posterior_percentiles_equal_many_draws(spark):
+    import numpy as np
+    pairs = [(1.0, 1.0), (2.5, 7.0), (30.0, 4.0), (5.0, 5.0), (1.0, 9.0)]
+    got = spark.createDataFrame(pairs, "a double, b double").select(
+        "a", "b", posterior.posterior_percentiles("a", "b").alias("q")).collect()
+    for r in got:
+        want = np.percentile(np.random.default_rng(1).beta(r.a, r.b, 400_000), [90, 95, 99]) * 100
+        assert np.allclose([r.q.p90, r.q.p95, r.q.p99], want, atol=0.25)
