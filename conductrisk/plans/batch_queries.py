@@ -568,10 +568,16 @@ def session_states(spark, sf):
     return ev.select("event_id", session_state("ts", now).alias("state"), relative_time("ts", now).alias("seen"))
 
 
-@query("clean_app_names", """SELECT id, regexp_replace(active_app, '\\.exe$', '', 'i') AS app, session_id FROM telemetry""")
+@query("clean_app_names", r"""
+SELECT id, CASE WHEN raw NOT IN ('', '—', 'unknown') THEN regexp_replace(regexp_replace(raw, '\.exe$', '', 'i'), '^\.', '') END AS app, session_id
+FROM (SELECT id, session_id, CASE id % 5 WHEN 0 THEN concat('.', active_app) WHEN 1 THEN 'unknown' WHEN 2 THEN '' WHEN 3 THEN upper(active_app) ELSE active_app END AS raw FROM telemetry)""")
 def clean_app_names(spark, sf):
-    t = A.telemetry(spark, sf)
-    return t.select("id", clean_app("active_app").alias("app"), session_id("user_id", "timestamp").alias("session_id"))
+    """Names as agents send them: hidden, unknown, empty, in capitals."""
+    t, app, kind = A.telemetry(spark, sf), F.col("active_app"), F.col("id") % 5
+    raw = (F.when(kind == 0, F.concat(F.lit("."), app)).when(kind == 1, "unknown").when(kind == 2, "")
+           .when(kind == 3, F.upper(app)).otherwise(app))
+    t = t.withColumn("raw", raw)
+    return t.select("id", clean_app("raw").alias("app"), session_id("user_id", "timestamp").alias("session_id"))
 
 
 @query("alert_ids", "SELECT id, printf('ALT-%05d', id) AS alert_id, concat('Anomalous behaviour detected in ', active_app, ' — ', window_title) AS activity FROM telemetry")
