@@ -142,26 +142,43 @@ def _list_pairs(table: pa.Table) -> pa.Table:
     edges = np.flatnonzero(np.diff(v[order], prepend=v[order][:1] - 1 if len(v) else 0))
     found: set[tuple[int, int]] = set()
     for members in np.split(order, edges[1:]):
-        table_of = np.full((len(members), SKETCH), -1, np.int64)
-        for row, i in zip(table_of, members, strict=True):
-            row[:len(sketch[i])] = sketch[i]
-        length = (table_of >= 0).sum(axis=1)
+        if len(np.unique(label[members])) < 2 or len(np.unique(family[members])) < 2:
+            continue
+        length = np.array([len(sketch[i]) for i in members], np.int64)
+        index = _Holders(np.concatenate([sketch[i] for i in members]), np.repeat(np.arange(len(members)), length))
         for at, i in enumerate(members[:-1]):
-            rest = members[at + 1:]
-            apart = ((label[rest] != label[i]) & (family[rest] != family[i])
-                     & (100 * np.minimum(size[rest], size[i]) >= SIMILAR * np.maximum(size[rest], size[i])))
-            if not apart.any():
-                continue
             # values in common are an upper bound of what the estimate counts
-            common = np.isin(table_of[at + 1:], sketch[i]).sum(axis=1)
-            for j in rest[apart & (common >= LIKELY * np.maximum(length[at + 1:], length[at]))]:
+            likely = (index.common(at) >= LIKELY * np.maximum(length, length[at])) & (label[members] != label[i]) \
+                & (family[members] != family[i]) \
+                & (100 * np.minimum(size[members], size[i]) >= SIMILAR * np.maximum(size[members], size[i]))
+            likely[:at + 1] = False
+            for j in members[likely]:
                 union = np.union1d(sketch[i], sketch[j])[:SKETCH]
-                common = np.isin(union, sketch[i], assume_unique=True) & np.isin(union, sketch[j], assume_unique=True)
-                if common.sum() >= LIKELY * len(union):
+                both = np.isin(union, sketch[i], assume_unique=True) & np.isin(union, sketch[j], assume_unique=True)
+                if both.sum() >= LIKELY * len(union):
                     found.add((int(min(k[i], k[j])), int(max(k[i], k[j]))))
     return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
 
+class _Holders:
+    """Which sets hold a value: counts common values of one set with all others. Pairs (value, owner) in order of owner."""
+
+    def __init__(self, value: np.ndarray, owner: np.ndarray):
+        order = np.argsort(value, kind="stable")
+        self.holder = owner[order]
+        _, self.first, self.number = np.unique(value[order], return_index=True, return_counts=True)
+        self.place = np.empty(len(value), np.int64)
+        self.place[order] = np.repeat(np.arange(len(self.first)), self.number)
+        self.sets = int(owner[-1]) + 1 if len(owner) else 0
+        self.bounds = np.searchsorted(owner, np.arange(self.sets + 1))
+
+    def common(self, i: int) -> np.ndarray:
+        mine = self.place[self.bounds[i]:self.bounds[i + 1]]
+        length = self.number[mine]
+        at = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + np.repeat(self.first[mine], length)
+        return np.bincount(self.holder[at], minlength=self.sets)
+
+
 def _family_links(table: pa.Table) -> pa.Table:
     """Links between the components of a family (or of two of its blocks), as few as connect them."""
     k, label, block = (table.column(c).to_numpy() for c in ("k", "label", "block"))
@@ -174,21 +191,13 @@ def _family_links(table: pa.Table) -> pa.Table:
             group[x] = x = group[group[x]]
         return x
 
-    order = np.argsort(value, kind="stable")
-    holder = owner[order]  # the classes of each shingle, shingle by shingle
-    _, first, number = np.unique(value[order], return_index=True, return_counts=True)
-    place = np.empty(len(value), np.int64)
-    place[order] = np.repeat(np.arange(len(first)), number)
-    bounds = np.searchsorted(owner, np.arange(len(k) + 1))
+    index = _Holders(value, owner)  # every class has a shingle
     names, many = np.unique(label, return_counts=True)
     largest = names[many.argmax()]
     one_block = len(np.unique(block)) == 1
     found = []
     for i in np.flatnonzero(label != largest).tolist():
-        mine = place[bounds[i]:bounds[i + 1]]
-        length = number[mine]
-        at = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + np.repeat(first[mine], length)
-        common = np.bincount(holder[at], minlength=len(k))
+        common = index.common(i)
         alike = (100 * common >= SIMILAR * (size + size[i] - common)) & (label != label[i])
         if not one_block:
             alike &= block != block[i]
