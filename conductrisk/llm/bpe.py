@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from conductrisk.llm.rows import map_texts, sha256, text_of
 
 #: Most token rows in one recursive query, and most encoded pieces kept for later slices of a task.
-BATCH_ROWS, CACHE_PIECES = 400_000, 1_000_000
+BATCH_ROWS, CACHE_PIECES = 400_000, 1_600_000
 #: Pieces with more characters are contracted at all places of a rank at once.
 LONG_PIECE = 48
 
