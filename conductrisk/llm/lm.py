@@ -2,14 +2,15 @@
 
 Symbols are the bytes of a text's words (A-Z lowered), one blank between words and one end
 symbol. A context is the symbols before a position, up to `DEPTH` of them. Contexts come from the n-gram
-counts of all training documents; a context needs a share of `MIN_SHARE` of all symbols, and stays if its
-next-symbol distribution differs from that of its suffix by a likelihood-ratio test, or if a longer
-context that stays ends in it. Distributions are smoothed with those of the suffix (Witten-Bell).
-A symbol is scored by the longest context that stayed.
+counts of all training documents, and every n-gram counts. A context stays if its next-symbol distribution differs
+from that of its suffix by a likelihood-ratio test, or if a longer context that stays ends in it.
+Distributions are smoothed with those of the suffix (Witten-Bell). A symbol is scored by the longest context that stayed.
 
-The tree is bounded: at each depth there are at most 1 / `MIN_SHARE` contexts and 1 / `MIN_ENTRY` next
-symbols, whatever the corpus, so it may be collected and broadcast. Word counts for the base score are not
-bounded; they stay in Spark, and blocks of documents are joined with the counts of their words.
+The tree grows with the corpus and stays in Spark. A context and all longer ones that end in it share their last
+`KEY` symbols, so buckets of such endings are grown, tested and searched by themselves. Only contexts shorter
+than `KEY` are collected and broadcast; their number is bounded by the alphabet of 256 bytes. Blocks of documents send the
+distinct codes (context and symbol) they have to the buckets and get the scores back. Word counts for
+the base score stay in Spark too, and blocks are joined with the counts of their words.
 
 A null or empty text has one token, the end. Without training documents all symbols are equally
 likely. Rows are scored one by one, so repeated rows get equal scores. A null id is in the fold of the empty text.
@@ -22,6 +23,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,12 +32,14 @@ from conductrisk.llm import kernels as K
 from conductrisk.llm.rows import broadcast, pack, row_key, text_of
 from conductrisk.session import stage
 
-#: Longest context; least share of all symbols of a context and of a context with its next symbol.
-DEPTH, MIN_SHARE, MIN_ENTRY = 5, 4e-7, 1e-7
+#: Longest context; symbols at the end of a context that decide its bucket.
+DEPTH, KEY = 5, 3
 #: A context stays if its log likelihood ratio against its suffix is above TEST + TEST_EACH x (next symbols seen).
 TEST, TEST_EACH = 10.0, 2.0
 #: Bytes of text in a block of documents.
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 32_000_000
+#: Distinct n-grams and bytes of text for each bucket of the tree; blocks that one task of a bucket answers.
+BUCKET_GRAMS, BUCKET_BYTES, BLOCKS_A_TASK = 500_000, 64_000_000, 1024
 END = 10
 #: Stands for the end of a text among the hashes of words.
 END_WORD = np.uint64(0x9D5F0A1C3B2E4876)
@@ -141,6 +145,10 @@ class SuffixTree:
     entries: list[np.ndarray] = field(default_factory=list)
     logs: list[np.ndarray] = field(default_factory=list)
 
+    def copy(self) -> SuffixTree:
+        """A tree of its own that shares the arrays."""
+        return SuffixTree(self.root, *(list(x) for x in (self.contexts, self.to_suffix, self.entries, self.logs)))
+
     def score(self, code: np.ndarray) -> np.ndarray:
         """log10 probability of the last symbol of each code after the symbols before it."""
         out, left = np.zeros(len(code)), np.arange(len(code))
@@ -163,59 +171,167 @@ def _find(ordered: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return ordered[at] == wanted, at
 
 
-def grow(by_depth: list[tuple[np.ndarray, np.ndarray]], total: int) -> SuffixTree:
-    """The tree from the counts of (context, symbol) by depth; by_depth[0] counts single symbols."""
-    single = np.zeros(256)
-    single[by_depth[0][0]] = by_depth[0][1]
-    tree = SuffixTree(np.log((single + 0.5) / (total + 0.5 * 256)))
-    by_depth = [(code[order], count[order]) for code, count in by_depth for order in [np.argsort(code)]]
+def _extend(tree: SuffixTree, by_depth: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """Add the next depths from the counts of (context, symbol); returns what the test of each context says.
+
+    The tree must have the suffixes of all contexts.
+    """
     ratios = []
-    for depth in range(1, len(by_depth)):
-        code, count = by_depth[depth]
+    for code, count in by_depth:
+        order = np.argsort(code)
+        code, count = code[order], count[order].astype(float)
         contexts, at, seen = np.unique(code >> 8, return_inverse=True, return_counts=True)
-        # a context's own count, which includes the symbols that are too rare to be listed
-        listed = np.bincount(at, count, len(contexts))
-        shorter, shorter_count = by_depth[depth - 1]
-        hit, place = _find(shorter, contexts)
-        mass = np.maximum(listed, shorter_count[place] * hit if len(shorter) else 0)
-        kept = mass >= MIN_SHARE * total
-        code, count, at = (x[kept[at]] for x in (code, count, np.cumsum(kept)[at] - 1))
-        contexts, mass, seen, listed = contexts[kept], mass[kept], seen[kept], listed[kept]
+        mass = np.bincount(at, count, len(contexts))
         # what the suffix says about the symbol: the tree so far is exactly the suffixes
         suffix = np.exp(tree.score(code) * np.log(10))
-        rest = mass - listed + seen
-        probability = (count + rest[at] * suffix) / (mass + seen)[at]
+        probability = (count + seen[at] * suffix) / (mass + seen)[at]
         ratios.append(np.bincount(at, count * np.log(probability / suffix), len(contexts)) - TEST_EACH * seen)
         tree.contexts.append(contexts)
-        tree.to_suffix.append(np.log(rest / (mass + seen)))
+        tree.to_suffix.append(np.log(seen / (mass + seen)))
         tree.entries.append(code)
         tree.logs.append(np.log(probability))
-    needed = np.zeros(0, np.int64)
-    for depth in range(len(tree.contexts), 0, -1):
+    return ratios
+
+
+def _prune(tree: SuffixTree, ratios: list[np.ndarray], needed: np.ndarray) -> np.ndarray:
+    """Drop contexts of the last len(ratios) depths that neither pass nor are `needed` as suffixes; returns what those need."""
+    for depth, ratio in zip(range(len(tree.contexts), 0, -1), reversed(ratios), strict=False):
         contexts = tree.contexts[depth - 1]
-        stays = (ratios[depth - 1] > TEST) | np.isin(contexts, needed)
+        stays = (ratio > TEST) | np.isin(contexts, needed)
         needed = np.unique(_low(contexts[stays], depth - 1))
         entry = stays[np.searchsorted(contexts, tree.entries[depth - 1] >> 8)]
         tree.contexts[depth - 1], tree.to_suffix[depth - 1] = contexts[stays], tree.to_suffix[depth - 1][stays]
         tree.entries[depth - 1], tree.logs[depth - 1] = tree.entries[depth - 1][entry], tree.logs[depth - 1][entry]
+    return needed
+
+
+def _root(code: np.ndarray, count: np.ndarray, total: int) -> SuffixTree:
+    single = np.zeros(256)
+    single[code] = count
+    return SuffixTree(np.log((single + 0.5) / (total + 0.5 * 256)))
+
+
+def grow(by_depth: list[tuple[np.ndarray, np.ndarray]], total: int) -> SuffixTree:
+    """The tree from the counts of (context, symbol) by depth; by_depth[0] counts single symbols."""
+    tree = _root(*by_depth[0], total)
+    _prune(tree, _extend(tree, by_depth[1:]), np.zeros(0, np.int64))
     return tree
 
 
-def fit_tree(grams: DataFrame) -> SuffixTree:
-    """grams: (value, c), the counts of contexts of full depth with their symbol."""
-    total = grams.agg(F.sum("c")).first()[0] or 0
-    depths = F.explode(F.array(*[
-        F.struct(F.lit(d).alias("depth"), F.col("value").bitwiseAND((1 << (8 * (d + 1))) - 1).alias("code"))
-        for d in range(DEPTH + 1)])).alias("x")
-    found = (grams.select(depths, "c").groupBy("x.depth", "x.code").agg(F.sum("c").alias("c"))
-             .filter(F.col("c") >= max(1, MIN_ENTRY * total)).toArrow())
-    depth, code, count = (found.column(i).to_numpy() for i in range(3))
-    return grow([(code[depth == d], count[depth == d].astype(float)) for d in range(DEPTH + 1)], total)
+def _shortened(code: np.ndarray, count: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the last n symbols."""
+    short, at = np.unique(_low(code, n), return_inverse=True)
+    return short, np.bincount(at, count, len(short))
+
+
+def _bucket(code: np.ndarray, buckets: int) -> np.ndarray:
+    return (_low(code >> 8, KEY) * 2654435761 >> 16) % buckets
+
+
+def _bucket_column(buckets: int) -> Column:
+    """As `_bucket`, of the column `value`."""
+    key = F.shiftright("value", 8).bitwiseAND((1 << (8 * KEY)) - 1)
+    return F.shiftright(key * F.lit(2654435761), 16) % F.lit(buckets)
+
+
+_TREE = "bucket long, depth int, entry boolean, value long, log double"
+
+
+def fit_tree(grams: DataFrame, buckets: int) -> tuple[SuffixTree, DataFrame]:
+    """(contexts shorter than `KEY`, table `_TREE` of the others) from (value, c): contexts of full depth with their symbol."""
+    spark = grams.sparkSession
+    # at most 256^KEY rows
+    found = grams.groupBy(F.col("value").bitwiseAND((1 << (8 * KEY)) - 1).alias("code")).agg(F.sum("c").alias("c")).toArrow()
+    code, count = (found.column(i).to_numpy() for i in range(2))
+    total = int(count.sum())
+    short = _root(*_shortened(code, count, 1), total)
+    ratios = _extend(short, [_shortened(code, count, n) for n in range(2, KEY + 1)])
+    known = broadcast(spark, short)
+
+    def work(table: pa.Table) -> pa.Table:
+        code, count = (table.column(c).to_numpy() for c in ("value", "c"))
+        tree = known.value.copy()
+        deep = _extend(tree, [_shortened(code, count, n) for n in range(KEY + 1, DEPTH + 2)])
+        _prune(tree, deep, np.zeros(0, np.int64))
+        out = []
+        for depth in range(KEY, DEPTH + 1):
+            for entry, values, logs in ((False, tree.contexts, tree.to_suffix), (True, tree.entries, tree.logs)):
+                n = len(values[depth - 1])
+                out.append(pa.table({"bucket": pa.array(np.full(n, table.column("bucket")[0].as_py(), np.int64)),
+                                     "depth": pa.array(np.full(n, depth, np.int32)), "entry": pa.array(np.full(n, entry)),
+                                     "value": pa.array(values[depth - 1]), "log": pa.array(logs[depth - 1])}))
+        return pa.concat_tables(out)
+
+    rows = grams.withColumn("bucket", _bucket_column(buckets))
+    deep = stage(rows.groupBy("bucket").applyInArrow(work, _TREE), "lm-tree")
+    # at most 256^(KEY - 1) rows
+    needed = deep.filter((F.col("depth") == KEY) & ~F.col("entry")).select(
+        F.col("value").bitwiseAND((1 << (8 * (KEY - 1))) - 1).alias("x")).distinct().toArrow()
+    short = short.copy()
+    _prune(short, ratios, needed.column(0).to_numpy())
+    return short, deep
+
+
+def _squeezed(values: np.ndarray) -> bytes:
+    """Eight-byte values, compressed by place of the byte."""
+    return pa.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _restored(data: bytes, n: int, kind: type) -> np.ndarray:
+    raw = np.frombuffer(pa.decompress(data, decompressed_size=8 * n, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(raw.reshape(8, n).T).reshape(-1).view(kind)
+
+
+def _codes_of_block(buckets: int, salts: int) -> Callable[[pa.Table], pa.Table]:
+    """The distinct codes of a block by bucket, in ascending order, as differences."""
+
+    def work(table: pa.Table) -> pa.Table:
+        found = []
+        for batch in table.combine_chunks().to_batches():
+            for first, n in K.pieces(text_of(batch)):
+                # with counts numpy sorts, which is faster than its hashing
+                found.append(np.unique(symbols(text_of(batch.slice(first, n)))[0], return_counts=True)[0])
+        code = np.unique(np.concatenate(found), return_counts=True)[0]
+        of = _bucket(code, buckets)
+        order = np.argsort(of, kind="stable")
+        parts, edges = np.unique(of[order], return_index=True)
+        block, lists = table.column("block")[0].as_py(), np.split(code[order], edges[1:])
+        return pa.table({"bucket": pa.array(parts), "salt": pa.array(np.full(len(parts), block % salts, np.int64)),
+                         "block": pa.array(np.full(len(parts), block, np.int64)), "n": pa.array([len(x) for x in lists], pa.int64()),
+                         "codes": pa.array([_squeezed(np.diff(x, prepend=0)) for x in lists], pa.binary())})
+
+    return work
+
+
+def _answers(short) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The scores of the codes that blocks ask for, from a bucket of the tree."""
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        n = left.column("n").to_numpy()
+        asked = [np.cumsum(_restored(x, m, np.int64)) for x, m in zip(left.column("codes").to_pylist(), n.tolist(), strict=True)]
+        bounds = np.cumsum(n)[:-1]
+        code, at = np.unique(np.concatenate(asked) if asked else np.zeros(0, np.int64), return_inverse=True)
+        tree = short.value.copy()
+        depth, entry, value, log = (right.column(c).to_numpy() for c in ("depth", "entry", "value", "log"))
+        order = np.argsort(value)
+        depth, entry, value, log = depth[order], entry[order], value[order], log[order]
+        for d in range(KEY, DEPTH + 1):
+            here = depth == d
+            tree.contexts.append(value[here & ~entry])
+            tree.to_suffix.append(log[here & ~entry])
+            tree.entries.append(value[here & entry])
+            tree.logs.append(log[here & entry])
+        scores = np.split(tree.score(code)[at], bounds) if len(n) else []
+        return pa.table({"block": left.column("block"), "n": left.column("n"), "codes": left.column("codes"),
+                         "scores": pa.array([_squeezed(x) for x in scores], pa.binary())})
+
+    return work
 
 
 def _requests(table: pa.Table) -> pa.Table:
     """The distinct words of a block."""
-    words = np.unique(_words(text_of(table.combine_chunks().to_batches()[0]))[0])
+    words = np.unique(np.concatenate([_words(text_of(batch.slice(first, n)))[0] for batch in table.combine_chunks().to_batches()
+                                      for first, n in K.pieces(text_of(batch))]))
     block = table.column("block")[0].as_py()
     return pa.table({"block": pa.array(np.full(len(words), block, np.int64)), "value": pa.array(words.view(np.int64))})
 
@@ -229,25 +345,42 @@ def score(docs: DataFrame, learn: Callable[[str], Column]) -> DataFrame:
     # both kinds of counts are read more than once
     counts = stage(counted(docs.filter(learn("doc_id"))), "lm-counts")
     grams, words = (counts.filter(F.col("kind") == kind).select("value", "c") for kind in (0, 1))
-    tree = broadcast(spark, fit_tree(grams))
+    length = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, -(-grams.count() // BUCKET_GRAMS), -(-length // BUCKET_BYTES))
+    short, deep = fit_tree(grams, buckets)
     size = words.agg(F.sum("c"), F.count("c")).first()
     tokens, distinct = size[0] or 0, size[1]
     end = words.filter(F.col("value") == int(END_WORD.view(np.int64))).first()
     end_count = end["c"] if end else 0
-    length = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-length // BLOCK_BYTES))
     rows = pack(docs).withColumns({"held_out": ~learn("row.doc_id"), "block": F.pmod(row_key(), F.lit(blocks))})
     known = (rows.groupBy("block").applyInArrow(_requests, "block long, value long")
              .join(words, "value").select("block", "value", "c"))
+    salts = -(-blocks // BLOCKS_A_TASK)
+    asked = rows.groupBy("block").applyInArrow(
+        _codes_of_block(buckets, salts), "bucket long, salt long, block long, n long, codes binary")
+    salted = deep.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    scored = asked.groupBy("bucket", "salt").cogroup(salted.groupBy("bucket", "salt")).applyInArrow(
+        _answers(broadcast(spark, short)), "block long, n long, codes binary, scores binary")
+    known = known.unionByName(scored, allowMissingColumns=True)
     schema = T.StructType([rows.schema["row"], rows.schema["held_out"], T.StructField("n_tokens", T.LongType()),
                            T.StructField("n_known", T.LongType()), T.StructField("train_tokens", T.LongType()),
                            T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
     base_log = lambda c: np.log10((c + 0.5) / (tokens + 0.5 * (distinct + 1)))
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        value = right.column("value").to_numpy()
+        of_codes = pc.is_valid(right.column("codes"))
+        listed = right.filter(pc.invert(of_codes))
+        value, count = listed.column("value").to_numpy(), listed.column("c").to_numpy()
         order = np.argsort(value)
-        value, count = value[order], right.column("c").to_numpy()[order]
+        value, count = value[order], count[order]
+        codes, logs = [], []
+        for x in right.filter(of_codes).select(["n", "codes", "scores"]).to_pylist():
+            codes.append(np.cumsum(_restored(x["codes"], x["n"], np.int64)))
+            logs.append(_restored(x["scores"], x["n"], np.float64))
+        codes, logs = (np.concatenate(x) if x else np.zeros(0) for x in (codes, logs))
+        order = np.argsort(codes)
+        codes, logs = codes[order], logs[order]
         out = []
         for batch in left.combine_chunks().to_batches():
             for first, n in K.pieces(text_of(batch)):
@@ -256,13 +389,14 @@ def score(docs: DataFrame, learn: Callable[[str], Column]) -> DataFrame:
                 hit, at = _find(value, words.view(np.int64))
                 c = np.where(hit, count[at], 0) if len(value) else np.zeros(len(words), np.int64)
                 code, bounds = symbols(text_of(part))
-                unique, inverse = np.unique(code, return_inverse=True)
+                coded = pa.array(code).dictionary_encode()
+                at = np.searchsorted(codes, coded.dictionary.to_numpy())
                 out.append(pa.RecordBatch.from_arrays([
                     part.column("row"), part.column("held_out"), pa.array(np.diff(of_text) + 1),
                     pa.array(K.sums((c > 0).astype(np.int64), of_text) + int(end_count > 0)),
                     pa.array(np.full(n, tokens, np.int64)),
                     pa.array(K.sums(base_log(c), of_text) + base_log(end_count)),
-                    pa.array(K.sums(tree.value.score(unique)[inverse], bounds)),
+                    pa.array(K.sums(logs[at][coded.indices.to_numpy()], bounds)),
                 ], schema.names))
         return pa.Table.from_batches(out)
 

@@ -211,3 +211,23 @@ def test_nothing_to_learn_from(make):
     assert [(r.n_tokens, r.n_known, r.train_tokens) for r in rows] == [(3, 0, 0), (1, 0, 0)]
     assert rows[0].score == pytest.approx(4 * math.log10(1 / 256))
     assert lm.score(make([]), lambda c: F.lit(True)).collect() == []
+
+
+def test_contexts_of_a_large_corpus_need_no_share_of_it():
+    code, _ = lm.symbols(pa.array(["abcabd" * 800]))
+    counts = [np.unique(lm._low(code, d + 1), return_counts=True) for d in range(lm.DEPTH + 1)]
+    assert [len(x) > 0 for x in lm.grow(counts, 10**11).contexts[:3]] == [True] * 3
+
+
+def test_buckets_and_blocks_give_the_scores_of_one_tree(make, monkeypatch):
+    for name, value in (("BUCKET_GRAMS", 300), ("BLOCK_BYTES", 3000), ("BLOCKS_A_TASK", 2)):
+        monkeypatch.setattr(lm, name, value, raising=False)
+    rng = random.Random(9)
+    texts = [spoken(rng, rng.choice(list(LETTERS)), rng.randint(1, 200)) for _ in range(80)] + [
+        None, "", "a b a b", *["abcdef1 xbcdef2 " * 30] * 3]
+    tree = tree_of([t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1])
+    code, bounds = lm.symbols(pa.array(texts))
+    assert all(len(x) for x in tree.contexts)
+    got = {r["row"].doc_id: r.score for r in lm.score(make(texts), lambda c: fold(5, c) != 1).collect()}
+    for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        assert got[i] == pytest.approx(tree.score(code[a:b]).sum(), abs=1e-9)
