@@ -33,7 +33,7 @@ from conductrisk.llm.rows import broadcast, pack, row_key, text_of
 from conductrisk.session import stage
 
 #: Longest context; symbols at the end of a context that decide its bucket.
-DEPTH, KEY = 5, 3
+DEPTH, KEY = 6, 3
 #: A context stays if its log likelihood ratio against its suffix is above TEST + TEST_EACH x (next symbols seen).
 TEST, TEST_EACH = 10.0, 2.0
 #: Bytes of text in a block of documents.

@@ -231,3 +231,11 @@ def test_buckets_and_blocks_give_the_scores_of_one_tree(make, monkeypatch):
     got = {r["row"].doc_id: r.score for r in lm.score(make(texts), lambda c: fold(5, c) != 1).collect()}
     for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
         assert got[i] == pytest.approx(tree.score(code[a:b]).sum(), abs=1e-9)
+
+
+def test_the_sixth_symbol_before_counts():
+    # after "bcdef" comes what its first letter says
+    texts = ["abcdef1 xbcdef2"] * 400
+    code, bounds = lm.symbols(pa.array(["abcdef1", "xbcdef2"]))
+    score = tree_of(texts).score(code)
+    assert score[bounds[1:] - 2].min() > math.log10(0.9)
