@@ -3,8 +3,11 @@
 Each rule is a number per document that is higher for worse text. A cutoff per stratum and rule is
 chosen on labelled rows: candidates go from lenient to strict, and each one must pass an exact
 binomial test of "good documents are rejected more often than `risk`" before the next one is tried
-(fixed-sequence testing). The level of every test is `error` divided by the number of rules and
-strata, so with probability 1 - `error` no stratum loses more than `risk` of its good documents.
+(fixed-sequence testing). This is done twice, each time with half of `error` divided by the strata: once with the
+rules together, where each step makes one rule stricter and "any rule rejects" is tested at the whole `risk`, and once rule
+by rule, at equal parts of `risk` and of the level. The stricter of both results counts, so with probability
+1 - `error` no stratum loses more than `risk` of its good documents. The first way needs few labels (252 good rows
+for four strata), the second lets rules go on when one of them has to stop.
 
 Null and empty texts have no words and fail the base rule. A null `lang` is a stratum of its own.
 Rows that are repeated are judged alike; of several labels of one id the lowest counts. Without
@@ -14,6 +17,7 @@ labels no cutoff is certified and only the base rule rejects.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +27,12 @@ from pyspark.sql import types as T
 
 from conductrisk.llm import kernels as K
 from conductrisk.llm.rows import map_texts, text_of
+from conductrisk.session import stage
 
 #: Share of good documents that all rules together may reject in a stratum, and the chance of being wrong.
 RISK, ERROR = 0.02, 0.05
 #: Words in a window of the repeat count.
 REPEAT_WINDOW = 5
-#: More strata than this are not fitted; documents of the others face the base rule only.
-MAX_STRATA = 1000
 #: Candidate cutoffs of each rule, from lenient to strict. A document is rejected above the cutoff.
 GRID = {
     "symbol_share": [round(1.0 - 0.04 * i, 2) for i in range(25)] + [0.03, 0.02, 0.015, 0.01],
@@ -37,6 +40,10 @@ GRID = {
     "repeat_share": [round(0.98 - 0.04 * i, 2) for i in range(24)],
     "mean_word_length": [float(40 - i) for i in range(30)],
 }
+#: Steps (rule, index of its cutoff) of the sequences that are tested: all rules together, and each by itself.
+SEQUENCES = {"": [(rule, i) for _, rule, i in sorted(((i + 1) / len(cuts), rule, i) for rule, cuts in GRID.items()
+                                                     for i in range(len(cuts)))],
+             **{rule: [(rule, i) for i in range(len(cuts))] for rule, cuts in GRID.items()}}
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -113,8 +120,37 @@ def certified(good: int, rejected: list[int], risk: float, level: float) -> int:
     return len(rejected)
 
 
-def fit(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK,
-        error: float = ERROR) -> dict[str | None, dict[str, float]]:
+@dataclass
+class Cutoffs:
+    """A table of the strata with labels: `stratum` and a column per rule, null where no cutoff is certified."""
+
+    table: DataFrame
+
+    def __getitem__(self, stratum: str | None) -> dict[str, float]:
+        found = self.table.filter(F.col("stratum").eqNullSafe(F.lit(stratum))).first()
+        if found is None:
+            raise KeyError(stratum)
+        return {rule: found[rule] for rule in GRID if found[rule] is not None}
+
+
+def _cutoffs(found: list[dict], risk: float, level: float) -> dict[str, float | None]:
+    """Cutoffs of a stratum; `found` has the number `c` of good documents by `sequence` and `first` step that rejects them."""
+    good = sum(x["c"] for x in found if x["sequence"] == "")
+
+    def passed(sequence: str, risk: float, level: float) -> list[tuple[str, int]]:
+        at = np.zeros(len(SEQUENCES[sequence]) + 1, np.int64)
+        for x in found:
+            if x["sequence"] == sequence:
+                at[x["first"]] += x["c"]
+        return SEQUENCES[sequence][:certified(good, np.cumsum(at)[:-1].tolist(), risk, level)]
+
+    together = dict(passed("", risk, level / 2))
+    alone = dict(x for rule in GRID for x in passed(rule, risk / len(GRID), level / 2 / len(GRID)))
+    best = max(together, alone, key=lambda steps: sum((i + 1) / len(GRID[rule]) for rule, i in steps.items()))
+    return {rule: GRID[rule][best[rule]] if rule in best else None for rule in GRID}
+
+
+def fit(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, error: float = ERROR) -> Cutoffs:
     """Cutoffs by stratum and rule. `labels` has doc_id and quality (1: good)."""
     good = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(
         F.min("quality").alias("quality")).filter("quality = 1").select("doc_id")
@@ -122,27 +158,29 @@ def fit(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float =
     rows = measured(docs.select("doc_id", "text", stratum)).filter(~base_failed()).select(
         F.col("row.doc_id").alias("doc_id"), F.col(f"row.{stratum}").alias("stratum"),
         *(c.alias(n) for n, c in rules().items()))
-    above = [F.sum((F.col(rule) > cut).cast("long")).alias(f"{rule}_{i}")
-             for rule, cuts in GRID.items() for i, cut in enumerate(cuts)]
-    table = (rows.join(good, "doc_id", "left_semi").groupBy("stratum").agg(F.count(F.lit(1)).alias("good"), *above)
-             .orderBy(F.desc("good"), "stratum").limit(MAX_STRATA).collect())
-    level = error / max(1, len(GRID) * len(table))
-    cutoffs: dict[str | None, dict[str, float]] = {}
-    for x in table:
-        passed = {rule: certified(x["good"], [x[f"{rule}_{i}"] for i in range(len(cuts))], risk / len(GRID), level)
-                  for rule, cuts in GRID.items()}
-        cutoffs[x["stratum"]] = {rule: GRID[rule][n - 1] for rule, n in passed.items() if n}
-    return cutoffs
-
-
-def judge(docs: DataFrame, cutoffs: dict[str | None, dict[str, float]], stratum: str = "lang") -> DataFrame:
+    first = [F.struct(F.lit(name).alias("sequence"), F.coalesce(
+        *(F.when(F.col(rule) > GRID[rule][i], at) for at, (rule, i) in enumerate(steps)), F.lit(len(steps))).alias("first"))
+        for name, steps in SEQUENCES.items()]
+    counts = (rows.join(good, "doc_id", "left_semi").select("stratum", F.explode(F.array(*first)).alias("x"))
+              .groupBy("stratum", "x").agg(F.count(F.lit(1)).alias("c"))
+              .groupBy("stratum").agg(F.collect_list(F.struct("x.sequence", "x.first", "c")).alias("found")))
+    counts = stage(counts, "quality-counts")
+    level = error / max(1, counts.count())
+    schema = T.StructType([counts.schema["stratum"], *(T.StructField(rule, T.DoubleType()) for rule in GRID)])
+
+    def work(batches):
+        for batch in batches:
+            cuts = [_cutoffs(x, risk, level) for x in batch.column("found").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("stratum"), *(pa.array([x[rule] for x in cuts], pa.float64()) for rule in GRID)], schema.names)
+
+    return Cutoffs(stage(counts.mapInArrow(work, schema), "quality-cutoffs"))
+
+
+def judge(docs: DataFrame, cutoffs: Cutoffs, stratum: str = "lang") -> DataFrame:
     """`row`, the counts, base_failed, `above` (the rules that reject the document) and kept."""
-    rule = rules()
-    found = F.array().cast("array<string>")
-    for value, cuts in cutoffs.items():
-        here = F.col(f"row.{stratum}").eqNullSafe(F.lit(value))
-        hits = [F.when(rule[name] > cut, F.lit(name)) for name, cut in cuts.items()]
-        if hits:
-            found = F.when(here, F.array_compact(F.array(*hits))).otherwise(found)
-    return (measured(docs).withColumns({"base_failed": base_failed(), "above": found})
-            .withColumn("kept", ~F.col("base_failed") & (F.size("above") == 0)))
+    table = cutoffs.table.select(F.col("stratum").alias("_stratum"), *(F.col(rule).alias(f"_{rule}") for rule in GRID))
+    hits = [F.when(value > F.col(f"_{name}"), F.lit(name)) for name, value in rules().items()]
+    found = measured(docs).join(table, F.col(f"row.{stratum}").eqNullSafe(F.col("_stratum")), "left")
+    return (found.withColumns({"base_failed": base_failed(), "above": F.array_compact(F.array(*hits))})
+            .withColumn("kept", ~F.col("base_failed") & (F.size("above") == 0)).drop(*table.columns))

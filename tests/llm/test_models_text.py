@@ -119,6 +119,27 @@ def test_rules_reject_bad_and_keep_good(make, spark):
     assert quality.judge(make([]), cutoffs).collect() == []
 
 
+def test_small_strata_get_cutoffs_too(make, spark):
+    """300 good rows in each of four strata certify the rules together."""
+    rng = random.Random(12)
+    lang = [x for x in ("en", "de", "fr", None) for _ in range(310)]
+    texts = [" ".join(w + "#" * (i % 310 >= 300) for w in spoken(rng, x or "en", 40).split()) for i, x in enumerate(lang)]
+    labels = spark.createDataFrame([(i, int(i % 310 < 300)) for i in range(len(texts))], "doc_id long, quality int")
+    docs = make(texts, lang=lang)
+    cutoffs = quality.fit(docs, labels)
+    assert all("symbol_share" in cutoffs[x] for x in ("en", "de", "fr", None))
+    rows = quality.judge(docs, cutoffs).select("row.doc_id", "kept").collect()
+    assert len(rows) == len(texts)
+    assert all(r.kept == (r.doc_id % 310 < 300) for r in rows)
+
+
+def test_a_rule_that_must_stop_does_not_hold_the_others():
+    found = [{"sequence": "", "first": 3, "c": 5000}, *({"sequence": rule, "first": 0 if rule == "mean_word_length" else
+             len(cuts), "c": 5000} for rule, cuts in quality.GRID.items())]
+    cuts = quality._cutoffs(found, 0.02, 0.0125)
+    assert cuts == {rule: None if rule == "mean_word_length" else x[-1] for rule, x in quality.GRID.items()}
+
+
 # --- toxicity ---------------------------------------------------------------------------
 def test_toxic_words_are_learned(make, spark, clashing):
     rng = random.Random(4)
