@@ -268,8 +268,8 @@ def links_of(classes: DataFrame, texts: DataFrame) -> DataFrame:
     return stage(links.unionByName(confirmed(pairs, texts)), "links")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """`row` (all columns of docs), n_shingles, component_id, kept."""
+def _members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (row, k, d), and for every k of them: n, rows with it, and of its component the smallest id `c` and the `head`."""
     keyed = pack(docs).withColumns({"k": row_key(), "d": order_key()})
     sets = stage(map_texts(keyed.select(F.struct("row.doc_id", "row.text", "k", "d").alias("row")), _sets, [
         ("n", T.LongType()), ("g1", T.LongType()), ("g2", T.LongType()), ("sketch", T.ArrayType(T.LongType()))])
@@ -279,9 +279,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "g1", "g2", "head.d", "head.k", "set.n", "set.sketch"), "classes")
     texts = keyed.select("k", F.col("row.text").alias("text")).dropDuplicates(["k"])
     labelled = _grouped(classes.select("g1", "g2", "k", "d"), links_of(classes, texts), "label")
-    found = labelled.join(labelled.groupBy("label").agg(F.min("d").alias("c")), "label").select("g1", "g2", "c")
-    members = sets.select("k", "n", "g1", "g2").distinct().join(found, ["g1", "g2"], "left").select("k", "n", "c")
+    heads = labelled.groupBy("label").agg(F.min("d").alias("c"), F.min(F.struct("d", "k")).alias("least"))
+    found = labelled.join(heads, "label").select("g1", "g2", "c", F.col("least.k").alias("head"))
+    counted = sets.groupBy("k", "n", "g1", "g2").agg(F.count(F.lit(1)).alias("rows"))
+    return keyed, counted.join(found, ["g1", "g2"], "left").select("k", "n", "rows", "c", "head")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """`row` (all columns of docs), n_shingles, component_id, kept."""
+    keyed, members = _members(docs)
     own = F.coalesce("c", "d")
-    return keyed.join(members, "k").select(
+    return keyed.join(members.select("k", "n", "c"), "k").select(
         "row", F.col("n").alias("n_shingles"),
         F.when(own != F.lit(-(1 << 63)).cast("long"), own).alias("component_id"), (own == F.col("d")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs with one row of each component: of the smallest id, also where rows repeat or have no id.
+
+    Of rows with one id and text the smallest stays. Rows with an empty set all stay.
+    """
+    keyed, members = _members(docs)
+    stay = members.filter(F.col("head").isNull() | (F.col("k") == F.col("head"))).select(
+        "k", (F.col("head").isNotNull() & (F.col("rows") > 1)).alias("many"))
+    rows = keyed.select("row", "k").join(stay, "k")
+    return rows.filter(~F.col("many")).select("row.*").unionByName(
+        rows.filter("many").groupBy("k").agg(F.min("row").alias("row")).select("row.*"))

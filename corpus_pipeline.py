@@ -2,7 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept. Each but the last
 returns the columns of docs. Null and empty texts leave at the first stage, as no language can be
-told. Repeated rows pass the stages alike. An empty table stays empty.
+told. Repeated rows are near duplicates, too: one of them goes on. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
-    return minhash.near_duplicates(docs).filter("kept").select("row.*")
+    """One row of each group of near duplicates, of the smallest id."""
+    return minhash.one_of_each(docs)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

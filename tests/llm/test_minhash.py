@@ -82,6 +82,19 @@ def test_odd_rows(make, clashing):
     assert minhash.near_duplicates(make([])).collect() == []
 
 
+def test_one_row_of_each_group_stays(make, spark):
+    """Repeated rows, copies without an id, and different texts of one id."""
+    import corpus_pipeline
+    long = [f"w{i}" for i in range(60)]
+    near = " ".join([*long[:59], "other"])
+    texts = ["same words here"] * 30 + [" ".join(long), near, " ".join(long), "other text", "", None]
+    ids = [5] * 29 + [6, None, None, None, 5, 7, 8]
+    rows = corpus_pipeline.drop_near_duplicates(spark, make(texts, ids), "").collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in rows if r.doc_id is not None) == [
+        ("5", "other text"), ("5", "same words here"), ("7", ""), ("8", "")]
+    assert [r.text in (near, " ".join(long)) for r in rows if r.doc_id is None] == [True]
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_components(spark, seed):
     rng = random.Random(seed)
