@@ -7,9 +7,10 @@ words at distance one, the one whose prefix ends earlier in the order has a pivo
 other: pivots are looked up among the prefixes of all words.
 
 Position limits: the edit lies to the left or to the right of the pivot, so the letters on the other side are equal and the
-pivot stands equally far from that end. Of the side with the edit, one half (cut at the middle of the shorter word's side)
-is equal, too. Pivot, equal side and equal half form the key of the index. So lists hold few words that
-are not near even if a bigram is in a third of all words, and nothing is capped. Every candidate is verified by its distance.
+pivot stands equally far from that end. The side with the edit is cut into windows of two letters, and all that
+stands outside the window of the edit is equal, too: pivot, window and the letters outside form the key of the index. So
+the words of a list differ in two letters (three of the longer word) only, which bounds lists by the alphabet even if a
+bigram is in a third of all words, and nothing is capped. Every candidate is verified by its distance.
 
 Null and empty texts have no words; a null doc_id counts as the empty text. Repeated rows count as often as they are there.
 """
@@ -20,10 +21,12 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from conductrisk.llm.kernels import pieces
 from conductrisk.llm.rows import broadcast, text_of
@@ -36,11 +39,11 @@ FACTOR = 10
 #: Edits that are looked for, letters of a gram.
 _EDITS, _GRAM = 1, 2
 _PREFIX = _GRAM * _EDITS + 1
+#: Letters of a window that an edit is looked for in.
+WINDOW = 2
 #: Bytes of text in a block, distinct words that a task counts before it hands them on.
 BLOCK_BYTES, _FLUSH = 1_000_000, 200_000
 _PLAIN, _WIDE = re.compile("[a-z]+"), re.compile("[a-zÀ-ÿ]+")
-_PRIME = (1 << 61) - 1
-_BASE = 0x1B873593CC9E2D51 % _PRIME
 
 
 def _runs(text: str, least: int) -> Counter:
@@ -126,42 +129,26 @@ def pivots_of(prefix: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return list(next((x[1] for x in reversed(best) if x is not None), ()))
 
 
-class _Slices:
-    """Hashes of all slices of a word, one multiplication each."""
-
-    def __init__(self, word: str):
-        self.sum, self.power = [0], [1]
-        for c in word:
-            self.sum.append((self.sum[-1] * _BASE + ord(c) + 1) % _PRIME)
-            self.power.append(self.power[-1] * _BASE % _PRIME)
-
-    def __call__(self, a: int, b: int) -> int:
-        return (self.sum[b] - self.sum[a] * self.power[b - a]) % _PRIME
-
-
-def keys_of(word: str, place: int, part: _Slices) -> list[int]:
+def keys_of(word: str, place: int) -> list[int]:
     """Keys of the word by its bigram at `place`: two words at distance one that share it unchanged share a key.
 
-    For each of the three lengths the other word can have, each side the edit can be on, and each half of that side.
+    The word is the shorter one or as long as the other, or the longer one; the edit is on either side of the bigram, in
+    one of the windows of `WINDOW` letters of the shorter word. The key is all that stands outside the window.
     """
-    n, right, out = len(word), place + _GRAM, []
-    for short, long in ((n, n), (n - 1, n), (n, n + 1)):
-        for side, room in ((0, n - right), (1, place)):
-            edited = room - (n - short)  # letters of the shorter word on the side with the edit
-            if edited < 0 or (short == long and edited == 0):
+    n, letters, out = len(word), word.encode("utf-32-le", "surrogatepass"), []
+    for short in (n, n - 1):
+        for side, start, stop in ((0, place + _GRAM, short), (1, 0, place - (n - short))):  # places in the shorter word
+            if stop < start:
                 continue
-            half = edited // 2
-            if side == 0:  # equal up to the bigram, the edit behind it
-                fixed, near, far = part(0, right), part(right, right + half), part(n - (edited - half), n)
-            else:  # equal from the bigram on, the edit before it
-                fixed, near, far = part(place, n), part(place - half, place), part(0, edited - half)
-            out.append(hash((short, long, side, 0, fixed, near)))
-            out.append(hash((short, long, side, 1, fixed, far)))
+            tag = (short << 1 | side).to_bytes(4, "little") + (place if side == 0 else n - place).to_bytes(4, "little")
+            for at in range(start, max(stop, start + 1), WINDOW):
+                behind = short - min(at + WINDOW, stop)  # letters behind the window, counted from the end
+                out.append(xxh3_64_intdigest(tag + at.to_bytes(4, "little") + letters[:4 * at] + letters[4 * (n - behind):]))
     return out
 
 
 def _index(vocabulary: DataFrame, order: dict[str, int]) -> DataFrame:
-    """key, word, last (order of the last prefix bigram) and pivot: whether the key is of a pivot."""
+    """key, word, last (order of the last prefix bigram) and pivot (whether the key is of a pivot) for each prefix bigram."""
     shared = broadcast(vocabulary.sparkSession, order)
 
     def listed(batches):
@@ -170,33 +157,35 @@ def _index(vocabulary: DataFrame, order: dict[str, int]) -> DataFrame:
             for at in range(0, batch.num_rows, 1_000):
                 keys, names, lasts, kinds = [], [], [], []
                 for word in batch.column("word").slice(at, 1_000).to_pylist():
-                    prefix, part = prefix_of(word, order), _Slices(word)
+                    prefix = prefix_of(word, order)
                     chosen = set(pivots_of(prefix))
                     for gram in prefix:
-                        own = set(keys_of(word, gram[1], part))
-                        for is_pivot in (False, True) if gram in chosen else (False,):
-                            keys.extend(own)
-                            names.extend([word] * len(own))
-                            lasts.extend([prefix[-1][0]] * len(own))
-                            kinds.extend([is_pivot] * len(own))
+                        own = keys_of(word, gram[1])
+                        keys.extend(own)
+                        names.extend([word] * len(own))
+                        lasts.extend([prefix[-1][0]] * len(own))
+                        kinds.extend([gram in chosen] * len(own))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.int64()), pa.array(names, pa.string()), pa.array(lasts, pa.int32()), pa.array(kinds, pa.bool_())],
+                    [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(names, pa.string()), pa.array(lasts, pa.int32()), pa.array(kinds, pa.bool_())],
                     ["key", "word", "last", "pivot"])
 
     return vocabulary.select("word").mapInArrow(listed, "key long, word string, last int, pivot boolean")
 
 
 def near_words(vocabulary: DataFrame) -> DataFrame:
-    """(word, near): both directions of all pairs at edit distance one. `vocabulary` has distinct words."""
-    listed = stage(_index(vocabulary, gram_order(vocabulary)), "grams")
-    pivots = listed.filter("pivot").select("key", F.col("word").alias("a"), F.col("last").alias("last_a"))
-    prefixes = listed.filter("not pivot").select("key", F.col("word").alias("b"), F.col("last").alias("last_b"))
-    found = pivots.join(prefixes, "key").filter(
-        (F.col("last_a") <= F.col("last_b")) & (F.col("a") != F.col("b"))
-        & (F.abs(F.length("a") - F.length("b")) <= _EDITS)).select("a", "b").filter(F.levenshtein("a", "b") == _EDITS)
-    both = F.explode(F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("near")),
-                             F.struct(F.col("b").alias("word"), F.col("a").alias("near"))))
-    return found.select(both.alias("p")).select("p.*").distinct()
+    """(a, b): all pairs at edit distance one, each once. `vocabulary` has distinct words.
+
+    Both sides of the join are the same shuffle of the index: which of them asks with a pivot is part of its condition.
+    """
+    listed = _index(vocabulary, gram_order(vocabulary))
+    a, b = listed.alias("a"), listed.alias("b")
+    last = F.when(F.col("a.pivot"), F.col("a.last"))  # null: does not ask
+    # words that end their prefixes alike and both ask would meet twice
+    asks = (last < F.col("b.last")) | ((last == F.col("b.last")) & (~F.col("b.pivot") | (F.col("a.word") < F.col("b.word"))))
+    # the distance comes last, as it costs most; the index is larger than its source, so no side may be broadcast
+    near = (F.col("a.word") != F.col("b.word")) & asks & (F.levenshtein("a.word", "b.word", _EDITS) == _EDITS)
+    found = a.join(b.hint("merge"), (F.col("a.key") == F.col("b.key")) & near)
+    return found.select(F.least("a.word", "b.word").alias("a"), F.greatest("a.word", "b.word").alias("b")).distinct()
 
 
 def grouped(docs: DataFrame, factor: int = FACTOR, least: int = LENGTH, count: int = COUNT, dropped: int = DROPPED) -> DataFrame:
@@ -204,7 +193,9 @@ def grouped(docs: DataFrame, factor: int = FACTOR, least: int = LENGTH, count: i
     if factor < 2 or least < _GRAM * (_EDITS + 1):
         raise ValueError("forms need a factor of 2 at least, and words room for two disjoint bigrams")
     vocabulary = stage(words(docs, least, count, dropped), "words")
-    pairs = near_words(vocabulary)
+    directions = F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("near")),
+                         F.struct(F.col("b").alias("word"), F.col("a").alias("near")))
+    pairs = near_words(vocabulary).select(F.explode(directions).alias("p")).select("p.*")
     known = pairs.join(vocabulary.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near")
     # the most common near word; of equal ones the first in the order of its UTF-8 bytes, which is that of code points
     best = known.groupBy("word").agg(
