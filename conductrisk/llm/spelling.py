@@ -1,16 +1,17 @@
 """Spelling variants: words at edit distance one, found by pivotal grams, and grouped by how common they are.
 
-All words get their bigrams ordered from rare to common (bigram counts are bounded by the alphabet and broadcast). The
-prefix of a word are its bigrams up to the third rarest; its pivots are two disjoint bigrams of the prefix with the
-smallest total count, chosen by dynamic programming. One edit destroys at most one of two disjoint bigrams. So, of two
-words at distance one, the one whose prefix ends earlier in the order has a pivot that stands unchanged in the prefix of the
-other: pivots are looked up among the prefixes of all words.
+All words get their bigrams ordered from rare to common (bigram counts are bounded by the alphabet and broadcast), equal
+ones by their place. The prefix of a word are its first three; its pivots are two disjoint bigrams of the prefix with the
+smallest total order, chosen by dynamic programming. One edit destroys at most one of two disjoint bigrams, and the ones
+that stay keep their order. So if, of two words at distance one, a pivot x of the first stays but is not in the
+prefix of the other, all that prefix, and in it a pivot y that stays, comes before x, and so y is in the prefix of the
+first. Hence looking up the pivots of each word among the prefixes of all others misses no pair.
 
 Position limits: the edit lies to the left or to the right of the pivot, so the letters on the other side are equal and the
-pivot stands equally far from that end. The side with the edit is cut into windows of two letters, and all that
-stands outside the window of the edit is equal, too: pivot, window and the letters outside form the key of the index. So
-the words of a list differ in two letters (three of the longer word) only, which bounds lists by the alphabet even if a
-bigram is in a third of all words, and nothing is capped. Every candidate is verified by its distance.
+pivot stands equally far from that end. The side with the edit is cut into windows of two letters (of a sixteenth of a word
+of more than 32), and all that stands outside the window of the edit is equal, too: pivot, window and the letters outside
+form the key of the index. So the words of a list differ in two letters (three of the longer word) only, which bounds lists by
+the alphabet even if a bigram is in a third of all words, and nothing is capped. Every candidate is verified by its distance.
 
 Null and empty texts have no words; a null doc_id counts as the empty text. Repeated rows count as often as they are there.
 """
@@ -20,11 +21,12 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from heapq import nsmallest
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -39,10 +41,12 @@ FACTOR = 10
 #: Edits that are looked for, letters of a gram.
 _EDITS, _GRAM = 1, 2
 _PREFIX = _GRAM * _EDITS + 1
-#: Letters of a window that an edit is looked for in.
-WINDOW = 2
-#: Bytes of text in a block, distinct words that a task counts before it hands them on.
-BLOCK_BYTES, _FLUSH = 1_000_000, 200_000
+#: Letters of a window that an edit is looked for in, and most windows of a word.
+WINDOW, _WINDOWS = 2, 16
+#: Words with more letters are long.
+_LONG = 64
+#: Bytes of text and of words in a block, distinct words that a task counts before it hands them on.
+BLOCK_BYTES, WORD_BYTES, _FLUSH = 1_000_000, 50_000, 200_000
 _PLAIN, _WIDE = re.compile("[a-z]+"), re.compile("[a-zÀ-ÿ]+")
 
 
@@ -90,20 +94,29 @@ def words(docs: DataFrame, least: int = LENGTH, count: int = COUNT, dropped: int
     return found.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= count)
 
 
+def _word_blocks(batches):
+    for batch in batches:
+        words = batch.column("word")
+        for at, size in pieces(words, WORD_BYTES):
+            yield words.slice(at, size).to_pylist()
+
+
 def gram_order(vocabulary: DataFrame) -> dict[str, int]:
     """Place of each bigram, rare ones first. There are at most 90 x 90 of them (26 letters and 64 accented ones)."""
-    starts = F.sequence(F.lit(1), F.length("word") - _GRAM + 1)
-    grams = vocabulary.filter(F.length("word") >= _GRAM).select(F.explode(starts).alias("at"), "word").select(
-        F.substring("word", F.col("at"), F.lit(_GRAM)).alias("gram"))
-    counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).collect()
+    def counted(batches):
+        total: Counter = Counter()
+        for words in _word_blocks(batches):
+            for word in words:
+                total.update(word[i:i + _GRAM] for i in range(len(word) - _GRAM + 1))
+        yield pa.RecordBatch.from_pydict({"gram": pa.array(total.keys(), pa.string()), "c": pa.array(total.values(), pa.int64())})
+
+    counts = vocabulary.select("word").mapInArrow(counted, "gram string, c long").groupBy("gram").agg(F.sum("c").alias("c")).collect()
     return {x["gram"]: i for i, x in enumerate(sorted(counts, key=lambda x: (x["c"], x["gram"])))}
 
 
 def prefix_of(word: str, order: dict[str, int]) -> list[tuple[int, int]]:
-    """(order, place) of the bigrams up to the third rarest, all that are equal to it included."""
-    grams = sorted((order[word[i:i + _GRAM]], i) for i in range(len(word) - _GRAM + 1))
-    last = grams[min(_PREFIX, len(grams)) - 1][0] if grams else -1
-    return [x for x in grams if x[0] <= last]
+    """(order, place) of the three rarest bigrams, equal ones from the left."""
+    return nsmallest(_PREFIX, ((order[word[i:i + _GRAM]], i) for i in range(len(word) - _GRAM + 1)))
 
 
 def pivots_of(prefix: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -133,43 +146,52 @@ def keys_of(word: str, place: int) -> list[int]:
     """Keys of the word by its bigram at `place`: two words at distance one that share it unchanged share a key.
 
     The word is the shorter one or as long as the other, or the longer one; the edit is on either side of the bigram, in
-    one of the windows of `WINDOW` letters of the shorter word. The key is all that stands outside the window.
+    one of the windows of the shorter word. The key is all that stands outside the window.
     """
     n, letters, out = len(word), word.encode("utf-32-le", "surrogatepass"), []
     for short in (n, n - 1):
         for side, start, stop in ((0, place + _GRAM, short), (1, 0, place - (n - short))):  # places in the shorter word
             if stop < start:
                 continue
+            width = max(WINDOW, -(-short // _WINDOWS))
             tag = (short << 1 | side).to_bytes(4, "little") + (place if side == 0 else n - place).to_bytes(4, "little")
-            for at in range(start, max(stop, start + 1), WINDOW):
-                behind = short - min(at + WINDOW, stop)  # letters behind the window, counted from the end
+            for at in range(start, max(stop, start + 1), width):
+                behind = short - min(at + width, stop)  # letters behind the window, counted from the end
                 out.append(xxh3_64_intdigest(tag + at.to_bytes(4, "little") + letters[:4 * at] + letters[4 * (n - behind):]))
     return out
 
 
 def _index(vocabulary: DataFrame, order: dict[str, int]) -> DataFrame:
-    """key, word, last (order of the last prefix bigram) and pivot (whether the key is of a pivot) for each prefix bigram."""
+    """key, word and pivot (whether the key is of a pivot) for each prefix bigram."""
     shared = broadcast(vocabulary.sparkSession, order)
 
     def listed(batches):
         order = shared.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1_000):
-                keys, names, lasts, kinds = [], [], [], []
-                for word in batch.column("word").slice(at, 1_000).to_pylist():
-                    prefix = prefix_of(word, order)
-                    chosen = set(pivots_of(prefix))
-                    for gram in prefix:
-                        own = keys_of(word, gram[1])
-                        keys.extend(own)
-                        names.extend([word] * len(own))
-                        lasts.extend([prefix[-1][0]] * len(own))
-                        kinds.extend([gram in chosen] * len(own))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(names, pa.string()), pa.array(lasts, pa.int32()), pa.array(kinds, pa.bool_())],
-                    ["key", "word", "last", "pivot"])
-
-    return vocabulary.select("word").mapInArrow(listed, "key long, word string, last int, pivot boolean")
+        for words in _word_blocks(batches):
+            keys, names, kinds = [], [], []
+            for word in words:
+                prefix = prefix_of(word, order)
+                chosen = set(pivots_of(prefix))
+                for gram in prefix:
+                    own = keys_of(word, gram[1])
+                    keys.extend(own)
+                    names.extend([word] * len(own))
+                    kinds.extend([gram in chosen] * len(own))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(names, pa.string()), pa.array(kinds, pa.bool_())],
+                ["key", "word", "pivot"])
+
+    return vocabulary.select("word").mapInArrow(listed, "key long, word string, pivot boolean")
+
+
+def _one_edit(a: Column, b: Column) -> Column:
+    """Whether different words are at edit distance one. The built-in distance is for short words; of long ones, all behind
+    the first difference must be equal."""
+    letters = lambda w: F.split(w, "")
+    at = F.array_position(F.zip_with(letters(a), letters(b), lambda x, y: ~x.eqNullSafe(y)), F.lit(True)).cast("int")
+    rest = lambda w, other: F.substring(w, at + F.when(F.length(w) < F.length(other), 0).otherwise(1), F.length(w))
+    longer = (F.abs(F.length(a) - F.length(b)) <= _EDITS) & (rest(a, b) == rest(b, a))
+    return F.when(F.length(a) > _LONG, longer).otherwise(F.levenshtein(a, b, _EDITS) == _EDITS)
 
 
 def near_words(vocabulary: DataFrame) -> DataFrame:
@@ -179,11 +201,11 @@ def near_words(vocabulary: DataFrame) -> DataFrame:
     """
     listed = _index(vocabulary, gram_order(vocabulary))
     a, b = listed.alias("a"), listed.alias("b")
-    last = F.when(F.col("a.pivot"), F.col("a.last"))  # null: does not ask
-    # words that end their prefixes alike and both ask would meet twice
-    asks = (last < F.col("b.last")) | ((last == F.col("b.last")) & (~F.col("b.pivot") | (F.col("a.word") < F.col("b.word"))))
-    # the distance comes last, as it costs most; the index is larger than its source, so no side may be broadcast
-    near = (F.col("a.word") != F.col("b.word")) & asks & (F.levenshtein("a.word", "b.word", _EDITS) == _EDITS)
+    # where both ask, they would meet twice
+    asks = F.when(F.col("b.pivot"), F.col("a.word") < F.col("b.word")).otherwise(F.col("a.word") != F.col("b.word"))
+    # the distance comes last, as it costs most, and is not asked for where the rest is null; the index is larger than its
+    # source, so no side may be broadcast
+    near = F.coalesce(F.when(F.col("a.pivot"), asks), F.lit(False)) & _one_edit(F.col("a.word"), F.col("b.word"))
     found = a.join(b.hint("merge"), (F.col("a.key") == F.col("b.key")) & near)
     return found.select(F.least("a.word", "b.word").alias("a"), F.greatest("a.word", "b.word").alias("b")).distinct()
 

@@ -94,7 +94,12 @@ def test_shared_rare_bigram(make):
 
 
 def test_long_words_and_empty_table(make):
-    long = ["ab" * 1500, "ab" * 1500 + "b", "a" * 2000, "a" * 1999, "z" * 5000 + " " + "word " * 900_000]
+    long = ["ab" * 1500, "ab" * 1500 + "b", "ab" * 700 + "b" + "ab" * 800, "a" * 2000, "a" * 1999, "x" + "a" * 1999,
+            "z" * 600_000 + " " + "word " * 900_000]
+    rng = random.Random(6)
+    for n in (31, 32, 33, 34, 100):
+        word = "".join(rng.choice("abc") for _ in range(n))
+        long += [word, *(edits(rng, word, "abc") for _ in range(40))]
     texts = long + long + ["é" * 8, "é" * 8]
     found = of(spelling.grouped(make(texts), dropped=10_007))
     assert found == plainly(enumerate(texts), 10_007)
