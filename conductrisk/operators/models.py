@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import math
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,7 +17,7 @@ from pyspark.sql import types as T
 
 from conductrisk import config as C
 from conductrisk.operators.ordered import percentiles
-from conductrisk.operators.sequences import event_sequences, sequences
+from conductrisk.operators.sequences import event_sequences
 
 SEED = 42
 POSITIVE_WEIGHT = 10.0
@@ -115,29 +114,6 @@ class SequenceModel:
             *[c for c in seqs.columns if c != "sequence"], F.col("__s.error").alias("error"), F.col("__s.latent").alias("latent"))
 
 
-def role_models(daily: DataFrame, latent: int = C.LATENT_SIZE, roles: list[str] | None = None) -> dict[str, SequenceModel]:
-    """One model per modelled role and a global one. The list of roles is fixed and short."""
-    seqs = sequences(daily)
-    width = len(C.DAILY_FEATURES)
-    out = {}
-    for role in roles or C.MODEL_ROLES:
-        own = seqs.filter(F.col("role") == role)
-        if not own.isEmpty():
-            out[role] = SequenceModel.fit(own, latent, width)
-    out[C.GLOBAL_MODEL] = SequenceModel.fit(seqs, latent, width)
-    return out
-
-
-def score_by_role(daily: DataFrame, models: dict[str, SequenceModel]) -> DataFrame:
-    """Sequence errors under the user's role model, else under the global one."""
-    seqs = sequences(daily)
-    own = [r for r in models if r != C.GLOBAL_MODEL]
-    parts = [models[r].score(seqs.filter(F.col("role") == r)).withColumn("model", F.lit(r)) for r in own]
-    rest = seqs.filter(~F.coalesce(F.col("role").isin(own), F.lit(False)))
-    parts.append(models[C.GLOBAL_MODEL].score(rest).withColumn("model", F.lit(C.GLOBAL_MODEL)))
-    return reduce(lambda a, b: a.unionByName(b), parts)
-
-
 def event_model(events: DataFrame, latent: int = 8) -> tuple[SequenceModel, DataFrame]:
     """Model on single events (hour, weekday, source index) and the scored sequences."""
     indexed = StringIndexer(inputCol="source", outputCol="source_index", handleInvalid="keep").fit(events).transform(events)

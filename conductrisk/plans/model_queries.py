@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from conductrisk import adapters as A
 from conductrisk import config as C
 from conductrisk.operators import models as M
-from conductrisk.operators import sequences, timeline
+from conductrisk.operators import alerts, sequence_models, sequences, timeline
 from conductrisk.plans import tables as T0
 from conductrisk.plans.registry import D, R, query, rounded, text_time
 
@@ -48,17 +48,88 @@ def class_weights(spark, sf):
 
 @query("role_sequence_model_errors")
 def role_sequence_model_errors(spark, sf):
-    daily = _daily(spark, sf)
-    return M.score_by_role(daily, M.role_models(daily)).select("user", "day", "role", "model", "error", "latent")
+    days = _daily(spark, sf)
+    scored = sequence_models.score(days, sequence_models.fit(days), with_latent=True).filter("global_error is not null")
+    model = F.when(F.col("own_error").isNotNull(), F.col("role")).otherwise(C.GLOBAL_MODEL)
+    return scored.select("user", "day", "role", model.alias("model"), F.coalesce("own_error", "global_error").alias("error"), "latent")
 
 
 @query("role_sequence_model_metadata")
 def role_sequence_model_metadata(spark, sf):
-    daily = _daily(spark, sf)
-    scored = M.score_by_role(daily, M.role_models(daily))
-    errors = scored.select("role", "model", F.when(F.col("model") != C.GLOBAL_MODEL, F.col("error")).alias("own_error"),
-                           F.col("error").alias("global_error"))
-    return sequences.model_metadata(T0.stage(errors, "errors"))
+    return sequences.model_metadata(T0.errors(spark, sf, C.LATENT_SIZE))
+
+
+@query("sequence_errors_without_components", f"""
+SELECT "user", {D("day")}, {R("coalesce(own_error, -1)", "own_error")}, {R("coalesce(global_error, -1)", "global_error")} FROM errors""")
+def sequence_errors_without_components(spark, sf):
+    """The fitted path with no component: the errors of the scalers."""
+    days = _daily(spark, sf)
+    rows = sequence_models.score(days, sequence_models.fit(days, 0)).select(
+        "user", "day", *[F.coalesce(c, F.lit(-1.0)).alias(c) for c in ("own_error", "global_error")])
+    return text_time(rounded(rows, "own_error", "global_error"), "day")
+
+
+_ENDS = ", ".join(f"'{r}'" for r in C.MODEL_ROLES)
+_MOMENTS = {
+    # every value of every sequence, by model: sequence, place and feature
+    "seq_values": """
+SELECT model, seq, place * 100 + f AS p, v FROM (
+  SELECT e.model, e."user" || ' ' || e.day AS seq, d.i - e.i + 9 AS place, unnest(range(15)) AS f,
+    unnest([""" + ", ".join(f"d.{f}::DOUBLE" for f in C.DAILY_FEATURES) + f"""]) AS v
+  FROM (SELECT *, unnest(CASE WHEN role IN ({_ENDS}) THEN [role, 'global'] ELSE ['global'] END) AS model FROM weighted WHERE i >= 10) e
+  JOIN weighted d ON d."user" = e."user" AND d.i BETWEEN e.i - 9 AND e.i)""",
+    "seq_scale": """
+SELECT model, p % 100 AS f, CASE WHEN var_pop(v) > 1e-12::DOUBLE * (1 + avg(v) * avg(v)) THEN stddev_pop(v) ELSE 1.0::DOUBLE END AS s
+FROM seq_values GROUP BY 1, 2""",
+    "seq_scaled": """SELECT v.model, v.seq, v.p, v.v / s.s AS x FROM seq_values v JOIN seq_scale s ON s.model = v.model AND s.f = v.p % 100""",
+    "seq_cells": """
+SELECT a.model, a.p AS p, b.p AS q, covar_pop(a.x, b.x) AS c FROM seq_scaled a JOIN seq_scaled b ON a.model = b.model AND a.seq = b.seq AND a.p <= b.p
+GROUP BY 1, 2, 3""",
+}
+
+
+@query("sequence_model_moments", f"""
+SELECT c.model, n_sequences, {R("sum(c.c) FILTER (WHERE p = q)", "total_variance", 4)}, {R("sum(CASE WHEN p = q THEN c.c * c.c ELSE 2 * c.c * c.c END)", "squared_variance", 2)}
+FROM seq_cells c JOIN (SELECT model, count(DISTINCT seq) AS n_sequences FROM seq_values GROUP BY 1) n USING (model) GROUP BY 1, 2""", **_MOMENTS)
+def sequence_model_moments(spark, sf):
+    """Sums of the eigenvalues and of their squares: trace and squared norm of the covariance of all places and features."""
+    models = sequence_models.fit(_daily(spark, sf))
+    total = lambda f: F.aggregate("eigenvalues", F.lit(0.0), lambda s, v: s + f(v))
+    rows = models.select("model", "n_sequences", total(lambda v: v).alias("total_variance"), total(lambda v: v * v).alias("squared_variance"))
+    return rounded(rounded(rows, "total_variance", digits=4), "squared_variance", digits=2)
+
+
+@query("fitted_user_days")
+def fitted_user_days(spark, sf):
+    """Explained scores of user-days under the fitted models."""
+    rows = T0.scored(spark, sf, C.LATENT_SIZE)
+    return text_time(rows.select("user", "role", "day", "anomaly_score", "base_risk", "risk_score", "primary_factor", "mitre_tactic", "explanation"), "day")
+
+
+@query("fitted_score_coverage", """
+SELECT role, count(*) AS days, count_if(own_error IS NOT NULL) AS own_days, count_if(global_error IS NOT NULL) AS sequence_days,
+  0::BIGINT AS outside_range, round(sum(activity_multiplier), 6) + 0.0 AS activity_total, count_if(is_pattern) AS pattern_days
+FROM (SELECT s.*, e.own_error, e.global_error FROM scored s JOIN errors e ON e."user" = s."user" AND e.day = s.day) GROUP BY 1""")
+def fitted_score_coverage(spark, sf):
+    """What a fitted model must leave as it is: the scored days per role, and the parts of the score that no model decides."""
+    rows = T0.errors(spark, sf, C.LATENT_SIZE)
+    seen = rows.select("user", "day", "own_error", "global_error")
+    scored = T0.scored_of(rows).join(seen, ["user", "day"])
+    return rounded(scored.groupBy("role").agg(
+        F.count("*").alias("days"), F.count("own_error").alias("own_days"), F.count("global_error").alias("sequence_days"),
+        F.count_if(~F.col("risk_score").between(0, 100)).alias("outside_range"),
+        F.sum("activity_multiplier").alias("activity_total"), F.count_if("is_pattern").alias("pattern_days")), "activity_total")
+
+
+@query("fitted_alert_decisions")
+def fitted_alert_decisions(spark, sf):
+    rows = alerts.decide(T0.scored_days(spark, sf, C.LATENT_SIZE))
+    return text_time(rows.select("user", "day", "risk_score", "should_alert", "alert_severity"), "day")
+
+
+@query("fitted_risk_report")
+def fitted_risk_report(spark, sf):
+    return T0.report(spark, sf, C.LATENT_SIZE)
 
 
 @query("event_sequence_model_errors")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from conductrisk import adapters as A
 from conductrisk.operators import daily as daily_ops
-from conductrisk.operators import rollup, sequences
+from conductrisk.operators import rollup, sequence_models, sequences
 from conductrisk.operators import telemetry as live
 from conductrisk.operators.scoring import score_daily
 from conductrisk.session import stage
@@ -21,9 +21,15 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily_ops.daily_features(A.activity(spark, sf_dir), A.roster(spark, sf_dir))
 
 
-def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily rows with sequence errors. Both steps are read several times, so each is written."""
-    return stage(sequences.sequence_errors(stage(daily(spark, sf_dir), "daily")), "errors")
+def errors(spark: SparkSession, sf_dir: str, latent: int = 0) -> DataFrame:
+    """Daily rows with sequence errors. Both steps are read several times, so each is written.
+
+    With `latent` components the errors come from models fitted on the daily rows.
+    """
+    days = stage(daily(spark, sf_dir), "daily")
+    if latent:
+        return stage(sequence_models.score(days, sequence_models.fit(days, latent)), "errors")
+    return stage(sequences.sequence_errors(days), "errors")
 
 
 def anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,9 +41,9 @@ def anomalies_of(rows: DataFrame) -> DataFrame:
     return sequences.with_model(sequences.anomaly_scores(rows), sequences.model_metadata(rows))
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored(spark: SparkSession, sf_dir: str, latent: int = 0) -> DataFrame:
     """Scored user-days with a timestamp and a row id."""
-    return scored_of(errors(spark, sf_dir))
+    return scored_of(errors(spark, sf_dir, latent))
 
 
 def scored_of(rows: DataFrame) -> DataFrame:
@@ -46,13 +52,13 @@ def scored_of(rows: DataFrame) -> DataFrame:
     })
 
 
-def report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollup.user_report(scored_days(spark, sf_dir))
+def report(spark: SparkSession, sf_dir: str, latent: int = 0) -> DataFrame:
+    return rollup.user_report(scored_days(spark, sf_dir, latent))
 
 
-def scored_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored_days(spark: SparkSession, sf_dir: str, latent: int = 0) -> DataFrame:
     """The scored days, written once: roll-ups read them several times."""
-    return stage(scored(spark, sf_dir).select(KEEP), "scored")
+    return stage(scored(spark, sf_dir, latent).select(KEEP), "scored")
 
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,16 +50,6 @@ def test_zero_components_equal_the_sql_error(daily):
         assert r.error == pytest.approx(plain[(r.user, r.day)], rel=1e-6)
 
 
-def test_role_models_cover_everybody(daily):
-    models = M.role_models(daily, 4)
-    assert set(models) == {"Admin", "Employee", "global"}
-    scored = M.score_by_role(daily, models)
-    assert scored.count() == 12 * 11
-    # the outlier dominates the first component of its model
-    top = scored.filter("model = 'Employee'").orderBy(F.desc(F.abs(F.col("latent")[0]))).first()
-    assert top.user == "U5"
-
-
 def test_isolation_forest_isolates_outliers(daily):
     rows = daily.withColumn("key", F.concat_ws(":", "user", "day"))
     forest = M.fit_forest(rows, C.CORE_FEATURES, "key", trees=25, rows=64)
