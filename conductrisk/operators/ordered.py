@@ -7,6 +7,7 @@ bounded state across the cuts. Results are the same as those of the plain window
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +17,8 @@ from conductrisk.session import stage
 
 HOT_ROWS = 5_000_000
 PERCENTILE_ACCURACY = 100_000
+#: Values that one task may order.
+TASK_ROWS = 1_000_000
 BROADCAST_GROUPS = 10_000
 
 
@@ -114,13 +117,14 @@ def rolling_counts(df: DataFrame, key: str, ts: str, measures: dict[str, tuple[C
 
 
 def percentiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None,
-                max_groups: int | None = None, accuracy: int = PERCENTILE_ACCURACY) -> DataFrame:
+                max_groups: int | None = None, accuracy: int = PERCENTILE_ACCURACY, task_rows: int = TASK_ROWS) -> DataFrame:
     """Exact, linearly interpolated percentiles: by..., n, p array<double> in the order of `probs`.
 
     A mergeable sketch first brackets every wanted percentile. Its rank error is proven, so the
     exact value lies inside; rows outside the brackets are only counted, rows inside are reduced
-    to value counts. What remains to be ordered per group is about 8 * len(probs) / accuracy of
-    the rows, or at most `accuracy` rows for a small group.
+    to value counts. Per group about 8 * len(probs) / accuracy of the rows remain to be ordered, or at most `accuracy` rows of
+    a small group. Where that can be more than `task_rows` values in a group, they are dealt in value ranges of
+    about so many, summed within each range, and the totals of the lower ranges are added: no task orders a whole group.
 
     `max_groups` is the caller's proven bound on the number of groups. Under BROADCAST_GROUPS the
     brackets are broadcast and the rows stay where they are; otherwise rows and brackets are
@@ -136,22 +140,26 @@ def percentiles(df: DataFrame, value: str, probs: list[float], by: list[str] | N
         F.percentile_approx("__v", lows + highs, accuracy).alias("__b"),
     )
     k = len(probs)
-    bracket = F.transform(
-        F.sequence(F.lit(1), F.lit(k)),
-        lambda i: F.struct(F.element_at("__b", i).alias("lo"), F.element_at("__b", i + k).alias("hi")),
-    )
-    marks = sketch.select(*by, "__n", bracket.alias("__br"))
+    # twice the width of a bracket covers the errors of both its ends
+    left = lambda n: n if n <= accuracy else min(n, math.ceil(n * 16 * k / accuracy))
     if by:
+        bracket = F.transform(
+            F.sequence(F.lit(1), F.lit(k)),
+            lambda i: F.struct(F.element_at("__b", i).alias("lo"), F.element_at("__b", i + k).alias("hi")),
+        )
+        marks = stage(sketch.select(*by, "__n", bracket.alias("__br")), "brackets")
+        largest = left(marks.agg(F.max("__n")).first()[0] or 0)
         # null-safe, so that a null group keeps its percentiles
         m = marks.select(*[F.col(c).alias(f"__by_{c}") for c in by], "__n", "__br")
-        condition = F.lit(True)
-        for c in by:
-            condition = condition & F.col(c).eqNullSafe(F.col(f"__by_{c}"))
+        condition = _same(by, "__by_")
         small_side = max_groups is not None and max_groups <= BROADCAST_GROUPS
         rows = base.join(F.broadcast(m) if small_side else m, condition).drop(*[f"__by_{c}" for c in by])
     else:
-        one = marks.select(F.struct("__n", "__br").alias("s")).scalar()
-        rows = base.withColumns({"__n": one["__n"], "__br": one["__br"]})
+        one = sketch.first()
+        largest = left(one["__n"])
+        ends = one["__b"] or [0.0] * (2 * k)
+        rows = base.withColumns({"__n": F.lit(one["__n"]), "__br": F.array(*[
+            F.struct(F.lit(float(ends[i])).alias("lo"), F.lit(float(ends[i + k])).alias("hi")) for i in range(k)])})
     small = F.col("__n") <= accuracy
     inside = small | F.exists("__br", lambda b: F.col("__v").between(b["lo"], b["hi"]))
     passed = F.when(small, F.lit(0)).otherwise(F.size(F.filter("__br", lambda b: b["hi"] < F.col("__v"))))
@@ -160,9 +168,11 @@ def percentiles(df: DataFrame, value: str, probs: list[float], by: list[str] | N
         .groupBy(*by, "__seg", "__key")
         .agg(F.count("*").alias("__c"), F.min("__v").alias("__rep"), F.max("__n").alias("__n"))
     )
-    # the single group of the ungrouped case is as small as the brackets keep it
-    w = Window.partitionBy(*by, F.lit(0)).orderBy("__rep").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = runs.withColumn("__hi", F.sum("__c").over(w)).withColumn("__lo", F.col("__hi") - F.col("__c"))
+    if largest > task_rows:
+        ranked = _ranked_in_ranges(_in_ranges(runs, by, "__rep", task_rows), by)
+    else:
+        w = Window.partitionBy(*by, F.lit(0)).orderBy("__rep").rowsBetween(Window.unboundedPreceding, 0)
+        ranked = runs.withColumn("__hi", F.sum("__c").over(w)).withColumn("__lo", F.col("__hi") - F.col("__c"))
     wanted = F.filter(
         F.transform(F.array(*[F.lit(float(p)) for p in probs]), lambda p, i: F.struct(
             i.alias("i"), (p * (F.col("__n") - 1)).alias("at"))),
@@ -180,12 +190,39 @@ def percentiles(df: DataFrame, value: str, probs: list[float], by: list[str] | N
     return picked.groupBy(*by).agg(F.max("n").alias("n"), F.transform(listed, lambda e: e["v"]).alias("p"))
 
 
+def _same(by: list[str], prefix: str) -> Column:
+    condition = F.lit(True)
+    for c in by:
+        condition = condition & F.col(c).eqNullSafe(F.col(f"{prefix}{c}"))
+    return condition
+
+
+def _in_ranges(runs: DataFrame, by: list[str], value: str, task_rows: int) -> DataFrame:
+    """`runs` written in ranges of (by..., value) with about `task_rows` rows each, and `__range`, the number of the range."""
+    written = stage(runs, "runs")
+    ranges = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-written.count() // task_rows))
+    return stage(written.repartitionByRange(ranges, *by, value).withColumn("__range", F.spark_partition_id()), "ranges")
+
+
+def _ranked_in_ranges(placed: DataFrame, by: list[str]) -> DataFrame:
+    """Add __lo and __hi: rows of the group before a run, and up to its end."""
+    totals = placed.groupBy("__range", *by).agg(F.sum("__c").alias("__t"))
+    # a row per range that the group reaches into
+    lower = Window.partitionBy(*by, F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(F.col("__range").alias("__in"), *[F.col(c).alias(f"__of_{c}") for c in by],
+                            F.coalesce(F.sum("__t").over(lower), F.lit(0)).alias("__o"))
+    inner = Window.partitionBy("__range", *by).orderBy("__rep").rowsBetween(Window.unboundedPreceding, 0)
+    joined = placed.join(offsets, (F.col("__range") == F.col("__in")) & _same(by, "__of_"))
+    return joined.withColumn("__hi", F.sum("__c").over(inner) + F.col("__o")).withColumn("__lo", F.col("__hi") - F.col("__c")).drop(
+        "__in", "__o", *[f"__of_{c}" for c in by])
+
+
 def cumulative(df: DataFrame, value: str, measures: dict[str, Column], ranges: int | None = None) -> DataFrame:
     """One row per distinct value: value, measures, and `below_<m>` = total of smaller values.
 
     Rows are reduced to distinct values first. These are dealt in value ranges and written once with the number of
     their range; then they are summed within each range, and the totals of the lower ranges are added. There are as
-    many ranges as shuffle partitions, so the work of a task does not grow with the table if these do.
+    many ranges as shuffle partitions; set these by the size of the table.
     """
     names = list(measures)
     ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from conductrisk.operators.ordered import hash_position, split
 from conductrisk.session import stage
 
-RANGES = 1024
-QUERY_SALTS = 16
+#: Bytes of the centres that every task gets, rings of a cell, rows of a block.
+CENTRE_BYTES, RINGS, BLOCK_ROWS = 16_000_000, 64, 2_000
+#: Distances that are held at once.
+_HELD = 4_000_000
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -19,76 +22,190 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
 
 
-def _closest(queries: pd.DataFrame, members: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k closest members of each query point, itself excluded, ties by id."""
-    empty = pd.DataFrame({"id": [], "neighbour": [], "distance": []}).astype({"id": "int64", "neighbour": "int64", "distance": "float64"})
-    if queries.empty or members.empty:
-        return empty
-    m = np.stack(members["vec"].to_numpy())
-    ids = members["id"].to_numpy()
+def _rough(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(squared distances by one matrix product, a bound of their rounding errors per row of a)."""
+    aa, bb = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    return np.maximum(aa[:, None] + bb[None] - 2 * (a @ b.T), 0), 1e-12 * (1 + a.shape[1]) * (aa + bb.max(initial=0.0))
+
+
+def _closest(ids: np.ndarray, vecs: np.ndarray, member_ids: np.ndarray, members: np.ndarray, k: int,
+             reach: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, neighbour, distance) of the k closest members of each point within its reach, itself excluded, ties by id.
+
+    Matrix products tell which members can be among the closest; the distances of those are computed from the differences.
+    """
     parts = []
-    for qid, vec in zip(queries["id"].to_numpy(), queries["vec"]):
-        d = np.sqrt(((m - np.asarray(vec)) ** 2).sum(axis=1))
-        keep = ids != qid
-        d, other = d[keep], ids[keep]
-        if len(d) > 4 * k:
-            near = d <= np.partition(d, k - 1)[k - 1]
-            d, other = d[near], other[near]
-        best = np.lexsort((other, d))[:k]
-        parts.append(pd.DataFrame({"id": qid, "neighbour": other[best], "distance": d[best]}))
-    return pd.concat(parts, ignore_index=True) if parts else empty
+    step = max(1, _HELD // max(1, len(members)))
+    for at in range(0, len(ids), step):
+        own, x = ids[at:at + step], vecs[at:at + step]
+        d, error = _rough(x, members)
+        d[own[:, None] == member_ids[None]] = np.inf
+        bound = np.partition(d, k - 1, axis=1)[:, k - 1] + 2 * error if d.shape[1] >= k else np.full(len(d), np.inf)
+        if reach is not None:
+            bound = np.minimum(bound, reach[at:at + step] ** 2 + 2 * error)
+        i, j = np.nonzero((d <= bound[:, None]) & np.isfinite(d))
+        exact = np.sqrt(((x[i] - members[j]) ** 2).sum(axis=1))
+        order = np.lexsort((member_ids[j], exact, i))
+        i, j, exact = i[order], j[order], exact[order]
+        nth = np.arange(len(i)) - np.searchsorted(i, i)  # i is ascending
+        keep = nth < k
+        parts.append((own[i[keep]], member_ids[j[keep]], exact[keep]))
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    return tuple(np.concatenate(x) for x in zip(none, *parts))
+
+
+def _matrix(vec: pa.Array) -> np.ndarray:
+    vec = vec.combine_chunks() if isinstance(vec, pa.ChunkedArray) else vec
+    return vec.flatten().to_numpy(zero_copy_only=False).reshape(len(vec), -1) if len(vec) else np.zeros((0, 0))
 
 
+_FOUND = {"id": pa.int64(), "neighbour": pa.int64(), "distance": pa.float64()}
 _OUT = "id long, neighbour long, distance double"
 
 
-def nearest_in_class(points: DataFrame, k: int = 5, block_rows: int = 1000) -> DataFrame:
+def _centres(heads: DataFrame, block_rows: int, budget: int) -> dict:
+    """{label: matrix of about sqrt(n) of its rows}, for labels of more than a block, the largest first, within `budget` bytes."""
+    sizes = heads.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).filter(F.col("n") > block_rows)
+    wanted, left = [], budget
+    for r in sizes.orderBy(F.desc("n"), "label").limit(budget // 64).collect():
+        c = min(int(np.ceil(np.sqrt(r["n"]))), left // max(1, 8 * r["d"]))
+        if c >= 2:
+            wanted.append((r["label"], c, 4.0 * c / r["n"]))
+            left -= 8 * r["d"] * c
+    if not wanted:
+        return {}
+    table = heads.sparkSession.createDataFrame(wanted, T.StructType([
+        heads.schema["label"], T.StructField("wanted", T.IntegerType()), T.StructField("share", T.DoubleType())]))
+    at = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
+    drawn = heads.join(F.broadcast(table), "label").withColumn("at", at).filter("at < share").withColumn(
+        "rn", F.row_number().over(Window.partitionBy("label").orderBy("at", "id"))).filter("rn <= wanted")
+    out: dict = {}
+    for r in drawn.select("label", "vec").collect():  # at most `budget` bytes
+        out.setdefault(r["label"], []).append(r["vec"])
+    return {label: np.array(v, float) for label, v in out.items()}
+
+
+def _placed(heads: DataFrame, centres: dict, block_rows: int) -> DataFrame:
+    """Rows with their block: cell (nearest centre, or a hash below 0 without centres), d0 (distance to it), ring and part."""
+    shared = heads.sparkSession.sparkContext.broadcast(centres)
+    names = heads.columns
+
+    def nearest(batches):
+        for batch in batches:
+            labels, cell, d0 = batch.column("label").to_pylist(), np.zeros(batch.num_rows, np.int64), np.full(batch.num_rows, np.nan)
+            for label in set(labels) & set(shared.value):
+                at, c = np.array([i for i, x in enumerate(labels) if x == label]), shared.value[label]
+                x, step = _matrix(batch.column("vec").take(pa.array(at))), max(1, _HELD // len(c))
+                for i in range(0, len(at), step):
+                    own = x[i:i + step]
+                    near = _rough(own, c)[0].argmin(axis=1)
+                    cell[at[i:i + step]], d0[at[i:i + step]] = near, np.sqrt(((own - c[near]) ** 2).sum(axis=1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(d0, from_pandas=True)], [*names, "cell", "d0"])
+
+    schema = T.StructType([*heads.schema.fields, T.StructField("cell", T.LongType()), T.StructField("d0", T.DoubleType())])
+    near = heads.mapInArrow(nearest, schema)
+    of_label = heads.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("long").alias("spread"))
+    by_cell = stage(near.join(of_label, "label").withColumn("cell", F.when(F.col("d0").isNull(), -1 - F.pmod(
+        F.xxhash64("id"), F.col("spread"))).otherwise(F.col("cell"))), "cells")
+    cells = by_cell.groupBy("label", "cell").agg(
+        F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("wanted"),
+        F.percentile_approx("d0", [i / RINGS for i in range(1, RINGS)], 1_000).alias("steps"))
+    fine = F.size(F.filter("steps", lambda x: x < F.col("d0")))
+    rings = F.least(F.lit(RINGS), F.col("wanted"))
+    return stage(by_cell.join(cells, ["label", "cell"]).withColumns({
+        "ring": F.when(F.col("d0").isNull(), 0).otherwise(F.floor(fine * rings / RINGS)).cast("int"),
+        "part": F.when(F.col("d0").isNull(), 0).otherwise(
+            F.pmod(F.xxhash64("id"), F.ceil(F.col("wanted") / RINGS))).cast("int")}).drop("steps", "wanted"), "placed")
+
+
+_BLOCK = ["label", "cell", "ring", "part"]
+
+
+def _asked(placed: DataFrame, reach: DataFrame, centres: dict) -> DataFrame:
+    """The other blocks that can hold a row within a row's reach: block, id, vec, reach.
+
+    A cell is skipped if its border is further than the reach ((d(q, its centre) - d(q, own centre)) / 2), a ring if the
+    triangle inequality keeps it out.
+    """
+    shared = placed.sparkSession.sparkContext.broadcast(centres)
+    rows = placed.join(reach, "id", "left").withColumn("reach", F.coalesce("reach", F.lit(float("inf")))).select(
+        *_BLOCK, "id", "vec", "spread", "reach")
+    names = rows.columns
+
+    def route(batches):
+        for batch in batches:
+            labels, spread = batch.column("label").to_pylist(), batch.column("spread").to_pylist()
+            reach = batch.column("reach").to_numpy(zero_copy_only=False)
+            found: list = [None] * batch.num_rows
+            for label in set(labels):
+                at, c = np.array([i for i, x in enumerate(labels) if x == label]), shared.value.get(label)
+                if c is None:
+                    for i in at:
+                        found[i] = [{"cell": -1 - j, "dq": None} for j in range(spread[i])]
+                    continue
+                x, step = _matrix(batch.column("vec").take(pa.array(at))), max(1, _HELD // len(c))
+                for i in range(0, len(at), step):
+                    d, error = _rough(x[i:i + step], c)
+                    d = np.sqrt(d)
+                    slack = np.sqrt(error)[:, None]
+                    seen = (d - d.min(axis=1, keepdims=True)) / 2 <= reach[at[i:i + step]][:, None] + slack
+                    for row, keep, dist in zip(at[i:i + step], seen, d, strict=True):
+                        found[row] = [{"cell": int(j), "dq": float(dist[j])} for j in np.flatnonzero(keep)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(found, pa.list_(pa.struct([("cell", pa.int64()), ("dq", pa.float64())])))], [*names, "cells"])
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("cells", T.ArrayType(T.StructType([
+        T.StructField("cell", T.LongType()), T.StructField("dq", T.DoubleType())])))])
+    routed = rows.mapInArrow(route, schema).select(
+        "label", F.struct("cell", "ring", "part").alias("home"), "id", "vec", "reach", F.explode("cells").alias("c")).select(
+        "label", "home", "id", "vec", "reach", F.col("c.cell").alias("cell"), F.col("c.dq").alias("dq"))
+    blocks = placed.groupBy(*_BLOCK).agg(F.min("d0").alias("lo"), F.max("d0").alias("hi"))
+    room = F.col("reach") * (1 + 1e-9) + 1e-6 * (1 + F.col("dq"))
+    within = F.col("dq").isNull() | ((F.col("lo") <= F.col("dq") + room) & (F.col("hi") >= F.col("dq") - room))
+    return routed.join(blocks, ["label", "cell"]).filter(within & (F.struct("cell", "ring", "part") != F.col("home"))).select(
+        *_BLOCK, "id", "vec", "reach")
+
+
+def nearest_in_class(points: DataFrame, k: int = 5, block_rows: int = BLOCK_ROWS, budget: int = CENTRE_BYTES) -> DataFrame:
     """Exact k nearest rows of the same class: (label, id, neighbour, distance, nth).
 
     Input: label, id (long), vec (array<double>). Copies of one vector are reduced to k + 1 rows
     first: nobody needs more of them, and further copies take their neighbours from those rows.
-    The rest is cut into ranges of the distance to a pivot. A row's k-th distance inside its own
-    range bounds, by the triangle inequality, the other ranges it has to look at; each
-    range answers with k rows per question, never with all pairs.
+    The rest goes to the nearest of about sqrt(n) centres per class; cells are cut into rings around their centre and
+    these into blocks of about `block_rows`. A row's k-th distance inside its own block bounds the other blocks it has to look
+    at; each block answers batches of rows with k rows per question, never with all pairs.
     """
-    vec_key = F.xxhash64("vec")
-    points = points.withColumn("vkey", vec_key)
+    points = points.withColumn("vkey", F.xxhash64("vec"))
     copies = Window.partitionBy("label", "vkey", "vec").orderBy("id")
-    heads = points.withColumn("nth_copy", F.row_number().over(copies)).filter(F.col("nth_copy") <= k + 1).drop("nth_copy")
-
-    pivots = heads.groupBy("label").agg(F.min_by("vec", "id").alias("pivot"))
-    steps = [i / RANGES for i in range(1, RANGES)]
-    measured = heads.join(pivots, "label").withColumn("d0", distance(F.col("vec"), F.col("pivot"))).drop("pivot")
-    splits = measured.groupBy("label").agg(
-        F.count("*").alias("n"), F.percentile_approx("d0", steps, 10_000).alias("s"))
-    fine = F.size(F.filter("s", lambda x: x < F.col("d0")))
-    blocks_wanted = F.least(F.lit(RANGES), F.ceil(F.col("n") / block_rows))
-    placed = measured.join(splits, "label").withColumn(
-        "block", F.coalesce(F.floor(fine * blocks_wanted / RANGES).cast("int"), F.lit(0))).drop("s", "n")
-
-    placed = stage(placed, "placed")
-    inside = placed.groupBy("label", "block").applyInPandas(lambda m: _closest(m[["id", "vec"]], m[["id", "vec"]], k), _OUT)
-    bound = inside.groupBy("id").agg(F.count("*").alias("found"), F.max("distance").alias("r"))
-    ranges = placed.groupBy("label", "block").agg(F.min("d0").alias("lo"), F.max("d0").alias("hi")).groupBy("label").agg(
-        F.collect_list(F.struct("block", "lo", "hi")).alias("ranges"))
-    reach = F.when(F.col("found") >= k, F.col("r") * (1 + 1e-9) + 1e-12).otherwise(F.lit(float("inf")))
-    others = F.filter("ranges", lambda b: (b["block"] != F.col("block")) & (
-        b["lo"] <= F.col("d0") + F.col("reach")) & (b["hi"] >= F.col("d0") - F.col("reach")))
-    salt = F.pmod(F.xxhash64("id"), F.lit(QUERY_SALTS)).cast("int")
-    asked = placed.join(bound, "id", "left").withColumn("reach", F.coalesce(reach, F.lit(float("inf")))).join(
-        ranges, "label").select("label", "id", "vec", salt.alias("salt"), F.explode(others).alias("b")).select(
-        "label", F.col("b.block").alias("block"), "salt", "id", "vec")
-    needed = asked.select("label", "block", "salt").distinct()
-    keys = ["label", "block", "salt"]
-    members = placed.select("label", "block", "id", "vec").join(needed, ["label", "block"]).select(
-        *[F.col(c).alias(f"m_{c}") for c in [*keys, "id", "vec"]])
-    outside = asked.groupBy(*keys).cogroup(members.groupBy(*[f"m_{c}" for c in keys])).applyInPandas(
-        lambda q, m: _closest(q[["id", "vec"]], m[["m_id", "m_vec"]].set_axis(["id", "vec"], axis=1), k), _OUT)
+    heads = stage(points.withColumn("nth_copy", F.row_number().over(copies)).filter(F.col("nth_copy") <= k + 1).drop("nth_copy")
+                  .select("label", "id", "vkey", "vec"), "heads")
+    centres = _centres(heads, block_rows, budget)
+    placed = _placed(heads, centres, block_rows)
+
+    def within(group: pa.Table) -> pa.Table:
+        ids, x = group.column("id").to_numpy(), _matrix(group.column("vec"))
+        return pa.table(dict(zip(_FOUND, _closest(ids, x, ids, x, k))), schema=pa.schema(_FOUND))
+
+    inside = stage(placed.select(*_BLOCK, "id", "vec").groupBy(*_BLOCK).applyInArrow(within, _OUT), "inside")
+    reach = inside.groupBy("id").agg(F.count(F.lit(1)).alias("found"), F.max("distance").alias("r")).filter(
+        F.col("found") >= k).select("id", F.col("r").alias("reach"))
+    asked = stage(_asked(placed, reach, centres), "asked")
+    batches = asked.groupBy(*_BLOCK).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("batches"))
+    keys = [*_BLOCK, "batch"]
+    questions = asked.join(batches, _BLOCK).withColumn("batch", F.pmod(F.xxhash64("id"), F.col("batches")).cast("int")).drop("batches")
+    members = placed.join(batches, _BLOCK).select(
+        *[F.col(c).alias(f"m_{c}") for c in [*_BLOCK, "id", "vec"]], F.explode(F.sequence(F.lit(0), F.col("batches") - 1)).alias("m_batch"))
+
+    def answer(q: pa.Table, m: pa.Table) -> pa.Table:
+        found = _closest(q.column("id").to_numpy(), _matrix(q.column("vec")), m.column("m_id").to_numpy(), _matrix(m.column("m_vec")), k,
+                         q.column("reach").to_numpy()) if len(q) and len(m) else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table(dict(zip(_FOUND, found)), schema=pa.schema(_FOUND))
 
+    outside = questions.groupBy(*keys).cogroup(members.groupBy(*[f"m_{c}" for c in keys])).applyInArrow(answer, _OUT)
     found = inside.unionByName(outside)
     best = F.slice(F.sort_array(F.collect_list(F.struct("distance", "neighbour"))), 1, k)
     listed = found.groupBy("id").agg(best.alias("best"))
-    of_heads = heads.select("label", "id", "vkey", "vec").join(listed, "id", "left")
+    of_heads = heads.join(listed, "id", "left")
     # further copies: the k first copies, at distance 0
     first = of_heads.groupBy("label", "vkey", "vec").agg(F.slice(F.sort_array(F.collect_list("id")), 1, k).alias("firsts"))
     further = points.join(heads.select("label", "id"), ["label", "id"], "left_anti").join(

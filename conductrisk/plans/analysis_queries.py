@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from conductrisk import adapters as A
@@ -209,6 +211,33 @@ def tail_threshold(spark, sf):
     return rounded(rows, "threshold", "shape", "scale", "tail_cutoff", "ks_statistic")
 
 
+_TKS = """
+SELECT b.n, max(greatest(abs(f - lo), abs(f - hi))) AS d FROM tbest b, (
+ SELECT 1 - pow(1 + c.theta * x, -1 / c.xi) AS f, (rank() OVER (ORDER BY x) - 1) / c.n::DOUBLE AS lo,
+   (rank() OVER (ORDER BY x) - 1 + count(*) OVER (PARTITION BY x)) / c.n::DOUBLE AS hi FROM tail, tbest c) GROUP BY 1"""
+_TLAM = "SELECT (sqrt(n) + 0.12::DOUBLE + 0.11::DOUBLE / sqrt(n)) * d AS lam FROM tks"
+_TP = """SELECT CASE WHEN lam < 0.3 THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE,
+  (SELECT sum(CASE WHEN k % 2 = 1 THEN 2 ELSE -2 END * exp(-2.0::DOUBLE * k * k * lam * lam)) FROM range(1, 9) r(k)))) END AS p FROM tlam"""
+
+
+@query("threshold_dispatch", f"""
+SELECT 'percentile' AS asked, 'percentile' AS method, {R("quantile_cont(score, 0.995)", "threshold")}, {R("least(1.0::DOUBLE, count(*) / 1000.0::DOUBLE)", "confidence")} FROM sc
+UNION ALL SELECT 'evt', 'evt', {R("b.c + (b.xi / b.theta) / b.xi * (pow(1 - 0.999::DOUBLE, -b.xi) - 1)", "t")}, {R("p", "k")} FROM tbest b, tp
+UNION ALL SELECT 'iqr', 'iqr', {R("quantile_cont(score, 0.75) + 1.5 * (quantile_cont(score, 0.75) - quantile_cont(score, 0.25))", "t")}, 0.8::DOUBLE FROM sc
+UNION ALL SELECT 'std', 'std', {R("avg(score) + 3 * stddev_pop(score)", "t")}, 0.7::DOUBLE FROM sc
+UNION ALL (SELECT 'cost', 'cost', {R("t", "t")}, {R("1 - cost / ((tp + fp + fn + tn) * 10.0::DOUBLE)", "k")} FROM costs ORDER BY costs.cost, i LIMIT 1)
+UNION ALL SELECT 'few_samples', 'default', 0.52::DOUBLE, 0.5::DOUBLE""",
+       sc=_SC, grid100=_GRID100, costs=_COSTS, tail=_TAIL, tstat=_TSTAT, tfit=_TFIT, tbest=_TBEST, tks=_TKS, tlam=_TLAM, tp=_TP)
+def threshold_dispatch(spark, sf):
+    """Every method by its name, the tail fit and the labelled cost among them, with confidence."""
+    rows = T0.stage(_scores(spark, sf), "scores")
+    few = A.events(spark, sf).filter("user = 'U5'").select((F.col("value") / 500).alias("score"))
+    parts = [H.adaptive_threshold(rows, m, label="label" if m == "cost" else None).withColumn("asked", F.lit(m))
+             for m in ("percentile", "evt", "iqr", "std", "cost")]
+    parts.append(H.adaptive_threshold(few, "evt").withColumn("asked", F.lit("few_samples")))
+    return rounded(reduce(lambda a, b: a.unionByName(b), parts), "threshold", "confidence")
+
+
 @query("adaptive_thresholds", f"""
 SELECT 'percentile' AS asked, 'percentile' AS method, {R("quantile_cont(score, 0.995)", "threshold")} FROM sc UNION ALL SELECT 'iqr', 'iqr', {R("quantile_cont(score, 0.75) + 1.5 * (quantile_cont(score, 0.75) - quantile_cont(score, 0.25))", "t")} FROM sc
 UNION ALL SELECT 'std', 'std', {R("avg(score) + 3 * stddev_pop(score)", "t")} FROM sc UNION ALL SELECT 'cost_without_labels', 'percentile', {R("quantile_cont(score, 0.995)", "t")} FROM sc

@@ -94,6 +94,53 @@ def test_nearest_neighbours_equal_brute_force_with_many_copies(spark):
         assert i not in [m[2] for m in mine] and len({m[2] for m in mine}) == 5
 
 
+def _brute_neighbours(rows, k):
+    out = {}
+    for label, i, v in rows:
+        d = sorted((float(np.sqrt(((np.array(v) - np.array(w)) ** 2).sum())), j) for l, j, w in rows if l == label and j != i)
+        out[i] = d[:k]
+    return out
+
+
+@pytest.mark.parametrize("budget", [16_000_000, 2_000, 0])
+def test_nearest_neighbours_with_many_blocks(spark, budget):
+    """Cells, rings and parts: clusters of unequal size, whole numbers for ties, a small third class, and no centres at all."""
+    rng = np.random.default_rng(8)
+    centres = rng.integers(-60, 60, (6, 3))
+    pts = centres[np.minimum(rng.integers(0, 12, 700), 5)] + rng.integers(-6, 7, (700, 3))  # one cluster has more than half
+    rows = [(2 if i < 4 else int(i % 5 == 0), i, [float(x) for x in p]) for i, p in enumerate(pts)]
+    df = spark.createDataFrame(rows, "label int, id long, vec array<double>").repartition(4)
+    got = {}
+    for r in S.nearest_in_class(df, 5, block_rows=16, budget=budget).collect():
+        got.setdefault(r.id, []).append((r.nth, r.distance, r.neighbour))
+    want = _brute_neighbours(rows, 5)
+    copies = {}
+    for label, i, v in rows:
+        copies.setdefault((label, *v), []).append(i)
+    for label, i, v in rows:
+        mine = sorted(got[i])
+        assert [m[0] for m in mine] == list(range(1, len(want[i]) + 1))
+        assert [m[1] for m in mine] == pytest.approx([d for d, _ in want[i]])
+        if max(len(copies[label, *rows[j][2]]) for _, j in want[i]) <= 5:
+            assert [m[2] for m in mine] == [j for _, j in want[i]]
+
+
+def test_neighbours_compare_few_pairs(spark, monkeypatch):
+    """On clustered vectors the rows that are asked of other blocks are a small part of all pairs."""
+    rng = np.random.default_rng(9)
+    pts = np.repeat(rng.normal(size=(80, 8)) * 40, 100, axis=0) + rng.normal(size=(8000, 8))
+    df = spark.createDataFrame([(0, i, p.tolist()) for i, p in enumerate(pts)], "label int, id long, vec array<double>")
+    compared, plain, whole = [], S._asked, S._placed
+    monkeypatch.setattr(S, "_placed", lambda *a: compared.append(whole(*a)) or compared[-1])
+    monkeypatch.setattr(S, "_asked", lambda *a: compared.append(plain(*a)) or compared[-1])
+    assert S.nearest_in_class(df, 5, block_rows=200).count() == 5 * 8000
+    placed, asked = compared
+    sizes = placed.groupBy(*S._BLOCK).agg(F.count("*").alias("m"))
+    own = sizes.agg(F.sum(F.col("m") * F.col("m"))).first()[0]
+    others = asked.join(sizes, S._BLOCK).agg(F.sum("m")).first()[0] or 0
+    assert (own + others) < 0.1 * 8000 ** 2
+
+
 def test_synthetic_rows_lie_between_their_parents(spark):
     rng = np.random.default_rng(1)
     rows = [(i, int(i < 12), [float(x) for x in rng.normal(size=3)]) for i in range(80)]

@@ -65,6 +65,44 @@ def test_percentiles_by_group(events, max_groups):
         assert got[user] == pytest.approx(list(np.percentile(mine, [10, 50])))
 
 
+@pytest.mark.parametrize("by", [None, ["g"]])
+def test_percentiles_of_many_values_in_bounded_tasks(spark, by):
+    """Two million distinct values and a coarse sketch: the remainder is dealt in ranges, no task gets a large part of it."""
+    n, task = 2_000_000, 20_000
+    df = spark.range(n).select(  # one group has a third of the rows, another is null
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 1000 == 1, None).otherwise(F.concat(F.lit("g"), F.col("id") % 5)).alias("g"),
+        ((F.xxhash64("id") % 1_000_003) / 7 + F.col("id") / 1e9).alias("v"))
+    probs = [0.001, 0.25, 0.5, 0.501, 0.995]
+    seen, plain = [], O._in_ranges
+
+    def watched(runs, by, value, task_rows):
+        placed = plain(runs, by, value, task_rows)
+        seen.append((placed.count(), placed.groupBy("__range").count().agg(F.max("count")).first()[0]))
+        return placed
+
+    O._in_ranges = watched
+    try:
+        got = {r["g"] if by else "": r for r in O.percentiles(df, "v", probs, by, accuracy=100, task_rows=task).collect()}
+    finally:
+        O._in_ranges = plain
+    rows, largest = seen[0]
+    assert rows > 10 * task and largest <= 3 * task
+    pdf = df.toPandas()
+    groups = pdf.groupby(pdf.g.fillna("null")) if by else [("", pdf)]
+    want = {None if k == "null" else k: (len(x), np.percentile(x.v, [100 * p for p in probs])) for k, x in groups}
+    assert set(got) == set(want)
+    for k, (size, p) in want.items():
+        assert got[k].n == size and got[k].p == pytest.approx(list(p), rel=1e-12)
+
+
+def test_percentiles_of_nothing(spark):
+    empty = spark.createDataFrame([], "g string, v double")
+    nulls = spark.createDataFrame([("a", None)], "g string, v double")
+    for df in (empty, nulls):
+        assert [(r.n, r.p) for r in O.percentiles(df, "v", [0.5]).collect()] == [(None, [])]
+        assert O.percentiles(df, "v", [0.5], ["g"]).collect() == []
+
+
 def test_cumulative_counts(events):
     got = {r.value: (r.c, r.below_c) for r in O.cumulative(events, "value", {"c": F.count("*")}, 8).collect()}
     values = np.array([r.value for r in events.select("value").collect()])
