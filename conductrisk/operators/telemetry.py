@@ -10,6 +10,8 @@ from conductrisk.functions import integrity as I
 from conductrisk.functions.common import clamp
 
 BASELINE_DAYS = 7
+#: Length of the slices in which rows look for the last refresh.
+SLICE_SECONDS = 600
 MEASURES = {
     "mv_avg": "mouse_velocity_avg", "mv_std": "mouse_velocity_std",
     "kf_avg": "keystroke_flight_avg_ms", "kf_std": "keystroke_flight_std_ms",
@@ -95,27 +97,38 @@ def score(rows: DataFrame) -> DataFrame:
     }).drop("__d", "__t")
 
 
-def with_baseline_as_of(rows: DataFrame) -> DataFrame:
+def with_baseline_as_of(rows: DataFrame, fresh: DataFrame | None = None, newest: DataFrame | None = None) -> DataFrame:
     """The user's newest baseline from before each row; baselines are refreshed at each tenth row of the table.
 
-    No row sees its own refresh or a later one. Work is cut at day borders: within a day of a user the last
-    refresh before the row counts, else the last one of an earlier day.
+    No row sees its own refresh or a later one. Work is cut at slices of SLICE_SECONDS: within a slice of a user the last
+    refresh before the row counts, else the last one of an earlier slice. A stream passes the refreshes of its batch (`fresh`)
+    and the last ones of the batches before (`newest`: user_id, last).
     """
-    fresh = refreshed_baselines(rows).select("id", F.struct(*MEASURES).alias("__b"))
-    marked = rows.join(fresh, "id", "left").withColumn("__day", F.floor(F.unix_seconds("timestamp") / 86400))
-    newest = F.max(F.when(F.col("__b").isNotNull(), F.struct("timestamp", "id", "__b")))
-    earlier = Window.partitionBy("user_id").orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
-    opening = marked.groupBy("user_id", "__day").agg(newest.alias("__l")).select(
-        "user_id", "__day", F.last("__l", ignorenulls=True).over(earlier).alias("__l"))
-    within = Window.partitionBy("user_id", "__day").orderBy("timestamp", "id").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = refreshed_baselines(rows) if fresh is None else fresh
+    marked = rows.join(fresh.select("id", F.struct(*MEASURES).alias("__b")), "id", "left").withColumn(
+        "__slice", F.floor(F.unix_seconds("timestamp") / SLICE_SECONDS))
+    refreshed = F.max(F.when(F.col("__b").isNotNull(), F.struct("timestamp", "id", "__b")))
+    earlier = Window.partitionBy("user_id").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    opening = marked.groupBy("user_id", "__slice").agg(refreshed.alias("__l")).select(
+        "user_id", "__slice", F.last("__l", ignorenulls=True).over(earlier).alias("__l"))
+    if newest is not None:
+        opening = opening.join(newest.select("user_id", "last"), "user_id", "left").select(
+            "user_id", "__slice", F.coalesce("__l", "last").alias("__l"))
+    within = Window.partitionBy("user_id", "__slice").orderBy("timestamp", "id").rowsBetween(Window.unboundedPreceding, -1)
     base = F.coalesce("__w", "__l.__b")
     return (
-        marked.withColumn("__w", F.last("__b", ignorenulls=True).over(within)).join(opening, ["user_id", "__day"])
+        marked.withColumn("__w", F.last("__b", ignorenulls=True).over(within)).join(opening, ["user_id", "__slice"])
         .withColumns({"has_baseline": base.isNotNull(), **{n: base[n] for n in MEASURES}})
-        .drop("__b", "__w", "__l", "__day")
+        .drop("__b", "__w", "__l", "__slice")
     )
 
 
+def last_refreshes(rows: DataFrame, fresh: DataFrame) -> DataFrame:
+    """user_id and `last` (timestamp, id, baseline) of each user's newest refresh."""
+    at = rows.select("id", "user_id", "timestamp").join(fresh.select("id", F.struct(*MEASURES).alias("__b")), "id")
+    return at.groupBy("user_id").agg(F.max(F.struct("timestamp", "id", "__b")).alias("last"))
+
+
 def score_telemetry(rows: DataFrame, roster: DataFrame) -> DataFrame:
     """Role, productivity, own baseline as of the row, and live risk of every telemetry row."""
     return score(with_baseline_as_of(with_productivity(with_user_role(rows, roster))))
@@ -158,18 +171,24 @@ def hourly_aggregate(scored: DataFrame) -> DataFrame:
     )
 
 
-def refreshed_baselines(rows: DataFrame, every: int = 10, days: int = BASELINE_DAYS) -> DataFrame:
+def sums_per_second(rows: DataFrame) -> DataFrame:
+    """user_id, __sec, __c and the sums of the five measures."""
+    return rows.groupBy("user_id", F.unix_seconds("timestamp").alias("__sec")).agg(
+        F.count("*").alias("__c"), *[F.sum(c).alias(n) for n, c in MEASURES.items()])
+
+
+def refreshed_baselines(rows: DataFrame, every: int = 10, days: int = BASELINE_DAYS, history: DataFrame | None = None) -> DataFrame:
     """The user's trailing mean at each tenth row of the table.
 
     Rows become running sums per (user, second): they enter at their own second and leave once
-    the window has passed, so no task holds more than one day of one user.
+    the window has passed, so no task holds more than one day of one user. `history` are sums per second of earlier rows.
     """
     sec = F.unix_seconds("timestamp")
     span = days * 86400 + 1
-    names = [n for n in MEASURES if n != "prod_avg"] + ["prod_avg"]
-    per_second = rows.groupBy("user_id", sec.alias("__sec")).agg(
-        F.count("*").alias("__c"), *[F.sum(MEASURES[n]).alias(n) for n in names]
-    )
+    names = list(MEASURES)
+    per_second = sums_per_second(rows)
+    if history is not None:
+        per_second = per_second.unionByName(history.select(per_second.columns))
     parts = F.array(
         F.struct(F.col("__sec").alias("s"), F.col("__c").alias("c"), *[F.col(n) for n in names]),
         F.struct((F.col("__sec") + span).alias("s"), (-F.col("__c")).alias("c"), *[(-F.col(n)).alias(n) for n in names]),

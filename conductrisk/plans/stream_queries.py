@@ -240,6 +240,32 @@ def stream_without_duplicates(spark, sf):
     return rows.select(F.substring("id", 2, 12).cast("bigint").alias("event_id"))
 
 
+def _delivered_again(spark, sf):
+    """Events as a stream in which the copy of each event comes half a day of events after it, so in a later micro-batch."""
+    path = fresh_path(prepare(spark), "again")
+    raw = A.table(spark, sf, "events")
+    sent = raw.withColumn("sent", F.col("ts")).unionByName(raw.withColumn("sent", F.col("ts") + F.expr("INTERVAL 5 DAYS")))
+    runner.stage_replay(sent, path, 8, "sent")
+    return runner.replay(spark, path, schemas.EVENTS, files_per_trigger=1)
+
+
+@query("stream_copies_in_later_batches", "SELECT event_id FROM events")
+def stream_copies_in_later_batches(spark, sf):
+    """Every event is delivered again after days; the copies are repeated or late, and none is kept."""
+    stream = A.as_activity(A.as_events(_delivered_again(spark, sf)))
+    rows = runner.run_to_table(SE.without_duplicates(stream, "6 days").select("id"), "once")
+    return rows.select(F.substring("id", 2, 12).cast("bigint").alias("event_id"))
+
+
+@query("stream_scored_without_copies", f"""
+SELECT e.id, n AS window_size, {R("score", "anomaly_score")}, {R("risk_score")}, a.fired AS should_alert FROM evrisk e JOIN evalert a ON a.id = e.id""", **_EV)
+def stream_scored_without_copies(spark, sf):
+    """The duplicate filter in front of scores and alerts: the same as without the copies."""
+    stream = SE.without_duplicates(A.as_activity(A.as_events(_delivered_again(spark, sf))), "6 days")
+    out = runner.run_to_table(SE.scored_events(stream, A.roster(spark, sf)), "scored-once")
+    return rounded(out.select("id", "window_size", "anomaly_score", "risk_score", "should_alert"), "anomaly_score", "risk_score")
+
+
 # --- telemetry streams --------------------------------------------------------------------
 _PAYLOAD_ROWS = """
 SELECT t.* EXCLUDE (keystroke_flight_avg_ms, keystroke_flight_std_ms, keystroke_count, active_app), CASE WHEN id % 3 = 0 THEN 0.0::DOUBLE ELSE keystroke_flight_avg_ms END AS keystroke_flight_avg_ms,
@@ -259,8 +285,49 @@ def _live_stream(spark, sf):
     return ST.live_scores(payloads, A.roster(spark, sf), base)
 
 
-@query("stream_live_scores", f"SELECT id, user_id, {R('risk_score')}, mitre_tactic FROM tele", **_LIVE)
+def _second_stream(spark, sf, events, files_per_trigger=2):
+    """Events as a replayed stream whose slices end with a second, as baselines are refreshed with whole seconds."""
+    path = fresh_path(prepare(spark), "seconds")
+    runner.stage_replay(events, path, 8, "ts", unit=1_000_000)
+    return runner.replay(spark, path, schemas.EVENTS, files_per_trigger=files_per_trigger)
+
+
+@query("stream_live_scores", f"SELECT id, user_id, {R('risk_score')}, mitre_tactic FROM tele", tele_role=_PAYLOAD_ROWS)
 def stream_live_scores(spark, sf):
+    """Scored with baselines that the stream itself keeps and refreshes: the rows and scores of the batch path."""
+    payloads = A.as_payload(A.as_events(_second_stream(spark, sf, A.table(spark, sf, "events"))))
+    live = ST.LiveBaselines(spark, fresh_path(spark, "live-baselines"))
+    runner.run_batches(ST.prepared(payloads, A.roster(spark, sf)), live)
+    return rounded(live.table("scored").select("id", "user_id", "risk_score", "mitre_tactic"), "risk_score")
+
+
+@query("stream_refreshed_baselines", f"""
+SELECT id, user_id, n, {", ".join(R(x, digits=9) for x in ["mv_avg", "mv_std", "kf_avg", "kf_std", "prod_avg"])} FROM fresh_base""", tele_role=_PAYLOAD_ROWS)
+def stream_refreshed_baselines(spark, sf):
+    payloads = A.as_payload(A.as_events(_second_stream(spark, sf, A.table(spark, sf, "events"))))
+    live = ST.LiveBaselines(spark, fresh_path(spark, "live-baselines"))
+    runner.run_batches(ST.prepared(payloads, A.roster(spark, sf)), live)
+    return rounded(live.table("fresh").drop("batch_id"), *L.MEASURES, digits=9)
+
+
+@query("stream_late_rows", f"""
+SELECT event_id AS id, {T("ts", "timestamp")}, ts < (SELECT max(ts) FROM events WHERE event_id % 13 <> 0) - INTERVAL 1 DAY AS late FROM events WHERE event_id % 13 = 0""")
+def stream_late_rows(spark, sf):
+    """Each thirteenth event comes after all others. The ones from before the last day are set aside, the rest is scored."""
+    path, raw = fresh_path(prepare(spark), "late-rows"), A.table(spark, sf, "events")
+    runner.stage_replay(raw.filter("event_id % 13 <> 0"), path, 4, "ts", unit=1_000_000)
+    runner.stage_replay(raw.filter("event_id % 13 = 0"), path, 1, "ts")
+    payloads = A.as_payload(A.as_events(runner.replay(spark, path, schemas.EVENTS, files_per_trigger=1)))
+    live = ST.LiveBaselines(spark, fresh_path(spark, "live-baselines"), lateness="1 DAY")
+    runner.run_batches(ST.prepared(payloads, A.roster(spark, sf)), live)
+    rows = live.table("late").select("id", "timestamp", F.lit(True).alias("late")).unionByName(
+        live.table("scored").filter("id % 13 = 0").select("id", "timestamp", F.lit(False).alias("late")))
+    return text_time(rows, "timestamp")
+
+
+@query("stream_fixed_baseline_scores", f"SELECT id, user_id, {R('risk_score')}, mitre_tactic FROM tele", **_LIVE)
+def stream_fixed_baseline_scores(spark, sf):
+    """Scored with the baselines that are stored when the stream starts."""
     out = runner.run_to_table(_live_stream(spark, sf).select("id", "user_id", "risk_score", "mitre_tactic"), "live")
     return rounded(out.drop("batch_id"), "risk_score")
 

@@ -33,6 +33,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def delete(spark: SparkSession, path: str) -> bool:
+    """Delete a table, with the file system the path belongs to."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def read_featured_or_raw(spark: SparkSession, featured: str, raw: str) -> DataFrame:
     """The featured table if it exists, else the raw timeline with basic time features."""
     if exists(spark, featured):

@@ -19,15 +19,15 @@ def replay(spark: SparkSession, path: str, schema: str, files_per_trigger: int =
 
 
 def stage_replay(df: DataFrame, path: str, slices: int, ts: str = "date", limit: int | None = None,
-                 files_per_slice: int = 1) -> None:
-    """Write a table as time-ordered files for a replay, optionally only its first rows.
+                 files_per_slice: int = 1, unit: int = 1) -> None:
+    """Write a table as time-ordered files for a replay, optionally only its first rows. Rows of one `unit` (microseconds) stay together.
 
     A file stream reads files in the order of their modification times, so the time slices are
     written one after the other. A large slice is written by several tasks; then let a
     micro-batch take whole slices (files per trigger a multiple of `files_per_slice`).
     """
     rows = df.orderBy(ts).limit(limit) if limit else df
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    at = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / unit)
     steps = [i / slices for i in range(1, slices)]
     cuts = rows.agg(F.percentile_approx(at, steps, 10_000).alias("c")).first()["c"] or []
     edges = [None, *sorted(set(cuts)), None]

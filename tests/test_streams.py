@@ -109,3 +109,75 @@ def test_duplicates_in_later_batches_are_dropped(spark, at):
     stream = runner.replay(spark, path, schema, 1)
     got = [r.id for r in runner.run_to_table(SE.without_duplicates(stream, "2 hours"), "once").collect()]
     assert sorted(got) == [r[0] for r in rows]
+
+
+TELEMETRY = ("id long, user_id string, timestamp timestamp, role string, active_app string, productivity_score double, "
+             "mouse_velocity_avg double, mouse_velocity_std double, keystroke_flight_avg_ms double, keystroke_flight_std_ms double")
+
+
+def telemetry_rows(at, n=400):
+    """Seventeen days of four users; one of them has more than a third of all rows, some share a second."""
+    rows = []
+    for i in range(n):
+        user = "hot" if i % 5 < 2 else f"U{i % 3}"
+        rows.append((i, user, at((i // 2) * 2.05), "Employee", ["excel", "steam", "mail"][i % 3], float(i % 4) / 4,
+                     10.0 + (i * 7) % 23, 2.0 + i % 3, 100.0 + (i * 11) % 31, 5.0 + i % 7))
+    return rows
+
+
+def scores_of(df):
+    return {r.id: (r.has_baseline, None if r.mv_avg is None else round(r.mv_avg, 9), round(r.risk_score, 9)) for r in df.collect()}
+
+
+def test_live_baselines_equal_the_batch_path(spark, at):
+    from conductrisk.operators import telemetry as ops
+    df = spark.createDataFrame(telemetry_rows(at), TELEMETRY)
+    want = scores_of(ops.score(ops.with_baseline_as_of(df)))
+    assert len({x for x in want.values()}) > 50 and not all(x[0] for x in want.values())
+    stream = replayed(spark, df, TELEMETRY, 6, "timestamp")
+    live = ST.LiveBaselines(spark, fresh_path(spark, "live"))
+    runner.run_batches(stream, live)
+    assert scores_of(live.table("scored")) == want
+    assert live.table("scored").select("batch_id").distinct().count() >= 5
+    fresh = {r.id: (r.n, round(r.mv_avg, 9)) for r in live.table("fresh").collect()}
+    assert fresh == {r.id: (r.n, round(r.mv_avg, 9)) for r in ops.refreshed_baselines(df).collect()}
+    assert live.table("newest").select("batch_id").distinct().count() == 2
+
+
+def test_a_repeated_batch_changes_nothing(spark, at):
+    rows = telemetry_rows(at, 120)
+    parts = [spark.createDataFrame(rows[i:i + 40], TELEMETRY) for i in (0, 40, 80)]
+    live = ST.LiveBaselines(spark, fresh_path(spark, "again"))
+    for i, part in enumerate(parts):
+        live(part, i)
+    first = scores_of(live.table("scored"))
+    live(parts[2], 2)
+    assert scores_of(live.table("scored")) == first and len(first) == 120
+
+
+def test_no_row_sees_its_future(spark, at):
+    """Whatever comes later, the scores of the rows before are the same."""
+    rows = telemetry_rows(at, 160)
+    changed = [(*r[:6], r[6] * 50, *r[7:]) if r[0] >= 100 else r for r in rows]
+    found = []
+    for version in (rows, changed):
+        live = ST.LiveBaselines(spark, fresh_path(spark, "future"))
+        for i in range(0, 160, 50):
+            live(spark.createDataFrame(version[i:i + 50], TELEMETRY), i // 50)
+        found.append({k: v for k, v in scores_of(live.table("scored")).items() if k < 100})
+    assert found[0] == found[1]
+
+
+def test_late_rows_are_set_aside_and_a_lost_version_is_an_error(spark, at):
+    import pytest
+    rows = telemetry_rows(at, 60)
+    live = ST.LiveBaselines(spark, fresh_path(spark, "late"), lateness="10 HOURS")
+    live(spark.createDataFrame(rows[:10] + rows[20:40], TELEMETRY), 0)
+    live(spark.createDataFrame(rows[10:20] + rows[40:], TELEMETRY), 1)  # rows 10 to 19 are 20 hours old or more
+    late = sorted(r.id for r in live.table("late").collect())
+    assert late == [r[0] for r in rows[10:20] if r[2] < rows[39][2] - (at(10) - at(0))] and late
+    assert sorted([*late, *(r.id for r in live.table("scored").collect())]) == list(range(60))
+    with pytest.raises(RuntimeError, match="version 4"):
+        live(spark.createDataFrame(rows, TELEMETRY), 5)
+    live(spark.createDataFrame([], TELEMETRY), 2)
+    assert live.table("newest").count() > 0
