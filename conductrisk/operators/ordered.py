@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from conductrisk.session import stage
 
 HOT_ROWS = 5_000_000
+#: Most slices of a key.
+SLICES = 4096
 PERCENTILE_ACCURACY = 100_000
 #: Values that one task may order.
 TASK_ROWS = 1_000_000
@@ -26,21 +28,23 @@ def framed(df: DataFrame, keys: list[str], ts: str, tie: str, depth: int,
            build: Callable[[Window], dict[str, Column]], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add window columns over (keys, ordered by ts and tie) that look at most `depth` rows back.
 
-    Keys with more than `hot_rows` rows are cut into time slices. Each slice gets the last
-    `depth` rows before it as a halo, so every frame is complete, and the halo is dropped at the
-    end. There are at most rows / hot_rows hot keys, which bounds the broadcast table.
+    Keys with more than `hot_rows` rows are cut into time slices of about equally many rows: the cuts are quantiles of the key's
+    own times, so a burst is cut as finely as it is dense. Each slice gets the last `depth` rows before it as a halo, so every
+    frame is complete, and the halo is dropped at the end. There are at most rows / hot_rows hot keys and cuts, which bounds
+    the broadcast tables. Rows of one microsecond stay together.
     """
-    seconds = F.unix_micros(ts) / 1e6
-    hot = (
-        df.groupBy(*keys)
-        .agg(F.count("*").alias("__n"), (F.max(seconds) - F.min(seconds)).alias("__span"))
-        .filter(F.col("__n") > hot_rows)
-        .select(*keys, F.greatest(F.lit(1e-3), F.col("__span") * hot_rows / F.col("__n")).alias("__width"))
-    )
-    tagged = df.join(F.broadcast(hot), keys, "left").select(
+    at = F.unix_micros(ts)
+    hot = df.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > hot_rows)
+    # only rows of hot keys are sketched; without any, nothing is read
+    known = df.select(*keys, at.alias("__at")).join(F.broadcast(hot), keys)
+    wanted = F.least(F.lit(SLICES), F.ceil(F.max("__n") / hot_rows).cast("int"))
+    quantiles = F.percentile_approx("__at", [i / SLICES for i in range(1, SLICES)], 10 * SLICES)
+    cuts = known.groupBy(*keys).agg(quantiles.alias("__q"), wanted.alias("__w")).select(*keys, F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.col("__w") - 1), lambda i: F.get("__q", F.floor(i * SLICES / F.col("__w")).cast("int") - 1))).alias("__cuts"))
+    tagged = df.join(F.broadcast(cuts), keys, "left").select(
         *df.columns,
-        F.col("__width").isNotNull().alias("__hot"),
-        F.coalesce(F.floor(seconds / F.col("__width")), F.lit(0)).alias("__slice"),
+        F.col("__cuts").isNotNull().alias("__hot"),
+        F.coalesce(F.size(F.filter("__cuts", lambda c: c < at)), F.lit(0)).alias("__slice"),
         F.lit(False).alias("__halo"),
     )
     slice_keys = [*keys, "__slice"]

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from conductrisk import adapters as A
 from conductrisk import config as C
 from conductrisk.operators import models as M
-from conductrisk.operators import alerts, sequence_models, sequences, timeline
+from conductrisk.operators import alerts, evaluation, heldout, sequence_models, sequences, timeline
 from conductrisk.plans import tables as T0
 from conductrisk.plans.registry import D, R, query, rounded, text_time
 
@@ -197,3 +198,41 @@ def global_feature_importance(spark, sf):
 @query("top_risk_attributions")
 def top_risk_attributions(spark, sf):
     return M.top_attributions(_attributed(spark, sf), C.CORE_FEATURES, ["user", "day"])
+
+
+# --- all models on held-out days ------------------------------------------------------------
+def _held_out(spark, sf):
+    return heldout.scores(heldout.split_days(_labelled(spark, sf)))
+
+
+@query("held_out_scores")
+def held_out_scores(spark, sf):
+    """Scores of all fitted models on the days they have not learned from."""
+    return text_time(_held_out(spark, sf), "day")
+
+
+@query("held_out_metrics")
+def held_out_metrics(spark, sf):
+    """A row of metrics for each fitted model."""
+    return heldout.metrics(_held_out(spark, sf))
+
+
+@query("best_held_out_models")
+def best_held_out_models(spark, sf):
+    return evaluation.best_models(T0.stage(heldout.metrics(_held_out(spark, sf)), "metrics"))
+
+
+_DAY_KEY = """concat("user", ':', strftime(day, '%Y-%m-%d'))"""
+
+
+@query("held_out_coverage", f"""
+SELECT label, count(*) AS days, count_if(in_train) AS train_days, count_if(NOT in_train) AS held_out_days, count_if(NOT in_train AND i >= 10) AS held_out_sequences FROM (
+ SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5({_DAY_KEY}), {_DAY_KEY}) <= floor(count(*) OVER (PARTITION BY label) * 0.8) AS in_train FROM (
+  SELECT *, CAST("user" = 'U5' AND day >= DATE '2024-01-20' AS INTEGER) AS label FROM weighted)) GROUP BY 1""")
+def held_out_coverage(spark, sf):
+    """Which days the models learn from, and how many days and sequences each kind of model has to score."""
+    days = heldout.split_days(_labelled(spark, sf))
+    place = F.row_number().over(Window.partitionBy("user").orderBy("day"))
+    return days.withColumn("i", place).groupBy(F.col("label").cast("int").alias("label")).agg(
+        F.count("*").alias("days"), F.count_if("in_train").alias("train_days"), F.count_if(~F.col("in_train")).alias("held_out_days"),
+        F.count_if(~F.col("in_train") & (F.col("i") >= C.SEQUENCE_LENGTH)).alias("held_out_sequences"))

@@ -40,6 +40,29 @@ def test_frames_across_slices(events, hot_rows):
     assert same(got, events.withColumns(build(W.partitionBy("user").orderBy("ts", "id"))))
 
 
+def test_a_burst_is_cut_by_count(spark, monkeypatch):
+    """One key has nearly all its rows within ten minutes, and single rows days before and after."""
+    import datetime as dt
+    start = dt.datetime(2024, 1, 1)
+    rows = [("hot", i, start + dt.timedelta(seconds=(i * 37 % 600) + i / 1000)) for i in range(3000)]
+    rows += [("hot", 5000 + i, start + dt.timedelta(days=i - 20)) for i in range(40)]
+    rows += [("cold", 9000 + i, start + dt.timedelta(hours=i)) for i in range(50)]
+    df = spark.createDataFrame(rows, "user string, id long, ts timestamp")
+    seen = []
+
+    def build(w):
+        slice_size = F.count("*").over(W.partitionBy("user", "__slice"))
+        return {"before": F.lag("id").over(w), "third": F.lag("id", 3).over(w), "slice_size": slice_size}
+
+    got = O.framed(df, ["user"], "ts", "id", 3, build, hot_rows=100)
+    seen = got.groupBy("user").agg(F.max("slice_size").alias("m"), F.count("*").alias("n")).collect()
+    order = W.partitionBy("user").orderBy("ts", "id")
+    want = df.withColumns({"before": F.lag("id").over(order), "third": F.lag("id", 3).over(order)})
+    assert same(got.drop("slice_size"), want)
+    sizes = {r.user: (r.m, r.n) for r in seen}
+    assert sizes["hot"][1] == 3040 and sizes["hot"][0] <= 2 * 100 + 3 and sizes["cold"] == (50, 50)
+
+
 def test_rolling_counts(events):
     measures = {"v1": (F.col("kind") == "view", 1), "v24": (F.col("kind") == "view", 24), "all7d": (F.lit(True), 168)}
     got = O.rolling_counts(events, "user", "ts", measures)
