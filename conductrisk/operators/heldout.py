@@ -14,7 +14,7 @@ from conductrisk.operators import sampling, sequence_models, sequences
 from conductrisk.session import stage
 
 #: Trees of the boosted model: they are fitted one after the other.
-BOOSTED_TREES = 50
+BOOSTED_TREES = 20
 CLASSIFIERS = ["boosted_trees", "random_forest", "sequence_classifier"]
 DETECTORS = ["isolation_forest", "kernel_density", "sequence_model"]
 OUTLIER_SIGMAS = 2.0
