@@ -43,6 +43,8 @@ SIMILAR = 75
 LIKELY = SIMILAR / 100 - 5 * (0.75 * 0.25 / SKETCH) ** 0.5
 #: Estimate of members of a family with its head; classes of a family in one task.
 ALIKE, FAMILY_ROWS = 0.4, 4096
+#: Bytes of text whose shingles are made at once.
+BLOCK_BYTES = 1_000_000
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +83,7 @@ def _sets(batch: pa.RecordBatch) -> list:
 def set_sizes(docs: DataFrame) -> DataFrame:
     """`row` (doc_id, text), n_shingles, two digests of the set, and the sketch in ascending order."""
     return map_texts(docs, _sets, [("n_shingles", T.LongType()), ("g1", T.LongType()), ("g2", T.LongType()),
-                                   ("sketch", T.ArrayType(T.LongType()))])
+                                   ("sketch", T.ArrayType(T.LongType()))], BLOCK_BYTES)
 
 
 def inverted_lists(classes: DataFrame) -> DataFrame:
@@ -116,7 +118,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def check(batches):
         for batch in batches:
-            for first, n in K.pieces(batch.column("text_a"), K.PIECE_BYTES // 2):
+            for first, n in K.pieces(batch.column("text_a"), BLOCK_BYTES):
                 part = batch.slice(first, n)
                 yield part.select(["a", "b"]).filter(pa.array(_similar(part)))
 
