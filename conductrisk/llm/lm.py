@@ -40,6 +40,8 @@ TEST, TEST_EACH = 10.0, 2.0
 BLOCK_BYTES = 32_000_000
 #: Distinct n-grams and bytes of text for each bucket of the tree; blocks that one task of a bucket answers.
 BUCKET_GRAMS, BUCKET_BYTES, BLOCKS_A_TASK = 500_000, 64_000_000, 1024
+#: Bytes of text that are counted at once.
+COUNT_BYTES = 1_000_000
 END = 10
 #: Stands for the end of a text among the hashes of words.
 END_WORD = np.uint64(0x9D5F0A1C3B2E4876)
@@ -117,7 +119,7 @@ def counted(docs: DataFrame) -> DataFrame:
                                                "value": pa.array(values), "c": pa.array(counts)})
 
         for batch in batches:
-            for first, n in K.pieces(text_of(batch)):
+            for first, n in K.pieces(text_of(batch), COUNT_BYTES):
                 texts = text_of(batch.slice(first, n))
                 tallies[0].add(*np.unique(symbols(texts)[0], return_counts=True))
                 words, counts = np.unique(_words(texts)[0], return_counts=True)
