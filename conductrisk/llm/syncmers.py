@@ -1,13 +1,17 @@
 """Document fingerprints from closed syncmers, with DataFrame functions only.
 
-Tokens are the text's words; a k-mer is `KMER` consecutive words. It is an anchor if the smallest hash
-among its inner words is that of its first or last word (a closed syncmer with inner substrings of
-one word). Whether a k-mer is an anchor depends on its own words alone, so an edit moves only
-the anchors that touch it. A text with fewer words than a k-mer is one anchor.
+Tokens are the text's words; a k-mer is `KMER` consecutive tokens. It is an anchor if the smallest hash
+among its inner tokens is that of its first or last one (a closed syncmer with inner substrings of
+one token). Whether a k-mer is an anchor depends on its own tokens alone, so an edit moves only
+the anchors that touch it. A text with fewer tokens than a k-mer is one anchor; a text whose few
+k-mers hold no syncmer has its smallest k-mer as its only anchor. So every text with a word has an anchor.
 
-The fingerprint is the `KEPT` distinct anchors with the smallest hashes, each with the number of the
-word where it first starts. Likeness compares two fingerprints: the share of equal hashes among the smallest hashes of
-both, where a pair of anchors only counts if its shift in position is close to the usual shift of all such pairs.
+Writing without blanks would be one long word, so each ideograph, syllable or kana letter is a token of its own, and
+so is each character of a word that has `LONG_WORD` more characters on one side of it.
+
+The fingerprint is all distinct anchors, in order of their hashes, each with the number of the
+token where it first starts. Likeness compares two fingerprints: the share of common anchors among the anchors of
+both, where a common anchor only counts if its shift in position is close to the usual shift of all of them.
 
 A null text is empty; an empty text has no anchor and is like nothing, but two empty texts are
 alike (1). Equal texts have equal fingerprints.
@@ -20,13 +24,25 @@ from pyspark.sql import functions as F
 
 from conductrisk.session import stage
 
-KMER, KEPT = 4, 64
-#: Bits of an anchor that hold the position; longer texts count further words at the last one.
+KMER = 5
+#: Characters of a word beyond which its characters are tokens.
+LONG_WORD = 40
+#: Bits of an anchor that hold the position; longer texts count further tokens at the last one.
 PLACE_BITS = 22
-#: Words by which a pair's shift may differ from the usual one.
+#: Tokens by which a pair's shift may differ from the usual one.
 SLACK = 8
 
 _BLANKS, _BLANK_CHARACTERS = r"[\x20\x09-\x0D]+", " \t\n\x0b\x0c\r"
+_WORD_CHARACTER = r"[^\x20\x09-\x0D]"
+#: Scripts that are written without blanks: ideographs, kana, Hangul and their wide forms.
+_SINGLE = r"[\x{2E80}-\x{A4CF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}\x{FF66}-\x{FF9F}\x{20000}-\x{3FFFF}]"
+
+
+def _spaced(text: Column) -> Column:
+    """The text with blanks around characters that are tokens of their own."""
+    single = F.when(text.rlike(_SINGLE), F.regexp_replace(text, f"({_SINGLE})", " $1 ")).otherwise(text)
+    long = f"{_WORD_CHARACTER}{{{LONG_WORD}}}"
+    return F.when(single.rlike(long), F.regexp_replace(single, f"(?<={long})|(?={long})", " ")).otherwise(single)
 
 
 def with_anchors(df: DataFrame, text: Column, name: str, *keep: str) -> DataFrame:
@@ -34,22 +50,25 @@ def with_anchors(df: DataFrame, text: Column, name: str, *keep: str) -> DataFram
 
     Each step is a projection of its own, so that no array is computed twice.
     """
-    trimmed = df.select(*keep, F.btrim(F.coalesce(text, F.lit("")), F.lit(_BLANK_CHARACTERS)).alias("_t"))
+    trimmed = df.select(*keep, F.btrim(_spaced(F.coalesce(text, F.lit(""))), F.lit(_BLANK_CHARACTERS)).alias("_t"))
     words = trimmed.select(*keep, F.when(F.col("_t") == "", F.array().cast("array<string>"))
                            .otherwise(F.split("_t", _BLANKS)).alias("_w"))
     hashed = words.select(*keep, F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"))
-    inner = lambda i: [f"_h[{i} + {j}]" for j in range(KMER)]
+    inner = ", ".join(f"_h[i + {j}]" for j in range(KMER))
     place = f"least(i, {(1 << PLACE_BITS) - 1})"
     pack = lambda value: f"shiftleft(shiftrightunsigned({value}, {PLACE_BITS + 1}), {PLACE_BITS}) | {place}"
-    kmers = f"""filter(transform(sequence(0, size(_h) - {KMER}), i ->
-        if(least({', '.join(inner('i'))}) in (_h[i], _h[i + {KMER - 1}]),
-           {pack(f"xxhash64({', '.join(inner('i'))})")}, null)), x -> x is not null)"""
+    every = lambda value: f"transform(sequence(0, size(_h) - {KMER}), i -> {value})"
+    packed = pack(f"xxhash64({inner})")
+    syncmer = f"if(least({inner}) in (_h[i], _h[i + {KMER - 1}]), {packed}, null)"
     short = f"array({pack('xxhash64(concat_ws(chr(32), transform(_h, h -> string(h))))').replace(place, '0')})"
-    found = hashed.select(*keep, F.expr(f"""
-        sort_array(case when size(_h) = 0 then array() when size(_h) < {KMER} then {short} else {kmers} end)""").alias("_a"))
+    found = hashed.select(*keep, "_h", F.expr(f"""
+        case when size(_h) = 0 then array() when size(_h) < {KMER} then {short}
+        else filter({every(syncmer)}, x -> x is not null) end""").alias("_f"))
+    whole = found.select(*keep, F.expr(f"""
+        case when size(_f) = 0 and size(_h) > 0 then array(array_min({every(packed)})) else sort_array(_f) end""").alias("_a"))
     # of equal hashes the first position stays
-    return found.select(*keep, F.expr(f"""slice(filter(_a, (x, i) -> i = 0
-        or shiftright(x, {PLACE_BITS}) <> shiftright(_a[i - 1], {PLACE_BITS})), 1, {KEPT})""").alias(name))
+    return whole.select(*keep, F.expr(f"""filter(_a, (x, i) -> i = 0
+        or shiftright(x, {PLACE_BITS}) <> shiftright(_a[i - 1], {PLACE_BITS}))""").alias(name))
 
 
 def as_text(anchors: str) -> Column:
@@ -58,19 +77,21 @@ def as_text(anchors: str) -> Column:
 
 
 def with_likeness(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
-    """Add the likeness (0 to 1) of two fingerprints."""
-    hash_of = lambda x: F.shiftright(x, PLACE_BITS)
+    """Add the likeness (0 to 1) of two fingerprints.
+
+    The anchors of both are sorted together, the lowest bit telling the side; a common one stands beside its like then.
+    """
     place = (1 << PLACE_BITS) - 1
-    keys = lambda c: F.transform(c, hash_of)
-    union = F.slice(F.sort_array(F.array_union(keys(a), keys(b))), 1, KEPT)
-    first = df.withColumns({"_ka": keys(a), "_kb": keys(b), "_u": union})
-    second = first.withColumn("_c", F.array_intersect(F.array_intersect("_ka", "_kb"), "_u"))
-    shift = F.expr(f"""transform(_c, h -> ({a}[int(array_position(_ka, h)) - 1] & {place})
-                                         - ({b}[int(array_position(_kb, h)) - 1] & {place}))""")
-    third = second.withColumn("_s", F.sort_array(shift))
+    both = df.withColumn("_m", F.expr(f"""sort_array(concat(
+        transform({a}, x -> shiftleft(x, 1)), transform({b}, x -> shiftleft(x, 1) | 1)))"""))
+    of = lambda x: f"(shiftrightunsigned({x}, 1) & {place})"
+    shifted = both.withColumn("_s", F.expr(f"""sort_array(filter(transform(_m, (x, i) ->
+        if(i > 0 and shiftrightunsigned(x, {PLACE_BITS + 1}) = shiftrightunsigned(_m[greatest(i - 1, 0)], {PLACE_BITS + 1}),
+           ({of('x')} - {of('_m[greatest(i - 1, 0)]')}) * (1 - 2 * (x & 1)), null)), x -> x is not null))"""))
     near = F.expr(f"size(filter(_s, x -> abs(x - _s[int(size(_s) / 2)]) <= {SLACK}))")
-    likeness = F.when(F.size("_u") == 0, F.lit(1.0)).when(F.size("_c") == 0, F.lit(0.0)).otherwise(near / F.size("_u"))
-    return third.withColumn(name, likeness).drop("_ka", "_kb", "_u", "_c", "_s")
+    likeness = F.when(F.size("_m") == 0, F.lit(1.0)).when(F.size("_s") == 0, F.lit(0.0)).otherwise(
+        near / (F.size("_m") - F.size("_s")))
+    return shifted.withColumn(name, likeness).drop("_m", "_s")
 
 
 def ring(docs: DataFrame, partitions: int) -> DataFrame:

@@ -32,8 +32,7 @@ def test_anchors_are_the_closed_syncmers(spark):
             places.setdefault(tuple(inner), i)
     mask = (1 << syncmers.PLACE_BITS) - 1
     found = anchored(spark, [text])[0]
-    assert len(found) == min(len(places), syncmers.KEPT)
-    assert {x & mask for x in found} <= set(places.values())
+    assert {x & mask for x in found} == set(places.values())
     assert found == sorted(found) and len({x >> syncmers.PLACE_BITS for x in found}) == len(found)
 
 
@@ -46,6 +45,54 @@ def test_context_free(spark):
     assert inner <= hash_of(a) and inner <= hash_of(b)
 
 
+def likeness(spark, pairs):
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i long, x string, y string")
+    rows = syncmers.with_anchors(syncmers.with_anchors(df, F.col("x"), "a", "i", "y"), F.col("y"), "b", "i", "a")
+    return {r.i: r for r in syncmers.with_likeness(rows, "a", "b", "n").collect()}
+
+
+def test_short_texts_are_only_like_themselves(spark):
+    """Every text with a word has an anchor, so different short texts share none by being empty."""
+    import random
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) for n in range(1, 10) for _ in range(40)]
+    got = likeness(spark, list(zip(texts, texts[1:] + texts[:1], strict=True)))
+    assert all(r.a and r.b and r.n == 0 for r in got.values())
+    assert all(r.n == 1 for r in likeness(spark, list(zip(texts, texts, strict=True))).values())
+
+
+def test_no_anchor_of_a_long_text_is_lost(spark):
+    import random
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(10**5)}" for _ in range(20_000)]
+    edited = words[:15_000] + [f"x{rng.randrange(10**5)}" for _ in range(5_000)]
+    hashes, k = word_hashes(spark, words + edited), syncmers.KMER
+
+    def kmers(x):
+        found = {}
+        for i in range(len(x) - k + 1):
+            inner = [hashes[w] for w in x[i:i + k]]
+            if min(inner) in (inner[0], inner[-1]):
+                found.setdefault(tuple(inner), i)
+        return found
+
+    left, right = kmers(words), kmers(edited)
+    row = likeness(spark, [(" ".join(words), " ".join(edited))])[0]
+    assert len(row.a) == len(left) > 6_000 and len(row.b) == len(right)
+    assert row.n == pytest.approx(len(left.keys() & right.keys()) / len(left.keys() | right.keys()), abs=1e-3)
+
+
+def test_writing_without_blanks(spark):
+    import random
+    rng = random.Random(7)
+    chinese = "".join(chr(0x4E00 + rng.randrange(5_000)) for _ in range(400))
+    other = "".join(chr(0x4E00 + rng.randrange(5_000)) for _ in range(400))
+    letters = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(400))
+    got = likeness(spark, [(chinese, chinese[:300] + other[:100]), (chinese, other), (letters, letters[:300] + letters[:100][::-1]),
+                           (letters, letters[::-1]), ("x" * 41, "x" * 39)])
+    assert 0.5 < got[0].n < 0.7 and got[1].n < 0.05 and 0.5 < got[2].n < 0.7 and got[3].n < 0.05 and len(got[4].b) == 1
+
+
 def brute(rows):
     """Edited text of each (id, text); ids are distinct."""
     order = sorted(rows)
