@@ -92,9 +92,14 @@ class _Tally:
 
     def merge(self) -> None:
         if self.values:
-            values, at = np.unique(np.concatenate(self.values), return_inverse=True)
-            counts = np.bincount(at, np.concatenate(self.counts), len(values)).astype(np.int64)
-            self.values, self.counts, self.waiting = [values], [counts], len(values)
+            values, counts = np.concatenate(self.values), np.concatenate(self.counts)
+            self.values = self.counts = None  # the parts go before their order is made
+            order = np.argsort(values)
+            values, counts = values[order], counts[order]
+            del order
+            begins = np.flatnonzero(np.append(True, values[1:] != values[:-1])[:len(values)])
+            counts = np.add.reduceat(counts, begins) if len(begins) else counts
+            self.values, self.counts, self.waiting = [values[begins]], [counts], len(begins)
 
     def full(self) -> bool:
         return self.waiting > _FLUSH
