@@ -24,29 +24,47 @@ TASK_ROWS = 1_000_000
 BROADCAST_GROUPS = 10_000
 
 
-def framed(df: DataFrame, keys: list[str], ts: str, tie: str, depth: int,
-           build: Callable[[Window], dict[str, Column]], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Add window columns over (keys, ordered by ts and tie) that look at most `depth` rows back.
+def limit_if_hot(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> int | None:
+    """`hot_rows` if a key of the table has more rows, else None: the operators below then plan no cuts at all."""
+    hot = df.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > hot_rows)
+    return None if hot.isEmpty() else hot_rows
 
-    Keys with more than `hot_rows` rows are cut into time slices of about equally many rows: the cuts are quantiles of the key's
-    own times, so a burst is cut as finely as it is dense. Each slice gets the last `depth` rows before it as a halo, so every
-    frame is complete, and the halo is dropped at the end. There are at most rows / hot_rows hot keys and cuts, which bounds
-    the broadcast tables. Rows of one microsecond stay together.
+
+def sliced(df: DataFrame, keys: list[str], ts: str, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+    """Add __hot and __slice: keys with more than `hot_rows` rows are cut into time slices of about equally many rows.
+
+    The cuts are quantiles of the key's own times, so a burst is cut as finely as it is dense. There are at most rows / hot_rows
+    hot keys and cuts, which bounds the broadcast tables. Rows of one microsecond stay together.
     """
+    if hot_rows is None:
+        return df.withColumns({"__hot": F.lit(False), "__slice": F.lit(0)})
     at = F.unix_micros(ts)
     hot = df.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > hot_rows)
     # only rows of hot keys are sketched; without any, nothing is read
     known = df.select(*keys, at.alias("__at")).join(F.broadcast(hot), keys)
     wanted = F.least(F.lit(SLICES), F.ceil(F.max("__n") / hot_rows).cast("int"))
-    quantiles = F.percentile_approx("__at", [i / SLICES for i in range(1, SLICES)], 10 * SLICES)
+    # one literal: an array of thousands of expressions would make the plan slow to analyse
+    shares = F.split(F.lit(",".join(str(i / SLICES) for i in range(1, SLICES))), ",").cast("array<double>")
+    quantiles = F.percentile_approx("__at", shares, 10 * SLICES)
     cuts = known.groupBy(*keys).agg(quantiles.alias("__q"), wanted.alias("__w")).select(*keys, F.array_distinct(F.transform(
         F.sequence(F.lit(1), F.col("__w") - 1), lambda i: F.get("__q", F.floor(i * SLICES / F.col("__w")).cast("int") - 1))).alias("__cuts"))
-    tagged = df.join(F.broadcast(cuts), keys, "left").select(
+    return df.join(F.broadcast(cuts), keys, "left").select(
         *df.columns,
         F.col("__cuts").isNotNull().alias("__hot"),
         F.coalesce(F.size(F.filter("__cuts", lambda c: c < at)), F.lit(0)).alias("__slice"),
-        F.lit(False).alias("__halo"),
     )
+
+
+def framed(df: DataFrame, keys: list[str], ts: str, tie: str, depth: int,
+           build: Callable[[Window], dict[str, Column]], hot_rows: int | None = HOT_ROWS) -> DataFrame:
+    """Add window columns over (keys, ordered by ts and tie) that look at most `depth` rows back.
+
+    Hot keys are cut into slices. Each slice gets the last `depth` rows before it as a halo, so every frame is complete, and the
+    halo is dropped at the end.
+    """
+    if hot_rows is None:
+        return df.withColumns(build(Window.partitionBy(*keys).orderBy(ts, tie)))
+    tagged = sliced(df, keys, ts, hot_rows).withColumn("__halo", F.lit(False))
     slice_keys = [*keys, "__slice"]
     recent = Window.partitionBy(*slice_keys).orderBy(F.desc(ts), F.desc(tie))
     row = F.struct(ts, tie, *[c for c in df.columns if c not in (ts, tie)])
@@ -73,7 +91,7 @@ def framed(df: DataFrame, keys: list[str], ts: str, tie: str, depth: int,
 
 
 def previous(df: DataFrame, keys: list[str], ts: str, tie: str, columns: dict[str, str],
-             hot_rows: int = HOT_ROWS) -> DataFrame:
+             hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Add the previous row's value of some columns: {new name: column}."""
     build = lambda w: {new: F.lag(old).over(w) for new, old in columns.items()}
     return framed(df, keys, ts, tie, 1, build, hot_rows)

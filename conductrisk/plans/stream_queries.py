@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from conductrisk import adapters as A
 from conductrisk import schemas
 from conductrisk.functions.common import after_hours
-from conductrisk.operators import buffers, rollup
+from conductrisk.operators import alerts, buffers, rollup
 from conductrisk.operators import evaluation as E
 from conductrisk.operators import telemetry as L
 from conductrisk.operators import timeline
@@ -94,7 +94,6 @@ def source_sinks(spark, sf):
 SELECT 'events' AS report, count(*) AS rows, round(sum(round(risk_score, 6)), 3) + 0.0 AS total FROM scored UNION ALL SELECT 'users', count(*), round(sum(round(total_risk_score, 6)), 3) + 0.0 FROM report
 UNION ALL SELECT 'alerts', count(*), coalesce(round(sum(round(risk_score, 6)), 3), 0) + 0.0 FROM alerted WHERE should_alert""")
 def report_sinks(spark, sf):
-    from conductrisk.operators import alerts
     days = T0.scored_days(spark, sf)
     parts = {
         "events": days.select("user", "day", F.round("risk_score", 6).alias("score")),
@@ -196,8 +195,13 @@ def replayed_events(spark, sf):
 
 
 def _scored_stream(spark, sf):
-    stream = A.as_activity(A.as_events(_activity_stream(spark, sf)))
-    return runner.run_to_table(SE.scored_events(stream, A.roster(spark, sf)), "scored-events")
+    return _scored_events_of(spark, sf, A.as_activity(A.as_events(_activity_stream(spark, sf))))
+
+
+def _scored_events_of(spark, sf, stream):
+    scores = SE.EventScores(spark, fresh_path(spark, "event-scores"), A.roster(spark, sf))
+    runner.run_batches(stream, scores)
+    return scores.table()
 
 
 @query("stream_scored_events", f"""
@@ -208,6 +212,17 @@ def stream_scored_events(spark, sf):
     return rounded(rows, "anomaly_score", "risk_score")
 
 
+@query("event_alert_decisions", f"""
+SELECT e.id, a.fired AS should_alert, CASE WHEN NOT a.fired THEN '' WHEN risk_score >= 95 THEN 'CRITICAL' WHEN risk_score >= 85 THEN 'HIGH' ELSE 'MEDIUM' END AS alert_severity
+FROM evrisk e JOIN evalert a ON a.id = e.id""", **_EV)
+def event_alert_decisions(spark, sf):
+    """The alert rule over all events in one batch."""
+    rows = SE.flagged(A.activity(prepare(spark), sf), A.roster(spark, sf))
+    rows = buffers.buffered_scores(rows).withColumn("risk_score", buffers.event_risk(F.col("anomaly_score"), F.col("role_factor")))
+    decided, _ = alerts.decide_events(rows.select("id", "user", "date", "risk_score"))
+    return decided.select("id", "should_alert", "alert_severity")
+
+
 @query("stream_running_totals", f"""
 SELECT {T("h", "start")}, count(*) AS events, count_if(risk_score > 50) AS high_risk, count_if(fired) AS alerts FROM (SELECT date_trunc('hour', e.date) AS h, e.risk_score, a.fired FROM evrisk e JOIN evalert a ON a.id = e.id) GROUP BY h""", **_EV)
 def stream_running_totals(spark, sf):
@@ -225,8 +240,9 @@ def stream_alerts(spark, sf):
     days = T0.scored_days(spark, sf).select("id", "user", "date", "risk_score")
     runner.stage_replay(days, path, 6)
     stream = runner.replay(spark, path, "id string, user string, date timestamp, risk_score double", 1)
-    rows = runner.run_to_table(SE.alert_stream(stream), "alerts")
-    return text_time(rows.select("user", F.to_date("date").alias("day"), "should_alert", "alert_severity"), "day")
+    decisions = SE.AlertDecisions(spark, fresh_path(spark, "alerts"))
+    runner.run_batches(stream, decisions)
+    return text_time(decisions.table().select("user", F.to_date("date").alias("day"), "should_alert", "alert_severity"), "day")
 
 
 @query("stream_without_duplicates", "SELECT event_id FROM events")
@@ -262,7 +278,7 @@ SELECT e.id, n AS window_size, {R("score", "anomaly_score")}, {R("risk_score")},
 def stream_scored_without_copies(spark, sf):
     """The duplicate filter in front of scores and alerts: the same as without the copies."""
     stream = SE.without_duplicates(A.as_activity(A.as_events(_delivered_again(spark, sf))), "6 days")
-    out = runner.run_to_table(SE.scored_events(stream, A.roster(spark, sf)), "scored-once")
+    out = _scored_events_of(spark, sf, stream)
     return rounded(out.select("id", "window_size", "anomaly_score", "risk_score", "should_alert"), "anomaly_score", "risk_score")
 
 

@@ -1,127 +1,121 @@
-"""Streams over activity events: scoring with a per-user buffer, alerts, running totals."""
+"""Streams over activity events: scores from the last ten events, alerts, running totals."""
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from conductrisk import config as C
 from conductrisk.functions import riskrules as R
 from conductrisk.functions.common import after_hours
-from conductrisk.operators.buffers import explained_events
-
-SCORED = ("id string, user string, date timestamp, role string, activity string, window_size long, "
-          "anomaly_score double, risk_score double, should_alert boolean, alert_severity string")
-STATE = "odd array<boolean>, copies array<boolean>, hits int, last timestamp"
-ALERTS = "id string, user string, date timestamp, risk_score double, should_alert boolean, alert_severity string"
-ALERT_STATE = "hits int, last timestamp"
-COOLDOWN = pd.Timedelta(hours=C.ALERT_COOLDOWN_HOURS)
-
-
-def severity(risk: float) -> str:
-    if risk >= C.ALERT_CRITICAL:
-        return "CRITICAL"
-    if risk >= C.ALERT_HIGH:
-        return "HIGH"
-    return "MEDIUM" if risk >= C.ALERT_MEDIUM else ""
-
-
-def alert_step(hits: int, last, risk: float, date) -> tuple[int, object, bool]:
-    """One step of the alert rule: (hits, last alert, fired)."""
-    if risk < C.ALERT_MEDIUM:
-        return 0, last, False
-    if last is not None and date - last < COOLDOWN and risk < C.ALERT_CRITICAL:
-        return hits, last, False
-    if hits + 1 >= C.ALERT_PERSISTENCE:
-        return 0, date, True
-    return hits + 1, last, False
-
-
-def proxy(size: int, odd: int, copies: int) -> float:
-    if size < 2:
-        return 0.0
-    return min(0.3, size / 30) + 0.2 * (odd / size) + 0.3 * min(1.0, copies / 5)
-
-
-def _last(value):
-    return None if value is None or pd.isna(value) else pd.Timestamp(value)
-
-
-def score_user(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Events of one user in one micro-batch; the state is ten flags and the alert state.
+from conductrisk.operators.alerts import decide_events
+from conductrisk.operators.buffers import event_risk, explained_events, proxy_score
+from conductrisk.operators.ordered import HOT_ROWS, framed, limit_if_hot
+from conductrisk.sources.readers import delete, exists
+from conductrisk.streaming.state import KeyedState
+
+
+class AlertDecisions:
+    """A batch function that decides alerts over scored rows (id, user, date, risk_score) and keeps two values per user.
+
+    Folders below `base`; a batch owns one folder in each and overwrites it when it is repeated:
+      decided  the rows with should_alert and alert_severity
+      users    the state of the users that occurred in the batch (streaming/state.py)
+      work     tables that several steps of the batch read; they go when the next batch is done
+    Rows of one batch are taken by time and id; a row that comes in a later batch is taken later, whatever its time.
+    No step holds all rows of a user: hot users are cut, see `decide_events`.
+    """
 
-    The state lives for ever, as the buffer of the batch form does.
+    out = "decided"
+
+    def __init__(self, spark: SparkSession, base: str, hot_rows: int = HOT_ROWS, every: int = 16):
+        self.spark, self.base, self.hot_rows = spark, base, hot_rows
+        self.state = KeyedState(spark, f"{base}/users", "user", every)
+
+    def _staged(self, batch_id: int):
+        def write(df: DataFrame, name: str) -> DataFrame:
+            path = f"{self.base}/work/{batch_id}/{name}"
+            df.write.mode("overwrite").parquet(path)
+            return self.spark.read.schema(df.schema).parquet(path)
+        return write
+
+    def _opening(self, rows: DataFrame, batch_id: int) -> DataFrame | None:
+        """The state of the users of this batch."""
+        old = self.state.before(batch_id)
+        if old is None:
+            return None
+        seen = rows.select(F.col("user").alias("__seen")).distinct()
+        return old.join(seen, old["user"].eqNullSafe(seen["__seen"]), "left_semi")
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        staged = self._staged(batch_id)
+        rows = staged(batch.select("id", "user", "date", "risk_score"), "in")
+        opening = self._opening(rows, batch_id)
+        decided, closing = decide_events(rows, opening, self.hot_rows, staged)
+        self._finish(decided, closing, batch_id)
+
+    def _finish(self, decided: DataFrame, closing: DataFrame, batch_id: int) -> None:
+        decided.write.mode("overwrite").parquet(f"{self.base}/{self.out}/batch_id={batch_id}")
+        self.state.write(closing, batch_id)
+        if exists(self.spark, f"{self.base}/work/{batch_id - 1}"):
+            delete(self.spark, f"{self.base}/work/{batch_id - 1}")
+
+    def table(self) -> DataFrame:
+        """The rows of all batches with their batch_id."""
+        return self.spark.read.parquet(f"{self.base}/{self.out}")
+
+
+class EventScores(AlertDecisions):
+    """A batch function that scores events (id, user, date, activity) with the user's last ten events and decides alerts.
+
+    The state of a user is the flags of the last nine events and the alert state. It goes in front of the user's rows as a halo, so
+    the windows of a batch are those of the batch form, cut for hot users in the same way. Folder `scored` has the rows with
+    window_size, anomaly_score, risk_score, alert and explanation.
     """
-    if state.exists:
-        odd0, copies0, hits, last = state.get
-        odd, copies, last = deque(odd0, C.SEQUENCE_LENGTH), deque(copies0, C.SEQUENCE_LENGTH), _last(last)
-    else:
-        odd, copies, hits, last = deque(maxlen=C.SEQUENCE_LENGTH), deque(maxlen=C.SEQUENCE_LENGTH), 0, None
-    rows = pd.concat(list(frames), ignore_index=True).sort_values(["date", "id"])
-    out = {n: [] for n in ("window_size", "anomaly_score", "risk_score", "should_alert", "alert_severity")}
-    for is_odd, is_copy, factor, date in zip(rows["is_odd"], rows["is_copy"], rows["role_factor"], rows["date"]):
-        odd.append(bool(is_odd))
-        copies.append(bool(is_copy))
-        score = proxy(len(odd), sum(odd), sum(copies))
-        base = min(C.MAX_RISK, max(0.0, score - C.ANOMALY_MEAN) * C.BASE_MULTIPLIER)
-        risk = min(C.MAX_RISK, base * factor)
-        hits, last, fired = alert_step(hits, last, risk, date)
-        for name, value in zip(out, (len(odd), score, risk, fired, severity(risk) if fired else "")):
-            out[name].append(value)
-    state.update((list(odd), list(copies), int(hits), None if last is None else last.to_pydatetime()))
-    yield rows[["id", "user", "date", "role", "activity"]].assign(**out)
-
-
-def scored_events(activity: DataFrame, roster: DataFrame) -> DataFrame:
-    """Stream of events with window size, proxy, risk, alert decision and explanation."""
-    known = roster.select("user", "role")
-    rows = activity.join(known, "user", "left").select(
+
+    out = "scored"
+
+    def __init__(self, spark: SparkSession, base: str, roster: DataFrame, hot_rows: int = HOT_ROWS, every: int = 16):
+        super().__init__(spark, base, hot_rows, every)
+        self.roster = roster
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        staged, depth = self._staged(batch_id), C.SEQUENCE_LENGTH - 1
+        rows = staged(flagged(batch, self.roster), "in")
+        opening = self._opening(rows, batch_id)
+        opening = None if opening is None else staged(opening, "opening")
+        marked = rows.withColumns({"__at": F.col("date"), "__old": F.lit(False)})
+        if opening is not None:
+            halo = opening.select("user", F.posexplode("tail").alias("__pos", "t")).select(
+                "user", "t.is_odd", "t.is_copy", F.lit("").alias("id"), F.lit(True).alias("__old"),
+                # before every event, in their order
+                (F.lit("1000-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(secs=F.col("__pos"))).alias("__at"))
+            marked = marked.unionByName(halo, allowMissingColumns=True)
+        frame = lambda w: w.rowsBetween(-depth, 0)
+        build = lambda w: {"window_size": F.count("*").over(frame(w)), "__odd": F.count_if("is_odd").over(frame(w)),
+                           "__copies": F.count_if("is_copy").over(frame(w))}
+        windows = framed(marked, ["user"], "__at", "id", depth, build, limit_if_hot(rows, ["user"], self.hot_rows)).filter("not __old")
+        score = proxy_score(F.col("window_size"), F.col("__odd"), F.col("__copies"))
+        scored = windows.withColumn("anomaly_score", score).select(
+            "id", "user", "date", "role", "activity", "window_size", "anomaly_score",
+            event_risk(F.col("anomaly_score"), F.col("role_factor")).alias("risk_score"))
+        decided, closing = decide_events(scored, opening, self.hot_rows, staged)
+        # Spark keeps nine rows per user in every task before the shuffle
+        newest = Window.partitionBy("user").orderBy(F.desc("__at"), F.desc("id"))
+        tails = marked.withColumn("__rn", F.row_number().over(newest)).filter(F.col("__rn") <= depth).groupBy("user").agg(
+            F.sort_array(F.collect_list(F.struct("__at", "id", "is_odd", "is_copy"))).alias("tail")).select(
+            F.col("user").alias("__u"), F.transform("tail", lambda t: F.struct(t["is_odd"].alias("is_odd"), t["is_copy"].alias("is_copy"))).alias("tail"))
+        state = closing.join(tails, closing["user"].eqNullSafe(tails["__u"])).select("user", "hits", "last", "tail")
+        self._finish(explained_events(decided), state, batch_id)
+
+
+def flagged(activity: DataFrame, roster: DataFrame) -> DataFrame:
+    """Events with the flags of the window and the factor of the user's role."""
+    return activity.join(roster.select("user", "role"), "user", "left").select(
         "id", "user", "date", F.coalesce("role", F.lit("Employee")).alias("role"), "activity",
         after_hours(F.hour("date"), closed=True).alias("is_odd"),
         F.col("activity").contains("Copy").alias("is_copy"),
     ).withColumn("role_factor", R.role_multiplier(F.col("role")))
-    scored = rows.groupBy("user").applyInPandasWithState(
-        score_user, SCORED, STATE, "append", GroupStateTimeout.NoTimeout)
-    return explained_events(scored)
-
-
-def _alert_user(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        hits, _ = state.get
-        # the cooldown is over: keep an open warning, forget the old alert
-        if hits:
-            state.update((int(hits), None))
-        else:
-            state.remove()
-        return
-    hits, last = state.get if state.exists else (0, None)
-    last = _last(last)
-    rows = pd.concat(list(frames), ignore_index=True).sort_values(["date", "id"])
-    fired, level = [], []
-    for risk, date in zip(rows["risk_score"], rows["date"]):
-        hits, last, hit = alert_step(hits, last, risk, date)
-        fired.append(hit)
-        level.append(severity(risk) if hit else "")
-    state.update((int(hits), None if last is None else last.to_pydatetime()))
-    if last is not None:
-        wake = int(last.timestamp() * 1000) + C.ALERT_COOLDOWN_HOURS * 3_600_000
-        state.setTimeoutTimestamp(max(wake, state.getCurrentWatermarkMs() + 1))
-    yield rows[["id", "user", "date", "risk_score"]].assign(should_alert=fired, alert_severity=level)
-
-
-def alert_stream(scored: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Stream of alert decisions over scored rows (id, user, date, risk_score).
-
-    The state is two values; event time drops it once the cooldown has passed.
-    """
-    timed = scored.select("id", "user", "date", "risk_score").withWatermark("date", delay)
-    return timed.groupBy("user").applyInPandasWithState(
-        _alert_user, ALERTS, ALERT_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def running_totals(scored: DataFrame, delay: str = "1 hour", size: str = "1 hour") -> DataFrame:

@@ -5,11 +5,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from conductrisk.operators import alerts, rollup
-from conductrisk.streaming.events import alert_step, severity
 
 SCHEMA = "user string, date timestamp, id string, risk_score double"
 
 
+def severity(risk):
+    return "CRITICAL" if risk >= 95 else "HIGH" if risk >= 85 else "MEDIUM"
+
+
 def decide(spark, at, hours, scores):
     rows = [("U1", at(h), f"{i:03d}", float(s)) for i, (h, s) in enumerate(zip(hours, scores))]
     return [(r.should_alert, r.alert_severity) for r in alerts.decide(spark.createDataFrame(rows, SCHEMA)).orderBy("date").collect()]
@@ -32,7 +35,7 @@ def test_stream_step_is_the_same_rule(spark, at):
     hits, last, want = 0, None, []
     import pandas as pd
     for h, s in zip(hours, scores):
-        hits, last, fired = alert_step(hits, last, s, pd.Timestamp(at(h)))
+        hits, last, fired = alerts.alert_step(hits, last, s, pd.Timestamp(at(h)))
         want.append((fired, severity(s) if fired else ""))
     assert decide(spark, at, hours, scores) == want
 

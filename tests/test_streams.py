@@ -25,7 +25,9 @@ def test_scored_stream_equals_batch(spark, at):
     act = activity(spark, at)
     roster = spark.createDataFrame([("U0", "Admin"), ("U1", "Employee")], "user string, role string")
     stream = replayed(spark, act, "id string, user string, date timestamp, activity string")
-    got = runner.run_to_table(SE.scored_events(stream, roster), "scored")
+    scores = SE.EventScores(spark, fresh_path(spark, "scored"), roster)
+    runner.run_batches(stream, scores)
+    got = scores.table()
     batch = buffers.buffered_scores(act).select("id", "window_size", F.round("anomaly_score", 9).alias("a"))
     mine = got.select("id", "window_size", F.round("anomaly_score", 9).alias("a"))
     assert mine.exceptAll(batch).count() == 0 and mine.count() == 60
@@ -38,7 +40,9 @@ def test_alert_stream_equals_batch(spark, at):
     scores = [90, 20, 97, 75, 88, 99, 10, 71]
     rows = [(f"{i:04d}", f"U{i % 2}", at(i * 5), float(scores[(i * 7) % 8])) for i in range(64)]
     df = spark.createDataFrame(rows, ROWS)
-    got = runner.run_to_table(SE.alert_stream(replayed(spark, df, ROWS)), "alerts").drop("batch_id")
+    decisions = SE.AlertDecisions(spark, fresh_path(spark, "alerts"))
+    runner.run_batches(replayed(spark, df, ROWS), decisions)
+    got = decisions.table().drop("batch_id")
     want = alerts.decide(df).select(got.columns)
     assert got.exceptAll(want).count() == 0 and got.count() == 64
 
