@@ -26,14 +26,39 @@ def normalised_entropy(df: DataFrame, group: list[str], key: str, name: str = "e
     return counts.groupBy(*group).agg(F.greatest(F.lit(0.0), value).alias(name))
 
 
+def _counts_of_kinds(df: DataFrame, group: list[str], keys: dict[str, str], extra: dict | None = None) -> DataFrame:
+    """(group.., kind, key, n): how often each key of each kind occurs, in one pass over the rows.
+
+    `extra` are sums that are taken once per row, with the rows of the first kind.
+    """
+    pairs = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("key")) for kind, c in keys.items()])
+    rows = df.select(*group, *[v.alias(n) for n, v in (extra or {}).items()], F.explode(pairs).alias("p"))
+    first = F.col("p.kind") == next(iter(keys))
+    return rows.groupBy(*group, F.col("p.kind").alias("kind"), F.col("p.key").alias("key")).agg(
+        F.count("*").alias("n"), *[F.sum(F.when(first, F.col(n))).alias(n) for n in (extra or {})])
+
+
+def _of(kind: str, value):
+    return F.when(F.col("kind") == kind, value)
+
+
+def _plain_entropy(kind: str):
+    n, total = F.col("n"), F.sum(_of(kind, F.col("n")))
+    return F.greatest(F.lit(0.0), F.log2(total) - F.sum(_of(kind, n * F.log2(n))) / total)
+
+
 def component_entropies(df: DataFrame, group: list[str]) -> DataFrame:
-    """activity, app, domain and temporal entropy per group, and their weighted composite."""
-    rows = df.withColumn("__hour", F.hour("timestamp"))
+    """activity, app, domain and temporal entropy per group, and their weighted composite.
+
+    Null keys do not count; groups without any activity type are left out. One pass: counts per (group, kind, key), then sums.
+    """
     keys = {"activity": "activity_type", "app": "app_category", "domain": "domain", "temporal": "__hour"}
-    parts = [normalised_entropy(rows, group, key, f"{name}_entropy") for name, key in keys.items()]
-    joined = reduce(lambda a, b: a.join(b, group, "left"), parts).fillna(0.0, [f"{n}_entropy" for n in keys])
+    counts = _counts_of_kinds(df.withColumn("__hour", F.hour("timestamp")), group, keys).filter("key is not null")
+    several = lambda kind: F.count(_of(kind, F.lit(1)))
+    parts = counts.groupBy(*group).agg(several("activity").alias("__activities"), *[
+        F.when(several(k) > 1, _plain_entropy(k) / F.log2(several(k))).otherwise(0.0).alias(f"{k}_entropy") for k in keys])
     total = reduce(lambda a, b: a + b, [F.col(f"{n}_entropy") * w for n, w in C.ENTROPY_WEIGHTS.items()])
-    return joined.withColumn("composite_entropy", clamp(total, 0, 1))
+    return parts.filter("__activities > 0").drop("__activities").withColumn("composite_entropy", clamp(total, 0, 1))
 
 
 def percentile_rank(current: DataFrame, baseline: DataFrame, value: str) -> DataFrame:
@@ -80,25 +105,25 @@ def entropy_anomaly(df: DataFrame, multiplier: float = 2.0) -> DataFrame:
     })
 
 
-def app_switches(rows: DataFrame) -> DataFrame:
-    """Application switches per user and five-minute bucket (the first row is no switch)."""
+def _switched(rows: DataFrame) -> DataFrame:
+    """Rows with their five-minute bucket and whether the application is another than in the row before."""
     bucketed = rows.withColumn("time_window", F.floor(F.unix_seconds("timestamp") / SESSION_SECONDS))
     lagged = previous(bucketed, ["user", "time_window"], "timestamp", "id", {"__app": "app_category"})
-    return lagged.groupBy("user", "time_window").agg(
-        F.count_if(F.col("app_category") != F.col("__app")).alias("app_transitions")
-    )
+    return lagged.withColumn("__switch", F.coalesce(F.col("app_category") != F.col("__app"), F.lit(False)).cast("long"))
+
+
+def app_switches(rows: DataFrame) -> DataFrame:
+    """Application switches per user and five-minute bucket (the first row is no switch)."""
+    return _switched(rows).groupBy("user", "time_window").agg(F.sum("__switch").alias("app_transitions"))
 
 
 def session_entropy(rows: DataFrame) -> DataFrame:
-    """Per user and five-minute bucket: base-2 activity entropy, app switches, distinct domains."""
-    bucketed = rows.withColumn("time_window", F.floor(F.unix_seconds("timestamp") / SESSION_SECONDS))
+    """Per user and five-minute bucket: base-2 activity entropy, app switches, distinct domains, in one pass over the rows."""
     keys = ["user", "time_window"]
-    counts = bucketed.groupBy(*keys, "activity_type").agg(F.count("*").alias("n"))
-    entropy = counts.groupBy(*keys).agg(
-        F.greatest(F.lit(0.0), F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")).alias("activity_entropy")
-    )
-    domains = bucketed.groupBy(*keys).agg(F.count_distinct("domain").alias("domain_diversity"))
-    return entropy.join(app_switches(rows), keys).join(domains, keys)
+    counts = _counts_of_kinds(_switched(rows), keys, {"activity": "activity_type", "domain": "domain"}, {"__switch": F.col("__switch")})
+    return counts.groupBy(*keys).agg(
+        _plain_entropy("activity").alias("activity_entropy"), F.sum("__switch").alias("app_transitions"),
+        F.count(_of("domain", F.col("key"))).alias("domain_diversity"))
 
 
 def user_entropy_summary(sessions: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from conductrisk import config as C
 from conductrisk.operators.ordered import percentiles
 from conductrisk.operators.sequences import event_sequences
+from conductrisk.operators.tree_attributions import forest_attributions
 
 SEED = 42
 POSITIVE_WEIGHT = 10.0
@@ -288,33 +289,8 @@ def score_sequences(model, labelled: DataFrame) -> DataFrame:
 
 # --- attributions ----------------------------------------------------------------------------------------
 def attributions(model, df: DataFrame, features: list[str], key: list[str]) -> DataFrame:
-    """Exact Shapley values of the positive probability against the mean row.
-
-    Each row meets the 2^n coalitions of its n features; absent features take the mean. The
-    weighted sums combine on the map side, so one row per explained row is shuffled. The values of a
-    row add up to its probability minus that of the mean row.
-    """
-    n = len(features)
-    means = df.agg(F.array(*[F.avg(F.col(f).cast("double")) for f in features]).alias("m")).scalar()
-    x = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features])
-    spread = df.select(*key, x.alias("x")).withColumn("m", means).withColumn(
-        "s", F.explode(F.sequence(F.lit(0), F.lit(2 ** n - 1))))
-    bits = F.from_json(F.lit(json.dumps(list(range(n)))), "array<int>")
-    mixed = F.transform(bits, lambda i: F.when(
-        F.pmod(F.floor(F.col("s") / F.pow(F.lit(2), i)), F.lit(2)) == 1, F.get("x", i)).otherwise(F.get("m", i)))
-    scored = model.transform(spread.withColumn("features", array_to_vector(mixed))).select(
-        *key, "s", vector_to_array("probability")[1].alias("p"))
-    size = F.bit_count("s")
-    weights = F.from_json(F.lit(json.dumps([
-        math.factorial(s) * math.factorial(n - s - 1) / math.factorial(n) for s in range(n)] + [0.0])), "array<double>")
-    sums = []
-    for i, f in enumerate(features):
-        has = F.col("s").bitwiseAND(F.lit(1 << i)) != 0
-        factor = F.when(has, F.get(weights, size - 1)).otherwise(-F.get(weights, size))
-        sums.append(F.sum(F.col("p") * factor).alias(f"phi_{f}"))
-    return scored.groupBy(*key).agg(
-        *sums, F.max(F.when(F.col("s") == 2 ** n - 1, F.col("p"))).alias("probability_1"),
-        F.max(F.when(F.col("s") == 0, F.col("p"))).alias("base_probability"))
+    """Exact Shapley values of the positive probability of a forest against the mean row, from the paths of its leaves."""
+    return forest_attributions(model, df, features, key)
 
 
 def global_importance(attributed: DataFrame, features: list[str]) -> DataFrame:

@@ -1,7 +1,9 @@
 import datetime as dt
+import math
 
 import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from conductrisk import config as C
@@ -72,6 +74,51 @@ def test_classifier_and_attribution_law(daily):
         assert sum(r[f"phi_{f}"] for f in C.CORE_FEATURES) == pytest.approx(r.probability_1 - r.base_probability, abs=1e-9)
 
 
+def _coalitions(model, x, mean):
+    """Shapley values over all coalitions, each scored by the model itself."""
+    n = len(x)
+    mixed = [[x[i] if s >> i & 1 else mean[i] for i in range(n)] for s in range(2 ** n)]
+    p = [float(model.predictProbability(Vectors.dense(m))[1]) for m in mixed]
+    phi = [0.0] * n
+    for s in range(2 ** n):
+        for i in range(n):
+            if not s >> i & 1:
+                k = bin(s).count("1")
+                phi[i] += math.factorial(k) * math.factorial(n - k - 1) / math.factorial(n) * (p[s | 1 << i] - p[s])
+    return phi, p[-1], p[0]
+
+
+def test_path_attributions_equal_all_coalitions(spark):
+    rng = np.random.default_rng(5)
+    rows = [(str(i), *[float(v) for v in rng.integers(0, 9, 4)]) for i in range(300)]
+    rows = [(*r, int(r[1] * r[2] + 3 * r[3] - r[4] > 20)) for r in rows] + [("null", None, 2.0, None, 1.0, 0)]
+    names = ["p", "q", "r", "s"]
+    df = spark.createDataFrame(rows, "k string, p double, q double, r double, s double, label int")
+    model = M.fit_forest_classifier(df, names, trees=6)
+    got = {r.k: r for r in M.attributions(model, df, names, ["k"]).collect()}
+    mean = list(df.agg(*[F.avg(n) for n in names]).first())
+    assert len(got) == 301
+    for row in [*rows[::43], rows[-1]]:
+        phi, p, base = _coalitions(model, [0.0 if v is None else v for v in row[1:5]], mean)
+        assert [got[row[0]][f"phi_{n}"] for n in names] == pytest.approx(phi, abs=1e-12)
+        assert (got[row[0]].probability_1, got[row[0]].base_probability) == pytest.approx((p, base), abs=1e-12)
+
+
+def test_twenty_features_need_no_coalitions(spark):
+    rng = np.random.default_rng(6)
+    names = [f"f{i}" for i in range(20)]
+    x = rng.normal(size=(200, 20))
+    df = spark.createDataFrame([(str(i), *[float(v) for v in r], int(r[:5].sum() > 0)) for i, r in enumerate(x)],
+                               "k string, " + ", ".join(f"{n} double" for n in names) + ", label int")
+    model = M.fit_forest_classifier(df, names, trees=8)
+    attributed = M.attributions(model, df, names, ["k"])
+    want = {r.k: r.p for r in M.probability(model, df, names, "p").collect()}
+    for r in attributed.collect():
+        assert r.probability_1 == pytest.approx(want[r.k], abs=1e-12)
+        assert sum(r[f"phi_{n}"] for n in names) == pytest.approx(r.probability_1 - r.base_probability, abs=1e-9)
+    assert "Exchange" not in attributed._jdf.queryExecution().executedPlan().toString()
+
+
 def test_boosted_trees_rank_the_threat(daily):
     model = M.fit_boosted(daily, C.CORE_FEATURES, trees=5)
     history = M.risk_history(model, daily, C.CORE_FEATURES)
