@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from conductrisk.functions.common import after_hours, iso_weekday, ratio
 from conductrisk.operators.timeline import with_event_flags
+from conductrisk.session import stage
 
 SLICE_SECONDS = 600
 BEHAVIOUR = ["file_copy_count", "usb_count", "removable_media_count", "delete_count",
@@ -112,14 +113,14 @@ def activity_variance(timeline: DataFrame) -> DataFrame:
 
 def peer_stats(timeline: DataFrame, roster: DataFrame) -> DataFrame:
     """Mean file count, mean and sample deviation of the email count per role and day."""
-    return (
-        with_role(source_counts(timeline), roster)
-        .groupBy("role", "day")
-        .agg(
-            F.avg("file_count").alias("peer_file_mean"),
-            F.avg("email_count").alias("peer_email_mean"),
-            F.stddev_samp("email_count").alias("peer_email_std"),
-        )
+    return _peers(with_role(source_counts(timeline), roster))
+
+
+def _peers(days: DataFrame) -> DataFrame:
+    return days.groupBy("role", "day").agg(
+        F.avg("file_count").alias("peer_file_mean"),
+        F.avg("email_count").alias("peer_email_mean"),
+        F.stddev_samp("email_count").alias("peer_email_std"),
     )
 
 
@@ -159,8 +160,9 @@ def daily_features(activity: DataFrame, roster: DataFrame) -> DataFrame:
         "after_hours_count": F.count_if(odd & not_web),
         "event_count": F.count_if(not_web),
     }
-    per_day = _per_user_day(_gaps_in_slices(flagged, measures), list(measures))
-    with_peers = peer_relative(with_role(per_day, roster), peer_stats(activity, roster))
+    # the log is read once: peers are told from the rows per user and day, which are written
+    per_day = stage(with_role(_per_user_day(_gaps_in_slices(flagged, measures), list(measures)), roster), "per-day")
+    with_peers = peer_relative(per_day, _peers(per_day))
     return with_peers.withColumns({
         "oaf": F.col("odd") / F.col("n"),
         "after_hours_ratio": ratio(F.col("after_hours_count"), F.col("event_count")),

@@ -12,6 +12,7 @@ from conductrisk.functions.common import clamp, lookup
 from conductrisk.operators.ordered import cumulative, previous
 
 SESSION_SECONDS = 300
+LEVELS = ["Low", "Medium", "High", "Critical"]
 
 
 def normalised_entropy(df: DataFrame, group: list[str], key: str, name: str = "entropy") -> DataFrame:

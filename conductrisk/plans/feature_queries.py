@@ -340,6 +340,70 @@ def event_feature_set(spark, sf):
     return rounded(rows, *_CYC_NAMES)
 
 
+_SESSION_STEPS = """
+SELECT *, mouse_x - lag(mouse_x) OVER w AS mx, mouse_y - lag(mouse_y) OVER w AS my, (epoch_us(timestamp) - epoch_us(lag(timestamp) OVER w)) / 1000000.0::DOUBLE AS secs,
+  key_press_time - lag(key_release_time) OVER w AS flight
+FROM (SELECT *, CAST(timestamp AS DATE) AS d FROM bio) WINDOW w AS (PARTITION BY "user", d ORDER BY timestamp, id)"""
+_SESSION_DAYS = """
+SELECT "user", d, (epoch_us(max(timestamp)) - epoch_us(min(timestamp))) / 1000000.0::DOUBLE AS session_duration, coalesce(sum(secs) FILTER (WHERE is_idle = 1), 0)::DOUBLE AS idle_time,
+  avg(is_productive_app) AS productive_app_ratio, avg(mouse_velocity) AS mouse_velocity, avg(flight) AS keystroke_flight_time,
+  coalesce(sum(sqrt(mx * mx + my * my)), 0) / (sqrt(pow(arg_max(mouse_x, (timestamp, id)) - arg_min(mouse_x, (timestamp, id)), 2) + pow(arg_max(mouse_y, (timestamp, id)) - arg_min(mouse_y, (timestamp, id)), 2)) + 1e-6::DOUBLE) AS mouse_tortuosity
+FROM day_steps GROUP BY 1, 2"""
+_SESSION_SCORES = """
+SELECT s.*, CASE WHEN m > 0 AND keystroke_flight_time > m * 5 THEN least(1.0::DOUBLE, (keystroke_flight_time - m) / (dev + 1e-6::DOUBLE) / 10) ELSE 0.0::DOUBLE END AS keystroke_anomaly_score
+FROM day_sums s JOIN (SELECT "user", avg(keystroke_flight_time) AS m, coalesce(stddev_samp(keystroke_flight_time), 0) AS dev FROM day_sums GROUP BY 1) b ON b."user" = s."user" """
+_SESSION_LEVELS = """
+SELECT "user", session_day, CASE WHEN pct >= least(100.0::DOUBLE, 95.0::DOUBLE * m) THEN 'Critical' WHEN pct >= least(100.0::DOUBLE, 80.0::DOUBLE * m) THEN 'High' WHEN pct >= least(100.0::DOUBLE, 60.0::DOUBLE * m) THEN 'Medium' ELSE 'Low' END AS entropy_risk_level
+FROM (SELECT c."user", c.session_day, cume_dist() OVER (ORDER BY round(c.composite_entropy, 9)) * 100 AS pct,
+  CASE r.role WHEN 'Admin' THEN 1.3::DOUBLE WHEN 'Contractor' THEN 1.15::DOUBLE WHEN 'Developer' THEN 1.2::DOUBLE ELSE 1.0::DOUBLE END AS m FROM comp c JOIN roster r ON r."user" = c."user")"""
+_DAY_FEATURES = ["session_duration", "idle_time", "productive_app_ratio", "mouse_velocity", "mouse_tortuosity", "keystroke_flight_time", "keystroke_anomaly_score"]
+_FEATURES_21 = f"""
+SELECT a.*, {", ".join("s." + n for n in _DAY_FEATURES)}, l.entropy_risk_level FROM (
+  SELECT id, "user", date, CAST(hour AS INTEGER) AS hour, CAST(isodow(date) - 1 AS INTEGER) AS day_of_week, CAST(isodow(date) >= 6 AS INTEGER) AS is_weekend, CAST(hour < 7 OR hour > 20 AS INTEGER) AS is_after_hours,
+    {_ROLLS}, {_roll("hour < 7 OR hour > 20", 24, "late_24h")}, late_24h::DOUBLE / event_count_24h AS after_hours_ratio FROM act) a
+LEFT JOIN day_scores s ON s."user" = a."user" AND s.d = CAST(a.date AS DATE) LEFT JOIN day_levels l ON l."user" = a."user" AND l.session_day = strftime(a.date, '%Y-%m-%d')"""
+_PIPE = {**_entropy_tables(_SESSION), "day_steps": _SESSION_STEPS, "day_sums": _SESSION_DAYS, "day_scores": _SESSION_SCORES, "day_levels": _SESSION_LEVELS, "feats": _FEATURES_21}
+_WHOLE = ["hour", "day_of_week", "is_weekend", "is_after_hours", *[n for n in _ROLL_NAMES if n != "event_count_24h"], "entropy_risk_level"]
+_REAL = ["after_hours_ratio", *_DAY_FEATURES]
+# times in milliseconds of the epoch leave about three digits
+_DIGITS = {n: 1 if n == "keystroke_flight_time" else 6 if n in ("session_duration", "idle_time") else 4 for n in _REAL}
+
+
+def _pipeline(spark, sf):
+    return S.event_pipeline(A.activity(spark, sf), A.biometrics(spark, sf), A.roster(spark, sf))
+
+
+@query("event_feature_pipeline", f"SELECT id, {', '.join(_WHOLE)}, {', '.join(R(f'coalesce({n}, -1)', n, _DIGITS[n]) for n in _REAL)} FROM feats", **_PIPE)
+def event_feature_pipeline(spark, sf):
+    """All features of the contract per event."""
+    rows = _pipeline(spark, sf)
+    rows = rows.select("id", *_WHOLE, *[F.coalesce(n, F.lit(-1.0)).alias(n) for n in _REAL])
+    for name in _REAL:
+        rows = rounded(rows, name, digits=_DIGITS[name])
+    return rows
+
+
+_FEATURE_ROWS = f"""
+SELECT date, unnest([{", ".join(f"'{n}'" for n in [*_WHOLE, *_REAL])}]) AS feature,
+  unnest([{", ".join("list_position(['Low', 'Medium', 'High', 'Critical'], entropy_risk_level)::DOUBLE" if n == "entropy_risk_level" else f"{n}::DOUBLE" for n in [*_WHOLE, *_REAL])}]) AS value FROM feats"""
+
+
+@query("event_feature_warnings", """
+SELECT feature, substring(md5(concat(feature, ':1.0.0')), 1, 8) AS feature_id, len(iss) = 0 AS valid, array_to_string(iss, '; ') AS issues FROM (
+ SELECT feature, list_filter([CASE WHEN missing::DOUBLE / n > 0.1 THEN printf('High missing ratio: %.2f%%', missing::DOUBLE / n * 100) END,
+  CASE WHEN feature = 'entropy_risk_level' AND uniq::DOUBLE / n > 0.5 THEN concat('High cardinality: ', uniq, ' unique values') END,
+  CASE WHEN ref_std > 0 AND abs(mean - ref_mean) / ref_std > 3 THEN printf('Mean shifted by %.1f std devs', abs(mean - ref_mean) / ref_std) END], lambda x: x IS NOT NULL) AS iss
+ FROM (SELECT feature, count(*) AS n, count(*) - count(value) AS missing, count(DISTINCT value) AS uniq, avg(value) AS mean FROM frows GROUP BY 1)
+ JOIN (SELECT feature, avg(value) AS ref_mean, stddev_samp(value) AS ref_std FROM frows WHERE date < (SELECT max(date) FROM act) - INTERVAL 15 DAY GROUP BY 1) USING (feature))""",
+       **_PIPE, frows=_FEATURE_ROWS)
+def event_feature_warnings(spark, sf):
+    """Every feature judged against the rows that are older than fifteen days."""
+    rows = T0.stage(_pipeline(spark, sf), "event-features")
+    older = rows.filter(F.col("date") < rollup.latest(rows, "date") - F.expr("INTERVAL 15 DAYS"))
+    judged = S.pipeline_warnings(rows, older)
+    return judged.select("feature", "feature_id", "valid", F.array_join("issues", "; ").alias("issues"))
+
+
 @query("feature_ids", "SELECT event_type AS name, count(*) AS n, substring(md5(concat(event_type, ':1.0.0')), 1, 8) AS feature_id FROM ev GROUP BY 1")
 def feature_ids(spark, sf):
     from conductrisk.functions.common import feature_id
