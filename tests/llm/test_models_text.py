@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -163,6 +164,54 @@ def test_toxic_words_are_learned(make, spark, clashing):
     assert odd[0].score == odd[1].score == odd[2].score < 0.5 and odd[4].score == odd[5].score > 0.5
 
 
+def _plain_features(text):
+    words = re.findall("[a-z]+", text.lower())
+    return {(w,) for w in words} | {(g, a, b) for g in (1, 2) for a, b in zip(words, words[g:])}
+
+
+def _plain_ftrl(rows, epochs, alpha, beta, l1, l2):
+    """FTRL-proximal one coordinate at a time; the intercept () has no L1 term. Gives the score of a feature set."""
+    z, n = {}, {}
+
+    def weight(f):
+        strength = 0.0 if f == () else l1
+        if abs(z.get(f, 0.0)) <= strength:
+            return 0.0
+        return (math.copysign(strength, z[f]) - z[f]) / ((beta + math.sqrt(n[f])) / alpha + l2)
+
+    def probability(have):
+        return 1 / (1 + math.exp(-sum(weight(f) for f in have | {()})))
+
+    for _ in range(epochs):
+        for have, y in rows:
+            g = probability(have) - y
+            for f, w in [(f, weight(f)) for f in have | {()}]:
+                before = n.get(f, 0.0)
+                z[f] = z.get(f, 0.0) + g - (math.sqrt(before + g * g) - math.sqrt(before)) / alpha * w
+                n[f] = before + g * g
+    return probability, {f for f in z if f and weight(f)}
+
+
+def test_training_equals_a_plain_ftrl(make):
+    rng = np.random.default_rng(11)
+    vocabulary = [f"{a}{b}" for a in "bdkmprst" for b in ("an", "el", "ix", "or")]
+    texts, label = [], []
+    for i in range(240):
+        words = rng.choice(vocabulary, rng.integers(0, 14)).tolist()
+        label.append(int(i % 4 == 0))
+        texts.append(" ".join(words + ["Grumph", "off"] * label[-1]) + [".", "", " 7!"][i % 3])
+    bucket, owner = toxicity._features(pa.array(texts))
+    assert [int((owner == i).sum()) for i in range(240)] == [len(_plain_features(t)) for t in texts]
+    model = toxicity.train([bucket[owner == i] for i in range(240)], label)
+    plain, kept = _plain_ftrl([(_plain_features(t), y) for t, y in zip(texts, label)],
+                              toxicity.EPOCHS, toxicity.ALPHA, toxicity.BETA, toxicity.L1, toxicity.L2)
+    assert len(model.bucket) == len(kept) > 0
+    asked = texts[::7] + ["", "grumph", "off grumph ban", "unknown words only"]
+    got = {r.text: r.score for r in toxicity.score(make(asked), model).select("row.text", "score").collect()}
+    for t in asked:
+        assert got[t] == pytest.approx(plain(_plain_features(t)), abs=1e-9)
+
+
 def test_toxicity_without_labels_or_rows(make, spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = toxicity.fit(make(["a b"]), labels, fold(5) != 0)
