@@ -13,6 +13,8 @@ from conductrisk.session import stage
 
 #: Bytes of the centres that every task gets, rings of a cell, rows of a block.
 CENTRE_BYTES, RINGS, BLOCK_ROWS = 16_000_000, 64, 2_000
+#: Bytes of the vectors of a shard, and of the questions that meet it in one task.
+SHARD_BYTES = 16_000_000
 #: Distances that are held at once.
 _HELD = 4_000_000
 
@@ -29,10 +31,10 @@ def _rough(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _closest(ids: np.ndarray, vecs: np.ndarray, member_ids: np.ndarray, members: np.ndarray, k: int,
-             reach: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+             reach: np.ndarray | None = None, apart: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(id, neighbour, distance) of the k closest members of each point within its reach, itself excluded, ties by id.
 
-    Matrix products tell which members can be among the closest; the distances of those are computed from the differences.
+    `apart` (a number of each point and of each member) excludes the members of the same number, too. Matrix products tell which members can be among the closest; the distances of those are computed from the differences.
     """
     parts = []
     step = max(1, _HELD // max(1, len(members)))
@@ -40,6 +42,8 @@ def _closest(ids: np.ndarray, vecs: np.ndarray, member_ids: np.ndarray, members:
         own, x = ids[at:at + step], vecs[at:at + step]
         d, error = _rough(x, members)
         d[own[:, None] == member_ids[None]] = np.inf
+        if apart is not None:
+            d[apart[0][at:at + step, None] == apart[1][None]] = np.inf
         bound = np.partition(d, k - 1, axis=1)[:, k - 1] + 2 * error if d.shape[1] >= k else np.full(len(d), np.inf)
         if reach is not None:
             bound = np.minimum(bound, reach[at:at + step] ** 2 + 2 * error)
@@ -121,59 +125,136 @@ def _placed(heads: DataFrame, centres: dict, block_rows: int) -> DataFrame:
 _BLOCK = ["label", "cell", "ring", "part"]
 
 
-def _asked(placed: DataFrame, reach: DataFrame, centres: dict) -> DataFrame:
-    """The other blocks that can hold a row within a row's reach: block, id, vec, reach.
+def _shards(placed: DataFrame, shard_bytes: int) -> tuple[dict, DataFrame]:
+    """({label: its blocks by cell, ring and part}, the blocks as a table), for labels of more than one block.
+
+    A shard is a run of blocks of one label with about `shard_bytes` of vectors. The driver gets one row per block: at most
+    the number of centres plus two per `block_rows` rows.
+    """
+    many = placed.filter("spread > 1").groupBy(*_BLOCK).agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d"), F.min("d0").alias("lo"), F.max("d0").alias("hi"))
+    of_label: dict = {}
+    for r in many.collect():
+        of_label.setdefault(r["label"], []).append(r)
+    known, rows, shard = {}, [], 0
+    for label, blocks in of_label.items():
+        blocks.sort(key=lambda r: (r["cell"], r["ring"], r["part"]))
+        first, shards, held = len(rows), [], 0
+        for i, r in enumerate(blocks):
+            size = 8 * r["d"] * r["n"]
+            if held and held + size > shard_bytes:
+                shard, held = shard + 1, 0
+            held += size
+            shards.append(shard)
+            rows.append((label, r["cell"], r["ring"], r["part"], first + i, shard))
+        shard += 1
+        known[label] = {"first": first, "shard": np.array(shards), "cell": np.array([r["cell"] for r in blocks]),
+                        "lo": np.array([r["lo"] for r in blocks], float), "hi": np.array([r["hi"] for r in blocks], float)}
+    fields = [*[placed.schema[c] for c in _BLOCK], T.StructField("block", T.LongType()), T.StructField("shard", T.LongType())]
+    return known, placed.sparkSession.createDataFrame(rows, T.StructType(fields))
+
+
+def _in_reach(x: np.ndarray, reach: np.ndarray, blocks: dict, c: np.ndarray | None, home: np.ndarray) -> np.ndarray:
+    """rows x blocks: can the block hold a row within the row's reach? The home block is left out.
 
     A cell is skipped if its border is further than the reach ((d(q, its centre) - d(q, own centre)) / 2), a ring if the
     triangle inequality keeps it out.
     """
-    shared = placed.sparkSession.sparkContext.broadcast(centres)
-    rows = placed.join(reach, "id", "left").withColumn("reach", F.coalesce("reach", F.lit(float("inf")))).select(
-        *_BLOCK, "id", "vec", "spread", "reach")
-    names = rows.columns
+    out = np.ones((len(x), len(blocks["cell"])), bool)
+    if c is not None:
+        step = max(1, _HELD // max(len(c), out.shape[1]))
+        for i in range(0, len(x), step):
+            d, error = _rough(x[i:i + step], c)
+            d, r = np.sqrt(d), reach[i:i + step, None]
+            seen = (d - d.min(axis=1, keepdims=True)) / 2 <= r + np.sqrt(error)[:, None]
+            dq = d[:, blocks["cell"]]
+            room = r * (1 + 1e-9) + 1e-6 * (1 + dq)
+            out[i:i + step] = seen[:, blocks["cell"]] & (blocks["lo"] <= dq + room) & (blocks["hi"] >= dq - room)
+    out[np.arange(len(x)), home - blocks["first"]] = False
+    return out
+
+
+def _asked(placed: DataFrame, reach: DataFrame, known, shared, numbered: DataFrame) -> DataFrame:
+    """The other blocks that can hold a row within a row's reach: block, its shard, id, home, reach."""
+    rows = placed.join(reach, "id", "left").select(
+        "label", "id", "vec", F.col("block").alias("home"), F.coalesce("reach", F.lit(float("inf"))).alias("reach"))
 
     def route(batches):
         for batch in batches:
-            labels, spread = batch.column("label").to_pylist(), batch.column("spread").to_pylist()
-            reach = batch.column("reach").to_numpy(zero_copy_only=False)
-            found: list = [None] * batch.num_rows
+            labels, found = batch.column("label").to_pylist(), [None] * batch.num_rows
+            home, reach = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("home", "reach"))
             for label in set(labels):
-                at, c = np.array([i for i, x in enumerate(labels) if x == label]), shared.value.get(label)
-                if c is None:
-                    for i in at:
-                        found[i] = [{"cell": -1 - j, "dq": None} for j in range(spread[i])]
-                    continue
-                x, step = _matrix(batch.column("vec").take(pa.array(at))), max(1, _HELD // len(c))
+                at, blocks = np.array([i for i, x in enumerate(labels) if x == label]), known.value[label]
+                step = max(1, _HELD // len(blocks["cell"]))
                 for i in range(0, len(at), step):
-                    d, error = _rough(x[i:i + step], c)
-                    d = np.sqrt(d)
-                    slack = np.sqrt(error)[:, None]
-                    seen = (d - d.min(axis=1, keepdims=True)) / 2 <= reach[at[i:i + step]][:, None] + slack
-                    for row, keep, dist in zip(at[i:i + step], seen, d, strict=True):
-                        found[row] = [{"cell": int(j), "dq": float(dist[j])} for j in np.flatnonzero(keep)]
+                    own = at[i:i + step]
+                    ask = _in_reach(_matrix(batch.column("vec").take(pa.array(own))), reach[own], blocks, shared.value.get(label), home[own])
+                    for row, keep in zip(own, ask, strict=True):
+                        found[row] = np.flatnonzero(keep) + blocks["first"]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(found, pa.list_(pa.struct([("cell", pa.int64()), ("dq", pa.float64())])))], [*names, "cells"])
-
-    schema = T.StructType([*rows.schema.fields, T.StructField("cells", T.ArrayType(T.StructType([
-        T.StructField("cell", T.LongType()), T.StructField("dq", T.DoubleType())])))])
-    routed = rows.mapInArrow(route, schema).select(
-        "label", F.struct("cell", "ring", "part").alias("home"), "id", "vec", "reach", F.explode("cells").alias("c")).select(
-        "label", "home", "id", "vec", "reach", F.col("c.cell").alias("cell"), F.col("c.dq").alias("dq"))
-    blocks = placed.groupBy(*_BLOCK).agg(F.min("d0").alias("lo"), F.max("d0").alias("hi"))
-    room = F.col("reach") * (1 + 1e-9) + 1e-6 * (1 + F.col("dq"))
-    within = F.col("dq").isNull() | ((F.col("lo") <= F.col("dq") + room) & (F.col("hi") >= F.col("dq") - room))
-    return routed.join(blocks, ["label", "cell"]).filter(within & (F.struct("cell", "ring", "part") != F.col("home"))).select(
-        *_BLOCK, "id", "vec", "reach")
-
-
-def nearest_in_class(points: DataFrame, k: int = 5, block_rows: int = BLOCK_ROWS, budget: int = CENTRE_BYTES) -> DataFrame:
+                [*(batch.column(c) for c in ("id", "home", "reach")), pa.array(found, pa.list_(pa.int64()))], ["id", "home", "reach", "blocks"])
+
+    routed = rows.mapInArrow(route, "id long, home long, reach double, blocks array<long>")
+    return routed.select("id", "home", "reach", F.explode("blocks").alias("block")).join(F.broadcast(numbered), "block").select(
+        *_BLOCK, "shard", "id", "home", "reach")
+
+
+def _outside(placed: DataFrame, reach: DataFrame, centres: dict, k: int, shard_bytes: int) -> DataFrame | None:
+    """The k nearest rows of each row in each shard, without its own block: id, neighbour, distance. None without other blocks."""
+    blocks, numbered = _shards(placed, shard_bytes)
+    if not blocks:
+        return None
+    placed = placed.join(F.broadcast(numbered), _BLOCK)
+    context = placed.sparkSession.sparkContext
+    known, shared = context.broadcast(blocks), context.broadcast(centres)
+    # all blocks of a row are made in one task, so hardly more than these rows is shuffled
+    asked = stage(_asked(placed, reach, known, shared, numbered).select("shard", "id", "home", "reach").distinct(), "asked")
+    per_row = placed.agg(8 * F.max(F.size("vec"))).first()[0]
+    batches = asked.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) * per_row / shard_bytes).cast("int").alias("batches"))
+    vecs = placed.select("label", "id", F.col("block").alias("home"), "vec")
+    questions = asked.join(F.broadcast(batches), "shard").withColumn(
+        "batch", F.pmod(F.xxhash64("id"), F.col("batches")).cast("int")).drop("batches").join(vecs, ["id", "home"])
+    members = placed.join(F.broadcast(batches), "shard").select(
+        F.col("shard").alias("m_shard"), F.explode(F.sequence(F.lit(0), F.col("batches") - 1)).alias("m_batch"),
+        F.col("block").alias("m_block"), F.col("id").alias("m_id"), F.col("vec").alias("m_vec"))
+
+    def answer(key: tuple, q: pa.Table, m: pa.Table) -> pa.Table:
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(q) and len(m):
+            ids, x, home, far = q.column("id").to_numpy(), _matrix(q.column("vec")), q.column("home").to_numpy(), q.column("reach").to_numpy()
+            m_ids, members, m_block = m.column("m_id").to_numpy(), _matrix(m.column("m_vec")), m.column("m_block").to_numpy()
+            label = q.column("label")[0].as_py()
+            own = known.value[label]
+            here = np.flatnonzero(own["shard"] == key[0].as_py())
+            step = max(1, _HELD // len(own["cell"]))
+            ask = np.concatenate([_in_reach(x[i:i + step], far[i:i + step], own, shared.value.get(label), home[i:i + step])[:, here]
+                                  for i in range(0, len(x), step)])
+            if ask.mean() > 0.3:  # one product for all blocks is cheaper
+                found.append(_closest(ids, x, m_ids, members, k, far, (home, m_block)))
+            else:
+                for j, block in enumerate(here + own["first"]):
+                    rows, mine = np.flatnonzero(ask[:, j]), m_block == block
+                    if len(rows):
+                        found.append(_closest(ids[rows], x[rows], m_ids[mine], members[mine], k, far[rows]))
+        near = [np.concatenate(c) for c in zip(*found, strict=True)]
+        order = np.lexsort((near[1], near[2], near[0]))
+        near = [c[order] for c in near]
+        keep = np.arange(len(order)) - np.searchsorted(near[0], near[0]) < k
+        return pa.table({n: c[keep] for n, c in zip(_FOUND, near, strict=True)}, schema=pa.schema(_FOUND))
+
+    return questions.groupBy("shard", "batch").cogroup(members.groupBy("m_shard", "m_batch")).applyInArrow(answer, _OUT)
+
+
+def nearest_in_class(points: DataFrame, k: int = 5, block_rows: int = BLOCK_ROWS, budget: int = CENTRE_BYTES,
+                     shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Exact k nearest rows of the same class: (label, id, neighbour, distance, nth).
 
     Input: label, id (long), vec (array<double>). Copies of one vector are reduced to k + 1 rows
     first: nobody needs more of them, and further copies take their neighbours from those rows.
     The rest goes to the nearest of about sqrt(n) centres per class; cells are cut into rings around their centre and
     these into blocks of about `block_rows`. A row's k-th distance inside its own block bounds the other blocks it has to look
-    at; each block answers batches of rows with k rows per question, never with all pairs.
+    at. Blocks travel together in shards of about `shard_bytes`: a row goes once to a shard, whatever the number of its blocks in
+    reach, and gets k rows back, never all pairs.
     """
     points = points.withColumn("vkey", F.xxhash64("vec"))
     copies = Window.partitionBy("label", "vkey", "vec").orderBy("id")
@@ -189,20 +270,8 @@ def nearest_in_class(points: DataFrame, k: int = 5, block_rows: int = BLOCK_ROWS
     inside = stage(placed.select(*_BLOCK, "id", "vec").groupBy(*_BLOCK).applyInArrow(within, _OUT), "inside")
     reach = inside.groupBy("id").agg(F.count(F.lit(1)).alias("found"), F.max("distance").alias("r")).filter(
         F.col("found") >= k).select("id", F.col("r").alias("reach"))
-    asked = stage(_asked(placed, reach, centres), "asked")
-    batches = asked.groupBy(*_BLOCK).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("batches"))
-    keys = [*_BLOCK, "batch"]
-    questions = asked.join(batches, _BLOCK).withColumn("batch", F.pmod(F.xxhash64("id"), F.col("batches")).cast("int")).drop("batches")
-    members = placed.join(batches, _BLOCK).select(
-        *[F.col(c).alias(f"m_{c}") for c in [*_BLOCK, "id", "vec"]], F.explode(F.sequence(F.lit(0), F.col("batches") - 1)).alias("m_batch"))
-
-    def answer(q: pa.Table, m: pa.Table) -> pa.Table:
-        found = _closest(q.column("id").to_numpy(), _matrix(q.column("vec")), m.column("m_id").to_numpy(), _matrix(m.column("m_vec")), k,
-                         q.column("reach").to_numpy()) if len(q) and len(m) else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        return pa.table(dict(zip(_FOUND, found)), schema=pa.schema(_FOUND))
-
-    outside = questions.groupBy(*keys).cogroup(members.groupBy(*[f"m_{c}" for c in keys])).applyInArrow(answer, _OUT)
-    found = inside.unionByName(outside)
+    outside = _outside(placed, reach, centres, k, shard_bytes)
+    found = inside if outside is None else inside.unionByName(outside)
     best = F.slice(F.sort_array(F.collect_list(F.struct("distance", "neighbour"))), 1, k)
     listed = found.groupBy("id").agg(best.alias("best"))
     of_heads = heads.join(listed, "id", "left")
