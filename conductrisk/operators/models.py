@@ -7,6 +7,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PCA, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -19,6 +20,7 @@ from conductrisk import config as C
 from conductrisk.operators.ordered import percentiles
 from conductrisk.operators.sequences import event_sequences
 from conductrisk.operators.tree_attributions import forest_attributions
+from conductrisk.session import stage
 
 SEED = 42
 POSITIVE_WEIGHT = 10.0
@@ -216,7 +218,8 @@ def score_forest(df: DataFrame, forest: list[np.ndarray], features: list[str], c
             total += depth + _average_path(tree[at, 4])
         return pd.Series(-np.power(2.0, -total / len(forest) / norm))
 
-    scored = df.withColumn("normality", normality(*[F.col(f).cast("double") for f in features]))
+    # the percentile and the result read the scores
+    scored = stage(df.withColumn("normality", normality(*[F.col(f).cast("double") for f in features])), "normalities")
     offset = percentiles(scored, "normality", [contamination]).select(F.col("p")[0]).scalar()
     return scored.withColumn("decision", F.col("normality") - offset).withColumn(
         "prediction", F.when(F.col("decision") < 0, -1).otherwise(1)).drop("normality")
@@ -228,20 +231,36 @@ def kernel_scores(df: DataFrame, features: list[str], contamination: float = 0.0
     """Kernel density by random Fourier features; the sparsest share is flagged.
 
     The density of a row is the product of its feature map with the mean feature map: one
-    aggregation, no pair of rows is ever compared.
+    aggregation, no pair of rows is ever compared. Maps are made a batch at a time and never stored; the densities
+    are written once, as the percentile and the result read them.
     """
-    scaled = standardised(df, features)
     rng = np.random.default_rng(SEED)
     gamma = gamma or 1.0 / len(features)
-    weights = rng.normal(0, math.sqrt(2 * gamma), (size, len(features))).tolist()
-    shifts = rng.uniform(0, 2 * math.pi, size).tolist()
-    w = F.from_json(F.lit(json.dumps([[*a, b] for a, b in zip(weights, shifts)])), "array<array<double>>")
-    x = F.array(*[F.col(f"{f}_scaled") for f in features], F.lit(1.0))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    mapped = scaled.withColumn("__x", x).withColumn("__z", F.transform(w, lambda r: F.cos(dot(r, F.col("__x"))) * math.sqrt(2 / size)))
-    centre = mapped.agg(Summarizer.mean(array_to_vector("__z")).alias("m")).select(vector_to_array("m")).scalar()
-    density = mapped.withColumn("__c", centre).withColumn("density", dot(F.col("__z"), F.col("__c"))).drop(
-        "__x", "__z", "__c", *[f"{f}_scaled" for f in features])
+    weights = rng.normal(0, math.sqrt(2 * gamma), (size, len(features)))
+    shifts = rng.uniform(0, 2 * math.pi, size)
+    scaled = standardised(df, features)
+    inputs = [F.col(f"{f}_scaled").cast("double") for f in features]
+
+    def maps(columns) -> np.ndarray:
+        x = np.zeros((len(columns[0]), size))
+        for c, w in zip(columns, weights.T, strict=True):
+            x += np.asarray(c, dtype=float)[:, None] * w
+        return np.cos(x + shifts) * math.sqrt(2 / size)
+
+    def sums(batches):
+        for batch in batches:
+            z = maps([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            yield pa.RecordBatch.from_arrays([pa.array([z.sum(axis=0).tolist()], pa.list_(pa.float64())), pa.array([len(z)])], ["z", "n"])
+
+    parts = scaled.select(*inputs).mapInArrow(sums, "z array<double>, n long")
+    total = parts.agg(F.sum("n").alias("n"), *[F.sum(F.col("z")[i]).alias(f"z{i}") for i in range(size)]).first()
+    centre = np.array([total[f"z{i}"] / total["n"] for i in range(size)]) if total["n"] else np.zeros(size)
+
+    @F.pandas_udf(T.DoubleType())
+    def density_of(*columns: pd.Series) -> pd.Series:
+        return pd.Series(maps(columns) @ centre)
+
+    density = stage(scaled.withColumn("density", density_of(*inputs)).drop(*[f"{f}_scaled" for f in features]), "densities")
     cut = percentiles(density, "density", [contamination]).select(F.col("p")[0]).scalar()
     return density.withColumn("decision", F.col("density") - cut).withColumn(
         "prediction", F.when(F.col("decision") < 0, -1).otherwise(1)).drop("density")
