@@ -185,8 +185,8 @@ def last_ten_events_proxy(spark, sf):
 def _activity_stream(spark, sf):
     """Events as a replayed stream: time-ordered files, several micro-batches."""
     path = fresh_path(prepare(spark), "replay")
-    runner.stage_replay(A.table(spark, sf, "events"), path, 8, "ts")
-    return runner.replay(spark, path, schemas.EVENTS, files_per_trigger=2)
+    files = runner.stage_replay(A.table(spark, sf, "events"), path, 8, "ts")
+    return runner.replay(spark, path, schemas.EVENTS, files_per_trigger=2 * files)
 
 
 @query("replayed_events", f"SELECT event_id, {T('ts')} FROM events")
@@ -228,8 +228,8 @@ SELECT {T("h", "start")}, count(*) AS events, count_if(risk_score > 50) AS high_
 def stream_running_totals(spark, sf):
     scored = _scored_stream(spark, sf).select("id", "date", "risk_score", "should_alert")
     path = fresh_path(spark, "scored-replay")
-    runner.stage_replay(scored, path, 4)
-    stream = runner.replay(spark, path, "id string, date timestamp, risk_score double, should_alert boolean", 1)
+    files = runner.stage_replay(scored, path, 4)
+    stream = runner.replay(spark, path, "id string, date timestamp, risk_score double, should_alert boolean", files)
     table = runner.run_to_table(SE.running_totals(stream), "totals", mode="update")
     return text_time(runner.latest_per_key(table, ["start"]), "start")
 
@@ -238,8 +238,8 @@ def stream_running_totals(spark, sf):
 def stream_alerts(spark, sf):
     path = fresh_path(prepare(spark), "days")
     days = T0.scored_days(spark, sf).select("id", "user", "date", "risk_score")
-    runner.stage_replay(days, path, 6)
-    stream = runner.replay(spark, path, "id string, user string, date timestamp, risk_score double", 1)
+    files = runner.stage_replay(days, path, 6)
+    stream = runner.replay(spark, path, "id string, user string, date timestamp, risk_score double", files)
     decisions = SE.AlertDecisions(spark, fresh_path(spark, "alerts"))
     runner.run_batches(stream, decisions)
     return text_time(decisions.table().select("user", F.to_date("date").alias("day"), "should_alert", "alert_severity"), "day")
@@ -250,8 +250,8 @@ def stream_without_duplicates(spark, sf):
     """Every event is delivered twice; the stream keeps one of each."""
     path = fresh_path(prepare(spark), "twice")
     raw = A.table(spark, sf, "events")
-    runner.stage_replay(raw.unionByName(raw), path, 6, "ts")
-    stream = A.as_activity(A.as_events(runner.replay(spark, path, schemas.EVENTS, 2)))
+    files = runner.stage_replay(raw.unionByName(raw), path, 6, "ts")
+    stream = A.as_activity(A.as_events(runner.replay(spark, path, schemas.EVENTS, 2 * files)))
     rows = runner.run_to_table(SE.without_duplicates(stream).select("id"), "once")
     return rows.select(F.substring("id", 2, 12).cast("bigint").alias("event_id"))
 
@@ -261,8 +261,8 @@ def _delivered_again(spark, sf):
     path = fresh_path(prepare(spark), "again")
     raw = A.table(spark, sf, "events")
     sent = raw.withColumn("sent", F.col("ts")).unionByName(raw.withColumn("sent", F.col("ts") + F.expr("INTERVAL 5 DAYS")))
-    runner.stage_replay(sent, path, 8, "sent")
-    return runner.replay(spark, path, schemas.EVENTS, files_per_trigger=1)
+    files = runner.stage_replay(sent, path, 8, "sent")
+    return runner.replay(spark, path, schemas.EVENTS, files_per_trigger=files)
 
 
 @query("stream_copies_in_later_batches", "SELECT event_id FROM events")
@@ -296,7 +296,9 @@ def _live_stream(spark, sf):
     """Payloads in order of time, scored against the baselines that are stored when the stream starts."""
     rows = L.flatten_payload(A.as_payload(A.events(spark, sf)))
     prepared = L.with_productivity(L.with_user_role(rows, A.roster(spark, sf)))
-    base = T0.stage(L.user_baselines(prepared, rollup.latest(rows, "timestamp")), "baselines")
+    # the newest time and the means read the payloads, which are parsed once
+    prepared = T0.stage(prepared.select("user_id", "timestamp", *L.MEASURES.values()), "prepared")
+    base = T0.stage(L.user_baselines(prepared, rollup.latest(prepared, "timestamp")), "baselines")
     payloads = A.as_payload(A.as_events(_activity_stream(spark, sf)))
     return ST.live_scores(payloads, A.roster(spark, sf), base)
 
@@ -304,8 +306,8 @@ def _live_stream(spark, sf):
 def _second_stream(spark, sf, events, files_per_trigger=2):
     """Events as a replayed stream whose slices end with a second, as baselines are refreshed with whole seconds."""
     path = fresh_path(prepare(spark), "seconds")
-    runner.stage_replay(events, path, 8, "ts", unit=1_000_000)
-    return runner.replay(spark, path, schemas.EVENTS, files_per_trigger=files_per_trigger)
+    files = runner.stage_replay(events, path, 8, "ts", unit=1_000_000)
+    return runner.replay(spark, path, schemas.EVENTS, files_per_trigger=files_per_trigger * files)
 
 
 @query("stream_live_scores", f"SELECT id, user_id, {R('risk_score')}, mitre_tactic FROM tele", tele_role=_PAYLOAD_ROWS)
@@ -331,9 +333,9 @@ SELECT event_id AS id, {T("ts", "timestamp")}, ts < (SELECT max(ts) FROM events
 def stream_late_rows(spark, sf):
     """Each thirteenth event comes after all others. The ones from before the last day are set aside, the rest is scored."""
     path, raw = fresh_path(prepare(spark), "late-rows"), A.table(spark, sf, "events")
-    runner.stage_replay(raw.filter("event_id % 13 <> 0"), path, 4, "ts", unit=1_000_000)
-    runner.stage_replay(raw.filter("event_id % 13 = 0"), path, 1, "ts")
-    payloads = A.as_payload(A.as_events(runner.replay(spark, path, schemas.EVENTS, files_per_trigger=1)))
+    files = runner.stage_replay(raw.filter("event_id % 13 <> 0"), path, 4, "ts", unit=1_000_000)
+    runner.stage_replay(raw.filter("event_id % 13 = 0"), path, 1, "ts", files_per_slice=files)
+    payloads = A.as_payload(A.as_events(runner.replay(spark, path, schemas.EVENTS, files_per_trigger=files)))
     live = ST.LiveBaselines(spark, fresh_path(spark, "live-baselines"), lateness="1 DAY")
     runner.run_batches(ST.prepared(payloads, A.roster(spark, sf)), live)
     rows = live.table("late").select("id", "timestamp", F.lit(True).alias("late")).unionByName(

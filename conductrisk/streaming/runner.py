@@ -18,23 +18,43 @@ def replay(spark: SparkSession, path: str, schema: str, files_per_trigger: int =
     return reader.parquet(path)
 
 
+#: Rows of a file of a replay: a batch is read by as many tasks as it has files.
+FILE_ROWS = 50_000
+
+
 def stage_replay(df: DataFrame, path: str, slices: int, ts: str = "date", limit: int | None = None,
-                 files_per_slice: int = 1, unit: int = 1) -> None:
+                 files_per_slice: int | None = None, unit: int = 1) -> int:
     """Write a table as time-ordered files for a replay, optionally only its first rows. Rows of one `unit` (microseconds) stay together.
 
     A file stream reads files in the order of their modification times, so the time slices are
-    written one after the other. A large slice is written by several tasks; then let a
-    micro-batch take whole slices (files per trigger a multiple of `files_per_slice`).
+    written one after the other. Each slice becomes `files_per_slice` files, by default one per FILE_ROWS rows, which as many
+    tasks write and read. The number is returned: let a micro-batch take whole slices (files per trigger a multiple of it).
     """
+    spark = df.sparkSession
     rows = df.orderBy(ts).limit(limit) if limit else df
     at = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / unit)
     steps = [i / slices for i in range(1, slices)]
-    cuts = rows.agg(F.percentile_approx(at, steps, 10_000).alias("c")).first()["c"] or []
-    edges = [None, *sorted(set(cuts)), None]
+    found = rows.agg(F.percentile_approx(at, steps, 10_000).alias("c") if steps else F.lit(None).alias("c"), F.count(F.lit(1)).alias("n")).first()
+    files = files_per_slice or max(1, -(-found["n"] // (slices * FILE_ROWS)))
+    edges = [None, *sorted(set(found["c"] or [])), None]
+    written = _files(spark, path)
     for low, high in zip(edges, edges[1:]):
         part = rows if low is None else rows.filter(at > low)
         part = part if high is None else part.filter(at <= high)
-        part.repartitionByRange(files_per_slice, ts).sortWithinPartitions(ts).write.mode("append").parquet(path)
+        part.repartition(files).sortWithinPartitions(ts).write.mode("append").parquet(path)
+        # a slice of fewer rows than files is filled up with empty files, so that slices and batches stay in step
+        due, written = written + files, _files(spark, path)
+        for _ in range(due - written):
+            spark.createDataFrame([], df.schema).coalesce(1).write.mode("append").parquet(path)
+            written += 1
+    return files
+
+
+def _files(spark: SparkSession, path: str) -> int:
+    """How many Parquet files a folder holds."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/*.parquet")
+    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target)
+    return len(found) if found is not None else 0
 
 
 def run_batches(stream: DataFrame, write, mode: str = "append", state: str | None = None, trigger: dict | None = None) -> None:

@@ -1,6 +1,7 @@
 """Work that must not grow faster than the input."""
 
 import math
+from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from conductrisk.operators import models as M
 from conductrisk.operators import sampling as S
+from conductrisk.streaming import runner
 
 
 @pytest.mark.parametrize("shard_bytes", [10_000, 16_000_000])
@@ -53,3 +55,28 @@ def test_kernel_maps_are_made_by_batch(spark):
 def test_kernel_scores_of_no_rows(spark):
     df = spark.createDataFrame([], "id long, a double")
     assert M.kernel_scores(df, ["a"]).count() == 0
+
+
+def test_large_slices_are_several_files_and_batches_whole_slices(spark, tmp_path, monkeypatch):
+    """Slices of many rows are written and read by several tasks; batches end where slices do, also after a slice with few rows."""
+    monkeypatch.setattr(runner, "FILE_ROWS", 50)
+    # half of the rows have one time, so some slices are tiny
+    at = lambda i: datetime(2024, 1, 1) + timedelta(seconds=i if i < 300 else 300 if i < 598 else i)
+    df = spark.createDataFrame([(i, at(i)) for i in range(600)], "id long, date timestamp").repartition(3)
+    path = str(tmp_path / "replay")
+    files = runner.stage_replay(df, path, 4, unit=1_000_000)
+    assert files == 3
+    found = runner.run_to_table(runner.replay(spark, path, "id long, date timestamp", files), "again", path=str(tmp_path / "out"),
+                                state=str(tmp_path / "state"))
+    batches = found.groupBy("batch_id").agg(F.min("date").alias("a"), F.max("date").alias("b"), F.count("*").alias("n")).orderBy("batch_id").collect()
+    assert sum(r.n for r in batches) == 600 and found.select("id").distinct().count() == 600
+    assert all(x.b < y.a for x, y in zip(batches, batches[1:]))
+    assert max(r.n for r in batches) >= 298
+    read = spark.read.parquet(path).withColumn("f", F.input_file_name()).groupBy("f").count()
+    assert read.count() > len(batches)
+
+
+def test_small_replays_keep_one_file_per_slice(spark, tmp_path):
+    df = spark.range(40).select(F.timestamp_seconds("id").alias("date"))
+    assert runner.stage_replay(df, str(tmp_path / "small"), 4) == 1
+    assert len(list((tmp_path / "small").glob("*.parquet"))) == 4
