@@ -232,7 +232,8 @@ def kernel_scores(df: DataFrame, features: list[str], contamination: float = 0.0
 
     The density of a row is the product of its feature map with the mean feature map: one
     aggregation, no pair of rows is ever compared. Maps are made a batch at a time and never stored; the densities
-    are written once, as the percentile and the result read them.
+    are written once, as the percentile and the result read them. A row without one of its features is no part of the mean and
+    gets no decision.
     """
     rng = np.random.default_rng(SEED)
     gamma = gamma or 1.0 / len(features)
@@ -250,6 +251,7 @@ def kernel_scores(df: DataFrame, features: list[str], contamination: float = 0.0
     def sums(batches):
         for batch in batches:
             z = maps([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            z = z[~np.isnan(z).any(axis=1)]
             yield pa.RecordBatch.from_arrays([pa.array([z.sum(axis=0).tolist()], pa.list_(pa.float64())), pa.array([len(z)])], ["z", "n"])
 
     parts = scaled.select(*inputs).mapInArrow(sums, "z array<double>, n long")
@@ -263,7 +265,7 @@ def kernel_scores(df: DataFrame, features: list[str], contamination: float = 0.0
     density = stage(scaled.withColumn("density", density_of(*inputs)).drop(*[f"{f}_scaled" for f in features]), "densities")
     cut = percentiles(density, "density", [contamination]).select(F.col("p")[0]).scalar()
     return density.withColumn("decision", F.col("density") - cut).withColumn(
-        "prediction", F.when(F.col("decision") < 0, -1).otherwise(1)).drop("density")
+        "prediction", F.when(F.col("decision") < 0, -1).when(F.col("decision") >= 0, 1)).drop("density")
 
 
 # --- classifiers ----------------------------------------------------------------------------------------

@@ -80,3 +80,10 @@ def test_small_replays_keep_one_file_per_slice(spark, tmp_path):
     df = spark.range(40).select(F.timestamp_seconds("id").alias("date"))
     assert runner.stage_replay(df, str(tmp_path / "small"), 4) == 1
     assert len(list((tmp_path / "small").glob("*.parquet"))) == 4
+
+
+def test_rows_without_a_feature_leave_the_kernel_density_alone(spark):
+    df = spark.createDataFrame([(i, float(i % 7), float(i % 5)) for i in range(70)] + [(70, None, 1.0)], "id long, a double, b double")
+    got = {r.id: r for r in M.kernel_scores(df, ["a", "b"], 0.1, size=8).collect()}
+    assert got[70].decision is None and got[70].prediction is None
+    assert all(got[i].decision is not None and got[i].prediction in (-1, 1) for i in range(70))
