@@ -26,6 +26,8 @@ from conductrisk.llm.rows import broadcast, map_texts, text_of
 #: Hash buckets of n-grams, length of the n-grams, smoothing count, most languages that are learned.
 BUCKETS, GRAM, SMOOTHING, MAX_LANGUAGES = 1 << 15, 3, 0.5, 400
 UNDETERMINED = "und"
+#: Bytes of text that are handled at once.
+AT_ONCE = 1_000_000
 _CHUNK = 4096  # buckets per row of partial counts
 _MULTIPLIERS = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)]
 
@@ -66,7 +68,7 @@ def fit(docs: DataFrame, learn: Column) -> LanguageModel:
         counts: dict[str, np.ndarray] = {}
         seen: dict[str, int] = {}
         for batch in batches:
-            for first, n in K.pieces(text_of(batch)):
+            for first, n in K.pieces(text_of(batch), AT_ONCE):
                 part = batch.slice(first, n)
                 names = pc.struct_field(part.column("row"), "lang").to_pylist()
                 buckets, bounds = _grams(text_of(part))
@@ -128,4 +130,4 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
         best = np.where(known, best, len(learned.languages))
         return [pa.array(names[best].tolist(), pa.string()), np.where(known, score, 0.0)]
 
-    return map_texts(docs, work, [("lang_pred", T.StringType()), ("score", T.DoubleType())])
+    return map_texts(docs, work, [("lang_pred", T.StringType()), ("score", T.DoubleType())], AT_ONCE)

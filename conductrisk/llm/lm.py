@@ -293,12 +293,15 @@ def _codes_of_block(buckets: int, salts: int) -> Callable[[pa.Table], pa.Table]:
     """The distinct codes of a block by bucket, in ascending order, as differences."""
 
     def work(table: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()
         found = []
-        for batch in table.combine_chunks().to_batches():
-            for first, n in K.pieces(text_of(batch)):
+        for batch in table.to_batches():
+            for first, n in K.pieces(text_of(batch), COUNT_BYTES):
                 # with counts numpy sorts, which is faster than its hashing
                 found.append(np.unique(symbols(text_of(batch.slice(first, n)))[0], return_counts=True)[0])
-        code = np.unique(np.concatenate(found), return_counts=True)[0]
+        found = np.concatenate(found)
+        code = np.unique(found, return_counts=True)[0]
+        del found
         of = _bucket(code, buckets)
         order = np.argsort(of, kind="stable")
         parts, edges = np.unique(of[order], return_index=True)
@@ -337,8 +340,8 @@ def _answers(short) -> Callable[[pa.Table, pa.Table], pa.Table]:
 
 def _requests(table: pa.Table) -> pa.Table:
     """The distinct words of a block."""
-    words = np.unique(np.concatenate([_words(text_of(batch.slice(first, n)))[0] for batch in table.combine_chunks().to_batches()
-                                      for first, n in K.pieces(text_of(batch))]))
+    words = np.unique(np.concatenate([np.unique(_words(text_of(batch.slice(first, n)))[0]) for batch in table.to_batches()
+                                      for first, n in K.pieces(text_of(batch), COUNT_BYTES)]))
     block = table.column("block")[0].as_py()
     return pa.table({"block": pa.array(np.full(len(words), block, np.int64)), "value": pa.array(words.view(np.int64))})
 
@@ -381,23 +384,31 @@ def score(docs: DataFrame, learn: Callable[[str], Column]) -> DataFrame:
         value, count = listed.column("value").to_numpy(), listed.column("c").to_numpy()
         order = np.argsort(value)
         value, count = value[order], count[order]
-        codes, logs = [], []
-        for x in right.filter(of_codes).select(["n", "codes", "scores"]).to_pylist():
-            codes.append(np.cumsum(_restored(x["codes"], x["n"], np.int64)))
-            logs.append(_restored(x["scores"], x["n"], np.float64))
-        codes, logs = (np.concatenate(x) if x else np.zeros(0) for x in (codes, logs))
+        answered = right.filter(of_codes).select(["n", "codes", "scores"])
+        total = pc.sum(answered.column("n")).as_py() or 0
+        codes, logs, filled = np.empty(total, np.int64), np.empty(total), 0
+        for i in range(len(answered)):  # one list at a time is restored
+            m, packed, scores = (answered.column(c)[i].as_py() for c in range(3))
+            np.cumsum(_restored(packed, m, np.int64), out=codes[filled:filled + m])
+            logs[filled:filled + m] = _restored(scores, m, np.float64)
+            filled += m
         order = np.argsort(codes)
         codes, logs = codes[order], logs[order]
+        del order, answered, listed, of_codes, right
+        pa.default_memory_pool().release_unused()
         out = []
-        for batch in left.combine_chunks().to_batches():
-            for first, n in K.pieces(text_of(batch)):
+        for batch in left.to_batches():
+            for first, n in K.pieces(text_of(batch), COUNT_BYTES):
                 part = batch.slice(first, n)
                 words, of_text = _words(text_of(part))
                 hit, at = _find(value, words.view(np.int64))
                 c = np.where(hit, count[at], 0) if len(value) else np.zeros(len(words), np.int64)
                 code, bounds = symbols(text_of(part))
                 coded = pa.array(code).dictionary_encode()
-                at = np.searchsorted(codes, coded.dictionary.to_numpy())
+                wanted = coded.dictionary.to_numpy()
+                order = np.argsort(wanted)  # in order they are found faster
+                at = np.empty(len(wanted), np.int64)
+                at[order] = np.searchsorted(codes, wanted[order])
                 out.append(pa.RecordBatch.from_arrays([
                     part.column("row"), part.column("held_out"), pa.array(np.diff(of_text) + 1),
                     pa.array(K.sums((c > 0).astype(np.int64), of_text) + int(end_count > 0)),

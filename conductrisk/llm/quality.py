@@ -33,6 +33,8 @@ from conductrisk.session import stage
 RISK, ERROR = 0.02, 0.05
 #: Words in a window of the repeat count.
 REPEAT_WINDOW = 5
+#: Bytes of text that are counted at once.
+AT_ONCE = 1_000_000
 #: Candidate cutoffs of each rule, from lenient to strict. A document is rejected above the cutoff.
 GRID = {
     "symbol_share": [round(1.0 - 0.04 * i, 2) for i in range(25)] + [0.03, 0.02, 0.015, 0.01],
@@ -85,7 +87,7 @@ def _counts(batch: pa.RecordBatch) -> list[np.ndarray]:
 
 def measured(docs: DataFrame) -> DataFrame:
     """`row` and the counts of every text."""
-    return map_texts(docs, _counts, [(n, T.LongType()) for n in COUNTS])
+    return map_texts(docs, _counts, [(n, T.LongType()) for n in COUNTS], AT_ONCE)
 
 
 def rules() -> dict[str, Column]:

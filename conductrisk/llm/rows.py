@@ -61,6 +61,9 @@ def map_texts(docs: DataFrame, work: Callable, fields: list[tuple[str, T.DataTyp
                 part = batch.slice(first, n)
                 new = [x if isinstance(x, pa.Array) else pa.array(x) for x in work(part)]
                 yield pa.RecordBatch.from_arrays([part.column("row"), *new], ["row", *(n for n, _ in fields)])
+                del part, new
+            # an idle worker keeps no buffers that later stages need
+            pa.default_memory_pool().release_unused()
 
     return packed.mapInArrow(run, schema)
 

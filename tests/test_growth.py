@@ -4,9 +4,11 @@ import math
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from conductrisk.llm import lm
 from conductrisk.operators import models as M
 from conductrisk.operators import sampling as S
 from conductrisk.streaming import runner
@@ -87,3 +89,15 @@ def test_rows_without_a_feature_leave_the_kernel_density_alone(spark):
     got = {r.id: r for r in M.kernel_scores(df, ["a", "b"], 0.1, size=8).collect()}
     assert got[70].decision is None and got[70].prediction is None
     assert all(got[i].decision is not None and got[i].prediction in (-1, 1) for i in range(70))
+
+
+def test_codes_of_a_block_are_made_a_megabyte_at_a_time(monkeypatch):
+    """The codes do not depend on the pieces, and no piece is larger than what is counted at once."""
+    texts = [f"some words of text {i} and a few more" for i in range(200)]
+    table = pa.table({"row": pa.array([{"doc_id": i, "text": x} for i, x in enumerate(texts)]), "block": pa.array([0] * 200)})
+    whole = lm._codes_of_block(3, 1)(table)
+    seen, plain = [], lm.symbols
+    monkeypatch.setattr(lm, "COUNT_BYTES", 500)
+    monkeypatch.setattr(lm, "symbols", lambda t: seen.append(sum(map(len, t.to_pylist()))) or plain(t))
+    assert lm._codes_of_block(3, 1)(table) == whole
+    assert len(seen) > 1 and max(seen) <= 500
