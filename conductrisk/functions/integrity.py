@@ -16,9 +16,12 @@ def _permitted(app: Column, role: Column, table: dict[str, list[str]]) -> Column
     return out
 
 
-def productivity(app: Column, role: Column) -> Column:
-    """Struct(score, category, text) of how well an application fits the role."""
-    low = F.lower(app)
+def productivity(app: Column, role: Column, low: Column | None = None) -> Column:
+    """Struct(score, category, text) of how well an application fits the role.
+
+    `low` is the lower-case application where a column holds it; an expression would be evaluated again for every word.
+    """
+    low = F.lower(app) if low is None else low
     classes = [
         (_permitted(low, role, C.ROLE_APPS) | contains_any(low, C.PRODUCTIVE_APPS), 1.0, "productive", C.PRODUCTIVITY_TEXTS["permitted"]),
         (contains_any(low, C.NEUTRAL_APPS), 0.7, "neutral", C.PRODUCTIVITY_TEXTS["neutral"]),
@@ -51,8 +54,13 @@ def deviation(velocity: Column, flight: Column, base: dict[str, Column], has_bas
         F.lit(0.0).alias("score"), F.lit(0.0).alias("sigma"), F.lit(C.DEVIATION_TEXTS["no_baseline"]).alias("text")))
 
 
-def integrity_multiplier(productivity_score: Column, sigma: Column, ts: Column) -> Column:
-    hour, weekend = F.hour(ts), F.weekday(ts) >= 5
+def clock(ts: Column) -> tuple[Column, Column]:
+    """Hour and weekend; the rules below take them as columns, if these exist, instead of working them out for every condition."""
+    return F.hour(ts), F.weekday(ts) >= 5
+
+
+def integrity_multiplier(productivity_score: Column, sigma: Column, ts: Column, at: tuple[Column, Column] | None = None) -> Column:
+    hour, weekend = at or clock(ts)
     product = (
         F.when(productivity_score < 0.5, 1.5).when(productivity_score < 0.7, 1.2).otherwise(1.0)
         * F.when(sigma > 2, 2.0).when(sigma > 1.5, 1.5).when(sigma > 1, 1.2).otherwise(1.0)
@@ -62,9 +70,9 @@ def integrity_multiplier(productivity_score: Column, sigma: Column, ts: Column)
     return F.least(product, F.lit(5.0))
 
 
-def time_multiplier(ts: Column) -> Column:
+def time_multiplier(ts: Column, at: tuple[Column, Column] | None = None) -> Column:
     """Night, early morning, evening, weekend, work time: tested in this order."""
-    hour, weekend = F.hour(ts), F.weekday(ts) >= 5
+    hour, weekend = at or clock(ts)
     return (
         F.when((hour >= 22) | (hour < 6), 2.5).when(hour < 9, 1.5).when(hour >= 17, 1.8)
         .when(weekend, 2.0).otherwise(1.0)
@@ -72,9 +80,10 @@ def time_multiplier(ts: Column) -> Column:
 
 
 def live_components(app: Column, role: Column, velocity: Column, flight: Column,
-                    base: dict[str, Column], has_baseline: Column, ts: Column) -> dict[str, Column]:
+                    base: dict[str, Column], has_baseline: Column, ts: Column, low: Column | None = None,
+                    at: tuple[Column, Column] | None = None) -> dict[str, Column]:
     """The four 0-100 components of the role-weighted live risk."""
-    low, hour = F.lower(app), F.hour(ts)
+    low, (hour, weekend) = F.lower(app) if low is None else low, at or clock(ts)
     z = (
         F.abs(velocity - base["mv_avg"]) / (base["mv_std"] + 1)
         + F.abs(flight - base["kf_avg"]) / (base["kf_std"] + 1)
@@ -92,17 +101,17 @@ def live_components(app: Column, role: Column, velocity: Column, flight: Column,
         "entropy": F.lit(20.0),
         "context": (
             F.when(after_hours(hour, 6, 22, closed=True), 60.0)
-            .when(F.weekday(ts) >= 5, 40.0).otherwise(10.0)
+            .when(weekend, 40.0).otherwise(10.0)
         ),
     }
 
 
-def live_risk(components: dict[str, Column], role: Column, ts: Column) -> Column:
+def live_risk(components: dict[str, Column], role: Column, ts: Column, at: tuple[Column, Column] | None = None) -> Column:
     total = F.lit(0.0)
     for name, value in components.items():
         weights = {r: p[name] for r, p in C.ROLE_PROFILES.items()}
         total = total + value * lookup(role, weights, C.ROLE_PROFILES["Employee"][name])
-    return clamp(total * time_multiplier(ts), 0, 100)
+    return clamp(total * time_multiplier(ts, at), 0, 100)
 
 
 def live_factors(components: dict[str, Column]) -> Column:
@@ -112,9 +121,9 @@ def live_factors(components: dict[str, Column]) -> Column:
     )
 
 
-def app_tactic(app: Column) -> Column:
+def app_tactic(app: Column, low: Column | None = None) -> Column:
     """Struct(tactic, technique) of the first keyword list that matches the application."""
-    low = F.lower(F.coalesce(app, F.lit("")))
+    low = F.coalesce(F.lower(app) if low is None else low, F.lit(""))
     out = F.lit(None).cast("struct<tactic string, technique string>")
     for words, tactic, technique in C.APP_TACTICS[::-1]:
         pair = F.struct(F.lit(tactic).alias("tactic"), F.lit(technique).alias("technique"))
@@ -122,11 +131,11 @@ def app_tactic(app: Column) -> Column:
     return out
 
 
-def live_tactic(app: Column, risk: Column, hour: Column) -> Column:
+def live_tactic(app: Column, risk: Column, hour: Column, low: Column | None = None) -> Column:
     """By application first, then by context."""
     pair = lambda a, b: F.struct(F.lit(a).alias("tactic"), F.lit(b).alias("technique"))
     return F.coalesce(
-        app_tactic(app),
+        app_tactic(app, low),
         F.when(after_hours(hour, 8, 20, closed=True) & (risk >= 60), pair("TA0003", "T1078"))
         .when(risk >= 80, pair("TA0009", "T1119")),
     )

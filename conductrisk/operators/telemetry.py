@@ -49,11 +49,11 @@ def with_user_role(rows: DataFrame, roster: DataFrame) -> DataFrame:
 
 
 def with_productivity(rows: DataFrame) -> DataFrame:
-    fit = I.productivity(F.col("active_app"), F.col("role"))
-    return rows.withColumn("__p", fit).withColumns({
+    fit = I.productivity(F.col("active_app"), F.col("role"), F.col("__low"))
+    return rows.withColumn("__low", F.lower("active_app")).withColumn("__p", fit).withColumns({
         "productivity_score": F.col("__p.score"), "productivity_category": F.col("__p.category"),
         "productivity_text": F.col("__p.text"),
-    }).drop("__p")
+    }).drop("__p", "__low")
 
 
 def user_baselines(rows: DataFrame, as_of: Column, days: int = BASELINE_DAYS) -> DataFrame:
@@ -74,7 +74,11 @@ def score(rows: DataFrame) -> DataFrame:
     base = {n: F.col(n) for n in ("mv_avg", "mv_std", "kf_avg", "kf_std")}
     app, role, ts = F.col("active_app"), F.col("role"), F.col("timestamp")
     velocity, flight, known = F.col("mouse_velocity_avg"), F.col("keystroke_flight_avg_ms"), F.col("has_baseline")
-    parts = I.live_components(app, role, velocity, flight, base, known, ts)
+    hour, weekend = I.clock(ts)
+    # read by many conditions, so columns of their own
+    rows = rows.withColumns({"__low": F.lower(app), "__hour": hour, "__weekend": weekend})
+    low, at = F.col("__low"), (F.col("__hour"), F.col("__weekend"))
+    parts = I.live_components(app, role, velocity, flight, base, known, ts, low, at)
     rows = rows.withColumns({
         "__d": I.deviation(velocity, flight, base, known),
         **{f"{n}_component": c for n, c in parts.items()},
@@ -82,19 +86,19 @@ def score(rows: DataFrame) -> DataFrame:
     stored = {n: F.col(f"{n}_component") for n in parts}
     rows = rows.withColumns({
         "deviation_score": F.col("__d.score"), "sigma_level": F.col("__d.sigma"), "deviation_text": F.col("__d.text"),
-        "time_multiplier": I.time_multiplier(ts),
-        "live_risk": I.live_risk(stored, role, ts),
+        "time_multiplier": I.time_multiplier(ts, at),
+        "live_risk": I.live_risk(stored, role, ts, at),
         "live_factors": I.live_factors(stored),
     })
-    rows = rows.withColumn("risk_multiplier", I.integrity_multiplier(F.col("productivity_score"), F.col("sigma_level"), ts))
+    rows = rows.withColumn("risk_multiplier", I.integrity_multiplier(F.col("productivity_score"), F.col("sigma_level"), ts, at))
     rows = rows.withColumn("raw_anomaly", F.col("deviation_score") * F.col("risk_multiplier"))
     rows = rows.withColumn("risk_score", clamp(F.greatest(F.col("raw_anomaly") * 100, F.col("live_risk")), 0, 100))
     return rows.withColumns({
         "anomaly_score": F.col("risk_score") / 100,
-        "__t": I.live_tactic(app, F.col("risk_score"), F.hour(ts)),
+        "__t": I.live_tactic(app, F.col("risk_score"), at[0], low),
     }).withColumns({
         "mitre_tactic": F.col("__t.tactic"), "mitre_technique": F.col("__t.technique"),
-    }).drop("__d", "__t")
+    }).drop("__d", "__t", "__low", "__hour", "__weekend")
 
 
 def with_baseline_as_of(rows: DataFrame, fresh: DataFrame | None = None, newest: DataFrame | None = None) -> DataFrame:
@@ -171,40 +175,45 @@ def hourly_aggregate(scored: DataFrame) -> DataFrame:
     )
 
 
-def sums_per_second(rows: DataFrame) -> DataFrame:
-    """user_id, __sec, __c and the sums of the five measures."""
+def sums_per_second(rows: DataFrame, every: int = 10) -> DataFrame:
+    """user_id, __sec, __c, the sums of the five measures, and __p: the rows that refresh the baseline."""
     return rows.groupBy("user_id", F.unix_seconds("timestamp").alias("__sec")).agg(
-        F.count("*").alias("__c"), *[F.sum(c).alias(n) for n, c in MEASURES.items()])
+        F.count("*").alias("__c"), *[F.sum(c).alias(n) for n, c in MEASURES.items()],
+        F.count_if(F.col("id") % every == 0).alias("__p"))
 
 
-def refreshed_baselines(rows: DataFrame, every: int = 10, days: int = BASELINE_DAYS, history: DataFrame | None = None) -> DataFrame:
+def refreshed_baselines(rows: DataFrame, every: int = 10, days: int = BASELINE_DAYS, history: DataFrame | None = None,
+                        sums: DataFrame | None = None) -> DataFrame:
     """The user's trailing mean at each tenth row of the table.
 
     Rows become running sums per (user, second): they enter at their own second and leave once
-    the window has passed, so no task holds more than one day of one user. `history` are sums per second of earlier rows.
+    the window has passed, so no task holds more than one day of one user. They are dealt by user and day once, and only seconds
+    with a refresh go on from there. `sums` are the sums per second of the rows, if they are written; `history` those of earlier rows.
     """
     sec = F.unix_seconds("timestamp")
     span = days * 86400 + 1
     names = list(MEASURES)
-    per_second = sums_per_second(rows)
+    per_second = sums_per_second(rows, every) if sums is None else sums.select("user_id", "__sec", "__c", *names, "__p")
     if history is not None:
-        per_second = per_second.unionByName(history.select(per_second.columns))
+        per_second = per_second.unionByName(history.select("user_id", "__sec", "__c", *names, F.lit(0).cast("long").alias("__p")))
     parts = F.array(
-        F.struct(F.col("__sec").alias("s"), F.col("__c").alias("c"), *[F.col(n) for n in names]),
-        F.struct((F.col("__sec") + span).alias("s"), (-F.col("__c")).alias("c"), *[(-F.col(n)).alias(n) for n in names]),
+        F.struct(F.col("__sec").alias("s"), F.col("__c").alias("c"), *[F.col(n) for n in names], F.col("__p").alias("p")),
+        F.struct((F.col("__sec") + span).alias("s"), (-F.col("__c")).alias("c"), *[(-F.col(n)).alias(n) for n in names],
+                 F.lit(0).cast("long").alias("p")),
     )
     cols = ["c", *names]
     deltas = (
         per_second.select("user_id", F.explode(parts).alias("d"))
-        .groupBy("user_id", F.col("d.s").alias("__sec")).agg(*[F.sum(f"d.{c}").alias(c) for c in cols])
-        .withColumn("__day", F.floor(F.col("__sec") / 86400))
+        .select("user_id", F.col("d.s").alias("__sec"), F.floor(F.col("d.s") / 86400).alias("__day"), *[f"d.{c}" for c in [*cols, "p"]])
+        .repartition("user_id", "__day")
+        .groupBy("user_id", "__day", "__sec").agg(*[F.sum(c).alias(c) for c in cols], F.sum("p").alias("__p"))
     )
     within = Window.partitionBy("user_id", "__day").orderBy("__sec").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("user_id").orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
     opening = deltas.groupBy("user_id", "__day").agg(*[F.sum(c).alias(c) for c in cols]).select(
         "user_id", "__day", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"o_{c}") for c in cols]
     )
-    totals = deltas.withColumns({f"r_{c}": F.sum(c).over(within) for c in cols}).join(
+    totals = deltas.withColumns({f"r_{c}": F.sum(c).over(within) for c in cols}).filter("__p > 0").join(
         opening, ["user_id", "__day"]
     ).select("user_id", "__sec", *[(F.col(f"r_{c}") + F.col(f"o_{c}")).alias(f"t_{c}") for c in cols])
     points = rows.filter(F.col("id") % every == 0).select("id", "user_id", sec.alias("__sec"))

@@ -15,6 +15,10 @@ from conductrisk.session import stage
 
 KEEP = ["user", "role", "day", "date", "id", "risk_score", "anomaly_score", "mitre_tactic",
         "mitre_technique", "file_copy_count", "usb_count", "explanation"]
+#: What the reads on top of the stored telemetry use; texts and parts of the score are neither worked out nor written for them.
+LIVE_KEEP = ["id", "user_id", "role", "timestamp", "active_app", "window_title", "keystroke_count", "mouse_click_count",
+             "mouse_velocity_avg", "keystroke_flight_avg_ms", "risk_score", "anomaly_score", "productivity_score",
+             "mitre_tactic", "mitre_technique"]
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +72,7 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stage(telemetry(spark, sf_dir), "telemetry")
+    return stage(telemetry(spark, sf_dir).select(LIVE_KEEP), "telemetry")
 
 
 def as_accounts(roster: DataFrame, scored_rows: DataFrame) -> DataFrame:

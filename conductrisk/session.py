@@ -14,6 +14,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # the JVM never compiles a method of more bytes: rules with many conditions would run in its interpreter
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 START_SETTINGS = {
     **RUNTIME_SETTINGS,

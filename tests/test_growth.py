@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from conductrisk.llm import lm
 from conductrisk.operators import models as M
 from conductrisk.operators import sampling as S
+from conductrisk.operators import telemetry as L
+from conductrisk.plans import tables as T0
 from conductrisk.streaming import runner
 
 
@@ -101,3 +103,30 @@ def test_codes_of_a_block_are_made_a_megabyte_at_a_time(monkeypatch):
     monkeypatch.setattr(lm, "symbols", lambda t: seen.append(sum(map(len, t.to_pylist()))) or plain(t))
     assert lm._codes_of_block(3, 1)(table) == whole
     assert len(seen) > 1 and max(seen) <= 500
+
+
+def _telemetry_rows(spark, n=400):
+    return spark.range(n).select(
+        "id", F.concat(F.lit("U"), F.col("id") % 3).alias("user_id"), F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") * 4001).alias("timestamp"),
+        F.element_at(F.array(*[F.lit(a) for a in ("Excel.exe", "Netflix", "Terminal", "Telegram")]), (F.col("id") % 4 + 1).cast("int")).alias("active_app"),
+        F.lit("Developer").alias("role"), *[(F.col("id") % m).cast("double").alias(c) for m, c in zip((7, 5, 11, 13), list(L.MEASURES.values())[:4])])
+
+
+def test_an_application_is_lowered_once_per_row(spark):
+    """Fifty words are looked for in a column, not in an expression that each of them evaluates again."""
+    rows = L.with_productivity(_telemetry_rows(spark))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+    scored = L.score(rows.withColumns({"has_baseline": F.col("id") > 5, **{n: F.lit(2.0) for n in L.MEASURES}}))
+    assert scored._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 2
+    assert not [c for c in scored.columns if c.startswith("__")]
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+
+
+def test_stored_telemetry_has_what_is_read(spark, monkeypatch):
+    kept = {}
+    monkeypatch.setattr(T0, "telemetry", lambda *_: L.score(L.with_productivity(_telemetry_rows(spark)).withColumns({
+        "has_baseline": F.lit(False), **{n: F.lit(2.0) for n in L.MEASURES}, **{c: F.lit(None).cast("string") for c in ("window_title", "process_id")},
+        "keystroke_count": F.lit(1), "mouse_click_count": F.lit(1)})))
+    monkeypatch.setattr(T0, "stage", lambda df, name: kept.setdefault(name, df))
+    assert "live_factors" not in T0.stored_telemetry(spark, "").columns and "deviation_text" not in kept["telemetry"].columns
+    assert kept["telemetry"].count() == 400
