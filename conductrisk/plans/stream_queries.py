@@ -182,6 +182,11 @@ def last_ten_events_proxy(spark, sf):
     return rounded(rows, "anomaly_score")
 
 
+def _roster(spark, sf):
+    """User and role, written once: every micro-batch joins them, and would work the roster out of all events again."""
+    return T0.stage(A.roster(spark, sf).select("user", "role"), "roster")
+
+
 def _activity_stream(spark, sf):
     """Events as a replayed stream: time-ordered files, several micro-batches."""
     path = fresh_path(prepare(spark), "replay")
@@ -199,7 +204,7 @@ def _scored_stream(spark, sf):
 
 
 def _scored_events_of(spark, sf, stream):
-    scores = SE.EventScores(spark, fresh_path(spark, "event-scores"), A.roster(spark, sf))
+    scores = SE.EventScores(spark, fresh_path(spark, "event-scores"), _roster(spark, sf))
     runner.run_batches(stream, scores)
     return scores.table()
 
@@ -295,12 +300,13 @@ _LIVE = {"tele_role": _PAYLOAD_ROWS, "tele_z": STATIC_Z}
 def _live_stream(spark, sf):
     """Payloads in order of time, scored against the baselines that are stored when the stream starts."""
     rows = L.flatten_payload(A.as_payload(A.events(spark, sf)))
-    prepared = L.with_productivity(L.with_user_role(rows, A.roster(spark, sf)))
+    roster = _roster(spark, sf)
+    prepared = L.with_productivity(L.with_user_role(rows, roster))
     # the newest time and the means read the payloads, which are parsed once
     prepared = T0.stage(prepared.select("user_id", "timestamp", *L.MEASURES.values()), "prepared")
     base = T0.stage(L.user_baselines(prepared, rollup.latest(prepared, "timestamp")), "baselines")
     payloads = A.as_payload(A.as_events(_activity_stream(spark, sf)))
-    return ST.live_scores(payloads, A.roster(spark, sf), base)
+    return ST.live_scores(payloads, roster, base)
 
 
 def _second_stream(spark, sf, events, files_per_trigger=2):
@@ -315,7 +321,7 @@ def stream_live_scores(spark, sf):
     """Scored with baselines that the stream itself keeps and refreshes: the rows and scores of the batch path."""
     payloads = A.as_payload(A.as_events(_second_stream(spark, sf, A.table(spark, sf, "events"))))
     live = ST.LiveBaselines(spark, fresh_path(spark, "live-baselines"))
-    runner.run_batches(ST.prepared(payloads, A.roster(spark, sf)), live)
+    runner.run_batches(ST.prepared(payloads, _roster(spark, sf)), live)
     return rounded(live.table("scored").select("id", "user_id", "risk_score", "mitre_tactic"), "risk_score")
 
 
@@ -324,7 +330,7 @@ SELECT id, user_id, n, {", ".join(R(x, digits=9) for x in ["mv_avg", "mv_std", "
 def stream_refreshed_baselines(spark, sf):
     payloads = A.as_payload(A.as_events(_second_stream(spark, sf, A.table(spark, sf, "events"))))
     live = ST.LiveBaselines(spark, fresh_path(spark, "live-baselines"))
-    runner.run_batches(ST.prepared(payloads, A.roster(spark, sf)), live)
+    runner.run_batches(ST.prepared(payloads, _roster(spark, sf)), live)
     return rounded(live.table("fresh").drop("batch_id"), *L.MEASURES, digits=9)
 
 
@@ -337,7 +343,7 @@ def stream_late_rows(spark, sf):
     runner.stage_replay(raw.filter("event_id % 13 = 0"), path, 1, "ts", files_per_slice=files)
     payloads = A.as_payload(A.as_events(runner.replay(spark, path, schemas.EVENTS, files_per_trigger=files)))
     live = ST.LiveBaselines(spark, fresh_path(spark, "live-baselines"), lateness="1 DAY")
-    runner.run_batches(ST.prepared(payloads, A.roster(spark, sf)), live)
+    runner.run_batches(ST.prepared(payloads, _roster(spark, sf)), live)
     rows = live.table("late").select("id", "timestamp", F.lit(True).alias("late")).unionByName(
         live.table("scored").filter("id % 13 = 0").select("id", "timestamp", F.lit(False).alias("late")))
     return text_time(rows, "timestamp")

@@ -73,10 +73,12 @@ class LiveBaselines:
             rows = marked.filter("not __late").drop("__late")
         else:
             rows = self._kept(batch, "in", batch_id)
-        fresh = self._kept(ops.refreshed_baselines(rows, self.every, self.days, self._history(rows, batch_id)), "fresh", batch_id)
-        sums = ops.sums_per_second(rows)
+        sums = ops.sums_per_second(rows, self.every)
         sums.withColumn("day", F.floor(F.col("__sec") / 86400)).write.mode("overwrite").partitionBy("day").parquet(
             self._folder("sums", batch_id))
+        stored = self._sums(sums.schema)
+        fresh = self._kept(ops.refreshed_baselines(
+            rows, self.every, self.days, self._history(rows, stored, batch_id), stored.filter(F.col("batch_id") == batch_id)), "fresh", batch_id)
         self._kept(ops.score(ops.with_baseline_as_of(rows, fresh, newest)), "scored", batch_id)
         last = ops.last_refreshes(rows, fresh).withColumn("seen", F.lit(None).cast("timestamp"))
         # a row without a user carries the newest time that was seen
@@ -89,17 +91,19 @@ class LiveBaselines:
         if batch_id > 1:
             delete(self.spark, self._folder("newest", batch_id - 2))
 
-    def _history(self, rows: DataFrame, batch_id: int) -> DataFrame | None:
+    def _sums(self, day: T.StructType) -> DataFrame:
+        """The sums of all batches."""
+        schema = T.StructType([*day.fields, T.StructField("batch_id", T.IntegerType()), T.StructField("day", T.LongType())])
+        return self.spark.read.schema(schema).parquet(f"{self.base}/sums")
+
+    def _history(self, rows: DataFrame, sums: DataFrame, batch_id: int) -> DataFrame | None:
         """Sums of earlier batches that a refresh in this batch can reach, of the users that are refreshed."""
         points = rows.filter(F.col("id") % self.every == 0)
         first = points.agg(F.min("timestamp").alias("t")).select(
             F.floor(F.unix_seconds("t") / 86400).alias("d")).first()["d"]
         if not batch_id or first is None:
             return None
-        day = ops.sums_per_second(rows).schema
-        schema = T.StructType([*day.fields, T.StructField("batch_id", T.IntegerType()), T.StructField("day", T.LongType())])
-        old = self.spark.read.schema(schema).parquet(f"{self.base}/sums").filter(
-            (F.col("batch_id") < batch_id) & (F.col("day") >= first - self.days - 1))
+        old = sums.filter((F.col("batch_id") < batch_id) & (F.col("day") >= first - self.days - 1))
         return old.join(points.select("user_id").distinct(), "user_id", "left_semi")
 
     def table(self, name: str, schema: T.StructType | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from conductrisk.llm import lm
 from conductrisk.operators import models as M
 from conductrisk.operators import sampling as S
 from conductrisk.operators import telemetry as L
+from conductrisk.plans import stream_queries
 from conductrisk.plans import tables as T0
 from conductrisk.streaming import runner
 
@@ -130,3 +131,27 @@ def test_stored_telemetry_has_what_is_read(spark, monkeypatch):
     monkeypatch.setattr(T0, "stage", lambda df, name: kept.setdefault(name, df))
     assert "live_factors" not in T0.stored_telemetry(spark, "").columns and "deviation_text" not in kept["telemetry"].columns
     assert kept["telemetry"].count() == 400
+
+
+def test_refreshes_of_written_sums(spark):
+    """Sums that are written already give the refreshes of the rows, also where seconds repeat."""
+    rows = L.with_productivity(_telemetry_rows(spark)).withColumn(
+        "timestamp", F.when(F.col("id") % 10 == 1, F.col("timestamp") - F.expr("INTERVAL 4001 SECONDS")).otherwise(F.col("timestamp")))
+    want = {r.id: r for r in L.refreshed_baselines(rows, days=2).collect()}
+    got = {r.id: r for r in L.refreshed_baselines(rows, days=2, sums=L.sums_per_second(rows)).collect()}
+    assert got == want and len(want) == 40
+    data = rows.select("id", "user_id", F.unix_seconds("timestamp").alias("s"), "mouse_velocity_avg").collect()
+    for r in (x for x in data if x.id % 10 == 0):
+        near = [x.mouse_velocity_avg for x in data if x.user_id == r.user_id and 0 <= r.s - x.s <= 2 * 86400]
+        assert want[r.id].n == len(near) and want[r.id].mv_avg == pytest.approx(sum(near) / len(near))
+
+
+def test_micro_batches_join_a_written_roster(spark, tmp_path):
+    """The roster of a stream reads no events: each batch would work it out again."""
+    spark.range(6).select((F.col("id") % 3).alias("user_id")).write.parquet(str(tmp_path / "events.parquet"))
+    spark.range(3).select(F.col("id").alias("c_custkey"), F.lit("n").alias("c_name"), F.lit(0).alias("c_nationkey"),
+                          F.lit("MACHINERY").alias("c_mktsegment")).write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(0, "x")], "n_nationkey int, n_name string").write.parquet(str(tmp_path / "nation.parquet"))
+    roster = stream_queries._roster(spark, str(tmp_path))
+    assert "Join" not in roster._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, roster.collect())) == [(f"U{i}", "Admin") for i in range(3)]
