@@ -40,8 +40,8 @@ TEST, TEST_EACH = 10.0, 2.0
 BLOCK_BYTES = 32_000_000
 #: Distinct n-grams and bytes of text for each bucket of the tree; blocks that one task of a bucket answers.
 BUCKET_GRAMS, BUCKET_BYTES, BLOCKS_A_TASK = 500_000, 64_000_000, 1024
-#: Bytes of text that are counted at once.
-COUNT_BYTES = 1_000_000
+#: Bytes of text that are made symbols at once; symbols that are counted at once; bytes of text for each part of the counts.
+COUNT_BYTES, COUNT_SYMBOLS, PART_BYTES = 1_000_000, 8_000_000, 32_000_000
 END = 10
 #: Stands for the end of a text among the hashes of words.
 END_WORD = np.uint64(0x9D5F0A1C3B2E4876)
@@ -54,16 +54,16 @@ def symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     parts = [pad + b" ".join(x.lower().split()) + bytes([END]) if x else pad + bytes([END])
              for x in texts.cast(pa.binary()).to_pylist()]
     sizes = np.array([len(x) for x in parts], np.int64)
-    data = np.frombuffer(b"".join(parts), np.uint8)
-    code = np.zeros(len(data) - DEPTH if len(data) else 0, np.int64)
-    for i in range(DEPTH + 1):
-        code = (code << 8) | data[i:i + len(code)]
+    data = b"".join([b"\0" * (7 - DEPTH), *parts])
+    # the eight bytes up to every position but the first of the padding, as numbers
+    code = np.ndarray(max(0, len(data) - 7), ">u8", data, strides=(1,))
     # positions whose own symbol is padding are no symbols of the text
     begins = np.cumsum(sizes) - sizes
-    real = np.ones(len(data), bool)
+    real = np.ones(len(code) + DEPTH, bool)
     for i in range(DEPTH):
         real[begins + i] = False
-    return code[real[DEPTH:]], np.concatenate([[0], np.cumsum(sizes - DEPTH)])
+    code = code.astype(np.uint64)[real[DEPTH:]].view(np.int64)
+    return _low(code, DEPTH + 1), np.concatenate([[0], np.cumsum(sizes - DEPTH)])
 
 
 def _low(code: np.ndarray, n: int) -> np.ndarray:
@@ -77,6 +77,25 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return words.hashes(), words.of_text
 
 
+def _begins(ordered: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values begin."""
+    return np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[:len(ordered)])
+
+
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values in order, how often each comes); orders `values` itself, as plain sorting needs the least time."""
+    values.sort()
+    begins = _begins(values)
+    return values[begins], np.diff(np.append(begins, len(values)))
+
+
+def _dealt(of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order by part, the parts that occur, where the second and later ones begin); `of` is below n. Small numbers are ordered by their digits."""
+    order = np.argsort(of.astype(np.min_scalar_type(n)), kind="stable")
+    parts, edges = np.unique(of[order], return_index=True)
+    return order, parts, edges[1:]
+
+
 class _Tally:
     """Counts of 64-bit values, merged whenever many have come together."""
 
@@ -87,7 +106,7 @@ class _Tally:
         self.values.append(values)
         self.counts.append(counts)
         self.waiting += len(values)
-        if self.waiting > 2 * _FLUSH:
+        if self.waiting > max(2 * _FLUSH, 2 * len(self.values[0])):
             self.merge()
 
     def merge(self) -> None:
@@ -97,48 +116,63 @@ class _Tally:
             order = np.argsort(values)
             values, counts = values[order], counts[order]
             del order
-            begins = np.flatnonzero(np.append(True, values[1:] != values[:-1])[:len(values)])
+            begins = _begins(values)
             counts = np.add.reduceat(counts, begins) if len(begins) else counts
             self.values, self.counts, self.waiting = [values[begins]], [counts], len(begins)
 
-    def full(self) -> bool:
-        return self.waiting > _FLUSH
 
-    def take(self) -> tuple[np.ndarray, np.ndarray]:
-        self.merge()
-        nothing = np.zeros(0, np.int64)
-        out = (self.values[0], self.counts[0]) if self.values else (nothing, nothing)
-        self.values, self.counts, self.waiting = [], [], 0
-        return out
+def counted(docs: DataFrame, parts: int) -> DataFrame:
+    """(kind, value, c): counts of n-grams (kind 0) and of words (kind 1) of all texts.
 
+    Tasks send what they have counted as lists, one for each part of the values; a part adds up its lists one at a time.
+    """
 
-def counted(docs: DataFrame) -> DataFrame:
-    """(kind, value, c): counts of n-grams (kind 0) and of words (kind 1) of all texts."""
+    def lists(kind: int, values: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        order, found, edges = _dealt((K.mix(values.view(np.uint64)) % np.uint64(parts)).astype(np.int64), parts)
+        values, counts = np.split(values[order], edges), np.split(counts[order], edges)
+        return pa.RecordBatch.from_pydict({
+            "kind": pa.array(np.full(len(found), kind, np.int32)), "part": pa.array(found),
+            "n": pa.array([len(x) for x in values], pa.int64()),
+            "values": pa.array([_squeezed(np.diff(x, prepend=0)) for x in values], pa.binary()),
+            "counts": pa.array([_squeezed(x) for x in counts], pa.binary())})
 
     def work(batches):
-        tallies = [_Tally(), _Tally()]
+        # one array is filled again and again: lists of arrays would have to be copied together
+        held, filled, words, texts = np.empty(COUNT_SYMBOLS, np.int64), 0, [], 0
 
-        def rows(kind):
-            values, counts = tallies[kind].take()
-            return pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(values), kind, np.int32)),
-                                               "value": pa.array(values), "c": pa.array(counts)})
+        def rows():
+            yield lists(0, *_runs(held[:filled]))
+            found, counts = _runs(np.concatenate(words))
+            words.clear()
+            yield lists(1, np.append(found, END_WORD).view(np.int64), np.append(counts, texts))
+            pa.default_memory_pool().release_unused()
 
         for batch in batches:
             for first, n in K.pieces(text_of(batch), COUNT_BYTES):
-                texts = text_of(batch.slice(first, n))
-                tallies[0].add(*np.unique(symbols(texts)[0], return_counts=True))
-                words, counts = np.unique(_words(texts)[0], return_counts=True)
-                tallies[1].add(np.append(words, END_WORD).view(np.int64), np.append(counts, n))
-                for kind in (0, 1):
-                    if tallies[kind].full():
-                        tallies[kind].merge()
-                        if tallies[kind].full():
-                            yield rows(kind)
-        yield rows(0)
-        yield rows(1)
-
-    parts = pack(docs.select("text")).mapInArrow(work, "kind int, value long, c long")
-    return parts.groupBy("kind", "value").agg(F.sum("c").alias("c"))
+                piece = text_of(batch.slice(first, n))
+                codes = symbols(piece)[0]
+                if texts and filled + len(codes) > len(held):
+                    yield from rows()
+                    filled = texts = 0
+                if len(codes) > len(held):
+                    held = np.empty(len(codes), np.int64)
+                held[filled:filled + len(codes)] = codes
+                words.append(_words(piece)[0])
+                filled, texts = filled + len(codes), texts + n
+        if texts:
+            yield from rows()
+
+    def added(table: pa.Table) -> pa.Table:
+        tally = _Tally()
+        for i in range(len(table)):
+            n, values, counts = (table.column(c)[i].as_py() for c in ("n", "values", "counts"))
+            tally.add(np.cumsum(_restored(values, n, np.int64)), _restored(counts, n, np.int64))
+        tally.merge()
+        kind = np.full(len(tally.values[0]), table.column("kind")[0].as_py(), np.int32)
+        return pa.table({"kind": pa.array(kind), "value": pa.array(tally.values[0]), "c": pa.array(tally.counts[0])})
+
+    found = pack(docs.select("text")).mapInArrow(work, "kind int, part long, n long, values binary, counts binary")
+    return found.groupBy("kind", "part").applyInArrow(added, "kind int, value long, c long")
 
 
 @dataclass
@@ -294,18 +328,18 @@ def _codes_of_block(buckets: int, salts: int) -> Callable[[pa.Table], pa.Table]:
 
     def work(table: pa.Table) -> pa.Table:
         pa.default_memory_pool().release_unused()
-        found = []
+        found, waiting = [], 0
         for batch in table.to_batches():
             for first, n in K.pieces(text_of(batch), COUNT_BYTES):
-                # with counts numpy sorts, which is faster than its hashing
-                found.append(np.unique(symbols(text_of(batch.slice(first, n)))[0], return_counts=True)[0])
-        found = np.concatenate(found)
-        code = np.unique(found, return_counts=True)[0]
+                found.append(_runs(symbols(text_of(batch.slice(first, n)))[0])[0])
+                waiting += len(found[-1])
+                if waiting > max(_FLUSH, 2 * len(found[0])):
+                    found = [_runs(np.concatenate(found))[0]]
+                    waiting = len(found[0])
+        code = _runs(np.concatenate(found))[0]
         del found
-        of = _bucket(code, buckets)
-        order = np.argsort(of, kind="stable")
-        parts, edges = np.unique(of[order], return_index=True)
-        block, lists = table.column("block")[0].as_py(), np.split(code[order], edges[1:])
+        order, parts, edges = _dealt(_bucket(code, buckets), buckets)
+        block, lists = table.column("block")[0].as_py(), np.split(code[order], edges)
         return pa.table({"bucket": pa.array(parts), "salt": pa.array(np.full(len(parts), block % salts, np.int64)),
                          "block": pa.array(np.full(len(parts), block, np.int64)), "n": pa.array([len(x) for x in lists], pa.int64()),
                          "codes": pa.array([_squeezed(np.diff(x, prepend=0)) for x in lists], pa.binary())})
@@ -352,10 +386,10 @@ def score(docs: DataFrame, learn: Callable[[str], Column]) -> DataFrame:
     `learn` makes the condition for training rows from the name of the id column.
     """
     spark = docs.sparkSession
+    length = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # both kinds of counts are read more than once
-    counts = stage(counted(docs.filter(learn("doc_id"))), "lm-counts")
+    counts = stage(counted(docs.filter(learn("doc_id")), max(1, -(-length // PART_BYTES))), "lm-counts")
     grams, words = (counts.filter(F.col("kind") == kind).select("value", "c") for kind in (0, 1))
-    length = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-grams.count() // BUCKET_GRAMS), -(-length // BUCKET_BYTES))
     short, deep = fit_tree(grams, buckets)
     size = words.agg(F.sum("c"), F.count("c")).first()
@@ -401,20 +435,22 @@ def score(docs: DataFrame, learn: Callable[[str], Column]) -> DataFrame:
             for first, n in K.pieces(text_of(batch), COUNT_BYTES):
                 part = batch.slice(first, n)
                 words, of_text = _words(text_of(part))
-                hit, at = _find(value, words.view(np.int64))
-                c = np.where(hit, count[at], 0) if len(value) else np.zeros(len(words), np.int64)
+                # in order they are found faster
+                wanted, of = np.unique(words.view(np.int64), return_inverse=True)
+                hit, at = _find(value, wanted)
+                c = np.where(hit, count[at], 0)[of] if len(value) else np.zeros(len(words), np.int64)
                 code, bounds = symbols(text_of(part))
-                coded = pa.array(code).dictionary_encode()
-                wanted = coded.dictionary.to_numpy()
-                order = np.argsort(wanted)  # in order they are found faster
-                at = np.empty(len(wanted), np.int64)
-                at[order] = np.searchsorted(codes, wanted[order])
+                order = np.argsort(code)
+                code = code[order]
+                begins = _begins(code)
+                each = np.empty(len(code))
+                each[order] = np.repeat(logs[np.searchsorted(codes, code[begins])], np.diff(np.append(begins, len(code))))
                 out.append(pa.RecordBatch.from_arrays([
                     part.column("row"), part.column("held_out"), pa.array(np.diff(of_text) + 1),
                     pa.array(K.sums((c > 0).astype(np.int64), of_text) + int(end_count > 0)),
                     pa.array(np.full(n, tokens, np.int64)),
                     pa.array(K.sums(base_log(c), of_text) + base_log(end_count)),
-                    pa.array(K.sums(logs[at][coded.indices.to_numpy()], bounds)),
+                    pa.array(K.sums(each, bounds)),
                 ], schema.names))
         return pa.Table.from_batches(out)
 

@@ -309,3 +309,23 @@ def test_the_sixth_symbol_before_counts():
     code, bounds = lm.symbols(pa.array(["abcdef1", "xbcdef2"]))
     score = tree_of(texts).score(code)
     assert score[bounds[1:] - 2].min() > math.log10(0.9)
+
+
+def test_counts_travel_as_lists_and_are_whole(make, monkeypatch):
+    """No row per n-gram and task is shuffled; the sums of all lists are the counts."""
+    for name, value in (("COUNT_BYTES", 2000), ("COUNT_SYMBOLS", 5000), ("_FLUSH", 100)):
+        monkeypatch.setattr(lm, name, value, raising=False)
+    rng = random.Random(14)
+    texts = [spoken(rng, rng.choice(list(LETTERS)), rng.randint(1, 300)) for _ in range(60)] + [None, "", "A b\x0bc", *["xyz " * 400] * 5]
+    found = lm.counted(make(texts).repartition(3), 4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "HashAggregate" not in plan
+    rows = found.collect()
+    want = [Counter(), Counter()]
+    for t in texts:
+        data = b"\0" * lm.DEPTH + b" ".join((t or "").encode().lower().split()) + b"\n"
+        want[0].update(int.from_bytes(data[i - lm.DEPTH:i + 1], "big") for i in range(lm.DEPTH, len(data)))
+        words, _ = lm._words(pa.array([t], pa.string()))
+        want[1].update([*words.view(np.int64).tolist(), int(lm.END_WORD.view(np.int64))])
+    assert len(rows) == len(want[0]) + len(want[1])
+    assert [{r.value: r.c for r in rows if r.kind == k} for k in (0, 1)] == want
