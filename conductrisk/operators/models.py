@@ -162,25 +162,24 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[list[floa
     return nodes
 
 
-def fit_forest(df: DataFrame, features: list[str], key: str, trees: int = TREES, rows: int = TREE_ROWS) -> list[np.ndarray]:
-    """Trees grown in parallel, each on its own `rows` rows of the whole table.
+def tree_samples(df: DataFrame, features: list[str], key: str, trees: int = TREES, rows: int = TREE_ROWS) -> DataFrame:
+    """__k, features, tree, at, rn: the `rows` rows of each tree, those with the smallest hash of (key, tree).
 
-    A tree takes the rows with the smallest hash of (key, tree). Only rows whose hash is under a bound that
-    lets about four times as many pass leave the scan, so few rows are exploded and ranked; with the
-    sample that small the chance to get too few is below 1e-100.
+    Only rows whose hash is under a bound that lets about four times as many pass leave the scan, so few rows are
+    shuffled and ranked; with the sample that small the chance to get too few is below 1e-100. Trees and hashes are made in
+    compiled code, without lambdas.
     """
     base = df.select(F.col(key).cast("string").alias("__k"), *[F.col(f).cast("double").alias(f) for f in features])
     steps = 1_000_000_000
     bound = int(min(1.0, 4.0 * rows / max(1, df.count())) * steps)
-    drawn = F.filter(F.transform(
-        F.sequence(F.lit(0), F.lit(trees - 1)),
-        lambda t: F.struct(t.alias("tree"), F.xxhash64("__k", t).alias("at"))),
-        lambda d: F.pmod(d["at"], F.lit(steps)) < bound)
+    drawn = base.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn(
+        "at", F.xxhash64("__k", "tree")).filter(F.pmod("at", F.lit(steps)) < bound)
     order = Window.partitionBy("tree").orderBy(F.pmod("at", F.lit(steps)), "__k")
-    samples = (
-        base.withColumn("__d", F.explode(drawn)).select("__k", *features, "__d.tree", "__d.at")
-        .withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= rows)
-    )
+    return drawn.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= rows)
+
+
+def fit_forest(df: DataFrame, features: list[str], key: str, trees: int = TREES, rows: int = TREE_ROWS) -> list[np.ndarray]:
+    """Trees grown in parallel, each on its own `rows` rows of the whole table (see `tree_samples`)."""
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
@@ -188,35 +187,40 @@ def fit_forest(df: DataFrame, features: list[str], key: str, trees: int = TREES,
         limit = int(math.ceil(math.log2(max(len(x), 2))))
         return pd.DataFrame({"tree": [tree], "nodes": [json.dumps(_grow(x, np.random.default_rng(SEED + tree), limit))]})
 
-    grown = samples.groupBy("tree").applyInPandas(grow, "tree int, nodes string").orderBy("tree")
+    grown = tree_samples(df, features, key, trees, rows).groupBy("tree").applyInPandas(grow, "tree int, nodes string").orderBy("tree")
     # at most `trees` small rows come back: the fitted model
     return [np.array(json.loads(r["nodes"]), dtype=float) for r in grown.collect()]
 
 
+def _paths(tree: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """(feature, threshold, left, right, path length if a leaf, depth of the tree); a leaf is its own child."""
+    feature, leaf = tree[:, 0].astype(int), tree[:, 0] < 0
+    own = np.arange(len(tree))
+    left, right = (np.where(leaf, own, tree[:, i].astype(int)) for i in (2, 3))
+    depth = np.zeros(len(tree))
+    for i in np.flatnonzero(~leaf):  # a node comes before its children
+        depth[left[i]] = depth[right[i]] = depth[i] + 1
+    return np.maximum(feature, 0), tree[:, 1], left, right, depth + _average_path(tree[:, 4]), int(depth.max())
+
+
 def score_forest(df: DataFrame, forest: list[np.ndarray], features: list[str], contamination: float = 0.05,
                  rows: int = TREE_ROWS) -> DataFrame:
     """Add `decision` (below 0 is an outlier) and `prediction` (-1 or 1)."""
     largest = max(int(t[0][4]) for t in forest)
     norm = float(_average_path(min(rows, largest)))
+    walks = [_paths(t) for t in forest]
 
     @F.pandas_udf(T.DoubleType())
     def normality(*columns: pd.Series) -> pd.Series:
         x = np.column_stack([c.to_numpy(dtype=float) for c in columns])
+        flat, first = x.ravel(), np.arange(len(x)) * x.shape[1]
         total = np.zeros(len(x))
-        for tree in forest:
+        for feature, cut, left, right, length, depth in walks:
             at = np.zeros(len(x), dtype=int)
-            depth = np.zeros(len(x))
-            while True:
-                feature = tree[at, 0].astype(int)
-                inner = feature >= 0
-                if not inner.any():
-                    break
-                value = x[np.arange(len(x)), np.maximum(feature, 0)]
-                step = np.where(value <= tree[at, 1], tree[at, 2], tree[at, 3]).astype(int)
-                at = np.where(inner, step, at)
-                depth += inner
-            total += depth + _average_path(tree[at, 4])
-        return pd.Series(-np.power(2.0, -total / len(forest) / norm))
+            for _ in range(depth):
+                at = np.where(flat[first + feature[at]] <= cut[at], left[at], right[at])
+            total += length[at]
+        return pd.Series(-np.power(2.0, -total / len(walks) / norm))
 
     # the percentile and the result read the scores
     scored = stage(df.withColumn("normality", normality(*[F.col(f).cast("double") for f in features])), "normalities")

@@ -206,3 +206,35 @@ def test_user_split_keeps_the_labelled_user_out_of_training(daily):
     rows = S.user_split(daily.select("user"), "U5").distinct().collect()
     assert not [r for r in rows if r.user == "U5" and r.in_train]
     assert sum(r.in_train for r in rows) in (8, 9)
+
+
+def test_rows_of_trees_are_drawn_in_compiled_code(spark):
+    """Each tree has the rows of the smallest hashes; no lambda runs for every row and tree."""
+    df = spark.range(500).selectExpr("concat('k', id) AS key", "double(id) AS a", "double(id % 7) AS b")
+    found = M.tree_samples(df, ["a", "b"], "key", trees=5, rows=40)
+    assert "lambda" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.tree, {})[r.rn] = (r["__k"], r.a, r.b)
+    hashes = df.selectExpr("key", "a", "b", "transform(sequence(0, 4), t -> pmod(xxhash64(key, t), 1000000000)) AS h").collect()
+    for tree in range(5):
+        want = sorted((r.h[tree], r.key, r.a, r.b) for r in hashes)[:40]
+        assert got[tree] == {i + 1: x[1:] for i, x in enumerate(want)}
+    assert len(got) == 5
+
+
+def test_paths_of_leaves_are_those_of_a_walk():
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(64, 3)), 1)
+    x[5, 1] = np.nan
+    for limit in (0, 1, 6):
+        tree = np.array(M._grow(np.nan_to_num(x), np.random.default_rng(limit), limit), float)
+        feature, cut, left, right, length, depth = M._paths(tree)
+        for row in x:
+            at, steps = 0, 0
+            while tree[at, 0] >= 0:
+                at, steps = int(tree[at, 2] if row[int(tree[at, 0])] <= tree[at, 1] else tree[at, 3]), steps + 1
+            here = 0
+            for _ in range(depth):
+                here = left[here] if row[feature[here]] <= cut[here] else right[here]
+            assert here == at and length[here] == steps + M._average_path(tree[at, 4]) and steps <= depth
