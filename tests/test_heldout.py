@@ -1,6 +1,7 @@
 """Models on held-out days: nothing is learned from them, and metrics follow from the stored scores."""
 
 import datetime as dt
+import threading
 
 import numpy as np
 import pytest
@@ -58,3 +59,18 @@ def test_held_out_labels_teach_nothing(labelled):
 def test_without_positives_only_detectors_score(labelled):
     table = heldout.scores(heldout.split_days(labelled.withColumn("label", F.lit(0))), trees=3)
     assert {r.model for r in table.select("model").distinct().collect()} == set(heldout.DETECTORS)
+
+
+def test_models_are_measured_side_by_side(spark, monkeypatch):
+    """The short jobs of one model don't wait for those of another."""
+    together = threading.Barrier(2, timeout=30)
+    whole = heldout.E.model_metrics
+
+    def measured(*args):
+        together.wait()
+        return whole(*args)
+
+    monkeypatch.setattr(heldout.E, "model_metrics", measured)
+    rows = [(m, i % 2, float(i % 2) + 0.1 * (i % 3)) for m in ("random_forest", "kernel_density") for i in range(20)]
+    found = heldout.metrics(spark.createDataFrame(rows, "model string, label int, score double")).collect()
+    assert [r.model for r in found] == ["random_forest", "kernel_density"] and all(r.roc_auc == 1 for r in found)
