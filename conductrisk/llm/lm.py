@@ -10,7 +10,7 @@ The tree grows with the corpus and stays in Spark. A context and all longer ones
 `KEY` symbols, so buckets of such endings are grown, tested and searched by themselves. Only contexts shorter
 than `KEY` are collected and broadcast; their number is bounded by the alphabet of 256 bytes. Blocks of documents send the
 distinct codes (context and symbol) they have to the buckets and get the scores back. Word counts for
-the base score stay in Spark too, and blocks are joined with the counts of their words.
+the base score stay in Spark too: they are in buckets of their own, which get the distinct words of the blocks.
 
 A null or empty text has one token, the end. Without training documents all symbols are equally
 likely. Rows are scored one by one, so repeated rows get equal scores. A null id is in the fold of the empty text.
@@ -18,7 +18,7 @@ likely. Rows are scored one by one, so repeated rows get equal scores. A null id
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -38,7 +38,7 @@ DEPTH, KEY = 6, 3
 TEST, TEST_EACH = 10.0, 2.0
 #: Bytes of text in a block of documents.
 BLOCK_BYTES = 32_000_000
-#: Distinct n-grams and bytes of text for each bucket of the tree; blocks that one task of a bucket answers.
+#: Distinct n-grams (or words) and bytes of text for each bucket; blocks that one task of a bucket answers.
 BUCKET_GRAMS, BUCKET_BYTES, BLOCKS_A_TASK = 500_000, 64_000_000, 1024
 #: Bytes of text that are made symbols at once; symbols that are counted at once; bytes of text for each part of the counts.
 COUNT_BYTES, COUNT_SYMBOLS, PART_BYTES = 1_000_000, 8_000_000, 32_000_000
@@ -86,14 +86,19 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(distinct values in order, how often each comes); orders `values` itself, as plain sorting needs the least time."""
     values.sort()
     begins = _begins(values)
-    return values[begins], np.diff(np.append(begins, len(values)))
+    counts = np.full(len(begins), len(values))
+    counts[:-1] = begins[1:]
+    counts -= begins
+    return values[begins], counts
 
 
-def _dealt(of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order by part, the parts that occur, where the second and later ones begin); `of` is below n. Small numbers are ordered by their digits."""
-    order = np.argsort(of.astype(np.min_scalar_type(n)), kind="stable")
-    parts, edges = np.unique(of[order], return_index=True)
-    return order, parts, edges[1:]
+def _dealt(of: np.ndarray, n: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(the parts that occur, the places of each); `of` is below n. Small numbers are ordered by their digits."""
+    of = of.astype(np.min_scalar_type(n), copy=False)
+    size = np.bincount(of, minlength=n)
+    order, ends = np.argsort(of, kind="stable"), np.cumsum(size)
+    parts = np.flatnonzero(size)
+    return parts, [order[ends[i] - size[i]:ends[i]] for i in parts]
 
 
 class _Tally:
@@ -128,13 +133,16 @@ def counted(docs: DataFrame, parts: int) -> DataFrame:
     """
 
     def lists(kind: int, values: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        order, found, edges = _dealt((K.mix(values.view(np.uint64)) % np.uint64(parts)).astype(np.int64), parts)
-        values, counts = np.split(values[order], edges), np.split(counts[order], edges)
+        # a stretch at a time is mixed, a part at a time is copied
+        of = np.empty(len(values), np.min_scalar_type(parts))
+        for i in range(0, len(values), _FLUSH):
+            of[i:i + _FLUSH] = K.mix(values[i:i + _FLUSH].view(np.uint64)) % np.uint64(parts)
+        found, places = _dealt(of, parts)
         return pa.RecordBatch.from_pydict({
             "kind": pa.array(np.full(len(found), kind, np.int32)), "part": pa.array(found),
-            "n": pa.array([len(x) for x in values], pa.int64()),
-            "values": pa.array([_squeezed(np.diff(x, prepend=0)) for x in values], pa.binary()),
-            "counts": pa.array([_squeezed(x) for x in counts], pa.binary())})
+            "n": pa.array([len(x) for x in places], pa.int64()),
+            "values": pa.array([_squeezed(np.diff(values[x], prepend=0)) for x in places], pa.binary()),
+            "counts": pa.array([_squeezed(counts[x]) for x in places], pa.binary())})
 
     def work(batches):
         # one array is filled again and again: lists of arrays would have to be copied together
@@ -323,61 +331,97 @@ def _restored(data: bytes, n: int, kind: type) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(8, n).T).reshape(-1).view(kind)
 
 
-def _codes_of_block(buckets: int, salts: int) -> Callable[[pa.Table], pa.Table]:
-    """The distinct codes of a block by bucket, in ascending order, as differences."""
+def _distinct(parts: Iterable[np.ndarray]) -> np.ndarray:
+    """The distinct values of all parts, in ascending order."""
+    found, waiting = [np.zeros(0, np.int64)], 0
+    for part in parts:
+        found.append(_runs(part)[0])
+        waiting += len(found[-1])
+        if waiting > max(_FLUSH, 2 * len(found[0])):
+            found = [_runs(np.concatenate(found))[0]]
+            waiting = len(found[0])
+    return _runs(np.concatenate(found))[0]
+
+
+def _asked(buckets: tuple[int, int], salts: int) -> Callable[[pa.Table], pa.Table]:
+    """The distinct codes (kind 0) and words (kind 1) of a block by bucket, in ascending order, as differences."""
 
     def work(table: pa.Table) -> pa.Table:
         pa.default_memory_pool().release_unused()
-        found, waiting = [], 0
-        for batch in table.to_batches():
-            for first, n in K.pieces(text_of(batch), COUNT_BYTES):
-                found.append(_runs(symbols(text_of(batch.slice(first, n)))[0])[0])
-                waiting += len(found[-1])
-                if waiting > max(_FLUSH, 2 * len(found[0])):
-                    found = [_runs(np.concatenate(found))[0]]
-                    waiting = len(found[0])
-        code = _runs(np.concatenate(found))[0]
-        del found
-        order, parts, edges = _dealt(_bucket(code, buckets), buckets)
-        block, lists = table.column("block")[0].as_py(), np.split(code[order], edges)
-        return pa.table({"bucket": pa.array(parts), "salt": pa.array(np.full(len(parts), block % salts, np.int64)),
-                         "block": pa.array(np.full(len(parts), block, np.int64)), "n": pa.array([len(x) for x in lists], pa.int64()),
-                         "codes": pa.array([_squeezed(np.diff(x, prepend=0)) for x in lists], pa.binary())})
+        block, out = table.column("block")[0].as_py(), []
+        for kind, values_of in enumerate((lambda x: symbols(x)[0], lambda x: _words(x)[0].view(np.int64))):
+            values = _distinct(values_of(text_of(batch.slice(first, n))) for batch in table.to_batches()
+                               for first, n in K.pieces(text_of(batch), COUNT_BYTES))
+            parts, places = _dealt(_bucket(values, buckets[kind]), buckets[kind])
+            out.append(pa.table({
+                "kind": pa.array(np.full(len(parts), kind, np.int32)), "bucket": pa.array(parts),
+                "salt": pa.array(np.full(len(parts), block % salts, np.int64)),
+                "block": pa.array(np.full(len(parts), block, np.int64)), "n": pa.array([len(x) for x in places], pa.int64()),
+                "asked": pa.array([_squeezed(np.diff(values[x], prepend=0)) for x in places], pa.binary())}))
+            del values, places
+        return pa.concat_tables(out)
 
     return work
 
 
+def _in_order(table: pa.Table, *names: str) -> list[np.ndarray]:
+    """Columns in the order of the first."""
+    columns = [table.column(x).to_numpy() for x in names]
+    order = np.argsort(columns[0])
+    return [x[order] for x in columns]
+
+
 def _answers(short) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """The scores of the codes that blocks ask for, from a bucket of the tree."""
+    """The scores of the codes (or the counts of the words) that blocks ask for, from a bucket."""
 
-    def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        n = left.column("n").to_numpy()
-        asked = [np.cumsum(_restored(x, m, np.int64)) for x, m in zip(left.column("codes").to_pylist(), n.tolist(), strict=True)]
-        bounds = np.cumsum(n)[:-1]
-        code, at = np.unique(np.concatenate(asked) if asked else np.zeros(0, np.int64), return_inverse=True)
+    def scores_of(right: pa.Table) -> Callable[[np.ndarray], np.ndarray]:
         tree = short.value.copy()
-        depth, entry, value, log = (right.column(c).to_numpy() for c in ("depth", "entry", "value", "log"))
-        order = np.argsort(value)
-        depth, entry, value, log = depth[order], entry[order], value[order], log[order]
+        value, depth, entry, log = _in_order(right, "value", "depth", "entry", "log")
         for d in range(KEY, DEPTH + 1):
             here = depth == d
             tree.contexts.append(value[here & ~entry])
             tree.to_suffix.append(log[here & ~entry])
             tree.entries.append(value[here & entry])
             tree.logs.append(log[here & entry])
-        scores = np.split(tree.score(code)[at], bounds) if len(n) else []
-        return pa.table({"block": left.column("block"), "n": left.column("n"), "codes": left.column("codes"),
-                         "scores": pa.array([_squeezed(x) for x in scores], pa.binary())})
+        return tree.score
+
+    def counts_of(right: pa.Table) -> Callable[[np.ndarray], np.ndarray]:
+        value, count = _in_order(right, "value", "c")
+
+        def look(wanted: np.ndarray) -> np.ndarray:
+            hit, at = _find(value, wanted)
+            return np.where(hit, count[at], 0) if len(value) else np.zeros(len(wanted), np.int64)
+
+        return look
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        n, out, first = left.column("n").to_numpy(), [], 0
+        look = (counts_of if len(n) and left.column("kind")[0].as_py() else scores_of)(right) if len(n) else None
+        ends = np.cumsum(n)
+        while first < len(n):  # some lists at a time are restored
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] - n[first] + _FLUSH, side="right")))
+            lists = [np.cumsum(_restored(left.column("asked")[i].as_py(), int(n[i]), np.int64)) for i in range(first, last)]
+            value, at = np.unique(np.concatenate(lists), return_inverse=True)
+            del lists
+            out += [_squeezed(x) for x in np.split(look(value)[at], np.cumsum(n[first:last])[:-1])]
+            first = last
+        return left.select(["kind", "block", "n", "asked"]).append_column("found", pa.array(out, pa.binary()))
 
     return work
 
 
-def _requests(table: pa.Table) -> pa.Table:
-    """The distinct words of a block."""
-    words = np.unique(np.concatenate([np.unique(_words(text_of(batch.slice(first, n)))[0]) for batch in table.to_batches()
-                                      for first, n in K.pieces(text_of(batch), COUNT_BYTES)]))
-    block = table.column("block")[0].as_py()
-    return pa.table({"block": pa.array(np.full(len(words), block, np.int64)), "value": pa.array(words.view(np.int64))})
+def _opened(lists: pa.Table, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """(values of the lists in order, what was found for them)."""
+    total = pc.sum(lists.column("n")).as_py() or 0
+    values, answers, filled = np.empty(total, np.int64), np.empty(total, kind), 0
+    for i in range(len(lists)):  # one list at a time is restored
+        n, asked, found = (lists.column(c)[i].as_py() for c in ("n", "asked", "found"))
+        np.cumsum(_restored(asked, n, np.int64), out=values[filled:filled + n])
+        answers[filled:filled + n] = _restored(found, n, kind)
+        filled += n
+    order = np.argsort(values)
+    values = values[order]
+    return values, answers[order]
 
 
 def score(docs: DataFrame, learn: Callable[[str], Column]) -> DataFrame:
@@ -398,37 +442,23 @@ def score(docs: DataFrame, learn: Callable[[str], Column]) -> DataFrame:
     end_count = end["c"] if end else 0
     blocks = max(1, -(-length // BLOCK_BYTES))
     rows = pack(docs).withColumns({"held_out": ~learn("row.doc_id"), "block": F.pmod(row_key(), F.lit(blocks))})
-    known = (rows.groupBy("block").applyInArrow(_requests, "block long, value long")
-             .join(words, "value").select("block", "value", "c"))
+    of_words = max(1, -(-distinct // BUCKET_GRAMS), -(-length // BUCKET_BYTES))
     salts = -(-blocks // BLOCKS_A_TASK)
     asked = rows.groupBy("block").applyInArrow(
-        _codes_of_block(buckets, salts), "bucket long, salt long, block long, n long, codes binary")
-    salted = deep.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    scored = asked.groupBy("bucket", "salt").cogroup(salted.groupBy("bucket", "salt")).applyInArrow(
-        _answers(broadcast(spark, short)), "block long, n long, codes binary, scores binary")
-    known = known.unionByName(scored, allowMissingColumns=True)
+        _asked((buckets, of_words), salts), "kind int, bucket long, salt long, block long, n long, asked binary")
+    of_bucket = (deep.withColumn("kind", F.lit(0))
+                 .unionByName(words.withColumns({"kind": F.lit(1), "bucket": _bucket_column(of_words)}), allowMissingColumns=True)
+                 .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))))
+    known = asked.groupBy("kind", "bucket", "salt").cogroup(of_bucket.groupBy("kind", "bucket", "salt")).applyInArrow(
+        _answers(broadcast(spark, short)), "kind int, block long, n long, asked binary, found binary")
     schema = T.StructType([rows.schema["row"], rows.schema["held_out"], T.StructField("n_tokens", T.LongType()),
                            T.StructField("n_known", T.LongType()), T.StructField("train_tokens", T.LongType()),
                            T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
     base_log = lambda c: np.log10((c + 0.5) / (tokens + 0.5 * (distinct + 1)))
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        of_codes = pc.is_valid(right.column("codes"))
-        listed = right.filter(pc.invert(of_codes))
-        value, count = listed.column("value").to_numpy(), listed.column("c").to_numpy()
-        order = np.argsort(value)
-        value, count = value[order], count[order]
-        answered = right.filter(of_codes).select(["n", "codes", "scores"])
-        total = pc.sum(answered.column("n")).as_py() or 0
-        codes, logs, filled = np.empty(total, np.int64), np.empty(total), 0
-        for i in range(len(answered)):  # one list at a time is restored
-            m, packed, scores = (answered.column(c)[i].as_py() for c in range(3))
-            np.cumsum(_restored(packed, m, np.int64), out=codes[filled:filled + m])
-            logs[filled:filled + m] = _restored(scores, m, np.float64)
-            filled += m
-        order = np.argsort(codes)
-        codes, logs = codes[order], logs[order]
-        del order, answered, listed, of_codes, right
+        codes, logs = _opened(right.filter(pc.equal(right.column("kind"), 0)), np.float64)
+        value, count = _opened(right.filter(pc.equal(right.column("kind"), 1)), np.int64)
         pa.default_memory_pool().release_unused()
         out = []
         for batch in left.to_batches():

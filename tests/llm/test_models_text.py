@@ -329,3 +329,35 @@ def test_counts_travel_as_lists_and_are_whole(make, monkeypatch):
         want[1].update([*words.view(np.int64).tolist(), int(lm.END_WORD.view(np.int64))])
     assert len(rows) == len(want[0]) + len(want[1])
     assert [{r.value: r.c for r in rows if r.kind == k} for k in (0, 1)] == want
+
+
+def test_requests_are_lists_and_texts_are_shuffled_once(make, monkeypatch):
+    """Words are asked for as codes are: no row per word and block, no join, and one pass over a block finds both."""
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 3000)
+    rng = random.Random(15)
+    docs = make([spoken(rng, rng.choice(list(LETTERS)), 60) for _ in range(60)] + [None, "\n"])
+    plan = lm.score(docs, lambda c: fold(5, c) != 1)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "Join" not in plan and plan.count("FlatMapGroupsInArrow") == 1
+    table = docs.selectExpr("struct(*) row", "7L block").toArrow()
+    found = lm._asked((5, 3), 2)(table)
+    texts = [x["text"] for x in table.column("row").to_pylist()]
+    for kind, want in enumerate((lm.symbols(pa.array(texts))[0], lm._words(pa.array(texts))[0].view(np.int64))):
+        lists = [x for x in found.to_pylist() if x["kind"] == kind]
+        assert len(lists) <= (5, 3)[kind] and {(x["block"], x["salt"]) for x in lists} == {(7, 1)}
+        got = np.concatenate([np.cumsum(lm._restored(x["asked"], x["n"], np.int64)) for x in lists])
+        assert sorted(got.tolist()) == np.unique(want).tolist()
+
+
+def test_a_bucket_restores_some_lists_at_a_time(monkeypatch):
+    monkeypatch.setattr(lm, "_FLUSH", 100)
+    monkeypatch.setattr(lm, "_find", lambda ordered, wanted, find=lm._find: (sizes.append(len(wanted)), find(ordered, wanted))[1])
+    sizes, rng = [], np.random.default_rng(16)
+    lists = [np.unique(rng.integers(-500, 500, 60)) for _ in range(30)] + [np.arange(250)]
+    left = pa.table({"kind": pa.array([1] * 31, pa.int32()), "block": list(range(31)), "n": [len(x) for x in lists],
+                     "asked": pa.array([lm._squeezed(np.diff(x, prepend=0)) for x in lists], pa.binary())})
+    words = rng.permutation(np.arange(-400, 400, 2))
+    found = lm._answers(None)(left, pa.table({"value": words, "c": np.abs(words) + 1}))
+    for x, row in zip(lists, found.to_pylist(), strict=True):
+        got = lm._restored(row["found"], row["n"], np.int64)
+        assert got.tolist() == [abs(v) + 1 if v % 2 == 0 and -400 <= v < 400 else 0 for v in x.tolist()]
+    assert sorted(sizes)[-2] <= 100 and max(sizes) == 250  # a longer list is restored by itself
