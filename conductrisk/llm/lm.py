@@ -86,10 +86,12 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(distinct values in order, how often each comes); orders `values` itself, as plain sorting needs the least time."""
     values.sort()
     begins = _begins(values)
-    counts = np.full(len(begins), len(values))
-    counts[:-1] = begins[1:]
-    counts -= begins
-    return values[begins], counts
+    found, n = values[begins], len(begins)
+    for i in range(0, n - 1, _FLUSH):  # a stretch at a time, begins become counts in place
+        last = min(i + _FLUSH, n - 1)
+        begins[i:last] = begins[i + 1:last + 1] - begins[i:last]
+    begins[n - 1:] = len(values) - begins[n - 1:]
+    return found, begins
 
 
 def _dealt(of: np.ndarray, n: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -145,11 +147,14 @@ def counted(docs: DataFrame, parts: int) -> DataFrame:
             "counts": pa.array([_squeezed(counts[x]) for x in places], pa.binary())})
 
     def work(batches):
-        # one array is filled again and again: lists of arrays would have to be copied together
+        # one array is filled: lists of arrays would have to be copied together
         held, filled, words, texts = np.empty(COUNT_SYMBOLS, np.int64), 0, [], 0
 
         def rows():
-            yield lists(0, *_runs(held[:filled]))
+            nonlocal held
+            found, counts = _runs(held[:filled])
+            held = np.empty(0, np.int64)  # what was counted goes before the lists are made
+            yield lists(0, found, counts)
             found, counts = _runs(np.concatenate(words))
             words.clear()
             yield lists(1, np.append(found, END_WORD).view(np.int64), np.append(counts, texts))
@@ -162,8 +167,8 @@ def counted(docs: DataFrame, parts: int) -> DataFrame:
                 if texts and filled + len(codes) > len(held):
                     yield from rows()
                     filled = texts = 0
-                if len(codes) > len(held):
-                    held = np.empty(len(codes), np.int64)
+                if len(codes) > len(held):  # nothing is in it
+                    held = np.empty(max(COUNT_SYMBOLS, len(codes)), np.int64)
                 held[filled:filled + len(codes)] = codes
                 words.append(_words(piece)[0])
                 filled, texts = filled + len(codes), texts + n
@@ -171,6 +176,7 @@ def counted(docs: DataFrame, parts: int) -> DataFrame:
             yield from rows()
 
     def added(table: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()
         tally = _Tally()
         for i in range(len(table)):
             n, values, counts = (table.column(c)[i].as_py() for c in ("n", "values", "counts"))
@@ -395,6 +401,7 @@ def _answers(short) -> Callable[[pa.Table, pa.Table], pa.Table]:
         return look
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()
         n, out, first = left.column("n").to_numpy(), [], 0
         look = (counts_of if len(n) and left.column("kind")[0].as_py() else scores_of)(right) if len(n) else None
         ends = np.cumsum(n)
@@ -403,9 +410,9 @@ def _answers(short) -> Callable[[pa.Table, pa.Table], pa.Table]:
             lists = [np.cumsum(_restored(left.column("asked")[i].as_py(), int(n[i]), np.int64)) for i in range(first, last)]
             value, at = np.unique(np.concatenate(lists), return_inverse=True)
             del lists
-            out += [_squeezed(x) for x in np.split(look(value)[at], np.cumsum(n[first:last])[:-1])]
+            out.append(pa.array([_squeezed(x) for x in np.split(look(value)[at], np.cumsum(n[first:last])[:-1])], pa.binary()))
             first = last
-        return left.select(["kind", "block", "n", "asked"]).append_column("found", pa.array(out, pa.binary()))
+        return left.select(["kind", "block", "n", "asked"]).append_column("found", pa.chunked_array(out, pa.binary()))
 
     return work
 

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -361,3 +362,37 @@ def test_a_bucket_restores_some_lists_at_a_time(monkeypatch):
         got = lm._restored(row["found"], row["n"], np.int64)
         assert got.tolist() == [abs(v) + 1 if v % 2 == 0 and -400 <= v < 400 else 0 for v in x.tolist()]
     assert sorted(sizes)[-2] <= 100 and max(sizes) == 250  # a longer list is restored by itself
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 100, 101, 102, 5000])
+def test_runs_are_counted_in_place(monkeypatch, n):
+    monkeypatch.setattr(lm, "_FLUSH", 100)
+    values = np.random.default_rng(n).integers(-n, n + 1, n)
+    for x in (values, np.arange(n), np.zeros(n, np.int64)):
+        want = np.unique(x, return_counts=True)
+        assert [y.tolist() for y in lm._runs(x.copy())] == [y.tolist() for y in want]
+
+
+def test_counted_symbols_go_before_their_lists_are_made(monkeypatch):
+    """While n-grams are dealt to lists, the symbols they were counted from take no memory."""
+
+    class Docs:
+        select = groupBy = lambda self, *columns: self
+        applyInArrow = lambda self, work, schema: None
+
+        def mapInArrow(self, work, schema):
+            self.work = work
+            return self
+
+    docs, held = Docs(), []
+    monkeypatch.setattr(lm, "pack", lambda x: x)
+    monkeypatch.setattr(lm, "_dealt", lambda *x, dealt=lm._dealt: (held.append(tracemalloc.get_traced_memory()[0]), dealt(*x))[1])
+    lm.counted(docs, 3)
+    batch = pa.record_batch({"row": pa.array([{"text": "abc abd " * 1000}] * 400)})
+    tracemalloc.start()
+    try:
+        found = list(docs.work(iter([batch])))
+    finally:
+        tracemalloc.stop()
+    assert [x.column("kind")[0].as_py() for x in found] == [0, 1]
+    assert held[0] < 8 * lm.COUNT_SYMBOLS
