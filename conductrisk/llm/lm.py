@@ -37,9 +37,9 @@ DEPTH, KEY = 6, 3
 #: A context stays if its log likelihood ratio against its suffix is above TEST + TEST_EACH x (next symbols seen).
 TEST, TEST_EACH = 10.0, 2.0
 #: Bytes of text in a block of documents.
-BLOCK_BYTES = 32_000_000
+BLOCK_BYTES = 16_000_000
 #: Distinct n-grams (or words) and bytes of text for each bucket; blocks that one task of a bucket answers.
-BUCKET_GRAMS, BUCKET_BYTES, BLOCKS_A_TASK = 500_000, 64_000_000, 1024
+BUCKET_GRAMS, BUCKET_BYTES, BLOCKS_A_TASK = 500_000, 64_000_000, 2048
 #: Bytes of text that are made symbols at once; symbols that are counted at once; bytes of text for each part of the counts.
 COUNT_BYTES, COUNT_SYMBOLS, PART_BYTES = 1_000_000, 8_000_000, 32_000_000
 END = 10
